@@ -34,7 +34,10 @@ from sequor.operators.storage import materialize, release, tasks
 #: Shingles that one bucket task holds, and that one block of a neighbourhood holds.
 BUCKET_SHINGLES = 2_000_000
 BLOCK_SHINGLES = 1_500_000
+#: Classes left to search up to which their ids may be broadcast (24 bytes each); beyond, texts are joined by a shuffle.
+BROADCAST_CLASSES = 2_000_000
 _SHARED = np.uint32(0xFFFFFFFF)
+_NARROW = np.uint32(0xFFFF)
 
 
 def _unshared_allowed(n, percent: int):
@@ -68,16 +71,23 @@ def pack(hashes: np.ndarray, owners: np.ndarray, table: np.ndarray) -> bytes:
     h = hashes[order]
     gaps = np.diff(h, prepend=np.uint64(0))
     planes = np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 8).T)
-    head = np.array([len(h), len(table)], dtype=np.int64)
-    return head.tobytes() + planes.tobytes() + owners[order].astype(np.uint32).tobytes() + table.astype(np.int64).tobytes()
+    index = owners[order]
+    wide = len(table) >= _NARROW
+    if not wide:
+        index = np.where(index == _SHARED, _NARROW, index).astype(np.uint16)
+    head = np.array([len(h), len(table), wide], dtype=np.int64)
+    return head.tobytes() + planes.tobytes() + index.tobytes() + table.astype(np.int64).tobytes()
 
 
 def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n, m = np.frombuffer(blob, np.int64, 2)
-    planes = np.frombuffer(blob, np.uint8, 8 * n, 16).reshape(8, n)
+    n, m, wide = np.frombuffer(blob, np.int64, 3)
+    planes = np.frombuffer(blob, np.uint8, 8 * n, 24).reshape(8, n)
     hashes = np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
-    owners = np.frombuffer(blob, np.uint32, n, 16 + 8 * n)
-    return hashes, owners, np.frombuffer(blob, np.int64, m, 16 + 12 * n)
+    kind = np.uint32 if wide else np.uint16
+    owners = np.frombuffer(blob, kind, n, 24 + 8 * n).astype(np.uint32)
+    if not wide:
+        owners = np.where(owners == _NARROW, _SHARED, owners)
+    return hashes, owners, np.frombuffer(blob, np.int64, m, 24 + 8 * n + n * np.dtype(kind).itemsize)
 
 
 def _ship(size: int, buckets: int, flush: int):
@@ -85,7 +95,8 @@ def _ship(size: int, buckets: int, flush: int):
 
     def emit(sets: list[np.ndarray], ids: list[int]) -> Iterator[pd.DataFrame]:
         lens = np.array([len(s) for s in sets])
-        hashes, owner = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.uint32), lens)
+        # 48 bits are enough here: a clash only keeps a class in the search
+        hashes, owner = np.concatenate(sets) >> np.uint64(16), np.repeat(np.arange(len(sets), dtype=np.uint32), lens)
         table = np.array(ids, dtype=np.int64)
         order = np.argsort(hashes, kind="stable")
         hashes, owner = hashes[order], owner[order]
@@ -97,7 +108,7 @@ def _ship(size: int, buckets: int, flush: int):
         counts = np.bincount(owner[repeated], minlength=len(table))
         owner = np.where(repeated, _SHARED, owner)[first]
         hashes = hashes[first]
-        bucket = ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+        bucket = ((hashes >> np.uint64(16)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
         cut = np.searchsorted(bucket, np.arange(buckets + 1))
         out = [(int(b), pack(hashes[i:j], owner[i:j], table)) for b, (i, j) in enumerate(zip(cut, cut[1:])) if j > i]
         own = np.flatnonzero(counts)
@@ -280,7 +291,9 @@ def link_classes(docs: DataFrame, meta: DataFrame, percent: int, size: int, bloc
     shared = shipped.groupBy("bucket").applyInPandas(_count_shared, "cls long, shared long").groupBy("cls").agg(F.sum("shared").alias("shared"))
     allowed = F.expr(f"n - cast(ceil(n * {percent} / 100) as long)")
     left = materialize(classes.join(shared, "cls", "left").where(F.col("half") - F.coalesce("shared", F.lit(0)) <= allowed).select("cls", "doc_id", "n"), "left")
-    sets = docs.join(left.select("cls", "doc_id"), "doc_id").select("text", "cls").mapInArrow(_sets(size), "cls long, shingles array<long>")
+    want = left.select("cls", "doc_id")
+    want = F.broadcast(want) if left.count() <= BROADCAST_CLASSES else want
+    sets = docs.join(want, "doc_id").select("text", "cls").mapInArrow(_sets(size), "cls long, shingles array<long>")
     sets = materialize(sets.dropDuplicates(["cls"]), "sets")
 
     postings = materialize(_postings(sets, percent), "postings")

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sequor.llm import jaccard_join
+from sequor.llm import decontaminate, jaccard_join, quality, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,7 +16,26 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op4_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = quality.annotate(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    fields = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lost_words")
+    return docs.select("doc_id", *[F.col(f"quality.{f}") for f in fields])
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.containments(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "n_common", "n_item")
+
+
 QUERIES = {
+    "op4_line_quality": op4_line_quality,
+    "op9_substring_dedup": op9_substring_dedup,
+    "op10_decontamination": op10_decontamination,
     "op8_jaccard_join": op8_jaccard_join,
 }
 
