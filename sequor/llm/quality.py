@@ -13,12 +13,15 @@ loses more than a share of its words with them is rejected.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _SPACES = " \t\n\x0b\x0c\r"
 _SPACE = r"[\x20\x09-\x0D]"
 _WORD = r"[^\x20\x09-\x0D]+"
+_BARS = "|>»›·•"
 _SYMBOLS = "#*$%&|<>"
 # Stock phrases of page furniture, matched in lower-cased lines.
 _PHRASES = (
@@ -39,21 +42,35 @@ _PHRASES = (
 _CLOSED = "[.!?…。！？:;\"”»)]"
 
 
-def _fails(line: Column) -> Column:
-    """Name of the first rule group that a line fails, else null; blank lines fail none."""
-    n = F.regexp_count(line, F.lit(_WORD))
-    symbols = F.length(line) - F.length(F.translate(line, _SYMBOLS, ""))
-    shouts = F.regexp_count(line, F.lit(rf"!!(?={_SPACE}|$)"))
-    bars = F.regexp_count(line, F.lit(rf"(?<![^\x20\x09-\x0D])(?:[|/>»›·•–-]|::)(?![^\x20\x09-\x0D])"))
-    echoes = F.regexp_count(line, F.lit(rf"(?<![^\x20\x09-\x0D])({_WORD})(?={_SPACE}+\1(?![^\x20\x09-\x0D]))"))
-    open_end = ~line.rlike(_CLOSED)
-    stock = F.lower(line).rlike("|".join(_PHRASES))
-    return (
+def _counts(line: Column) -> Column:
+    """What the rules of a line look at; each count is made once."""
+    bars = F.when(_any_bar(line), F.regexp_count(line, F.lit(rf"(?<![^\x20\x09-\x0D])(?:[{_BARS}]|::)(?![^\x20\x09-\x0D])"))).otherwise(0)
+    return F.struct(
+        line.alias("line"),
+        F.regexp_count(line, F.lit(_WORD)).alias("n"),
+        (F.length(line) - F.length(F.translate(line, _SYMBOLS, ""))).alias("symbols"),
+        F.when(line.contains("!!"), F.regexp_count(line, F.lit(rf"!!(?={_SPACE}|$)"))).otherwise(0).alias("shouts"),
+        bars.alias("bars"),
+        F.regexp_count(line, F.lit(rf"(?<![^\x20\x09-\x0D])({_WORD})(?={_SPACE}+\1(?![^\x20\x09-\x0D]))")).alias("echoes"),
+        (~line.rlike(_CLOSED)).alias("open"),
+    )
+
+
+def _any_bar(line: Column) -> Column:
+    return reduce(lambda a, b: a | b, [line.contains(c) for c in (*_BARS, "::")])
+
+
+def _judged(x: Column) -> Column:
+    """A line, its words, and the first rule group that it fails, else null; blank lines fail none."""
+    n = x["n"]
+    stock = F.lower(x["line"]).rlike("|".join(_PHRASES))
+    rule = (
         F.when(n == 0, F.lit(None))
-        .when((bars >= 3) & (bars * 10 >= n), F.lit("navigation"))
-        .when(((n >= 8) & open_end) | (symbols * 5 > n) & (n >= 3) | (shouts * 5 > n), F.lit("punctuation"))
-        .when(((n <= 20) & stock) | ((echoes >= 3) & (echoes * 3 > n)), F.lit("boilerplate"))
+        .when((x["bars"] >= 3) & (x["bars"] * 10 >= n), F.lit("navigation"))
+        .when(((n >= 8) & x["open"]) | (x["symbols"] * 5 > n) & (n >= 3) | (x["shouts"] * 5 > n), F.lit("punctuation"))
+        .when(((n <= 20) & stock) | ((x["echoes"] >= 3) & (x["echoes"] * 3 > n)), F.lit("boilerplate"))
     )
+    return F.struct(x["line"].alias("line"), n.alias("n"), rule.alias("rule"))
 
 
 def annotate(docs: DataFrame, text_col: str = "text", out: str = "quality", max_lost_percent: int = 50) -> DataFrame:
@@ -68,7 +85,7 @@ def annotate(docs: DataFrame, text_col: str = "text", out: str = "quality", max_
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     blank = F.filter(F.split(text, "\n", -1), lambda x: F.length(F.translate(x, _SPACES, "")) > 0)
-    named = F.transform(F.split(text, "\n", -1), lambda x: F.struct(x.alias("line"), _fails(x).alias("rule"), F.regexp_count(x, F.lit(_WORD)).alias("n")))
+    named = F.transform(F.transform(F.split(text, "\n", -1), _counts), _judged)
     # intermediate columns stand alone: inside a struct the optimiser would copy their expressions into every use
     t = {k: f"__{out}_{k}" for k in ("w", "lines", "judged", "h", "s", "p")}
     w, h, s = t["w"], t["h"], t["s"]

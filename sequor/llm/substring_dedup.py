@@ -28,8 +28,8 @@ from sequor.llm.hashing import Words, grams, words
 
 _NULL_ID = np.iinfo(np.int64).max
 #: Raw bytes of packed strings that one bucket holds, and that a task gathers before it ships.
-BUCKET_BYTES = 32 << 20
-SHIP_BYTES = 48 << 20
+BUCKET_BYTES = 12 << 20
+SHIP_BYTES = 16 << 20
 #: A minimiser met this often in one Arrow batch run of a task is hot; more rows in a task cannot hide it.
 HOT_COUNT = 64
 
