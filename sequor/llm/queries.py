@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sequor.llm import decontaminate, jaccard_join, mixing, quality, sharding, substring_dedup, url_filters
+from sequor.llm import decontaminate, jaccard_join, line_dedup, mixing, quality, sharding, substring_dedup, url_filters
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,12 @@ def op2_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    out = line_dedup.LineIndex.build(docs, threshold=10, least=1).clean(docs)
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -60,6 +66,7 @@ QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_kd_sharding": op2_kd_sharding,
     "op4_line_quality": op4_line_quality,
+    "op5_line_dedup": op5_line_dedup,
     "op6_source_mixing": op6_source_mixing,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_decontamination": op10_decontamination,
