@@ -32,7 +32,7 @@ from sequor.operators.components import connected_components
 from sequor.operators.storage import materialize, release, tasks
 
 #: Shingles that one bucket task holds, and that one block of a neighbourhood holds.
-BUCKET_SHINGLES = 2_000_000
+BUCKET_SHINGLES = 1_000_000
 BLOCK_SHINGLES = 1_500_000
 #: Classes left to search up to which their ids may be broadcast (24 bytes each); beyond, texts are joined by a shuffle.
 BROADCAST_CLASSES = 2_000_000

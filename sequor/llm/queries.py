@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sequor.llm import decontaminate, jaccard_join, line_dedup, mixing, quality, sharding, substring_dedup, url_filters
+from sequor.llm import decontaminate, html_extract, jaccard_join, line_dedup, mixing, quality, secrets, sharding, substring_dedup, url_filters
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,12 +46,24 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op4_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = quality.annotate(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     fields = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lost_words")
     return docs.select("doc_id", *[F.col(f"quality.{f}") for f in fields])
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(_table(spark, sf_dir, "documents"))
+    told = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.sha2(told(F.filter("spans", lambda s: s["kind"] != "grammar")), 256)
+    return found.select("doc_id", *map(count, secrets.KINDS[:3]), base.alias("base_sha256"), told(F.col("spans")).alias("spans"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
@@ -65,12 +77,14 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_kd_sharding": op2_kd_sharding,
+    "op3_html_extraction": op3_html_extraction,
     "op4_line_quality": op4_line_quality,
     "op5_line_dedup": op5_line_dedup,
     "op6_source_mixing": op6_source_mixing,
+    "op7_secret_scan": op7_secret_scan,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_decontamination": op10_decontamination,
-    "op8_jaccard_join": op8_jaccard_join,
 }
 
 ORACLES: dict[str, str] = {}
