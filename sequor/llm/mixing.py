@@ -15,7 +15,7 @@ import heapq
 from fractions import Fraction
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sequor.operators.storage import materialize
@@ -93,6 +93,11 @@ def _shard_quotas(block: int, most: int):
     return run
 
 
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """Key of a row by id and text, as :func:`mix` returns it."""
+    return F.xxhash64(F.col(id_col), F.crc32(F.coalesce(F.col(text_col), F.lit(""))))
+
+
 def mix(
     docs: DataFrame,
     weights: tuple[int, ...] = (5, 2, 1),
@@ -104,7 +109,7 @@ def mix(
     text_col: str = "text",
     source_col: str = "source",
 ) -> DataFrame:
-    """``(doc_id, size, source, source_size, target, taken)`` for every row.
+    """``(doc_id, row_key, size, source, source_size, target, taken)`` for every row.
 
     ``size`` counts words (null or empty text: 0).  Sources by code point, null
     last, weigh ``weights`` in turn and share ``share`` of all sizes, none above
@@ -119,9 +124,9 @@ def mix(
         F.col(id_col).alias("doc_id"),
         F.regexp_count(text, F.lit(_WORD)).cast("long").alias("size"),
         F.col(source_col).cast("string").alias("source"),
-        F.xxhash64(F.lit(seed), F.col(id_col), F.crc32(text)).alias("at"),
+        row_key(id_col, text_col).alias("row_key"),
     )
-    base = materialize(base.withColumn("src", F.concat(F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.lit("s")), F.coalesce("source", F.lit("")))), "mix")
+    base = materialize(base.withColumn("at", F.xxhash64(F.lit(seed), "row_key")).withColumn("src", F.concat(F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.lit("s")), F.coalesce("source", F.lit("")))), "mix")
     totals = base.groupBy("source", "src").agg(F.sum("size").alias("words"), F.count("*").alias("docs")).limit(MAX_SOURCES + 1).collect()
     if len(totals) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
@@ -149,4 +154,4 @@ def mix(
         return f"({block} * ({up(j)} - {up('0')}) + (({x}) % {block}) * ({up(j + ' + 1')} - {up(j)}))"
 
     taken = F.expr(f"whole * size + {before('end')} - {before('end - size')}")
-    return laid.select("doc_id", "size", "source", "source_size", "target", taken.cast("long").alias("taken"))
+    return laid.select("doc_id", "row_key", "size", "source", "source_size", "target", taken.cast("long").alias("taken"))
