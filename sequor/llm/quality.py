@@ -111,4 +111,7 @@ def annotate(docs: DataFrame, text_col: str = "text", out: str = "quality", max_
     failed = (q["n_words"] < 20) | (q["n_repeat_words"] * 100 > q["n_words"] * 30)
     lost = q["n_lost_words"] * 100 > q["n_words"] * max_lost_percent
     result = F.struct(*[q[k].alias(k) for k in values], failed.alias("base_failed"), (~failed & ~lost).alias("kept"))
-    return step.withColumn(out, result).drop(*t.values(), *[f"__{out}_{k}" for k in values])
+    # explode of one value: a filter on the verdict stays above it, instead of taking copies of every expression down
+    step = step.drop(out) if out in docs.columns else step
+    step = step.withColumn(out, F.explode(F.array(result)))
+    return step.drop(*t.values(), *[f"__{out}_{k}" for k in values])
