@@ -7,6 +7,7 @@ depends on the word alone and agrees between tasks, runs and machines.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,12 +22,21 @@ _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: Bytes of text hashed at a time; a longer single text is a chunk of its own.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 256 << 10
 
 _powers = np.ones(1, dtype=np.uint64)
 _inverse = np.ones(1, dtype=np.uint64)
 
 
+def trim() -> None:
+    """Hand freed memory back, so that a reused worker starts its next stage small."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def _geometric(base: np.uint64, size: int) -> np.ndarray:
     out = np.full(size, base, dtype=np.uint64)
     out[0] = 1

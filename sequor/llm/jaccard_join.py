@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sequor.llm.hashing import shingle_set, words
+from sequor.llm.hashing import shingle_set, trim, words
 from sequor.operators.components import connected_components
 from sequor.operators.storage import materialize, release, tasks
 
@@ -140,6 +140,8 @@ def _ship(size: int, buckets: int, flush: int):
         if sets:
             for out in emit(sets, ids):
                 yield pa.RecordBatch.from_pandas(out, schema=_SHIP, preserve_index=False)
+        del sets, ids
+        trim()
 
     return run
 
@@ -169,6 +171,8 @@ def _count_shared(group: pd.DataFrame) -> pd.DataFrame:
     differs[1:] = (run[1:] == run[:-1]) & (cls[1:] != cls[:-1])
     shared |= np.logical_or.reduceat(differs, start)
     ids, n = np.unique(cls[shared[run] & ~free], return_counts=True)
+    del hashes, free, cls, parts, order, run
+    trim()
     return pd.DataFrame({"cls": ids, "shared": n.astype(np.int64)})
 
 

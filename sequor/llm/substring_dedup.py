@@ -24,12 +24,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sequor.llm.hashing import Words, grams, words
+from sequor.llm.hashing import Words, grams, mix64, trim, words
 
 _NULL_ID = np.iinfo(np.int64).max
 #: Raw bytes of packed strings that one bucket holds, and that a task gathers before it ships.
 BUCKET_BYTES = 12 << 20
-SHIP_BYTES = 16 << 20
+SHIP_BYTES = 12 << 20
 #: A minimiser met this often in one Arrow batch run of a task is hot; more rows in a task cannot hide it.
 HOT_COUNT = 64
 
@@ -132,7 +132,8 @@ def _ship(k: int, m: int, buckets: int, hot: np.ndarray):
                     first, last = np.concatenate([first[~is_hot], single]), np.concatenate([last[~is_hot], single])
                     row = np.concatenate([row[~is_hot], np.repeat(row[is_hot], n)])
                     least = np.concatenate([least[~is_hot], own])
-                to = ((least >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64).tolist()
+                # minimisers are small hashes by nature, so they are mixed again before they are dealt
+                to = ((mix64(~least) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64).tolist()
                 text = w.data.tobytes()
                 tags = {r: _tag(w.of(r)) for r in np.unique(row).tolist()}
                 begin, end = w.starts[first].tolist(), w.ends[last + k - 1].tolist()
@@ -145,6 +146,8 @@ def _ship(k: int, m: int, buckets: int, hot: np.ndarray):
                     yield from load.out()
                     load = Load()
         yield from load.out()
+        del load
+        trim()
 
     return run
 
@@ -193,7 +196,9 @@ def _count(k: int):
         # rows with the id and the text of the first one are that document
         head = np.maximum.accumulate(np.where(later, 0, np.arange(len(h)))) if len(h) else np.zeros(0, int)
         later &= ~((i == i[head]) & (t == t[head]) & (s == s[head]))
-        return _intervals(i[later], t[later], s[later], k)
+        out = _intervals(i[later], t[later], s[later], k)
+        trim()
+        return out
 
     return run
 
@@ -235,6 +240,7 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 n_words.append(len(h))
                 n_removed.append(len(h) - len(own))
                 kept.append(b" ".join(own).decode())
+        trim()
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "text"])
 
 
