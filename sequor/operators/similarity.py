@@ -1,0 +1,118 @@
+"""Near matches: short regions by edits, whole chains by signatures and alignment."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from sequor.functions import sequences as S
+
+# Gates of similarity searches.
+MOST_POSTINGS = 250
+MOST_CANDIDATES = 140
+LEAST_IDENTITY = 45
+LEAST_COVERAGE = 70
+LEAST_RATIO = 0.65
+LEAST_LENGTH = 40
+
+
+def near_regions(queries: DataFrame, regions: DataFrame, near: bool = True) -> DataFrame:
+    """``(query, sequence, distance)``: distinct regions within the edits allowed, of length one apart at most."""
+    asked = queries.select("query").distinct().select("query", F.explode(F.array(*[F.length("query") + d for d in (-1, 0, 1)])).alias("len")).where("len > 0")
+    held = regions.select("sequence").distinct().withColumn("len", F.length("sequence"))
+    most = S.near_threshold(F.length("query")) if near else F.lit(0)
+    out = asked.join(held, "len").withColumn("distance", F.levenshtein("query", "sequence", 2))
+    return out.where((F.col("distance") >= 0) & (F.col("distance") <= most)).select("query", "sequence", F.col("distance").cast("long"))
+
+
+def signatures(rows: DataFrame, field: str, id_col: str = "id") -> DataFrame:
+    """``(hash, id)`` of each sequence's signature."""
+    return rows.where(F.length(field) >= S.KMER).select(F.col(id_col).alias("id"), F.explode(S.signature(field)).alias("hash"))
+
+
+def frequent(postings: DataFrame, most: int = MOST_POSTINGS) -> DataFrame:
+    """Hashes with more postings than the index keeps."""
+    return postings.groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") > most)
+
+
+def capped(postings: DataFrame, most: int = MOST_POSTINGS) -> DataFrame:
+    """Postings of the index: hashes above the cap are left out whole."""
+    return postings.join(frequent(postings, most), "hash", "left_anti")
+
+
+def posting_stats(postings: DataFrame, most: int = MOST_POSTINGS) -> DataFrame:
+    """One row: hashes kept, hashes skipped, postings kept."""
+    counts = postings.groupBy("hash").agg(F.count("*").alias("n"))
+    kept = F.col("n") <= most
+    return counts.agg(F.count_if(kept).alias("indexed_hashes"), F.count_if(~kept).alias("skipped_hashes"), F.coalesce(F.sum(F.when(kept, F.col("n"))), F.lit(0)).alias("postings"))
+
+
+def candidates(queries: DataFrame, postings: DataFrame, limit: int | None = None) -> DataFrame:
+    """``(query_id, id, shared)`` of ids that share signature hashes; the best ``limit`` of each query, if given."""
+    out = queries.join(postings, "hash").groupBy("query_id", "id").agg(F.count("*").alias("shared"))
+    if limit is None:
+        return out
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("shared"), "id"))
+    return out.withColumn("_r", rank).where(F.col("_r") <= limit).drop("_r")
+
+
+def similar(queries: DataFrame, rows: DataFrame, field: str, id_col: str = "id", mode: str = "strict") -> DataFrame:
+    """``(query_id, id, shared, identity, coverage)`` of chains like each of ``queries(query_id, sequence)``.
+
+    ``strict`` counts matches over all alignment columns and aligns every
+    candidate.  ``loose`` counts over columns without gaps, aligns the best
+    candidates and all exact hits, and wants chains of like length.
+    """
+    asked = queries.select("query_id", "sequence")
+    marks = asked.select("query_id", F.explode(S.signature("sequence")).alias("hash"))
+    postings = capped(signatures(rows, field, id_col))
+    found = candidates(marks, postings, MOST_CANDIDATES if mode == "loose" else None)
+    chains = rows.select(F.col(id_col).alias("id"), F.col(field).alias("chain")).where("chain <> ''")
+    if mode == "loose":
+        exact = asked.join(chains, asked.sequence == chains.chain).select("query_id", "id", F.lit(S.SIGNATURE_SIZE).cast("long").alias("shared"))
+        found = found.union(exact).groupBy("query_id", "id").agg(F.max("shared").alias("shared"))
+    both = found.join(asked, "query_id").join(chains, "id")
+    shorter, longer = F.least(F.length("sequence"), F.length("chain")), F.greatest(F.length("sequence"), F.length("chain"))
+    # no alignment has more matches than the shorter chain or fewer columns than the longer one
+    possible = shorter * 100 >= longer * LEAST_IDENTITY if mode == "strict" else shorter / longer >= LEAST_RATIO
+    both = both.where(possible & (shorter * 100 >= F.length("sequence") * LEAST_COVERAGE))
+    both = both.withColumn("a", S.align("sequence", "chain"))
+    identity = S.loose_identity(F.col("a")) if mode == "loose" else S.strict_identity(F.col("a"))
+    coverage = S.reference_coverage(F.col("a"))
+    out = both.select("query_id", "id", "shared", identity.alias("identity"), (coverage if mode == "loose" else F.round(coverage, 3)).alias("coverage"), F.col("a.score").alias("score"))
+    return out.where((F.col("identity") >= LEAST_IDENTITY) & (F.col("coverage") >= LEAST_COVERAGE))
+
+
+def paired_similar(queries: DataFrame, rows: DataFrame, id_col: str = "id", exclude_self: bool = False) -> DataFrame:
+    """Ids like both chains of ``queries(query_id, heavy, light)`` of 40 residues at least, by mean of identity times coverage."""
+    long_ = queries.where((F.length("heavy") >= LEAST_LENGTH) & (F.length("light") >= LEAST_LENGTH))
+    sides = []
+    for field in ("heavy", "light"):
+        hit = similar(long_.select("query_id", F.col(field).alias("sequence")), rows, field, id_col, "loose")
+        sides.append(hit.select("query_id", "id", (F.col("identity") * F.col("coverage") / 100).alias(field)))
+    out = sides[0].join(sides[1], ["query_id", "id"]).select("query_id", "id", ((F.col("heavy") + F.col("light")) / 2).alias("similarity"))
+    return out.where("query_id <> id") if exclude_self else out
+
+
+def compare(rows: DataFrame, field: str, id_col: str = "id") -> DataFrame:
+    """Two to ten chains against the first (by ``ord``): the first is one row, checked, so it may be joined to all."""
+    first = rows.orderBy("ord").limit(1).select(F.col(id_col).alias("reference_id"), F.col(field).alias("reference"))
+    both = rows.join(F.broadcast(first), F.col(id_col) != F.col("reference_id"))
+    both = both.withColumn("a", S.align("reference", field))
+    return both.select("reference_id", F.col(id_col).alias("id"), S.loose_identity(F.col("a")).alias("identity"), S.reference_coverage(F.col("a")).alias("coverage"), F.col("a.score").alias("score"))
+
+
+def recall(rows: DataFrame, field: str, levels: tuple[int, ...] = (100, 99, 95, 90, 80), least: int = 80, id_col: str = "id") -> DataFrame:
+    """Share of chains whose controlled variant, at each identity level, still finds them among its candidates."""
+    base = rows.where(F.length(field) >= least).select(F.col(id_col).alias("id"), F.col(field).alias("chain"))
+    postings = capped(signatures(base, "chain"))
+    parts = []
+    for level in levels:
+        asked = base.select(F.col("id").alias("query_id"), F.explode(S.signature(S.variant("chain", level))).alias("hash"))
+        hit = asked.join(postings, "hash").where("query_id = id").select("query_id").distinct().withColumn("hit", F.lit(1))
+        got = base.select(F.col("id").alias("query_id")).join(hit, "query_id", "left")
+        parts.append(got.agg(F.lit(level).alias("level"), F.count("*").alias("sample"), F.count("hit").alias("hits")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out.withColumn("recall", F.round(F.col("hits") / F.col("sample"), 4))
