@@ -371,7 +371,9 @@ def redundancy_cluster_95(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _asked(spark: SparkSession, d: str) -> DataFrame:
-    return V.chains(spark, d).where("doc_id % 50 = 0 and length(heavy) >= 40").select(F.col("id").alias("query_id"), F.col("heavy").alias("sequence"))
+    """Benchmark items as query chains."""
+    letters = F.translate(F.upper(F.regexp_replace("text", "[^A-Za-z]", "")), "BJOUXZ", "ACDEFG")
+    return V.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), letters.alias("sequence")).where("length(sequence) >= 40")
 
 
 @query()
