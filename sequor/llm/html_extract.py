@@ -24,6 +24,8 @@ from sequor.operators.storage import materialize
 #: A subtree is a template from this many pages of a host, and this share of them, on.
 MIN_PAGES = 5
 MIN_SHARE = 0.3
+#: Pages with templates up to which their lists may be broadcast; beyond, blocks are joined by a shuffle.
+BROADCAST_PAGES = 200_000
 
 # Element names by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -75,7 +77,7 @@ class _Element:
 
 
 def parse(page: str) -> tuple[list[tuple[str, list[int]]], list[int]]:
-    """Blocks of a page's main text, each with the subtree hashes above it, and all subtree hashes that may be templates."""
+    """Blocks of a page's main text, each with the subtree hashes above it, and the set of those hashes."""
     root = _Element("", 0, False, 0, False)
     stack, hashes, blocks, buffer = [root], {}, [], []
     count = 0
@@ -96,7 +98,7 @@ def parse(page: str) -> tuple[list[tuple[str, list[int]]], list[int]]:
             up.parts.append(f"{digest:x}")
             if e.holds_main or e.main > up.main:
                 up.holds_main = True
-            if not e.holds_main and (e.loose or e.drop and not up.drop):
+            if not e.holds_main and e.loose:
                 hashes[e.index] = digest - (1 << 63)
 
     pos, end = 0, len(page)
@@ -162,7 +164,7 @@ def parse(page: str) -> tuple[list[tuple[str, list[int]]], list[int]]:
     close(1)
     best = max((b[1] for b in blocks), default=0)
     kept = [(text, [hashes[i] for i in above if i in hashes]) for text, main, above in blocks if main == best]
-    return kept, sorted(set(hashes.values()))
+    return kept, sorted({h for _, above in kept for h in above})
 
 
 _BLOCKS = pa.list_(pa.struct([("text", pa.string()), ("above", pa.list_(pa.int64()))]))
@@ -177,7 +179,8 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def templates(parsed: DataFrame, min_pages: int, min_share: float) -> DataFrame:
     """``(host, subtree, pages)`` of the subtrees that recur; a url counts once, however often it is there."""
-    once = parsed.select("host", F.xxhash64("url").alias("page"), F.explode("subtrees").alias("subtree")).distinct()
+    # only subtrees that hold text left by the other rules are counted, so little travels
+    once = parsed.where(F.size("subtrees") > 0).select("host", F.xxhash64("url").alias("page"), F.explode("subtrees").alias("subtree")).distinct()
     counts = once.groupBy("host", "subtree").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
     hosts = parsed.select("host", F.xxhash64("url").alias("page")).distinct().groupBy("host").agg(F.count("*").alias("of"))
     return counts.join(hosts, "host").where(F.col("pages") >= F.col("of") * min_share).select("host", "subtree", "pages")
@@ -188,7 +191,7 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN
 
     ``text`` joins the main blocks by newlines, character references decoded and
     white space folded; empty for null or empty html.  ``n_templates`` counts the
-    page's recurring subtrees.  A page keeps its text if templates would leave it
+    page's recurring subtrees that held such text.  A page keeps its text if templates would leave it
     none.  Rows without a host are one host.  Repeated rows and ids keep their
     rows; other columns are not read; an empty table gives no rows.
     """
@@ -198,7 +201,8 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN
     parsed = materialize(rows.mapInArrow(_parse, f"page_id {dtype}, url string, host string, row_key string, blocks array<struct<text:string,above:array<bigint>>>, subtrees array<bigint>"), "parsed")
     common = materialize(templates(parsed, min_pages, min_share), "templates")
     hits = parsed.select("row_key", "host", F.explode("subtrees").alias("subtree")).distinct().join(common, ["host", "subtree"])
-    hits = hits.groupBy("row_key").agg(F.collect_set("subtree").alias("hits"))
+    hits = materialize(hits.groupBy("row_key").agg(F.collect_set("subtree").alias("hits")), "hits")
+    hits = F.broadcast(hits) if hits.count() <= BROADCAST_PAGES else hits
     found = parsed.join(hits, "row_key", "left").withColumn("hits", F.coalesce("hits", F.array().cast("array<bigint>")))
     left = F.filter("blocks", lambda b: ~F.arrays_overlap(b["above"], F.col("hits")))
     text = F.array_join(F.transform(F.when(F.size(left) > 0, left).otherwise(F.col("blocks")), lambda b: b["text"]), "\n")
