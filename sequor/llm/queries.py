@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sequor.llm import decontaminate, html_extract, jaccard_join, line_dedup, mixing, quality, secrets, sharding, substring_dedup, url_filters
+from sequor.llm.oracles import ORACLES
+
+
+__all__ = ["ORACLES", "QUERIES"]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,5 +90,3 @@ QUERIES = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_decontamination": op10_decontamination,
 }
-
-ORACLES: dict[str, str] = {}
