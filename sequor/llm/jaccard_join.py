@@ -149,31 +149,54 @@ def _ship(size: int, buckets: int, flush: int):
 _SHIP = pa.schema([("bucket", pa.int64()), ("blob", pa.binary())])
 
 
-def _count_shared(group: pd.DataFrame) -> pd.DataFrame:
-    """(cls, shared): for each class of a bucket, its shingles that another class has too."""
-    if group["bucket"].iloc[0] < 0:
-        cls, n = [], []
-        for blob in group["blob"]:
-            m = int(np.frombuffer(blob, np.int64, 2)[1])
-            cls.append(np.frombuffer(blob, np.int64, m, 16))
-            n.append(np.frombuffer(blob, np.int64, m, 16 + 8 * m))
-        return pd.DataFrame({"cls": np.concatenate(cls), "shared": np.concatenate(n)})
-    parts = [unpack(b) for b in group["blob"]]
-    hashes = np.concatenate([p[0] for p in parts])
-    free = np.concatenate([p[1] == _SHARED for p in parts])
-    cls = np.concatenate([p[2][np.where(p[1] == _SHARED, 0, p[1])] for p in parts])
-    order = np.argsort(hashes, kind="stable")
-    hashes, free, cls = hashes[order], free[order], cls[order]
-    start = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
-    run = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(hashes))))
-    shared = np.logical_or.reduceat(free, start)
-    differs = np.zeros(len(hashes), dtype=bool)
-    differs[1:] = (run[1:] == run[:-1]) & (cls[1:] != cls[:-1])
-    shared |= np.logical_or.reduceat(differs, start)
-    ids, n = np.unique(cls[shared[run] & ~free], return_counts=True)
-    del hashes, free, cls, parts, order, run
-    trim()
-    return pd.DataFrame({"cls": ids, "shared": n.astype(np.int64)})
+def _parts(cls: np.ndarray, n: np.ndarray, parts: int) -> pd.DataFrame:
+    """Counts by class, packed by the part of the classes that they belong to."""
+    part = cls.view(np.uint64) % np.uint64(parts)
+    order = np.argsort(part, kind="stable")
+    part, cls, n = part[order], cls[order], n[order]
+    cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, int)
+    rows = [(int(part[i]), cls[i:j].tobytes() + n[i:j].astype(np.int64).tobytes()) for i, j in zip(cut, np.append(cut[1:], len(part)))]
+    return pd.DataFrame(rows, columns=["part", "counts"])
+
+
+def _count_shared(parts: int):
+    """For each class of a bucket, the number of its shingles that another class has too."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        if group["bucket"].iloc[0] < 0:
+            cls, n = [], []
+            for blob in group["blob"]:
+                m = int(np.frombuffer(blob, np.int64, 2)[1])
+                cls.append(np.frombuffer(blob, np.int64, m, 16))
+                n.append(np.frombuffer(blob, np.int64, m, 16 + 8 * m))
+            return _parts(np.concatenate(cls), np.concatenate(n), parts)
+        blobs = [unpack(b) for b in group["blob"]]
+        hashes = np.concatenate([p[0] for p in blobs])
+        free = np.concatenate([p[1] == _SHARED for p in blobs])
+        cls = np.concatenate([p[2][np.where(p[1] == _SHARED, 0, p[1])] for p in blobs])
+        del blobs
+        order = np.argsort(hashes, kind="stable")
+        hashes, free, cls = hashes[order], free[order], cls[order]
+        start = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
+        run_ = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(hashes))))
+        shared = np.logical_or.reduceat(free, start)
+        differs = np.zeros(len(hashes), dtype=bool)
+        differs[1:] = (run_[1:] == run_[:-1]) & (cls[1:] != cls[:-1])
+        shared |= np.logical_or.reduceat(differs, start)
+        ids, n = np.unique(cls[shared[run_] & ~free], return_counts=True)
+        del hashes, free, cls, order, run_
+        trim()
+        return _parts(ids, n, parts)
+
+    return run
+
+
+def _sum_shared(group: pd.DataFrame) -> pd.DataFrame:
+    """``(cls, shared)``: the sums over all buckets, one row for a class."""
+    cls = np.concatenate([np.frombuffer(b, np.int64, len(b) // 16) for b in group["counts"]])
+    n = np.concatenate([np.frombuffer(b, np.int64, len(b) // 16, len(b) // 2) for b in group["counts"]])
+    ids, at = np.unique(cls, return_inverse=True)
+    return pd.DataFrame({"cls": ids, "shared": np.bincount(at, weights=n).astype(np.int64)})
 
 
 def _sets(size: int):
@@ -292,7 +315,8 @@ def link_classes(docs: DataFrame, meta: DataFrame, percent: int, size: int, bloc
     total = classes.agg(F.sum("half")).first()[0] or 0
     buckets = max(8, -(-int(total) // BUCKET_SHINGLES))
     shipped = docs.select("text").mapInArrow(_ship(size, buckets, BUCKET_SHINGLES), "bucket long, blob binary")
-    shared = shipped.groupBy("bucket").applyInPandas(_count_shared, "cls long, shared long").groupBy("cls").agg(F.sum("shared").alias("shared"))
+    shared = shipped.groupBy("bucket").applyInPandas(_count_shared(buckets), "part long, counts binary")
+    shared = shared.groupBy("part").applyInPandas(_sum_shared, "cls long, shared long")
     allowed = F.expr(f"n - cast(ceil(n * {percent} / 100) as long)")
     left = materialize(classes.join(shared, "cls", "left").where(F.col("half") - F.coalesce("shared", F.lit(0)) <= allowed).select("cls", "doc_id", "n"), "left")
     want = left.select("cls", "doc_id")
