@@ -28,8 +28,8 @@ from sequor.llm.hashing import Words, grams, mix64, trim, words
 
 _NULL_ID = np.iinfo(np.int64).max
 #: Raw bytes of packed strings that one bucket holds, and that a task gathers before it ships.
-BUCKET_BYTES = 12 << 20
-SHIP_BYTES = 12 << 20
+BUCKET_BYTES = 24 << 20
+SHIP_BYTES = 24 << 20
 #: A minimiser met this often in one Arrow batch run of a task is hot; more rows in a task cannot hide it.
 HOT_COUNT = 64
 
@@ -105,7 +105,7 @@ def _ship(k: int, m: int, buckets: int, hot: np.ndarray):
             rows: dict[int, list] = {}
             for text, (bucket, at, _) in self.seen.items():
                 rows.setdefault(bucket, []).append((text, at))
-            pack = zstandard.ZstdCompressor(level=3)
+            pack = zstandard.ZstdCompressor(level=5)
             for bucket, items in rows.items():
                 lens = np.array([len(t) for t, _ in items], dtype=np.uint32)
                 ids = np.array([a[0] for _, a in items], dtype=np.int64)
