@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from sequor.functions.text import _col, digest, fold_missing
 
@@ -243,3 +243,43 @@ def variant(c: Column | str, identity_percent: int) -> Column:
     n = F.greatest(F.length(s), F.lit(1))
     swapped = F.transform(letters, lambda ch, i: F.when(F.floor((i + 1) * edits / n) > F.floor(i * edits / n), F.when(ch == "A", F.lit("G")).otherwise(F.lit("A"))).otherwise(ch))
     return F.array_join(swapped, "")
+
+
+def region_position(region: Column | str, chain: Column | str) -> Column:
+    """Where a region starts in its chain, from 0; -1 if it is not there or empty."""
+    r = F.coalesce(_col(region), F.lit(""))
+    return F.when(r == "", -1).otherwise(F.call_function("instr", F.coalesce(_col(chain), F.lit("")), r) - 1)
+
+
+def aligned_texts(reference: str, query: str, width: int = 70) -> str:
+    """The traced alignment in blocks of reference, match line (``|`` equal, ``:`` conservative) and query."""
+    m, n = len(reference), len(query)
+    ref, que = (np.frombuffer(s.encode("ascii", "replace"), np.uint8) for s in (reference, query))
+    scores = np.zeros((m + 1, n + 1), dtype=np.int32)
+    scores[:, 0], scores[0] = -2 * np.arange(m + 1), -2 * np.arange(n + 1)
+    gap = 2 * np.arange(n + 1)
+    for i in range(1, m + 1):
+        best = scores[i].copy()
+        best[1:] = np.maximum(scores[i - 1, :-1] + _SCORES[ref[i - 1], que], scores[i - 1, 1:] - 2)
+        # gaps in the reference run along the row
+        scores[i] = np.maximum.accumulate(best + gap) - gap
+    rows: list[tuple[str, str, str]] = []
+    i, j = m, n
+    while i or j:
+        if i and j and scores[i, j] == scores[i - 1, j - 1] + _SCORES[ref[i - 1], que[j - 1]]:
+            a, b = reference[i - 1], query[j - 1]
+            rows.append((a, "|" if a == b else ":" if _SCORES[ref[i - 1], que[j - 1]] == 1 else " ", b))
+            i, j = i - 1, j - 1
+        elif i and (not j or scores[i, j] == scores[i - 1, j] - 2):
+            rows.append((reference[i - 1], " ", "-"))
+            i -= 1
+        else:
+            rows.append(("-", " ", query[j - 1]))
+            j -= 1
+    lines = ["".join(x) for x in zip(*rows[::-1])] if rows else ["", "", ""]
+    return "\n\n".join("\n".join(x[at : at + width] for x in lines) for at in range(0, max(1, len(lines[0])), width))
+
+
+@F.pandas_udf(StringType())
+def alignment_text(references: pd.Series, queries: pd.Series) -> pd.Series:
+    return pd.Series([aligned_texts(r or "", q or "") for r, q in zip(references, queries)])

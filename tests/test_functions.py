@@ -152,3 +152,19 @@ def test_epitopes_respect_negation(spark, epitope, want):
 def test_virus_codes_keep_every_token(spark):
     got = one(spark, "VACV_WR_surface_L1 (weak)", R.virus_entity("v"))
     assert got.target == "Vaccinia virus WR surface L1" and got.note == "VACV_WR_surface_L1"
+
+
+def test_regions_are_located(spark):
+    df = spark.createDataFrame([("CD", "ACDE"), ("", "ACDE"), ("W", "ACDE")], "r string, c string")
+    assert [x.p for x in df.select(S.region_position("r", "c").alias("p")).collect()] == [1, -1, -1]
+
+
+def test_alignment_texts(spark):
+    assert S.aligned_texts("ACDE", "ACE") == "ACDE\n|| |\nAC-E"
+    rng = random.Random(9)
+    for _ in range(30):
+        a, b = ("".join(rng.choice(S.CANONICAL) for _ in range(rng.randint(1, 30))) for _ in range(2))
+        ref, marks, que = S.aligned_texts(a, b).split("\n") if len(a) + len(b) < 70 else (a, "", b)
+        assert ref.replace("-", "") == a and que.replace("-", "") == b
+        assert marks.count("|") == plain_alignment(a, b)[1] and len(ref) == plain_alignment(a, b)[2]
+    assert one(spark, "AC", S.alignment_text("v", F.lit("AC"))) == "AC\n||\nAC"
