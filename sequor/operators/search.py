@@ -146,3 +146,43 @@ def lookup(rows: DataFrame, ids: DataFrame, id_col: str = "antibody_id") -> Data
 def no_match(hits: Column, complete: Column) -> Column:
     """An empty result means absence only where the snapshot is complete."""
     return F.when(hits > 0, "matches").when(complete, "no_match").otherwise("no_match_in_incomplete_snapshot")
+
+
+def selection(current: DataFrame, add: DataFrame | None = None, remove: DataFrame | None = None) -> DataFrame:
+    """A set of ids after adding and removing others; order does not matter, repeats don't count."""
+    key = current.columns[0]
+    out = current.select(key)
+    if add is not None:
+        out = out.union(add.select(F.col(add.columns[0]).alias(key)))
+    if remove is not None:
+        out = out.join(remove.select(F.col(remove.columns[0]).alias(key)), key, "left_anti")
+    return out.distinct()
+
+
+def missing_examples(terms: DataFrame, examples: DataFrame, unicode_: bool = True) -> DataFrame:
+    """Advertised example queries that do not resolve to exactly one entity."""
+    return exact_names(terms, examples, unicode_).where("status <> 'one'").select("query", "status")
+
+
+def window(rows: DataFrame, mode: str = "evidence", start: int = 0, size: int = 30) -> DataFrame:
+    """The next rows of a view in its order."""
+    return sort(rows, mode).offset(start).limit(size)
+
+
+def is_sequence(query: Column, least: int = 25) -> Column:
+    """Whether typed text is a sequence: long enough, letters and ``*`` only, once blanks and hyphens are dropped."""
+    return F.regexp_replace(query, r"[\s-]+", "").rlike(rf"^[A-Za-z*]{{{least},}}$")
+
+
+def pasted_sequence(query: Column) -> Column:
+    """A pasted sequence without FASTA headers and white space, in upper case; null if empty or invalid."""
+    body = F.array_join(F.filter(F.split(query, "\n"), lambda x: ~x.startswith(">")), "")
+    s = F.upper(F.regexp_replace(body, r"\s+", ""))
+    return F.when(s.rlike(r"^[A-Z*]+$"), s)
+
+
+def dispatch(heavy: str, light: str, mode: str) -> str:
+    """The search that a sequence form asks for."""
+    if mode in ("similarity", "cdr"):
+        return "paired_similarity" if mode == "similarity" and heavy and light else mode
+    return "paired" if heavy and light else "exact"

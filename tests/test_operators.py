@@ -125,3 +125,21 @@ def test_postings_rule_fires(spark):
     index = similarity.capped(similarity.signatures(rows, "heavy"))
     assert validate.postings(index, rows, "heavy").count() == 0
     assert validate.postings(index.union(spark.createDataFrame([(7, 4)], "hash long, id long")), rows, "heavy").count() == 1
+
+
+def test_selections_are_sets(spark):
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "id string")
+    assert sorted(r.id for r in search.selection(ids("a", "b"), ids("b", "c"), ids("a")).collect()) == ["b", "c"]
+
+
+def test_examples_must_resolve(spark):
+    names = spark.createDataFrame([("1", "alpha"), ("2", "beta"), ("3", "beta")], "id string, name string")
+    asked = spark.createDataFrame([("Alpha",), ("beta",), ("gamma",)], "query string")
+    assert {(r["query"], r.status) for r in search.missing_examples(search.name_terms(names), asked).collect()} == {("beta", "multiple"), ("gamma", "none")}
+
+
+@pytest.mark.parametrize("raw, is_it, clean", [(BASE, True, BASE), ("PD-L1", False, None), (">h x\nacd\n ef", False, "ACDEF"), (">only", False, None)])
+def test_typed_sequences(spark, raw, is_it, clean):
+    got = spark.createDataFrame([(raw,)], "q string").select(search.is_sequence(F.col("q")).alias("a"), search.pasted_sequence(F.col("q")).alias("b")).first()
+    assert got.a is is_it and got.b == clean
+    assert search.dispatch("A", "B", "similarity") == "paired_similarity" and search.dispatch("A", "", "exact") == "exact"
