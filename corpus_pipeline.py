@@ -7,7 +7,7 @@ return the columns of ``docs``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sequor.llm import decontaminate, jaccard_join, mixing, quality, sharding
@@ -55,15 +55,31 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: whole repeats, and once more its first words for a part."""
-    taken = mixing.mix(docs).groupBy(F.col("row_key").alias("__key")).agg(F.floor(F.avg("taken")).alias("__taken"), F.max("size").alias("__size"))
-    taken = materialize(taken.where("__taken > 0"), "taken")
-    rows = docs.join(_bounded(taken), mixing.row_key() == F.col("__key"))
-    rows = rows.withColumn("__rest", F.expr("cast(__taken % __size as int)"))
-    times = F.expr("concat(array_repeat(true, cast(__taken div __size as int)), array_repeat(false, if(__rest > 0, 1, 0)))")
-    rows = rows.withColumn("__whole", F.explode(times))
-    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    text = F.when(F.col("__whole"), F.col("text")).otherwise(F.array_join(F.slice(words, F.lit(1), F.greatest("__rest", F.lit(1))), " "))
+    """Each document as often as the mix takes it: whole repeats, and once more the words of its selected spans.
+
+    The words of a part keep the separators that follow them, and its last word
+    has none.  Rows that repeat id, text and source have places of their own.
+    """
+    key = lambda: F.xxhash64(mixing.row_key(), F.col("source").cast("string"))
+    mixed = mixing.mix(docs).select(F.xxhash64("row_key", "source").alias("__key"), F.struct("times", "spans").alias("place"))
+    places = mixed.groupBy("__key").agg(F.array_sort(F.collect_list("place")).alias("__places"))
+    places = materialize(places.where(F.exists("__places", lambda p: (p["times"] > 0) | p["spans"].isNotNull())), "taken")
+    # a key is 32 bytes, and so is a span
+    held = places.agg(F.sum(F.expr("aggregate(__places, 0L, (n, p) -> n + 1 + coalesce(size(p.spans), 0))")), F.max(F.size("__places"))).first()
+    rows = docs.withColumn("__key", key()).join(F.broadcast(places) if (held[0] or 0) <= BROADCAST_ROWS else places, "__key")
+    if (held[1] or 0) > 1:
+        again = rows.where(F.size("__places") > 1)
+        order = Window.partitionBy("__key").orderBy(F.xxhash64(*[c for c in docs.columns if c != "text"]))
+        rows = rows.where(F.size("__places") == 1).withColumn("__nth", F.lit(1)).union(again.withColumn("__nth", F.row_number().over(order)))
+    else:
+        rows = rows.withColumn("__nth", F.lit(1))
+    rows = rows.withColumn("__place", F.try_element_at("__places", F.col("__nth")))
+    copies = "concat(array_repeat(cast(null as array<struct<start:int,end:int>>), __place.times), if(__place.spans is null, array(), array(__place.spans)))"
+    rows = rows.withColumn("__spans", F.explode(F.expr(copies)))
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
+    runs = F.transform("__spans", lambda s: F.array_join(F.slice(words, s["start"] + 1, s["end"] - s["start"]), ""))
+    part = F.regexp_replace(F.array_join(runs, ""), r"[\x20\x09-\x0D]+\z", "")
+    text = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(part)
     return rows.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 

@@ -109,9 +109,11 @@ def mix(
     text_col: str = "text",
     source_col: str = "source",
 ) -> DataFrame:
-    """``(doc_id, row_key, size, source, source_size, target, taken)`` for every row.
+    """``(doc_id, row_key, size, source, source_size, target, taken, times, spans)`` for every row.
 
-    ``size`` counts words (null or empty text: 0).  Sources by code point, null
+    ``taken`` words are ``times`` whole repeats and once the ``spans(start, end)``
+    of words from 0, end exclusive, that selected blocks share with the row; a
+    row that they cover is one repeat more.  ``size`` counts words (null or empty text: 0).  Sources by code point, null
     last, weigh ``weights`` in turn and share ``share`` of all sizes, none above
     ``most`` times its own.  ``taken`` is at most ``most`` times ``size`` and each
     source's sum is within a block for each of its shards of its target.  The
@@ -153,5 +155,12 @@ def mix(
         up = lambda k: f"((({k}) + s) * r div n)"
         return f"({block} * ({up(j)} - {up('0')}) + (({x}) % {block}) * ({up(j + ' + 1')} - {up(j)}))"
 
-    taken = F.expr(f"whole * size + {before('end')} - {before('end - size')}")
-    return laid.select("doc_id", "row_key", "size", "source", "source_size", "target", taken.cast("long").alias("taken"))
+    laid = laid.withColumn("part", F.expr(f"{before('end')} - {before('end - size')}"))
+    chosen = f"filter(sequence((end - size) div {block}, (end - 1) div {block}), j -> ((j + 1 + s) * r div n) > ((j + s) * r div n))"
+    cut = f"struct(cast(greatest(j * {block} - (end - size), 0) as int) as start, cast(least((j + 1) * {block} - (end - size), size) as int) as end)"
+    laid = laid.withColumns({
+        "taken": F.expr("cast(whole * size + part as long)"),
+        "times": F.expr("cast(if(size > 0, whole + part div size, 0) as int)"),
+        "spans": F.expr(f"if(part > 0 and part < size, transform({chosen}, j -> {cut}), null)"),
+    })
+    return laid.select("doc_id", "row_key", "size", "source", "source_size", "target", "taken", "times", "spans")
