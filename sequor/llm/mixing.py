@@ -1,9 +1,10 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment.
 
 Each source's documents lie end to end, in seeded order, in shards of bounded
-rows; a shard is cut into blocks of equal words (its last may be shorter).  The
-highest quotients ``target / (2 a + 1)`` hand whole blocks to sources, and again
-to each source's shards, so every shard has an integer quota.  A quota of ``q``
+rows; a shard is cut into blocks of equal words (its last may be shorter).  A
+small source has smaller blocks of its own.  The highest quotients ``target / (2
+a + 1)`` hand whole blocks to the sources of equal blocks, and again to each
+source's shards, so every shard has an integer quota.  A quota of ``q``
 over ``n`` blocks takes all blocks ``q // n`` times and, at even seeded spacing,
 ``q % n`` of them once more; as quotas are at most ``2 n``, no word is taken more
 than twice.  A document takes the words that selected blocks share with it.
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from sequor.operators.storage import materialize
 
-#: Words of a block; smaller where a source would have fewer than ``MIN_BLOCKS``.
+#: Words of a block; smaller in a source that would have fewer than ``MIN_BLOCKS``.
 BLOCK_WORDS = 2048
 MIN_BLOCKS = 2048
 #: Rows of a shard of a source.
@@ -82,10 +83,23 @@ def sainte_lague(votes: list, caps: list[int], seats: int) -> list[int]:
     return out
 
 
-def _shard_quotas(block: int, most: int):
+def source_quotas(sizes: list[int], targets: list, blocks: list[int], shards: list[int], most: int) -> list[int]:
+    """Blocks for each source; those of equal blocks share the seats of their targets."""
+    out, groups = [0] * len(sizes), {}
+    for i, block in enumerate(blocks):
+        groups.setdefault(block, []).append(i)
+    for block, same in groups.items():
+        caps = [most * (-(-sizes[i] // block) + shards[i]) for i in same]
+        seats = sainte_lague([targets[i] for i in same], caps, round(sum(targets[i] for i in same) / block))
+        for i, q in zip(same, seats):
+            out[i] = q
+    return out
+
+
+def _shard_quotas(most: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("shard")
-        words = [int(x) for x in group["words"]]
+        words, block = [int(x) for x in group["words"]], int(group["block"].iloc[0])
         blocks = [-(-w // block) for w in words]
         quota = sainte_lague(words, [most * b for b in blocks], int(group["quota"].iloc[0]))
         return pd.DataFrame({"src": group["src"], "shard": group["shard"], "blocks": blocks, "quota": quota})
@@ -135,14 +149,14 @@ def mix(
     totals.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
     sizes = [int(r["words"]) for r in totals]
     targets = fill_targets(sizes, [weights[i % len(weights)] for i in range(len(sizes))], share, most)
-    block = max(1, min([block_words, *(s // MIN_BLOCKS for s in sizes if s)]))
+    blocks = [max(1, min(block_words, s // MIN_BLOCKS)) for s in sizes]
     shards = [-(-r["docs"] // SHARD_ROWS) for r in totals]
-    quotas = sainte_lague(targets, [most * (-(-s // block) + n) for s, n in zip(sizes, shards)], round(sum(targets) / block))
-    rows = [(r["src"], s, float(t), q, n) for r, s, t, q, n in zip(totals, sizes, targets, quotas, shards)]
-    per_source = spark.createDataFrame(rows, "src string, source_size long, target double, quota long, shards int")
+    quotas = source_quotas(sizes, targets, blocks, shards, most)
+    rows = [(r["src"], s, float(t), q, n, b) for r, s, t, q, n, b in zip(totals, sizes, targets, quotas, shards, blocks)]
+    per_source = spark.createDataFrame(rows, "src string, source_size long, target double, quota long, shards int, block long")
     placed = base.join(F.broadcast(per_source), "src").withColumn("shard", F.pmod(F.xxhash64("at", F.lit(1)), "shards"))
-    held = placed.groupBy("src", "shard", "quota").agg(F.sum("size").alias("words"))
-    quota = held.groupBy("src").applyInPandas(_shard_quotas(block, most), "src string, shard long, blocks long, quota long")
+    held = placed.groupBy("src", "shard", "quota", "block").agg(F.sum("size").alias("words"))
+    quota = held.groupBy("src").applyInPandas(_shard_quotas(most), "src string, shard long, blocks long, quota long")
     order = Window.partitionBy("src", "shard").orderBy("at", "doc_id", "size")
     end = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))
     laid = placed.drop("quota").withColumn("end", end).join(quota.withColumnRenamed("quota", "q"), ["src", "shard"])
@@ -151,13 +165,13 @@ def mix(
     laid = laid.withColumns({"s": start, "r": F.expr("if(blocks > 0, q % blocks, 0)"), "whole": F.expr("if(blocks > 0, q div blocks, 0)"), "n": F.expr("greatest(blocks, 1)")})
 
     def before(x: str) -> str:
-        j = f"(({x}) div {block})"
+        j = f"(({x}) div block)"
         up = lambda k: f"((({k}) + s) * r div n)"
-        return f"({block} * ({up(j)} - {up('0')}) + (({x}) % {block}) * ({up(j + ' + 1')} - {up(j)}))"
+        return f"(block * ({up(j)} - {up('0')}) + (({x}) % block) * ({up(j + ' + 1')} - {up(j)}))"
 
     laid = laid.withColumn("part", F.expr(f"{before('end')} - {before('end - size')}"))
-    chosen = f"filter(sequence((end - size) div {block}, (end - 1) div {block}), j -> ((j + 1 + s) * r div n) > ((j + s) * r div n))"
-    cut = f"struct(cast(greatest(j * {block} - (end - size), 0) as int) as start, cast(least((j + 1) * {block} - (end - size), size) as int) as end)"
+    chosen = "filter(sequence((end - size) div block, (end - 1) div block), j -> ((j + 1 + s) * r div n) > ((j + s) * r div n))"
+    cut = "struct(cast(greatest(j * block - (end - size), 0) as int) as start, cast(least((j + 1) * block - (end - size), size) as int) as end)"
     laid = laid.withColumns({
         "taken": F.expr("cast(whole * size + part as long)"),
         "times": F.expr("cast(if(size > 0, whole + part div size, 0) as int)"),
