@@ -4,8 +4,10 @@ Fixed patterns give the base spans.  Their values, labelled by kind, are sampled
 up to a bound and each kind's format is inferred: values become strings of
 character classes, a prefix tree counts them, and states whose frequencies are
 compatible under the Hoeffding bound are merged in red-blue order into a
-probabilistic automaton.  Every other long token is scored by its likelihood per
-character under each automaton against the same for ordinary tokens.
+probabilistic automaton.  Every other run of the values' alphabet, and what base
+spans leave of one, is scored by its likelihood per character under each
+automaton against the same for ordinary tokens; a run that no format accepts is
+scored again without its outer dots, and then by its parts between dots.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -32,7 +35,10 @@ KINDS = ("assign", "access", "hex", "grammar")
 _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _ASSIGN = re.compile(ASSIGN, re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(ACCESS)
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: Runs of the alphabet of labelled values, from their least length on.
+LEAST_TOKEN = min(LEAST.values())
+_CANDIDATE = re.compile(rf"[A-Za-z0-9+/_.=-]{{{LEAST_TOKEN},}}")
+_PART = re.compile(rf"[^.]{{{LEAST_TOKEN},}}")
 #: No base pattern can match ``access`` or ``hex`` outside a run of this many of their characters.
 _HEX = re.compile(r"[0-9a-f]{24,}")
 #: Labelled credentials of a kind, and ordinary tokens, that the automata are fitted on.
@@ -40,6 +46,9 @@ SAMPLE = 2000
 #: Confidence of the merge test, and the least frequency at which states are compared.
 ALPHA = 0.05
 LEAST_SEEN = 8
+#: Tokens, of this length at most, whose verdict a task holds.
+KNOWN = 200_000
+KNOWN_LENGTH = 64
 #: Gain in nats per character over ordinary tokens that a credential must have.
 MARGIN = 0.5
 
@@ -73,9 +82,8 @@ class Automaton:
     visits: list[int] = field(default_factory=lambda: [0])
     ends: list[int] = field(default_factory=lambda: [0])
     moves: list[dict[str, list[int]]] = field(default_factory=lambda: [{}])
-    least: int = 0
-    most: int = 0
     floor: float = 0.0
+    lengths: list[int] = field(default_factory=list)
 
     @classmethod
     def infer(cls, words: list[str], alpha: float = ALPHA) -> Automaton:
@@ -97,8 +105,7 @@ class Automaton:
             tree.ends[at] += 1
         tree._merge(math.sqrt(0.5 * math.log(2 / alpha)))
         if words:
-            lengths = sorted(map(len, words))
-            tree.least, tree.most = lengths[len(lengths) // 100], lengths[-1 - len(lengths) // 100]
+            tree.lengths = sorted(map(len, words))
             scores = sorted(tree.score(w) for w in words)
             tree.floor = scores[len(scores) // 50]
         return tree
@@ -149,9 +156,17 @@ class Automaton:
             else:
                 red.append(state)
 
+    def _length(self, n: int) -> float:
+        """Log-likelihood of a length, spread over a tenth of it to both sides, as merged states forget lengths."""
+        if not self.lengths:
+            return 0.0
+        w = n // 10
+        near = bisect_right(self.lengths, n + w) - bisect_left(self.lengths, n - w)
+        return math.log(max(1e-4, near / (len(self.lengths) * (2 * w + 1))))
+
     def score(self, word: str) -> float:
-        """Log-likelihood per character, the end included; unseen moves cost as one in ten thousand."""
-        at, total = 0, 0.0
+        """Log-likelihood per character, end and length included; unseen moves and lengths cost as one in ten thousand."""
+        at, total = 0, self._length(len(word))
         for i, ch in enumerate(word):
             step = self.moves[at].get(ch) if at is not None else None
             if step is None:
@@ -173,7 +188,19 @@ class Grammars:
 
     def secret(self, token: str) -> float | None:
         """The likelihood per character of the best accepting format, or None."""
-        return _judge(self, shape(token)) if any(c.isdigit() for c in token) else None
+        return _judge(self, shape(token))
+
+    def accepted(self, token: str) -> list[tuple[int, str, float]]:
+        """(offset, value, score) of the token; else of it without outer dots; else of its parts between dots."""
+        if (p := self.secret(token)) is not None:
+            return [(0, token, p)]
+        if "." not in token:
+            return []
+        bare = token.strip(".")
+        if len(bare) >= LEAST_TOKEN and len(bare) < len(token) and (p := self.secret(bare)) is not None:
+            return [(token.index(bare), bare, p)]
+        parts = [(m.start(), m[0]) for m in _PART.finditer(token) if m[0] != bare]
+        return [(at, v, p) for at, v in parts if (p := self.secret(v)) is not None]
 
 
 @lru_cache(maxsize=200_000)
@@ -181,10 +208,9 @@ def _scores(key: int, form: str) -> float | None:
     g = _LOADED[key]
     plain, best = g.plain.score(form), None
     for a in g.kinds.values():
-        if a.least <= len(form) <= a.most:
-            s = a.score(form)
-            if s >= a.floor and s - plain >= MARGIN and (best is None or s > best):
-                best = s
+        s = a.score(form)
+        if s >= a.floor and s - plain >= MARGIN and (best is None or s > best):
+            best = s
     return best
 
 
@@ -208,7 +234,7 @@ def base_spans(text: str) -> list[tuple[str, int, int, str]]:
 
 
 def scan(text: str) -> tuple[list[tuple[str, int, int, str]], list[tuple[int, str]]]:
-    """Base spans of a text, and its other long tokens as candidates."""
+    """Base spans of a text, and as candidates what they leave of its tokens."""
     spans, tokens = base_spans(text), []
     for m in _CANDIDATE.finditer(text):
         token = m[0]
@@ -216,44 +242,39 @@ def scan(text: str) -> tuple[list[tuple[str, int, int, str]], list[tuple[int, st
         if len(token) >= LEAST["hex"]:
             spans += [("hex", m.start() + h.start(), m.start() + h.end(), h[0]) for h in _HEX.finditer(token)]
         tokens.append((m.start(), token))
+    if not spans:
+        return spans, tokens
     spans.sort(key=lambda s: (s[1], KINDS.index(s[0])))
-    free, next_, reach = [], 0, -1
+    free, next_, reach = [], 0, 0
     for start, token in tokens:
-        while next_ < len(spans) and spans[next_][1] < start + len(token):
+        at, end = max(start, reach), start + len(token)
+        while next_ < len(spans) and spans[next_][1] < end:
+            if spans[next_][1] - at >= LEAST_TOKEN:
+                free.append((at, text[at : spans[next_][1]]))
             reach = max(reach, spans[next_][2])
+            at = max(at, reach)
             next_ += 1
-        if reach <= start:
-            free.append((start, token))
+        if end - at >= LEAST_TOKEN:
+            free.append((at, text[at:end]))
     return spans, free
 
 
-_SCANNED = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.string())]))
-_TOKENS = pa.list_(pa.struct([("start", pa.int32()), ("token", pa.string())]))
-
-
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        spans, tokens = [], []
-        for text in batch.column(1).to_pylist():
-            s, t = scan(text) if text else ((), ())
-            spans.append([{"kind": k, "start": a, "end": b, "value": v} for k, a, b, v in s])
-            tokens.append([{"start": a, "token": v} for a, v in t if any(c.isdigit() for c in v)])
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, _SCANNED), pa.array(tokens, _TOKENS)], names=["doc_id", "spans", "tokens"])
-
-
-def _ordinary(sample: int):
-    """The ``sample`` distinct tokens of least hash of each task; the least of all are among them."""
-    word = re.compile(r"[A-Za-z0-9+/_=-]{8,}")
+def _values(sample: int):
+    """(kind, value) of the base spans, and of the other tokens the ``sample`` of least hash of each task as ``plain``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        to_batch = lambda rows: pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], pa.string()) for i in (0, 1)], names=["kind", "value"])
         least: list[tuple[int, str]] = []
         for batch in batches:
+            found = []
             for text in batch.column(0).to_pylist():
-                seen = set(word.findall(text or ""))
-                least += [(zlib.crc32(w.encode()), w) for w in seen]
+                spans, tokens = scan(text) if text else ((), ())
+                found += [(s[0], s[3]) for s in spans]
+                least += [(zlib.crc32(w.encode()), w) for w in {v for _, v in tokens}]
                 if len(least) > 50 * sample:
                     least = sorted(set(least))[:sample]
-        yield pa.RecordBatch.from_arrays([pa.array([w for _, w in sorted(set(least))[:sample]], pa.string())], names=["value"])
+            yield to_batch(found)
+        yield to_batch([("plain", w) for _, w in sorted(set(least))[:sample]])
 
     return run
 
@@ -263,11 +284,13 @@ def _sample(values: DataFrame, size: int) -> list[str]:
     return sorted(r["value"] for r in values.distinct().orderBy(F.crc32("value"), "value").limit(size).collect())
 
 
-def fit(labelled: DataFrame, texts: DataFrame, sample: int = SAMPLE) -> Grammars:
-    """Automata from at most ``sample`` values of each kind in ``labelled(kind, value)`` and ``sample`` tokens of ``texts``."""
-    kinds = {k: Automaton.infer([shape(v) for v in _sample(labelled.where(F.col("kind") == k).select("value"), sample)]) for k in KINDS[:3]}
-    plain = [shape(v) for v in _sample(texts.mapInArrow(_ordinary(sample), "value string"), sample)]
-    return Grammars({k: a for k, a in kinds.items() if a.visits[0]}, Automaton.infer(plain))
+def fit(texts: DataFrame, sample: int = SAMPLE) -> Grammars:
+    """Automata from at most ``sample`` labelled values of each kind in ``texts``, and as many of its other tokens."""
+    values = materialize(texts.mapInArrow(_values(sample), "kind string, value string"), "labelled")
+    shapes = {k: [shape(v) for v in _sample(values.where(F.col("kind") == k).select("value"), sample)] for k in (*KINDS[:3], "plain")}
+    plain = Automaton.infer(shapes.pop("plain"))
+    kinds = {k: Automaton.infer(words) for k, words in shapes.items()}
+    return Grammars({k: a for k, a in kinds.items() if a.visits[0]}, plain)
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, grammars: Grammars | None = None) -> DataFrame:
@@ -281,20 +304,26 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     dtype = docs.schema["doc_id"].dataType.simpleString()
-    spans = "array<struct<kind:string,start:int,end:int,value:string>>"
-    scanned = materialize(docs.mapInArrow(_scan, f"doc_id {dtype}, spans {spans}, tokens array<struct<start:int,token:string>>"), "scanned")
-    grammars = grammars or fit(scanned.select(F.explode("spans").alias("s")).select("s.kind", "s.value"), docs.select("text"), sample)
+    if grammars is None:
+        grammars = fit(docs.select("text"), sample)
     full = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.string()), ("score", pa.float64())]))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, list[tuple[int, str, float]]] = {}
         for batch in batches:
             out = []
-            for spans, tokens in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                rows = [s | {"score": None} for s in spans]
-                for t in tokens:
-                    if (p := grammars.secret(t["token"])) is not None:
-                        rows.append({"kind": "grammar", "start": t["start"], "end": t["start"] + len(t["token"]), "value": t["token"], "score": p})
+            for text in batch.column(1).to_pylist():
+                spans, tokens = scan(text) if text else ((), ())
+                rows = [{"kind": k, "start": a, "end": b, "value": v, "score": None} for k, a, b, v in spans]
+                for start, token in tokens:
+                    if (found := known.get(token)) is None:
+                        found = grammars.accepted(token)
+                        if len(token) <= KNOWN_LENGTH:
+                            if len(known) >= KNOWN:
+                                known.clear()
+                            known[token] = found
+                    rows += [{"kind": "grammar", "start": start + at, "end": start + at + len(v), "value": v, "score": p} for at, v, p in found]
                 out.append(sorted(rows, key=lambda s: (s["start"], KINDS.index(s["kind"]))))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, full)], names=["doc_id", "spans"])
 
-    return scanned.mapInArrow(score, f"doc_id {dtype}, spans array<struct<kind:string,start:int,end:int,value:string,score:double>>")
+    return docs.mapInArrow(score, f"doc_id {dtype}, spans array<struct<kind:string,start:int,end:int,value:string,score:double>>")
