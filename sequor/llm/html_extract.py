@@ -1,8 +1,9 @@
 """HTML extraction with site template removal.
 
 A page is parsed once into text blocks.  Every element subtree has a hash of its
-names and text; Spark counts, for each host, the pages that hold a subtree, and
-subtrees that recur across many of them are templates: their blocks go.  Before
+names and text; Spark counts, for each host and each of its path sections, the
+pages that hold a subtree, and subtrees that recur there are templates: their
+blocks go.  Copies of one text count as one page, so what is copied whole stays.  Before
 that, elements that declare themselves furniture (by tag, role, class or id) go,
 and where a page marks its article or main part, only blocks in there stay.
 """
@@ -15,13 +16,13 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sequor.llm.url_filters import host
 from sequor.operators.storage import materialize
 
-#: A subtree is a template from this many pages of a host, and this share of them, on.
+#: A subtree is a template from this many pages on, and this share of the pages of a host or path section or the root of their number.
 MIN_PAGES = 5
 MIN_SHARE = 0.3
 #: Pages with templates up to which their lists may be broadcast; beyond, blocks are joined by a shuffle.
@@ -41,8 +42,6 @@ NAMES = frozenset(
     "footer gdpr login masthead menu modal nav navbar navigation newsletter notice pager pagination popup promo promoted related reply respond "
     "search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split()
 )
-#: What may be a template inside an article; its prose is content however often it recurs.
-LOOSE = frozenset("div section details table center".split())
 CLOSES_P = BLOCK - {"html", "head", "body"}
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>|[^<]+|<""", re.S)
@@ -158,7 +157,7 @@ def parse(page: str) -> tuple[list[tuple[str, list[int]]], list[int]]:
             main = max(main, 2 if name == "article" or "articleBody" in attributes else 1 if name == "main" or "role=\"main\"" in attributes else 0)
         count += 1
         plain = name in ("html", "body", "article", "main") or name not in BLOCK
-        loose = not drop and not plain and (name in LOOSE or not main)
+        loose = not drop and not plain
         stack.append(_Element(name, count, drop, main, loose))
     flush()
     close(1)
@@ -170,20 +169,42 @@ def parse(page: str) -> tuple[list[tuple[str, list[int]]], list[int]]:
 _BLOCKS = pa.list_(pa.struct([("text", pa.string()), ("above", pa.list_(pa.int64()))]))
 
 
+def _digest(blocks: list[tuple[str, list[int]]]) -> int:
+    """Hash of a page's whole main text."""
+    return xxhash.xxh3_64_intdigest("\n".join(t for t, _ in blocks)) - (1 << 63)
+
+
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         parsed = [parse(x) if x else ([], []) for x in batch.column(4).to_pylist()]
         blocks = [[{"text": t, "above": a} for t, a in b] for b, _ in parsed]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(blocks, _BLOCKS), pa.array([h for _, h in parsed], pa.list_(pa.int64()))], names=["page_id", "url", "host", "row_key", "blocks", "subtrees"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(blocks, _BLOCKS), pa.array([h for _, h in parsed], pa.list_(pa.int64())), pa.array([_digest(b) for b, _ in parsed], pa.int64())], names=["page_id", "url", "host", "row_key", "blocks", "subtrees", "digest"])
+
+
+def section() -> Column:
+    """First directory of a url's path, empty where it has none."""
+    return F.coalesce(F.regexp_extract("url", r"^[^:/?#]+://[^/?#]*/([^/?#]+)/", 1), F.lit(""))
 
 
 def templates(parsed: DataFrame, min_pages: int, min_share: float) -> DataFrame:
-    """``(host, subtree, pages)`` of the subtrees that recur; a url counts once, however often it is there."""
+    """``(host, section, subtree)`` of the subtrees that recur on the host or in the section; a url and a text count once each."""
     # only subtrees that hold text left by the other rules are counted, so little travels
-    once = parsed.where(F.size("subtrees") > 0).select("host", F.xxhash64("url").alias("page"), F.explode("subtrees").alias("subtree")).distinct()
-    counts = once.groupBy("host", "subtree").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
-    hosts = parsed.select("host", F.xxhash64("url").alias("page")).distinct().groupBy("host").agg(F.count("*").alias("of"))
-    return counts.join(hosts, "host").where(F.col("pages") >= F.col("of") * min_share).select("host", "subtree", "pages")
+    page = [F.xxhash64(F.coalesce("url", F.lit(""))).alias("page"), "digest"]
+    held = parsed.where(F.size("subtrees") > 0).select("host", section().alias("section"), *page, F.explode("subtrees").alias("subtree"))
+    often = held.select("host", "page", "digest", "subtree").distinct().groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
+    often = materialize(often.select("host", "subtree"), "often")
+    often = F.broadcast(often) if often.count() <= BROADCAST_PAGES else often
+    held = held.join(often, ["host", "subtree"])
+    every = parsed.select("host", section().alias("section"), *page)
+    distinct = F.least(F.count_distinct("page"), F.count_distinct("digest"))
+
+    def recurring(where: list[str]) -> DataFrame:
+        of = every.groupBy(where).agg(distinct.alias("of"))
+        counts = held.groupBy(*where, "subtree").agg(distinct.alias("pages")).where(F.col("pages") >= min_pages)
+        return counts.join(of, where).where(F.col("pages") >= F.least(F.col("of") * min_share, F.sqrt("of"))).select(*where, "subtree")
+
+    sections = every.select("host", "section").distinct()
+    return recurring(["host"]).join(sections, "host").select("host", "section", "subtree").union(recurring(["host", "section"])).distinct()
 
 
 def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
@@ -198,9 +219,9 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN
     key = F.md5(F.concat_ws("\0", F.coalesce("url", F.lit("")), F.coalesce("html", F.lit(""))))
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), host(F.col("url")).alias("host"), key.alias("row_key"), "html")
     dtype = rows.schema["page_id"].dataType.simpleString()
-    parsed = materialize(rows.mapInArrow(_parse, f"page_id {dtype}, url string, host string, row_key string, blocks array<struct<text:string,above:array<bigint>>>, subtrees array<bigint>"), "parsed")
+    parsed = materialize(rows.mapInArrow(_parse, f"page_id {dtype}, url string, host string, row_key string, blocks array<struct<text:string,above:array<bigint>>>, subtrees array<bigint>, digest bigint"), "parsed")
     common = materialize(templates(parsed, min_pages, min_share), "templates")
-    hits = parsed.select("row_key", "host", F.explode("subtrees").alias("subtree")).distinct().join(common, ["host", "subtree"])
+    hits = parsed.select("row_key", "host", section().alias("section"), F.explode("subtrees").alias("subtree")).distinct().join(common, ["host", "section", "subtree"])
     hits = materialize(hits.groupBy("row_key").agg(F.collect_set("subtree").alias("hits")), "hits")
     hits = F.broadcast(hits) if hits.count() <= BROADCAST_PAGES else hits
     found = parsed.join(hits, "row_key", "left").withColumn("hits", F.coalesce("hits", F.array().cast("array<bigint>")))
