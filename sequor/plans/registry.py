@@ -371,9 +371,11 @@ def redundancy_cluster_95(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _asked(spark: SparkSession, d: str) -> DataFrame:
-    """Benchmark items as query chains."""
+    """All lines of every fiftieth document as query chains, and benchmark items, whose ids are ``-1 - item_id``."""
+    lines = V.chains(spark, d).where("doc_id % 50 = 0 and heavy <> ''").select(F.col("id").alias("query_id"), F.col("heavy").alias("sequence"))
     letters = F.translate(F.upper(F.regexp_replace("text", "[^A-Za-z]", "")), "BJOUXZ", "ACDEFG")
-    return V.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), letters.alias("sequence")).where("length(sequence) >= 40")
+    items = V.table(spark, d, "benchmark").select((-1 - F.col("item_id")).cast("long").alias("query_id"), letters.alias("sequence"))
+    return lines.union(items.where("length(sequence) >= 40"))
 
 
 @query()
