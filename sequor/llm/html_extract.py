@@ -1,11 +1,13 @@
 """HTML extraction with site template removal.
 
-A page is parsed once into text blocks.  Every element subtree has a hash of its
-names and text; Spark counts, for each host and each of its path sections, the
-pages that hold a subtree, and subtrees that recur there are templates: their
-blocks go.  Copies of one text count as one page, so what is copied whole stays.  Before
-that, elements that declare themselves furniture (by tag, role, class or id) go,
-and where a page marks its article or main part, only blocks in there stay.
+A page is parsed once into text blocks and element subtrees; each subtree has a
+hash of its names and text and the range of blocks that it holds.  Spark counts,
+for each host and each of its path sections, the pages that hold a subtree, and
+subtrees that recur there are templates: their blocks go.  Every url and every
+main text has one vote, so what is copied or fetched again stays.  What does not
+recur is left to the element names: parts that declare themselves furniture (by
+tag, role, class or id) go, and where a page marks its article or main part,
+only blocks in there stay.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ import html
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -22,26 +25,34 @@ from pyspark.sql import functions as F
 from sequor.llm.url_filters import host
 from sequor.operators.storage import materialize
 
-#: A subtree is a template from this many pages on, and this share of the pages of a host or path section or the root of their number.
+#: A subtree is a template from this many pages on, and the lesser of this share and the root of the pages of a host or
+#: path section; in marked articles, where prose is at stake, more pages and the second share are asked for.
 MIN_PAGES = 5
 MIN_SHARE = 0.3
-#: Pages with templates up to which their lists may be broadcast; beyond, blocks are joined by a shuffle.
-BROADCAST_PAGES = 200_000
+INSIDE_PAGES = 10
+INSIDE_SHARE = 0.5
+#: Templates (8 bytes each) up to which their list may be broadcast; beyond, pages meet them by a shuffle.
+BROADCAST_TEMPLATES = 4_000_000
+#: Voting pages (8 bytes each) up to which their numbers may be broadcast.
+BROADCAST_PAGES = 2_000_000
 
 # Element names by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math canvas object select".split())
+RAW = frozenset("script style noscript template textarea title iframe select".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html "
     "li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-FURNITURE = frozenset("nav footer aside form button dialog menu head audio video".split())
+FURNITURE = frozenset("nav footer aside button dialog menu head audio video".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus "
     "footer gdpr login masthead menu modal nav navbar navigation newsletter notice pager pagination popup promo promoted related reply respond "
     "search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split()
 )
+#: Parts of class names that say something about an element, not what it is, and names of content.
+FLAGS = frozenset("has no non not with without is hide hides show shows can allow friendly enabled disabled free ready on off open closed".split())
+CONTENT = frozenset("article articlebody body content entry main page post story text wrapper".split())
 CLOSES_P = BLOCK - {"html", "head", "body"}
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>|[^<]+|<""", re.S)
@@ -49,45 +60,62 @@ _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]
 _NAME_PARTS = re.compile(r"[A-Za-z0-9]+")
 
 
-def _furniture(name: str, attributes: str, in_main: bool) -> bool:
+def _named(value: str) -> bool:
+    """Whether a class or id attribute names furniture: a name's first or last part does, it is no flag, and no name is of content."""
+    found = False
+    for name in value.split():
+        parts = _NAME_PARTS.findall(name)
+        if len(parts) == 1 and parts[0] in CONTENT:
+            return False
+        if parts and FLAGS.isdisjoint(parts) and (parts[0] in NAMES or parts[-1] in NAMES):
+            found = True
+    return found
+
+
+def _furniture(name: str, attributes: str, in_main: bool) -> int:
+    """2 for furniture by element, role or being hidden; 1 by name or as a form, which an article inside outweighs; 0 for none."""
     if name in FURNITURE or name == "header" and not in_main:
-        return True
+        return 2
     if not attributes or name in ("html", "body", "article", "main"):
-        return name in ("article",) and "comment" in attributes.lower()
+        return 2 if name == "article" and "comment" in attributes.lower() else 1 if name == "form" else 0
+    weak = name == "form"
     for key, a, b, c, bare in _ATTRIBUTE.findall(attributes):
         value = (a or b or c).lower()
         key = key.lower()
         if bare or key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
-            return True
+            return 2
         if key == "role" and value in ROLES:
-            return True
-        if key in ("class", "id") and not NAMES.isdisjoint(_NAME_PARTS.findall(value)):
-            return True
-    return False
+            return 2
+        weak = weak or key in ("class", "id") and _named(value)
+    return int(weak)
 
 
 class _Element:
-    __slots__ = ("name", "index", "parts", "drop", "main", "holds_main", "loose")
+    __slots__ = ("name", "parts", "drop", "main", "holds_main", "first", "text")
 
-    def __init__(self, name: str, index: int, drop: bool, main: int, loose: bool) -> None:
-        self.name, self.index, self.drop, self.main, self.loose = name, index, drop, main, loose
+    def __init__(self, name: str, drop: int, main: int, first: int) -> None:
+        self.name, self.drop, self.main, self.first = name, drop, main, first
         self.parts: list[str] = []
         self.holds_main = False
+        self.text = False
+
 
+def parse(page: str) -> tuple[list[str], list[tuple[int, int, int, bool]]]:
+    """Blocks of a page's main text, and ``(hash, first, end, inside)`` of its element subtrees that hold text.
 
-def parse(page: str) -> tuple[list[tuple[str, list[int]]], list[int]]:
-    """Blocks of a page's main text, each with the subtree hashes above it, and the set of those hashes."""
-    root = _Element("", 0, False, 0, False)
-    stack, hashes, blocks, buffer = [root], {}, [], []
-    count = 0
+    ``first`` and ``end`` bound the blocks of a subtree (none for furniture), and
+    ``inside`` tells whether it lies in a marked article or main part.  Memory
+    and work are linear in the page, whatever its nesting.
+    """
+    root = _Element("", 0, 0, 0)
+    stack, subtrees, blocks, buffer = [root], [], [], []
 
     def flush() -> None:
         if buffer:
             text = " ".join(html.unescape("".join(buffer)).split())
             buffer.clear()
             if text:
-                top = stack[-1]
-                blocks.append((text, top.main, [e.index for e in stack if e.loose]))
+                blocks.append((text, stack[-1].main))
 
     def close(depth: int) -> None:
         while len(stack) > depth:
@@ -95,10 +123,11 @@ def parse(page: str) -> tuple[list[tuple[str, list[int]]], list[int]]:
             digest = xxhash.xxh3_64_intdigest(e.name + "\0" + "\1".join(e.parts))
             up = stack[-1]
             up.parts.append(f"{digest:x}")
+            up.text |= e.text
             if e.holds_main or e.main > up.main:
                 up.holds_main = True
-            if not e.holds_main and e.loose:
-                hashes[e.index] = digest - (1 << 63)
+            if e.text and not e.holds_main and e.name in BLOCK and e.name not in ("html", "body", "article", "main"):
+                subtrees.append((digest - (1 << 63), e.first, len(blocks), e.main > 0))
 
     pos, end = 0, len(page)
     while pos < end:
@@ -108,8 +137,11 @@ def parse(page: str) -> tuple[list[tuple[str, list[int]]], list[int]]:
         if not tag:
             text = m[0]
             if text[0] != "<" or text == "<":
-                stack[-1].parts.append(text)
-                if not stack[-1].drop:
+                top = stack[-1]
+                top.parts.append(text)
+                if not top.text and not text.isspace():
+                    top.text = True
+                if not top.drop:
                     buffer.append(text)
             elif text.startswith("<![CDATA["):
                 buffer.append(html.escape(text[9:].removesuffix("]]>"))) if not stack[-1].drop else None
@@ -151,34 +183,48 @@ def parse(page: str) -> tuple[list[tuple[str, list[int]]], list[int]]:
                 if open_ in ("ul", "ol", "dl", "table", "div", "section", "article", "main", "body"):
                     break
         up = stack[-1]
-        drop = up.drop or _furniture(name, attributes, up.main > 0)
-        main = up.main
-        if not drop:
-            main = max(main, 2 if name == "article" or "articleBody" in attributes else 1 if name == "main" or "role=\"main\"" in attributes else 0)
-        count += 1
-        plain = name in ("html", "body", "article", "main") or name not in BLOCK
-        loose = not drop and not plain
-        stack.append(_Element(name, count, drop, main, loose))
+        drop = max(up.drop, _furniture(name, attributes, up.main > 0))
+        rank = 2 if name == "article" or "articleBody" in attributes else 1 if name == "main" or "role=\"main\"" in attributes else 0
+        if rank and drop == 1:
+            drop = 0  # an article outweighs the form or the named part around it
+        stack.append(_Element(name, drop, up.main if drop else max(up.main, rank), len(blocks)))
     flush()
     close(1)
-    best = max((b[1] for b in blocks), default=0)
-    kept = [(text, [hashes[i] for i in above if i in hashes]) for text, main, above in blocks if main == best]
-    return kept, sorted({h for _, above in kept for h in above})
+    best = max((main for _, main in blocks), default=0)
+    at = [0]
+    for _, main in blocks:
+        at.append(at[-1] + (main == best))
+    return [t for t, main in blocks if main == best], [(h, at[i], at[j], inside) for h, i, j, inside in subtrees]
 
 
-_BLOCKS = pa.list_(pa.struct([("text", pa.string()), ("above", pa.list_(pa.int64()))]))
+_SUBTREES = pa.list_(pa.struct([("in_host", pa.int64()), ("in_section", pa.int64()), ("first", pa.int32()), ("end", pa.int32()), ("inside", pa.bool_())]))
+_PARSED = "url string, row long, host_key long, section_key long, blocks array<string>, subtrees array<struct<in_host:bigint,in_section:bigint,first:int,end:int,inside:boolean>>, digest long"
 
 
-def _digest(blocks: list[tuple[str, list[int]]]) -> int:
-    """Hash of a page's whole main text."""
-    return xxhash.xxh3_64_intdigest("\n".join(t for t, _ in blocks)) - (1 << 63)
+def _mixed(key: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Keys of subtrees within a host or section."""
+    with np.errstate(over="ignore"):
+        x = (hashes ^ key) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (x ^ (x >> np.uint64(32))).view(np.int64)
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        parsed = [parse(x) if x else ([], []) for x in batch.column(4).to_pylist()]
-        blocks = [[{"text": t, "above": a} for t, a in b] for b, _ in parsed]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(blocks, _BLOCKS), pa.array([h for _, h in parsed], pa.list_(pa.int64())), pa.array([_digest(b) for b, _ in parsed], pa.int64())], names=["page_id", "url", "host", "row_key", "blocks", "subtrees", "digest"])
+        parsed = [parse(x) if x else ([], []) for x in batch.column(5).to_pylist()]
+        counts = [len(s) for _, s in parsed]
+        flat = [x for _, s in parsed for x in s]
+        # what recurs outside of articles is no template inside
+        hashes = np.array([x[0] ^ x[3] for x in flat], np.int64).view(np.uint64)
+        keys = [_mixed(np.repeat(batch.column(c).to_numpy().view(np.uint64), counts), hashes) for c in (3, 4)]
+        fields = [pa.array(k, pa.int64()) for k in keys] + [pa.array([x[i] for x in flat], t) for i, t in ((1, pa.int32()), (2, pa.int32()), (3, pa.bool_()))]
+        offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
+        subtrees = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(fields, names=[f.name for f in _SUBTREES.value_type]))
+        digest = [xxhash.xxh3_64_intdigest("\n".join(b)) - (1 << 63) for b, _ in parsed]
+        yield pa.RecordBatch.from_arrays(
+            [*batch.columns[:5], pa.array([b for b, _ in parsed], pa.list_(pa.string())), subtrees, pa.array(digest, pa.int64())],
+            names=["page_id", "url", "row", "host_key", "section_key", "blocks", "subtrees", "digest"],
+        )
 
 
 def section() -> Column:
@@ -187,24 +233,52 @@ def section() -> Column:
 
 
 def templates(parsed: DataFrame, min_pages: int, min_share: float) -> DataFrame:
-    """``(host, section, subtree)`` of the subtrees that recur on the host or in the section; a url and a text count once each."""
-    # only subtrees that hold text left by the other rules are counted, so little travels
-    page = [F.xxhash64(F.coalesce("url", F.lit(""))).alias("page"), "digest"]
-    held = parsed.where(F.size("subtrees") > 0).select("host", section().alias("section"), *page, F.explode("subtrees").alias("subtree"))
-    often = held.select("host", "page", "digest", "subtree").distinct().groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
-    often = materialize(often.select("host", "subtree"), "often")
-    often = F.broadcast(often) if often.count() <= BROADCAST_PAGES else often
-    held = held.join(often, ["host", "subtree"])
-    every = parsed.select("host", section().alias("section"), *page)
-    distinct = F.least(F.count_distinct("page"), F.count_distinct("digest"))
-
-    def recurring(where: list[str]) -> DataFrame:
-        of = every.groupBy(where).agg(distinct.alias("of"))
-        counts = held.groupBy(*where, "subtree").agg(distinct.alias("pages")).where(F.col("pages") >= min_pages)
-        return counts.join(of, where).where(F.col("pages") >= F.least(F.col("of") * min_share, F.sqrt("of"))).select(*where, "subtree")
-
-    sections = every.select("host", "section").distinct()
-    return recurring(["host"]).join(sections, "host").select("host", "section", "subtree").union(recurring(["host", "section"])).distinct()
+    """``in_section`` keys of the subtrees that recur on their host or in their section."""
+    url = F.xxhash64(F.coalesce("url", F.lit("")))
+    captures = parsed.groupBy("host_key", url.alias("page")).agg(F.min(F.struct("digest", "row", "section_key")).alias("m"))
+    voters = materialize(captures.groupBy("host_key", "m.digest").agg(F.min(F.struct("m.row", "m.section_key")).alias("m")).select("host_key", "m.*"), "voters")
+    rows = voters.select("row")
+    rows = F.broadcast(rows) if rows.count() <= BROADCAST_PAGES else rows
+    held = parsed.select("row", "host_key", "section_key", "subtrees").join(rows, "row")
+    each = held.select("host_key", "section_key", F.explode(F.array_distinct(F.transform("subtrees", lambda s: F.struct(s["in_host"], s["in_section"], s["inside"])))).alias("s"))
+    counts = each.groupBy("host_key", "section_key", "s.in_host", "s.in_section", "s.inside").agg(F.count("*").alias("n"))
+    counts = materialize(counts, "subtrees")
+
+    def recurring(by: str, key: str) -> DataFrame:
+        of = voters.groupBy(by).agg(F.count("*").alias("of"))
+        sums = counts.groupBy(by, key, "inside").agg(F.sum("n").alias("n")).where(F.col("n") >= min_pages)
+        least = F.when(F.col("inside"), F.greatest(F.col("of") * INSIDE_SHARE, F.lit(float(INSIDE_PAGES)))).otherwise(F.least(F.col("of") * min_share, F.sqrt("of")))
+        return sums.join(of, by).where(F.col("n") >= least).select(key, "inside")
+
+    on_host = counts.join(recurring("host_key", "in_host"), ["in_host", "inside"], "left_semi").select("in_section")
+    return on_host.union(recurring("section_key", "in_section").select("in_section")).distinct()
+
+
+def _clean(common: np.ndarray | None):
+    """Texts without the blocks of templates, which are ``common`` or a column of their own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            subtrees, offsets = batch.column(3).flatten(), np.asarray(batch.column(3).offsets)
+            offsets = offsets - offsets[0]
+            keys, first, end = (np.asarray(subtrees.field(f)) for f in ("in_section", "first", "end"))
+            own = None if common is not None else batch.column(4).to_pylist()
+            hit = np.isin(keys, common) if common is not None else None
+            texts, counts = [], []
+            for i, blocks in enumerate(batch.column(2).to_pylist()):
+                part = slice(offsets[i], offsets[i + 1])
+                is_hit = hit[part] if hit is not None else np.isin(keys[part], np.array(own[i] or [], np.int64))
+                counts.append(len(np.unique(keys[part][is_hit])))
+                if counts[-1]:
+                    gone = np.zeros(len(blocks) + 1, np.int64)
+                    np.add.at(gone, first[part][is_hit], 1)
+                    np.add.at(gone, end[part][is_hit], -1)
+                    left = [b for b, g in zip(blocks, np.cumsum(gone[:-1]).tolist()) if not g]
+                    blocks = left or blocks
+                texts.append("\n".join(blocks))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(counts, pa.int64())], names=["page_id", "url", "text", "n_templates"])
+
+    return run
 
 
 def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
@@ -212,19 +286,23 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN
 
     ``text`` joins the main blocks by newlines, character references decoded and
     white space folded; empty for null or empty html.  ``n_templates`` counts the
-    page's recurring subtrees that held such text.  A page keeps its text if templates would leave it
+    page's recurring subtrees.  A page keeps its text if templates would leave it
     none.  Rows without a host are one host.  Repeated rows and ids keep their
-    rows; other columns are not read; an empty table gives no rows.
+    rows; other columns are not read; an empty table gives no rows.  Very long
+    and very deep pages are parsed whole, in linear time.
     """
-    key = F.md5(F.concat_ws("\0", F.coalesce("url", F.lit("")), F.coalesce("html", F.lit(""))))
-    rows = pages.select("page_id", F.col("url").cast("string").alias("url"), host(F.col("url")).alias("host"), key.alias("row_key"), "html")
+    url = F.col("url").cast("string")
+    rows = pages.select("page_id", url.alias("url"), F.monotonically_increasing_id().alias("row"), "html")
+    rows = rows.select("page_id", "url", "row", F.xxhash64(host(F.col("url"))).alias("host_key"), F.xxhash64(host(F.col("url")), section()).alias("section_key"), "html")
     dtype = rows.schema["page_id"].dataType.simpleString()
-    parsed = materialize(rows.mapInArrow(_parse, f"page_id {dtype}, url string, host string, row_key string, blocks array<struct<text:string,above:array<bigint>>>, subtrees array<bigint>, digest bigint"), "parsed")
+    parsed = materialize(rows.mapInArrow(_parse, f"page_id {dtype}, {_PARSED}"), "parsed")
     common = materialize(templates(parsed, min_pages, min_share), "templates")
-    hits = parsed.select("row_key", "host", section().alias("section"), F.explode("subtrees").alias("subtree")).distinct().join(common, ["host", "section", "subtree"])
-    hits = materialize(hits.groupBy("row_key").agg(F.collect_set("subtree").alias("hits")), "hits")
-    hits = F.broadcast(hits) if hits.count() <= BROADCAST_PAGES else hits
-    found = parsed.join(hits, "row_key", "left").withColumn("hits", F.coalesce("hits", F.array().cast("array<bigint>")))
-    left = F.filter("blocks", lambda b: ~F.arrays_overlap(b["above"], F.col("hits")))
-    text = F.array_join(F.transform(F.when(F.size(left) > 0, left).otherwise(F.col("blocks")), lambda b: b["text"]), "\n")
-    return found.select("page_id", "url", text.alias("text"), F.size("hits").cast("long").alias("n_templates")).withColumn("n_chars", F.length("text").cast("long"))
+    out, wanted = f"page_id {dtype}, url string, text string, n_templates long", ["page_id", "url", "blocks", "subtrees"]
+    if common.count() <= BROADCAST_TEMPLATES:
+        keys = np.sort(np.array([r.in_section for r in common.toLocalIterator()], np.int64))
+        cleaned = parsed.select(*wanted).mapInArrow(_clean(keys), out)
+    else:
+        each = parsed.select("row", F.explode("subtrees.in_section").alias("in_section"))
+        hits = each.join(common, "in_section").groupBy("row").agg(F.collect_set("in_section").alias("hits"))
+        cleaned = parsed.join(hits, "row", "left").select(*wanted, "hits").mapInArrow(_clean(None), out)
+    return cleaned.withColumn("n_chars", F.length("text").cast("long"))

@@ -162,4 +162,4 @@ def test_templates_of_a_site_go(spark):
     ],
 )
 def test_parsing(html, want):
-    assert [t for t, _ in html_extract.parse(html)[0]] == want
+    assert html_extract.parse(html)[0] == want
