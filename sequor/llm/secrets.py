@@ -18,7 +18,6 @@ import zlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -51,6 +50,9 @@ KNOWN = 200_000
 KNOWN_LENGTH = 64
 #: Gain in nats per character over ordinary tokens that a credential must have.
 MARGIN = 0.5
+#: Share of the ordinary tokens that a kind may accept and still be left out of them.
+MIXED = 0.1
+_UNSEEN = math.log(1e-4)
 
 
 def _class_of(ch: str) -> str:
@@ -106,10 +108,14 @@ class Automaton:
         tree._merge(math.sqrt(0.5 * math.log(2 / alpha)))
         if words:
             tree.lengths = sorted(map(len, words))
-            scores = sorted(tree.score(w) for w in words)
-            tree.floor = scores[len(scores) // 50]
+            tree.calibrate(words)
         return tree
 
+    def calibrate(self, words: list[str]) -> None:
+        """Sets the floor so that 49 in 50 of ``words`` are accepted."""
+        scores = sorted(self.score(w) for w in words)
+        self.floor = scores[len(scores) // 50]
+
     def _differ(self, a: int, b: int, bound: float) -> bool:
         todo = [(a, b)]
         while todo:
@@ -164,18 +170,24 @@ class Automaton:
         near = bisect_right(self.lengths, n + w) - bisect_left(self.lengths, n - w)
         return math.log(max(1e-4, near / (len(self.lengths) * (2 * w + 1))))
 
-    def score(self, word: str) -> float:
-        """Log-likelihood per character, end and length included; unseen moves and lengths cost as one in ten thousand."""
+    def score(self, word: str, least: float = -math.inf) -> float:
+        """Log-likelihood per character, end and length included; unseen moves and lengths cost as one in ten thousand.
+
+        All terms are losses, so a word that falls under ``least`` on the way is
+        given up: its score is then minus infinity.
+        """
         at, total = 0, self._length(len(word))
+        bound = least * (len(word) + 1)
         for i, ch in enumerate(word):
-            step = self.moves[at].get(ch) if at is not None else None
+            step = self.moves[at].get(ch)
             if step is None:
-                total += math.log(1e-4) * (len(word) - i)
-                at = None
-                break
+                total += _UNSEEN * (len(word) - i + 1)
+                return total / (len(word) + 1) if total >= bound else -math.inf
             total += math.log(step[1] / self.visits[at])
+            if total < bound:
+                return -math.inf
             at = step[0]
-        total += math.log(max(1e-4, self.ends[at] / self.visits[at])) if at is not None else math.log(1e-4)
+        total += math.log(max(1e-4, self.ends[at] / self.visits[at]))
         return total / (len(word) + 1)
 
 
@@ -188,7 +200,9 @@ class Grammars:
 
     def secret(self, token: str) -> float | None:
         """The likelihood per character of the best accepting format, or None."""
-        return _judge(self, shape(token))
+        form = shape(token)
+        found = [p for a in self.kinds.values() if (p := a.score(form, a.floor)) >= a.floor]
+        return max(found) if found and max(found) - self.plain.score(form) >= MARGIN else None
 
     def accepted(self, token: str) -> list[tuple[int, str, float]]:
         """(offset, value, score) of the token; else of it without outer dots; else of its parts between dots."""
@@ -203,25 +217,6 @@ class Grammars:
         return [(at, v, p) for at, v in parts if (p := self.secret(v)) is not None]
 
 
-@lru_cache(maxsize=200_000)
-def _scores(key: int, form: str) -> float | None:
-    g = _LOADED[key]
-    plain, best = g.plain.score(form), None
-    for a in g.kinds.values():
-        s = a.score(form)
-        if s >= a.floor and s - plain >= MARGIN and (best is None or s > best):
-            best = s
-    return best
-
-
-_LOADED: dict[int, Grammars] = {}
-
-
-def _judge(g: Grammars, form: str) -> float | None:
-    _LOADED[id(g)] = g
-    return _scores(id(g), form)
-
-
 def base_spans(text: str) -> list[tuple[str, int, int, str]]:
     """(kind, start, end, value) of the fixed patterns, code points, end exclusive, by start and kind."""
     out = []
@@ -259,18 +254,50 @@ def scan(text: str) -> tuple[list[tuple[str, int, int, str]], list[tuple[int, st
     return spans, free
 
 
+def _tokens(text: str) -> list[str] | None:
+    """The tokens of a text in which no base pattern can match, as a whole; None where one may."""
+    low = text.lower()
+    if "AKIA" in text or any(w in low for w in _WORDS):
+        return None
+    tokens = _CANDIDATE.findall(text)
+    return None if tokens and len(max(tokens, key=len)) >= LEAST["hex"] and _HEX.search(text) else tokens
+
+
+class _Seen:
+    """Short tokens that a task has dealt with, forgotten when they get too many."""
+
+    def __init__(self) -> None:
+        self.held: set[str] = set()
+
+    def new(self, tokens: list[str]) -> set[str]:
+        return set(tokens) - self.held
+
+    def add(self, tokens: set[str]) -> None:
+        if len(self.held) >= KNOWN:
+            self.held.clear()
+        self.held.update(t for t in tokens if len(t) <= KNOWN_LENGTH)
+
+
 def _values(sample: int):
     """(kind, value) of the base spans, and of the other tokens the ``sample`` of least hash of each task as ``plain``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         to_batch = lambda rows: pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], pa.string()) for i in (0, 1)], names=["kind", "value"])
         least: list[tuple[int, str]] = []
+        seen = _Seen()
         for batch in batches:
             found = []
             for text in batch.column(0).to_pylist():
-                spans, tokens = scan(text) if text else ((), ())
-                found += [(s[0], s[3]) for s in spans]
-                least += [(zlib.crc32(w.encode()), w) for w in {v for _, v in tokens}]
+                if not text:
+                    continue
+                tokens = _tokens(text)
+                if tokens is None:
+                    spans, rest = scan(text)
+                    found += [(s[0], s[3]) for s in spans]
+                    tokens = [v for _, v in rest]
+                fresh = seen.new(tokens)
+                seen.add(fresh)
+                least += [(zlib.crc32(w.encode()), w) for w in fresh]
                 if len(least) > 50 * sample:
                     least = sorted(set(least))[:sample]
             yield to_batch(found)
@@ -284,13 +311,37 @@ def _sample(values: DataFrame, size: int) -> list[str]:
     return sorted(r["value"] for r in values.distinct().orderBy(F.crc32("value"), "value").limit(size).collect())
 
 
+def learn(values: dict[str, list[str]], plain: list[str]) -> Grammars:
+    """Automata from labelled values by kind and from ordinary tokens.
+
+    A kind with enough values sets its floor on every fifth, which its automaton
+    has not seen.  Ordinary tokens hold some unlabelled credentials: those that a
+    kind accepts are left out of theirs, unless that is more than ``MIXED`` of
+    them, as then the kind's format does not tell credentials from words.
+    """
+    kinds = {}
+    for kind, held in values.items():
+        shapes = [shape(v) for v in held]
+        if len(shapes) < 5 * LEAST_SEEN:
+            kinds[kind] = Automaton.infer(shapes)
+        else:
+            kinds[kind] = Automaton.infer([v for i, v in enumerate(shapes) if i % 5])
+            kinds[kind].calibrate(shapes[::5])
+    kinds = {k: a for k, a in kinds.items() if a.visits[0]}
+    words = [shape(v) for v in plain]
+    for a in kinds.values():
+        left = [w for w in words if a.score(w, a.floor) < a.floor]
+        if len(words) - len(left) <= MIXED * len(words):
+            words = left
+    return Grammars(kinds, Automaton.infer(words))
+
+
 def fit(texts: DataFrame, sample: int = SAMPLE) -> Grammars:
     """Automata from at most ``sample`` labelled values of each kind in ``texts``, and as many of its other tokens."""
     values = materialize(texts.mapInArrow(_values(sample), "kind string, value string"), "labelled")
-    shapes = {k: [shape(v) for v in _sample(values.where(F.col("kind") == k).select("value"), sample)] for k in (*KINDS[:3], "plain")}
-    plain = Automaton.infer(shapes.pop("plain"))
-    kinds = {k: Automaton.infer(words) for k, words in shapes.items()}
-    return Grammars({k: a for k, a in kinds.items() if a.visits[0]}, plain)
+    held = {k: _sample(values.where(F.col("kind") == k).select("value"), sample) for k in (*KINDS[:3], "plain")}
+    plain = held.pop("plain")
+    return learn(held, plain)
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, grammars: Grammars | None = None) -> DataFrame:
@@ -309,20 +360,27 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     full = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.string()), ("score", pa.float64())]))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, list[tuple[int, str, float]]] = {}
+        refused = _Seen()
+
+        def hits(token: str) -> list[tuple[int, str, float]]:
+            if token in refused.held:
+                return []
+            if not (found := grammars.accepted(token)):
+                refused.add({token})
+            return found
+
         for batch in batches:
             out = []
             for text in batch.column(1).to_pylist():
-                spans, tokens = scan(text) if text else ((), ())
+                tokens = _tokens(text) if text else []
+                # most texts: no base span, and only tokens that every grammar refuses
+                if tokens is not None and not any([hits(t) for t in refused.new(tokens)]):
+                    out.append([])
+                    continue
+                spans, rest = scan(text)
                 rows = [{"kind": k, "start": a, "end": b, "value": v, "score": None} for k, a, b, v in spans]
-                for start, token in tokens:
-                    if (found := known.get(token)) is None:
-                        found = grammars.accepted(token)
-                        if len(token) <= KNOWN_LENGTH:
-                            if len(known) >= KNOWN:
-                                known.clear()
-                            known[token] = found
-                    rows += [{"kind": "grammar", "start": start + at, "end": start + at + len(v), "value": v, "score": p} for at, v, p in found]
+                for start, token in rest:
+                    rows += [{"kind": "grammar", "start": start + at, "end": start + at + len(v), "value": v, "score": p} for at, v, p in hits(token)]
                 out.append(sorted(rows, key=lambda s: (s["start"], KINDS.index(s["kind"]))))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, full)], names=["doc_id", "spans"])
 

@@ -1,4 +1,5 @@
 import random
+import re
 
 from sequor.llm import secrets
 
@@ -24,3 +25,52 @@ def test_every_run_of_the_labelled_alphabet_is_scored(spark):
 def test_what_base_spans_leave_of_a_token_is_a_candidate():
     text = "0123456789abcdef01234567" + "_REST-OF-IT, x=ABCDEFG.token=abcdef1 ABCDEF1"
     assert secrets.scan(text)[1] == [(24, "_REST-OF-IT"), (37, "x=ABCDEFG."), (61, "ABCDEF1")]
+
+
+def base_by_rule(text):
+    """The base spans as the patterns say, without any shortcut."""
+    out = []
+    for m in re.finditer(secrets.ASSIGN, text, re.I | re.A):
+        out += [(m.start(), "assign", m.end())] if len(m[2]) >= 6 else []
+    for kind, pattern, least in (("access", r"AKIA[A-Z0-9]+", 20), ("hex", r"[0-9a-f]+", 24)):
+        out += [(m.start(), kind, m.end()) for m in re.finditer(pattern, text) if len(m[0]) >= least]
+    order = {"assign": 0, "access": 1, "hex": 2}
+    return [(k, s, e) for s, k, e in sorted(out, key=lambda x: (x[0], order[x[1]]))]
+
+
+def test_base_spans_and_grammar_spans_equal_a_plain_scan(spark):
+    rng = random.Random(11)
+    make = [
+        lambda: pick("etaoin shrdlu.é", rng.randint(0, 60)),
+        lambda: rng.choice(["token", "API_key", "apikey", "Secret", "passwd", "ſecret"]) + rng.choice([" = ", ':"', "'=", " ", "=="]) + pick("abAB12+/_.=-", rng.randint(4, 9)),
+        lambda: "AKIA" + pick(UPPER + DIGIT, rng.randint(14, 18)),
+        lambda: pick("0123456789abcdef", rng.randint(22, 60)) + rng.choice(["", "F", "."]),
+        lambda: "A" * 300 + pick("0123456789abcdef", 30),
+        dotted,
+    ]
+    texts = ["".join(rng.choice(make)() + rng.choice([" ", "", "\n"]) for _ in range(rng.randint(0, 12))) for _ in range(400)]
+    texts += [texts[3], "", None, " ".join(texts) * 5]
+    rows = list(enumerate(texts)) + [(3, texts[3]), (None, texts[5])]
+    docs = spark.createDataFrame([(i, t, "clash") for i, t in rows], "doc_id long, text string, spans string")
+    grammars = secrets.fit(docs.select("text"))
+    for r in secrets.find_secrets(docs, grammars=grammars).where("doc_id is not null").collect():
+        text = texts[r.doc_id] or ""
+        spans = [(s.kind, s.start, s.end) for s in r.spans]
+        assert [s for s in spans if s[0] != "grammar"] == base_by_rule(text)
+        assert all(text[s.start : s.end] == s.value or s.kind == "assign" for s in r.spans)
+        plain = {(start + at, start + at + len(v)) for start, token in secrets.scan(text)[1] for at, v, _ in grammars.accepted(token)}
+        assert {s[1:] for s in spans if s[0] == "grammar"} == plain
+
+
+def test_held_out_labelled_values_are_found_without_their_labels(spark):
+    """Half of the values teach the formats; the other half stand bare among words, in a form no fixed pattern knows."""
+    value = lambda: "sk-" + pick(LOWER + DIGIT, 8) + "-" + pick(UPPER + DIGIT, 12)
+    word = lambda: pick("etaoinshrdlu", RNG.randint(3, 14))
+    taught = [(i, f"{word()} {word()} token: {value()} {word()}") for i in range(300)]
+    bare = [(1000 + i, f"{word()} {word()} {value()} {word()}.") for i in range(200)]
+    clean = [(2000 + i, " ".join(word() for _ in range(12))) for i in range(200)]
+    got = secrets.find_secrets(spark.createDataFrame(taught + bare + clean, "doc_id long, text string")).collect()
+    found = {r.doc_id for r in got if any(s.kind == "grammar" for s in r.spans)}
+    recall, wrong = sum(i in found for i, _ in bare) / 200, sum(i in found for i, _ in clean)
+    print(f"held-out recall {recall:.2f}, of 200 clean texts {wrong} marked")
+    assert recall >= 0.9 and wrong <= 2
