@@ -24,16 +24,19 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sequor.llm.hashing import shingle_set, trim, words
 from sequor.operators.components import connected_components
 from sequor.operators.storage import materialize, release, tasks
 
-#: Shingles that one bucket task holds, and that one block of a neighbourhood holds.
+#: Shingles that one bucket task holds; shingles and classes that one block of a neighbourhood holds.
 BUCKET_SHINGLES = 1_000_000
 BLOCK_SHINGLES = 1_500_000
+BLOCK_CLASSES = 256
+#: Classes of a block that stand for it when blocks are tied.
+HUBS = 8
 #: Classes left to search up to which their ids may be broadcast (24 bytes each); beyond, texts are joined by a shuffle.
 BROADCAST_CLASSES = 2_000_000
 _SHARED = np.uint32(0xFFFFFFFF)
@@ -53,25 +56,28 @@ def _meta(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cls, n, half = [], [], []
-            for w in words(batch.column(1), lower=True):
+            for w in words(batch.column(2), lower=True):
                 for i in range(len(w)):
                     h = w.of(i)
                     s = shingle_set(h, size)
                     cls.append(_class(h))
                     n.append(len(s))
                     half.append(int(np.count_nonzero((s & np.uint64(1)) == 0)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cls, pa.int64()), pa.array(n, pa.int64()), pa.array(half, pa.int64())], names=["doc_id", "cls", "n", "half"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(cls, pa.int64()), pa.array(n, pa.int64()), pa.array(half, pa.int64())], names=["doc_id", "text_key", "cls", "n", "half"])
 
     return run
 
 
 def pack(hashes: np.ndarray, owners: np.ndarray, table: np.ndarray) -> bytes:
-    """Sorted hashes as byte planes of their differences, with each one's owner as an index of ``table``."""
+    """Sorted hashes as byte planes of their differences, with each one's owner as an index of the owners that they have."""
     order = np.argsort(hashes, kind="stable")
     h = hashes[order]
     gaps = np.diff(h, prepend=np.uint64(0))
     planes = np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 8).T)
     index = owners[order]
+    own = index != _SHARED
+    here, at = np.unique(index[own], return_inverse=True)
+    index[own], table = at.astype(np.uint32), table[here]
     wide = len(table) >= _NARROW
     if not wide:
         index = np.where(index == _SHARED, _NARROW, index).astype(np.uint16)
@@ -173,7 +179,8 @@ def _count_shared(parts: int):
         blobs = [unpack(b) for b in group["blob"]]
         hashes = np.concatenate([p[0] for p in blobs])
         free = np.concatenate([p[1] == _SHARED for p in blobs])
-        cls = np.concatenate([p[2][np.where(p[1] == _SHARED, 0, p[1])] for p in blobs])
+        # a repeated shingle has no owner here; its classes were counted where it was packed
+        cls = np.concatenate([np.append(p[2], 0)[np.where(p[1] == _SHARED, len(p[2]), p[1])] for p in blobs])
         del blobs
         order = np.argsort(hashes, kind="stable")
         hashes, free, cls = hashes[order], free[order], cls[order]
@@ -309,19 +316,19 @@ def _postings(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def link_classes(docs: DataFrame, meta: DataFrame, percent: int, size: int, block: int = BLOCK_SHINGLES) -> DataFrame:
-    """(a, b): links that span the components of the similarity graph over classes."""
+    """(a, b): links that span the components of the similarity graph over classes of ``docs(text_key, text)``."""
     spark = docs.sparkSession
-    classes = materialize(meta.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("half").alias("half")), "classes")
+    classes = materialize(meta.where("n > 0").groupBy("cls").agg(F.min("text_key").alias("text_key"), F.first("n").alias("n"), F.first("half").alias("half")), "classes")
     total = classes.agg(F.sum("half")).first()[0] or 0
     buckets = max(8, -(-int(total) // BUCKET_SHINGLES))
     shipped = docs.select("text").mapInArrow(_ship(size, buckets, BUCKET_SHINGLES), "bucket long, blob binary")
     shared = shipped.groupBy("bucket").applyInPandas(_count_shared(buckets), "part long, counts binary")
     shared = shared.groupBy("part").applyInPandas(_sum_shared, "cls long, shared long")
     allowed = F.expr(f"n - cast(ceil(n * {percent} / 100) as long)")
-    left = materialize(classes.join(shared, "cls", "left").where(F.col("half") - F.coalesce("shared", F.lit(0)) <= allowed).select("cls", "doc_id", "n"), "left")
-    want = left.select("cls", "doc_id")
+    left = materialize(classes.join(shared, "cls", "left").where(F.col("half") - F.coalesce("shared", F.lit(0)) <= allowed).select("cls", "text_key", "n"), "left")
+    want = left.select("cls", "text_key")
     want = F.broadcast(want) if left.count() <= BROADCAST_CLASSES else want
-    sets = docs.join(want, "doc_id").select("text", "cls").mapInArrow(_sets(size), "cls long, shingles array<long>")
+    sets = docs.join(want, "text_key").select("text", "cls").mapInArrow(_sets(size), "cls long, shingles array<long>")
     sets = materialize(sets.dropDuplicates(["cls"]), "sets")
 
     postings = materialize(_postings(sets, percent), "postings")
@@ -329,65 +336,85 @@ def link_classes(docs: DataFrame, meta: DataFrame, percent: int, size: int, bloc
     meet = postings.join(heads, "s").where("cls <> head").select("cls", "head").distinct()
     near = connected_components(meet, "cls", "head")
     near = materialize(near.join(left, near.node == left.cls).select("cls", F.col("component").alias("area"), "n"), "near")
-    for gone in (postings, classes):
-        release(gone)
-    sizes = near.groupBy("area").agg(F.ceil(F.sum("n") / block).alias("blocks"))
-    placed = materialize(near.join(sizes, "area").select("cls", "area", "blocks", F.pmod(F.xxhash64("cls"), "blocks").alias("block")), "placed")
-    spread = tasks(spark, 0, 1)
-    members = placed.join(sets, "cls")
-    links = members.select("area", "block", "cls", "shingles", F.lit(True).alias("ask")).repartition(spread, "area", "block")
-    links = materialize(links.groupBy("area", "block").applyInPandas(_search(percent), "a long, b long"), "links")
+    release(classes)
+    sizes = near.groupBy("area").agg(F.greatest(F.ceil(F.sum("n") / block), F.ceil(F.count("*") / BLOCK_CLASSES)).alias("blocks"))
+    placed = materialize(near.join(sizes, "area").select("cls", "n", "area", "blocks", F.pmod(F.xxhash64("cls"), "blocks").alias("block")), "placed")
+    links = _searched(placed, sets, percent)
     if not placed.where("blocks > 1").limit(1).count():
         return links
-    return _across_blocks(placed, sets, links, percent, block)
+    return _across_blocks(placed, sets, postings, links, percent, block)
 
 
-def _across_blocks(placed: DataFrame, sets: DataFrame, links: DataFrame, percent: int, block: int) -> DataFrame:
+def _searched(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links within each (area, block) of ``placed``."""
+    members = placed.select("area", "block", "cls").join(sets, "cls").select("area", "block", "cls", "shingles", F.lit(True).alias("ask"))
+    members = members.repartition(tasks(placed.sparkSession, 0, 1), "area", "block")
+    return materialize(members.groupBy("area", "block").applyInPandas(_search(percent), "a long, b long"), "links")
+
+
+def _across_blocks(placed: DataFrame, sets: DataFrame, postings: DataFrame, links: DataFrame, percent: int, block: int) -> DataFrame:
     """Links between the blocks of an area that has several.
 
-    Each block's components are first tied through their best-linked classes,
-    which meet in one search; what then is still outside its area's largest
-    component is searched against every block of the area.
+    Blocks are first tied level by level: the best-linked classes of each block
+    are dealt to new blocks, far fewer each time, until one is left.  What then
+    is outside its area's largest component is searched against those blocks
+    that hold one of its rare shingles, as no link goes without one.
     """
-    big = placed.where("blocks > 1")
-    ends = links.select(F.col("a").alias("cls")).union(links.select(F.col("b").alias("cls"))).groupBy("cls").agg(F.count("*").alias("deg"))
-    from pyspark.sql import Window
-
-    best = Window.partitionBy("area", "block").orderBy(F.desc("deg"), "cls")
-    hubs = big.join(ends, "cls").withColumn("r", F.row_number().over(best)).where("r <= 8").select("area", "cls")
-    hubs = hubs.join(sets, "cls").select("area", F.lit(0).alias("block"), "cls", "shingles", F.lit(True).alias("ask"))
-    links = materialize(links.union(hubs.groupBy("area", "block").applyInPandas(_search(percent), "a long, b long")), "links")
+    big = level = placed.where("blocks > 1")
+    while level.limit(1).count():
+        ends = links.select(F.col("a").alias("cls")).union(links.select(F.col("b").alias("cls"))).groupBy("cls").agg(F.count("*").alias("deg"))
+        best = Window.partitionBy("area", "block").orderBy(F.desc("deg"), "cls")
+        hubs = level.join(ends, "cls").withColumn("r", F.row_number().over(best)).where(F.col("r") <= HUBS).select("area", "cls", "n")
+        sizes = hubs.groupBy("area").agg(F.greatest(F.ceil(F.sum("n") / block), F.ceil(F.count("*") / BLOCK_CLASSES)).alias("want"))
+        # at most half as many blocks as before, so that the levels end
+        fewer = level.groupBy("area").agg(F.greatest(F.floor(F.max("blocks") / 2), F.lit(1)).alias("most"))
+        sizes = sizes.join(fewer, "area").select("area", F.least("want", "most").alias("blocks"))
+        dealt = materialize(hubs.join(sizes, "area").select("cls", "n", "area", "blocks", F.pmod(F.xxhash64("cls", "blocks"), "blocks").alias("block")), "hubs")
+        links = links.union(_searched(dealt, sets, percent))
+        level = dealt.where("blocks > 1")
     comp = connected_components(links, "a", "b")
-    at = big.join(comp, F.col("cls") == F.col("node"), "left").select("area", "block", "blocks", "cls", F.coalesce("component", "cls").alias("c"))
+    at = big.join(comp, F.col("cls") == F.col("node"), "left").select("area", "block", "cls", F.coalesce("component", "cls").alias("c"))
     at = materialize(at, "at")
     main = at.groupBy("area", "c").agg(F.count("*").alias("m")).groupBy("area").agg(F.max_by("c", F.struct("m", "c")).alias("main"))
-    rest = at.join(main, "area").where("c <> main")
-    asked = rest.select("area", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "cls", F.lit(True).alias("ask"))
-    cells = asked.groupBy("area", "block").agg(F.count("*").alias("q")).withColumn("parts", F.ceil(F.col("q") / 2000))
-    asked = asked.join(cells, ["area", "block"]).select("area", "block", F.pmod(F.xxhash64("cls", F.lit(7)), "parts").alias("part"), "cls", "ask")
+    rest = materialize(at.join(main, "area").where("c <> main").select("area", "cls"), "rest")
+    if not rest.limit(1).count():
+        return links
+    holders = postings.join(at.select("cls", "area", "block"), "cls").select("s", "area", "block").distinct()
+    asked = materialize(postings.join(rest, "cls").select("cls", "s").join(holders, "s").select("area", "block", "cls").distinct(), "asked")
+    cells = asked.groupBy("area", "block").agg(F.ceil(F.count("*") / BLOCK_CLASSES).alias("parts"))
+    part = F.pmod(F.xxhash64("cls", F.lit(7)), "parts")
+    asked = asked.join(cells, ["area", "block"]).select("area", "block", part.alias("part"), "cls", F.lit(True).alias("ask"))
     held = at.join(cells, ["area", "block"]).select("area", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "cls", F.lit(False).alias("ask"))
     both = asked.union(held).groupBy("area", "block", "part", "cls").agg(F.max("ask").alias("ask")).join(sets, "cls")
     more = both.groupBy("area", "block", "part").applyInPandas(_search(percent), "a long, b long")
-    return materialize(links.union(more), "links")
+    return links.union(materialize(more, "links"))
 
 
 def jaccard_components(docs: DataFrame, percent: int = 75, size: int = 5, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK_SHINGLES) -> DataFrame:
-    """``(doc_id, n_shingles, component_id)`` for every row of ``docs``.
+    """``(doc_id, n_shingles, component_id, text_key, component)`` for every row of ``docs``.
 
     A row's set is its distinct ``size``-word shingles, letters A-Z lower-cased;
     fewer words make one shingle; none (null, empty or blank text) make an empty
     set that links with nothing.  ``component_id`` is the smallest id reachable
-    over links, the row's own included.  Repeated rows and ids each keep their
-    row; a null id links nothing and takes its component's smallest id, if any.
-    Other columns of ``docs`` are not read.  An empty table gives no rows.
+    over links, the row's own included; rows without an id link like others, and
+    theirs is null only where nothing linked has an id.  ``component`` tells the
+    groups apart whatever their ids (null for an empty set), and ``text_key`` is
+    the xxhash64 of the text, which tells apart rows that share an id.  Repeated
+    rows each keep their row; very long texts count whole.  Other columns of
+    ``docs`` are not read.  An empty table gives no rows.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    meta = materialize(docs.mapInArrow(_meta(size), "doc_id long, cls long, n long, half long"), "meta")
-    links = link_classes(docs.where("doc_id is not null"), meta.where("doc_id is not null"), percent, size, block)
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(text_col).alias("text_key"), F.col(text_col).alias("text"))
+    meta = materialize(docs.mapInArrow(_meta(size), "doc_id long, text_key long, cls long, n long, half long"), "meta")
+    links = link_classes(docs, meta, percent, size, block)
     comp = connected_components(links, "a", "b")
     labelled = meta.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"))
-    labelled = labelled.join(comp, F.col("cls") == F.col("node"), "left").select("cls", F.coalesce("component", "cls").alias("c"), "least")
-    least = labelled.groupBy("c").agg(F.min("least").alias("component_id"))
-    final = labelled.join(least, "c").select("cls", "component_id")
-    own = meta.where("n > 0").join(final, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return own.union(meta.where("n = 0").select("doc_id", "n", "doc_id"))
+    labelled = labelled.join(comp, F.col("cls") == F.col("node"), "left").select("cls", F.coalesce("component", "cls").alias("component"), "least")
+    least = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
+    final = labelled.join(least, "component").select("cls", "component_id", "component")
+    own = meta.where("n > 0").join(final, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "text_key", "component")
+    return own.union(meta.where("n = 0").select("doc_id", "n", "doc_id", "text_key", F.lit(None).cast("long")))
+
+
+def text_key(text_col: str = "text") -> Column:
+    """Key of a text; null and empty texts share one."""
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
