@@ -33,17 +33,28 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one of smallest id.
+    """One row of each group of near duplicates: that of the smallest id, and of the least text key on a tie.
 
-    Rows that repeat an id stay once for each text; rows without an id stay.
+    Rows are told apart by id and text, so a row that shares only its id with
+    another keeps its own fate.  Rows without an id come last in their group;
+    repeated rows stay once; rows without words link with nothing and all stay.
+    An empty table stays empty; all columns stay.
     """
-    groups = materialize(jaccard_join.jaccard_components(docs), "groups")
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    left = docs.join(_bounded(gone), "doc_id", "left_anti").select(docs.columns)
-    again = groups.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    groups = materialize(jaccard_join.jaccard_components(docs).where("n_shingles > 0"), "groups")
+    row = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")
+    firsts = groups.groupBy("component").agg(F.min(row).alias("first"), F.count("*").alias("n")).where("n > 1")
+    # only groups of several rows lose any, so only their rows are looked up
+    many = groups.join(firsts, "component").withColumn("kept", (F.col("text_key") == F.col("first.text_key")) & F.col("doc_id").eqNullSafe(F.col("first.doc_id")))
+    rows = materialize(many.groupBy("doc_id", "text_key").agg(F.max("kept").alias("kept"), F.count("*").alias("n")), "rows")
+    keyed = docs.withColumn("__key", jaccard_join.text_key())
+    same = lambda t: (keyed["__key"] == t["text_key"]) & keyed["doc_id"].eqNullSafe(t["doc_id"])
+    gone = rows.where("not kept or n > 1").select("doc_id", "text_key")
+    left = keyed.join(_bounded(gone), same(gone), "left_anti").select(docs.columns)
+    again = rows.where("kept and n > 1").select("doc_id", "text_key")
     if not again.limit(1).count():
         return left
-    return left.join(again, "doc_id", "left_anti").select(docs.columns).union(left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(docs.columns))
+    once = keyed.join(_bounded(again), same(again), "left_semi").dropDuplicates(["doc_id", "__key"])
+    return left.union(once.select(docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
