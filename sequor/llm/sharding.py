@@ -1,13 +1,14 @@
 """K-d tree sharding: split at distributed weighted medians along the widest metadata dimension.
 
-Points are documents, weights their bytes.  A node that must become ``L`` leaves
-splits at the weighted quantile ``floor(L / 2) / L`` of its widest dimension,
-until every leaf is near the target bytes.  Equal values are split further by a
-hash of the text and then one of the row, so equal texts stay together except where the
-cut itself must pass through them.
-
-The driver holds one row for each node and for each bin of a histogram; both are
-bounded by the number of shards.  Quantiles are exact to ``TOLERANCE`` of a leaf.
+Points are distinct texts with the bytes of all their rows and the metadata of
+the least of them, so rows of equal texts share a shard; a text whose rows pass
+``WHOLE`` of a shard's bytes is dealt as several points of ``PIECE`` each.  A node
+that must become ``L`` leaves splits at the weighted quantile ``floor(L / 2) / L``
+of its widest dimension, until every leaf is near the target bytes.  Equal values
+are split further by hashes of the text and of its piece.
+
+The driver holds one row for each node and for each bin of a histogram, of which
+a round has at most ``MOST_BINS``.  Quantiles are exact to ``TOLERANCE`` of a leaf.
 """
 
 from __future__ import annotations
@@ -22,14 +23,20 @@ from sequor.operators.storage import materialize
 
 #: Bytes that a row costs besides its text.
 ROW_BYTES = 16
-#: Bins of a histogram round.
+#: Bins of a node in a histogram round, and of all nodes of a round.
 BINS = 512
+MOST_BINS = 1 << 20
+#: Share of a shard's bytes up to which the rows of one text stay whole, and that of a piece of more.
+WHOLE = 0.25
+PIECE = 1 / 32
 #: Share of a leaf's bytes that a cut may miss its quantile by, unless one row is larger.
 TOLERANCE = 0.002
+#: The driver holds a row for each name of a source or language; more are an error.
+MAX_NAMES = 1_000_000
 #: Rows that number themselves in one task.
 SLOT_ROWS = 50_000
 _DIMS = ("source", "lang", "bytes")
-_TIES = ("t_hash", "t_row")
+_TIES = ("t_hash", "t_piece")
 _TOP = 1 << 62
 
 
@@ -43,30 +50,44 @@ class _Node:
     at: list[int] = field(default_factory=list)
 
 
-def _lexical(c: Column) -> Column:
-    """First six bytes as a number that sorts like the text; null sorts first."""
-    code = F.conv(F.rpad(F.hex(F.substring(F.encode(c, "UTF-8"), 1, 6)), 12, "0"), 16, 10).cast("long")
-    return F.coalesce(code + 1, F.lit(0))
+def _ranks(docs: DataFrame, col: str, out: str) -> DataFrame:
+    """``(col, out)``: the place of each distinct name in the order of code points, null first."""
+    names = [r[0] for r in docs.select(F.col(col).cast("string")).distinct().limit(MAX_NAMES + 1).collect()]
+    if len(names) > MAX_NAMES:
+        raise ValueError(f"more than {MAX_NAMES} names in {col}")
+    names.sort(key=lambda x: (x is not None, x or ""))
+    return docs.sparkSession.createDataFrame([(x, i) for i, x in enumerate(names)], f"{out}_name string, {out} long")
 
 
 def points(docs: DataFrame, id_col: str, text_col: str, source_col: str, lang_col: str) -> DataFrame:
+    """Rows with their size, text key and metadata; ``t_row`` orders the rows of a text."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     size = (F.octet_length(text) + ROW_BYTES).cast("long")
-    return docs.select(
+    rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         size.alias("size"),
         F.crc32(text).alias("text_crc32"),
-        _lexical(F.col(source_col).cast("string")).alias("d_source"),
-        _lexical(F.col(lang_col).cast("string")).alias("d_lang"),
-        size.alias("d_bytes"),
+        F.col(source_col).cast("string").alias("source"),
+        F.col(lang_col).cast("string").alias("lang"),
         F.shiftrightunsigned(F.xxhash64(text), 2).alias("t_hash"),
         F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.col(source_col), F.col(lang_col)), 2).alias("t_row"),
     )
+    for col, out, names in (("source", "d_source", _ranks(docs, source_col, "d_source")), ("lang", "d_lang", _ranks(docs, lang_col, "d_lang"))):
+        rows = rows.join(F.broadcast(names), F.col(col).eqNullSafe(F.col(f"{out}_name"))).drop(col, f"{out}_name")
+    return rows
+
+
+def groups(rows: DataFrame, leaf: float) -> DataFrame:
+    """One point for each text, or several for one whose rows pass ``WHOLE`` of a leaf."""
+    least = F.min(F.struct("d_source", "d_lang")).alias("m")
+    whole = rows.groupBy("t_hash").agg(F.sum("size").alias("w"), F.max("size").alias("d_bytes"), least)
+    pieces = F.when(F.col("w") > WHOLE * leaf, F.ceil(F.col("w") / F.greatest(F.lit(PIECE * leaf), F.col("d_bytes")))).otherwise(1)
+    return whole.select("t_hash", pieces.cast("long").alias("pieces"), "m.d_source", "m.d_lang", "d_bytes")
 
 
 def _placed(points: DataFrame, nodes: dict[int, _Node], spark) -> DataFrame:
     """Points one level further down: a broadcast join with the cuts of the level."""
-    rows = [(k, n.dim, *(n.at + [None] * 3)[:3]) for k, n in nodes.items() if n.dim]
+    rows = [(k, n.dim, *(n.at + [None] * 3)[:3]) for k, n in nodes.items()]
     if not rows:
         return points
     cuts = spark.createDataFrame(rows, "node long, dim string, c0 long, c1 long, c2 long")
@@ -91,6 +112,9 @@ def _ranges(points: DataFrame) -> dict[int, dict]:
 def _cut(points: DataFrame, open_: dict[int, dict], spark) -> None:
     """Finds each open node's cut by histograms over ever narrower ranges, all nodes in one job a round."""
     while todo := {k: s for k, s in open_.items() if not s["done"]}:
+        bins_ = max(16, min(BINS, MOST_BINS // len(todo)))
+        for s in todo.values():
+            s["step"] = max(1, -(-s["span"] // bins_))
         rows = [(k, s["level"], s["dim"], *(s["at"] + [None] * 2)[:2], s["lo"], s["step"]) for k, s in todo.items()]
         state = spark.createDataFrame(rows, "node long, level int, dim string, f0 long, f1 long, lo long, step long")
         value = F.when(F.col("dim") == "source", F.col("d_source")).when(F.col("dim") == "lang", F.col("d_lang")).otherwise(F.col("d_bytes"))
@@ -99,82 +123,90 @@ def _cut(points: DataFrame, open_: dict[int, dict], spark) -> None:
         for i in range(2):
             inside &= (F.col("level") <= i) | (chain[i] == F.col(f"f{i}"))
         now = F.when(F.col("level") == 0, chain[0]).when(F.col("level") == 1, chain[1]).otherwise(chain[2])
-        near = points.join(F.broadcast(state), "node").where(inside).withColumn("v", now)
+        near = points.join(F.broadcast(state.withColumn("bins", F.lit(bins_))), "node").where(inside).withColumn("v", now)
         bin_ = F.expr("cast((v - lo) div step as long)")
-        held = near.where((F.col("v") >= F.col("lo")) & (bin_ < BINS)).groupBy("node", bin_.alias("bin")).agg(F.sum("size").alias("w"), F.count("*").alias("n")).collect()
+        held = near.where((F.col("v") >= F.col("lo")) & (bin_ < F.col("bins"))).groupBy("node", bin_.alias("bin")).agg(F.sum("size").alias("w"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n")).collect()
         bins: dict[int, list] = {}
         for r in held:
-            bins.setdefault(r["node"], []).append((r["bin"], r["w"], r["n"]))
+            bins.setdefault(r["node"], []).append((r["bin"], r["w"], r["n"], r["lo"], r["hi"]))
         for k, s in todo.items():
             _narrow(s, sorted(bins.get(k, [])))
 
 
-def _narrow(s: dict, bins: list[tuple[int, int, int]]) -> None:
+def _narrow(s: dict, bins: list[tuple[int, int, int, int, int]]) -> None:
+    """Goes on in the bin ``(number, bytes, points, least and greatest value)`` that the wanted bytes fall into."""
     below, found = s["below"], None
-    for b, w, n in bins:
-        if below + w > s["want"]:
-            found = (b, w, n)
+    for b in bins:
+        if below + b[1] > s["want"]:
+            found = b
             break
-        below += w
+        below += b[1]
     if found is None:
-        s["at"].append(s["lo"] + s["step"] * BINS)
+        s["at"].append(s["lo"] + s["span"])
         s["done"] = True
         return
-    b, w, n = found
-    start = s["lo"] + s["step"] * b
+    _, w, n, least, most = found
     miss, over = s["want"] - below, below + w - s["want"]
-    if n == 1 or min(miss, over) <= s["slack"]:
+    if n == 1 or min(miss, over) <= s["slack"] or (least == most and s["level"] == len(_TIES)):
         # cut before or after the bin, whichever is nearer
-        s["at"].append(start if miss <= over else start + s["step"])
-        s["done"] = True
-    elif s["step"] > 1:
-        s["lo"], s["step"], s["below"] = start, -(-s["step"] // BINS), below
-    elif s["level"] == 2:
-        s["at"].append(start if miss <= over else start + 1)
+        s["at"].append(least if miss <= over else most + 1)
         s["done"] = True
+    elif least < most:
+        s["lo"], s["span"], s["below"] = least, most - least + 1, below
     else:
-        s["at"].append(start)
+        s["at"].append(least)
         s["level"] += 1
-        s["lo"], s["step"], s["below"] = 0, _TOP // BINS, below
+        s["lo"], s["span"], s["below"] = 0, _TOP, below
 
 
 def kd_shards(docs: DataFrame, n_shards: int | None = None, target_bytes: int | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
     """``(doc_id, size, text_crc32, shard, slot)`` for every row; sizes of shards are near equal.
 
     ``size`` is the UTF-8 bytes of the text (null: none) plus 16.  Give the
-    number of shards, or the target bytes of one.  ``slot`` numbers a shard's
+    number of shards, or the target bytes of one.  Rows of equal texts share a
+    shard, unless they pass ``WHOLE`` of its bytes; then pieces of them do.  ``slot`` numbers a shard's
     rows from 0 without gaps, equal texts side by side within a numbering task.
     Nulls in any column sort first.  Repeated rows get slots of their own.  With
     fewer rows than shards some shards are empty; an empty table gives no rows.
     Columns of ``docs`` besides the four named are not read.
     """
     spark = docs.sparkSession
-    base = materialize(points(docs, id_col, text_col, source_col, lang_col).withColumn("node", F.lit(0).cast("long")), "points")
-    total = base.agg(F.sum("size")).first()[0] or 0
+    rows = materialize(points(docs, id_col, text_col, source_col, lang_col), "rows")
+    total = rows.agg(F.sum("size")).first()[0] or 0
     n_shards = n_shards or max(1, round(total / target_bytes))
+    texts = materialize(groups(rows, total / n_shards), "texts")
+    # at most n_shards / WHOLE texts have pieces
+    cut = rows.join(F.broadcast(texts.where("pieces > 1").select("t_hash", "pieces")), "t_hash", "left")
+    piece = F.when(F.col("pieces").isNull(), F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64("t_row"), F.col("pieces")))
+    rows = cut.withColumn("t_piece", piece).drop("pieces")
+    sizes = rows.groupBy("t_hash", "t_piece").agg(F.sum("size").alias("size"))
+    now = materialize(sizes.join(texts.drop("pieces"), "t_hash").withColumn("node", F.lit(0).cast("long")), "points")
     nodes = {0: _Node(n_shards, 0)}
-    now, widest, depth = base, {}, 0
-    while any(n.leaves > 1 and not n.dim for n in nodes.values()):
-        stats, open_ = _ranges(now), {}
-        widest = widest or {d: max(1, stats[0][f"hi_d_{d}"] - stats[0][f"lo_d_{d}"]) for d in _DIMS} if stats else {}
-        for k in [k for k, n in nodes.items() if n.leaves > 1 and not n.dim]:
+    level, widest, depth = [0] if n_shards > 1 else [], {}, 0
+    while level:
+        stats, open_, below = _ranges(now), {}, []
+        if stats and not widest:
+            widest = {d: max(1, stats[0][f"hi_d_{d}"] - stats[0][f"lo_d_{d}"]) for d in _DIMS}
+        for k in level:
             n, s = nodes[k], stats.get(k)
             left = n.leaves // 2
             nodes[2 * k + 1], nodes[2 * k + 2] = _Node(left, n.shard), _Node(n.leaves - left, n.shard + left)
+            below += [c for c in (2 * k + 1, 2 * k + 2) if nodes[c].leaves > 1]
             if s is None:
-                n.dim = "bytes"
-                n.at = [0]
+                n.dim, n.at = "bytes", [0]
                 continue
             n.dim = max(_DIMS, key=lambda d: (s[f"hi_d_{d}"] - s[f"lo_d_{d}"]) / widest[d])
             lo, hi = s[f"lo_d_{n.dim}"], s[f"hi_d_{n.dim}"]
-            open_[k] = {"dim": n.dim, "level": 0, "at": n.at, "lo": lo, "step": max(1, -(-(hi - lo + 1) // BINS)), "below": 0, "want": s["w"] * left // n.leaves, "slack": TOLERANCE * s["w"] / n.leaves, "done": False}
+            open_[k] = {"dim": n.dim, "level": 0, "at": n.at, "lo": lo, "span": hi - lo + 1, "below": 0, "want": s["w"] * left // n.leaves, "slack": TOLERANCE * s["w"] / n.leaves, "done": False}
         _cut(now, open_, spark)
-        now = _placed(now, {k: n for k, n in nodes.items() if 2 * k + 1 in nodes and 2 * k + 1 not in {c for c in nodes if nodes[c].dim}}, spark)
+        now = _placed(now, {k: nodes[k] for k in level}, spark)
+        level = below
         depth += 1
         if depth % 4 == 0:
             now = materialize(now, "points")
     shard = spark.createDataFrame([(k, n.shard) for k, n in nodes.items() if n.leaves == 1], "node long, shard int")
-    return _numbered(now.join(F.broadcast(shard), "node").select("doc_id", "size", "text_crc32", "shard", "t_hash", "t_row"))
+    where = now.join(F.broadcast(shard), "node").select("t_hash", "t_piece", "shard")
+    return _numbered(rows.join(where, ["t_hash", "t_piece"]).select("doc_id", "size", "text_crc32", "shard", "t_hash", "t_row"))
 
 
 def _numbered(placed: DataFrame) -> DataFrame:
