@@ -24,8 +24,9 @@ from sequor.operators.storage import materialize
 #: Words of a block; smaller in a source that would have fewer than ``MIN_BLOCKS``.
 BLOCK_WORDS = 2048
 MIN_BLOCKS = 2048
-#: Rows of a shard of a source.
+#: Rows of a shard of a source; more where a source would have more than ``MAX_SHARDS``, as one task deals their seats.
 SHARD_ROWS = 1000
+MAX_SHARDS = 1 << 16
 #: The driver holds a row for each source; more sources than this are an error.
 MAX_SOURCES = 1_000_000
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -150,7 +151,7 @@ def mix(
     sizes = [int(r["words"]) for r in totals]
     targets = fill_targets(sizes, [weights[i % len(weights)] for i in range(len(sizes))], share, most)
     blocks = [max(1, min(block_words, s // MIN_BLOCKS)) for s in sizes]
-    shards = [-(-r["docs"] // SHARD_ROWS) for r in totals]
+    shards = [min(MAX_SHARDS, -(-r["docs"] // SHARD_ROWS)) for r in totals]
     quotas = source_quotas(sizes, targets, blocks, shards, most)
     rows = [(r["src"], s, float(t), q, n, b) for r, s, t, q, n, b in zip(totals, sizes, targets, quotas, shards, blocks)]
     per_source = spark.createDataFrame(rows, "src string, source_size long, target double, quota long, shards int, block long")
