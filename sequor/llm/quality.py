@@ -42,16 +42,16 @@ _PHRASES = (
 _CLOSED = "[.!?…。！？:;\"”»)]"
 
 
-def _counts(line: Column) -> Column:
-    """What the rules of a line look at; each count is made once."""
+def _counts(line: Column, any_symbols: Column) -> Column:
+    """What the rules of a line look at; each count is made once, and symbols only where the text has any."""
     bars = F.when(_any_bar(line), F.regexp_count(line, F.lit(rf"(?<![^\x20\x09-\x0D])(?:[{_BARS}]|::)(?![^\x20\x09-\x0D])"))).otherwise(0)
     return F.struct(
         line.alias("line"),
-        F.regexp_count(line, F.lit(_WORD)).alias("n"),
-        (F.length(line) - F.length(F.translate(line, _SYMBOLS, ""))).alias("symbols"),
+        F.regexp_count(line, F.lit(_WORD + "+")).alias("n"),
+        F.when(any_symbols, F.length(line) - F.length(F.translate(line, _SYMBOLS, ""))).otherwise(0).alias("symbols"),
         F.when(line.contains("!!"), F.regexp_count(line, F.lit(rf"!!(?={_SPACE}|$)"))).otherwise(0).alias("shouts"),
         bars.alias("bars"),
-        F.regexp_count(line, F.lit(rf"(?<![^\x20\x09-\x0D])({_WORD})(?={_SPACE}+\1(?![^\x20\x09-\x0D]))")).alias("echoes"),
+        F.regexp_count(line, F.lit(rf"(?<![^\x20\x09-\x0D])({_WORD}+)(?={_SPACE}++\1(?![^\x20\x09-\x0D]))")).alias("echoes"),
         (~line.rlike(_CLOSED)).alias("open"),
     )
 
@@ -84,14 +84,17 @@ def annotate(docs: DataFrame, text_col: str = "text", out: str = "quality", max_
     stays empty.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    blank = F.filter(F.split(text, "\n", -1), lambda x: F.length(F.translate(x, _SPACES, "")) > 0)
-    named = F.transform(F.transform(F.split(text, "\n", -1), _counts), _judged)
     # intermediate columns stand alone: inside a struct the optimiser would copy their expressions into every use
-    t = {k: f"__{out}_{k}" for k in ("w", "lines", "judged", "h", "s", "p")}
-    w, h, s = t["w"], t["h"], t["s"]
-    step = docs.withColumns({w: F.filter(F.split(text, f"{_SPACE}+"), lambda x: x != ""), t["lines"]: blank, t["judged"]: named})
-    hashed = ", ".join(f"{w}[i + {j}]" for j in range(8))
-    step = step.withColumn(h, F.expr(f"case when size({w}) > 8 then transform(sequence(0, size({w}) - 8), i -> xxhash64({hashed})) else array() end").cast("array<bigint>"))
+    t = {k: f"__{out}_{k}" for k in ("w", "lines", "judged", "g", "h", "s", "p", "n_symbols")}
+    w, g, h, s = t["w"], t["g"], t["h"], t["s"]
+    step = docs.withColumns({w: F.filter(F.split(text, f"{_SPACE}+"), lambda x: x != ""), t["n_symbols"]: (F.length(text) - F.length(F.translate(text, _SYMBOLS, ""))).cast("long")})
+    step = step.withColumn(t["judged"], F.transform(F.transform(F.split(text, "\n", -1), lambda x: _counts(x, F.col(t["n_symbols"]) > 0)), _judged))
+    step = step.withColumn(t["lines"], F.expr(f"transform(filter({t['judged']}, x -> x.n > 0), x -> x.line)"))
+    hashed = lambda size: ", ".join(f"{w}[i + {j}]" for j in range(size))
+    every = lambda size: f"transform(sequence(0, size({w}) - {size}), i -> xxhash64({hashed(size)}))"
+    # two equal windows of eight words hold two equal ones of four, which are cheaper to look for
+    step = step.withColumn(g, F.expr(f"case when size({w}) > 8 then {every(4)} else array() end").cast("array<bigint>"))
+    step = step.withColumn(h, F.expr(f"case when size(array_distinct({g})) < size({g}) then {every(8)} else array() end").cast("array<bigint>"))
     # only a text with two windows of one hash can repeat a window; those are compared as texts
     windows = f"array_sort(transform(sequence(1, size({w}) - 7), i -> struct(array_join(slice({w}, i, 8), ' ') as s, i as p)))"
     step = step.withColumn(s, F.expr(f"case when size(array_distinct({h})) < size({h}) then {windows} else array() end"))
@@ -100,12 +103,13 @@ def annotate(docs: DataFrame, text_col: str = "text", out: str = "quality", max_
     values = {
         "n_words": F.size(w).cast("long"),
         "word_chars": F.length(F.translate(text, _SPACES, "")).cast("long"),
-        "n_symbols": (F.length(text) - F.length(F.translate(text, _SYMBOLS, ""))).cast("long"),
+        "n_symbols": F.col(t["n_symbols"]),
         "n_dup_lines": F.expr(f"cast(size({t['lines']}) - size(array_distinct({t['lines']})) as bigint)"),
         "n_repeat_words": F.expr(covered),
         "n_lost_words": F.expr(f"aggregate({t['judged']}, 0L, (a, x) -> a + if(x.rule is null, 0, x.n))"),
         "clean_text": F.expr(f"array_join(transform(filter({t['judged']}, x -> x.rule is null), x -> x.line), '\n')"),
     }
+    t.pop("n_symbols")
     step = step.withColumns({f"__{out}_{k}": v for k, v in values.items()})
     q = {k: F.col(f"__{out}_{k}") for k in values}
     failed = (q["n_words"] < 20) | (q["n_repeat_words"] * 100 > q["n_words"] * 30)
