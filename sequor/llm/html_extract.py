@@ -241,7 +241,11 @@ def templates(parsed: DataFrame, min_pages: int, min_share: float) -> DataFrame:
     rows = F.broadcast(rows) if rows.count() <= BROADCAST_PAGES else rows
     held = parsed.select("row", "host_key", "section_key", "subtrees").join(rows, "row")
     each = held.select("host_key", "section_key", F.explode(F.array_distinct(F.transform("subtrees", lambda s: F.struct(s["in_host"], s["in_section"], s["inside"])))).alias("s"))
-    counts = each.groupBy("host_key", "section_key", "s.in_host", "s.in_section", "s.inside").agg(F.count("*").alias("n"))
+    each = each.select("host_key", "section_key", "s.*")
+    # most subtrees are on one page: they travel as one number and no further
+    often = materialize(each.groupBy("in_host").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages).select("in_host"), "often")
+    often = F.broadcast(often) if often.count() <= BROADCAST_TEMPLATES else often
+    counts = each.join(often, "in_host").groupBy("host_key", "section_key", "in_host", "in_section", "inside").agg(F.count("*").alias("n"))
     counts = materialize(counts, "subtrees")
 
     def recurring(by: str, key: str) -> DataFrame:
