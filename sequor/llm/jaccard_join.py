@@ -245,7 +245,7 @@ class Forest:
 def divide_skip(sets: list[np.ndarray], percent: int, queries: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links that span every component of the similarity graph over ``sets`` (sorted arrays).
 
-    With ``queries`` (a mask), only pairs with at least one query are searched.
+    With ``queries`` (a mask), only links with at least one query are searched.
     Short lists are merged as sorted runs; ``L`` follows
     ``T / (mu * log2(longest) + 1)``.
     """

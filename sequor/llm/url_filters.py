@@ -70,7 +70,7 @@ def page_links(pages: DataFrame) -> DataFrame:
 
 
 def rule_table(spark: SparkSession, rules: Iterable[tuple[str, str]]) -> DataFrame:
-    """``(verdict, rule)`` pairs, such as ``("block", "com/en/")``, as a table for :func:`judge`."""
+    """``(verdict, rule)`` rows, such as ``("block", "com/en/")``, as a table for :func:`judge`."""
     return spark.createDataFrame(list(rules), "verdict string, rule string").select(
         "verdict",
         "rule",
