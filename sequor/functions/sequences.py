@@ -120,7 +120,7 @@ def signature(sequences: pd.Series) -> pd.Series:
 
 
 def align_batch(references: list[str], queries: list[str]) -> np.ndarray:
-    """Global alignments of pairs: score, matches, columns and residue columns, pairs side by side.
+    """Global alignments of twos: score, matches, columns and residue columns, all side by side.
 
     Match 2, conservative 1, mismatch -1, gap -2; ties prefer diagonal, then a
     gap in the query, then one in the reference.  Cells of an antidiagonal are
@@ -173,15 +173,15 @@ _ALIGNED = StructType([StructField(n, IntegerType()) for n in ("score", "matches
 
 
 @F.pandas_udf(_ALIGNED)
-def align(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-    """Alignment counts of (reference, query) columns; pairs of like length are aligned side by side."""
-    for refs, ques in pairs:
+def align(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    """Alignment counts of (reference, query) columns; those of like length are aligned side by side."""
+    for refs, ques in batches:
         refs, ques = refs.fillna("").tolist(), ques.fillna("").tolist()
         order = sorted(range(len(refs)), key=lambda i: (len(refs[i]), len(ques[i])))
         out = np.zeros((len(refs), 4), dtype=np.int32)
         at = 0
         while at < len(order):
-            # pairs are as many as keep an antidiagonal small
+            # as many at a time as keep an antidiagonal small
             part = order[at : at + max(1, 40_000 // (len(refs[order[at]]) + 1))]
             at += len(part)
             out[part] = align_batch([refs[i] for i in part], [ques[i] for i in part])

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from sequor.functions import sequences as S
 from sequor.operators.components import connected_components
-from sequor.operators.similarity import LEAST_LENGTH, capped, signatures
+from sequor.operators.similarity import LEAST_LENGTH, MOST_POSTINGS, signatures
+from sequor.operators.storage import materialize
 
 LEVELS = (99, 95, 90)
 LEAST_SHARED = 5
@@ -21,21 +22,23 @@ def in_scope(rows: DataFrame, fields: tuple[str, ...], id_col: str = "id") -> Da
 
 
 def edges(rows: DataFrame, fields: tuple[str, ...] = ("heavy",), id_col: str = "id") -> DataFrame:
-    """``(a, b, identity)`` of near pairs: 5 shared hashes on every field, 90 % edit identity and coverage, a < b.
+    """``(a, b, identity)`` of near chains: 5 shared hashes on every field, 90 % edit identity and coverage, a < b.
 
-    Equal chains are one class from the start, so copies make no pairs.  The
+    Equal chains are one class from the start, so copies make no edges.  The
     posting cap counts records, copies included, and only the first field's.
     """
     every = in_scope(rows, fields, id_col)
-    classes = every.groupBy(*fields).agg(F.min("id").alias("id"))
-    marks = capped(signatures(every, fields[0]))
-    first = marks.join(classes.select("id"), "id", "left_semi")
+    classes = materialize(every.groupBy(*fields).agg(F.min("id").alias("id"), F.count("*").alias("copies")), "classes")
+    # signatures are made once for each class and weigh as many records as it has
+    marks = materialize(signatures(classes, fields[0]).join(classes.select("id", "copies"), "id"), "marks")
+    often = marks.groupBy("hash").agg(F.sum("copies").alias("n")).where(F.col("n") > MOST_POSTINGS)
+    first = materialize(marks.join(often, "hash", "left_anti").select("hash", "id"), "marks")
     # copies share all hashes, so a pair of classes shares what its least ids do
-    pairs = first.alias("l").join(first.alias("r"), (F.col("l.hash") == F.col("r.hash")) & (F.col("l.id") < F.col("r.id")))
-    pairs = pairs.groupBy(F.col("l.id").alias("a"), F.col("r.id").alias("b")).agg(F.count("*").alias("shared")).where(F.col("shared") >= LEAST_SHARED)
+    couples = first.alias("l").join(first.alias("r"), (F.col("l.hash") == F.col("r.hash")) & (F.col("l.id") < F.col("r.id")))
+    couples = couples.groupBy(F.col("l.id").alias("a"), F.col("r.id").alias("b")).agg(F.count("*").alias("shared")).where(F.col("shared") >= LEAST_SHARED)
     left = classes.select(F.col("id").alias("a"), *[F.col(f).alias(f"{f}_a") for f in fields])
     right = classes.select(F.col("id").alias("b"), *[F.col(f).alias(f"{f}_b") for f in fields])
-    both = pairs.join(left, "a").join(right, "b")
+    both = couples.join(left, "a").join(right, "b")
     for f in fields[1:]:
         both = both.where(F.size(F.array_intersect(S.signature(f"{f}_a"), S.signature(f"{f}_b"))) >= LEAST_SHARED)
     scores = [S.edit_identity(f"{f}_a", f"{f}_b") for f in fields]
@@ -69,7 +72,7 @@ def lookup(members: DataFrame, ids: DataFrame, most: int = 100) -> DataFrame:
 def redundancy(rows: DataFrame, mode: str, id_col: str = "id", order: str = "ord", records: DataFrame | None = None) -> DataFrame:
     """``(id, kept_id)`` of a selection under a mode; a discarded row names the row that stands for it.
 
-    Modes: entities (all), source_records (rows of ``records``), unique_pairs,
+    Modes: entities (all), source_records (rows of ``records``), unique_chains,
     and cluster_99, cluster_95, cluster_90 over the paired scope where both
     chains are there, else heavy.
     """
@@ -80,12 +83,12 @@ def redundancy(rows: DataFrame, mode: str, id_col: str = "id", order: str = "ord
         if records is None:
             raise ValueError("source_records needs the table of records")
         return base.join(records.select(F.col(id_col).alias("id"), "source", "record_id").distinct(), "id").select(F.concat_ws(":", "id", "source", "record_id").alias("id"), F.concat_ws(":", "id", "source", "record_id").alias("kept_id"))
-    if mode == "unique_pairs":
+    if mode == "unique_chains":
         keyed = base.withColumn("key", F.when((F.col("heavy") != "") | (F.col("light") != ""), F.sha2(F.concat_ws("|", "heavy", "light"), 256)).otherwise(F.col("id").cast("string")))
     else:
         level = int(mode.removeprefix("cluster_"))
-        pairs, heavy = clusters(rows.where("light <> ''"), level, ("heavy", "light"), id_col), clusters(rows.where("light = ''"), level, ("heavy",), id_col)
-        member = pairs.union(heavy)
+        couples, heavy = clusters(rows.where("light <> ''"), level, ("heavy", "light"), id_col), clusters(rows.where("light = ''"), level, ("heavy",), id_col)
+        member = couples.union(heavy)
         keyed = base.join(member.select("id", F.col("representative_id").cast("string").alias("rep")), "id", "left").withColumn("key", F.coalesce("rep", F.col("id").cast("string")))
     first = F.first("id").over(Window.partitionBy("key").orderBy("ord", "id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     return keyed.select("id", first.alias("kept_id"))

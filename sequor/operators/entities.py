@@ -74,8 +74,8 @@ def source_records(observations: DataFrame, key: str = "antibody_id", order: tup
 
 def conflicts(observations: DataFrame, fields: tuple[str, ...] = ("vh_nt_source", "vl_nt_source"), key: str = "antibody_id", order: tuple[str, ...] = ("source_ord", "row_ord")) -> DataFrame:
     """Later values of a field that differ from the entity's first: each (field, value, source, record) once."""
-    pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in fields])
-    each = observations.select(key, "source", "record_id", F.struct(*order).alias("at"), F.explode(pairs).alias("p")).select(key, "source", "record_id", "at", "p.*").where("value <> ''")
+    values = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in fields])
+    each = observations.select(key, "source", "record_id", F.struct(*order).alias("at"), F.explode(values).alias("p")).select(key, "source", "record_id", "at", "p.*").where("value <> ''")
     first = each.groupBy(key, "field").agg(F.min_by("value", "at").alias("existing_value"))
     return (
         each.join(first, [key, "field"])

@@ -16,13 +16,31 @@ LEAST_RATIO = 0.65
 LEAST_LENGTH = 40
 
 
+def _pieces(length: str, text: str, edits: str, shift: str) -> str:
+    """SQL of the pieces of ``text`` that stand where those of a region of ``length`` would, ``shift`` apart."""
+    at, end = f"(i * {length}) div ({edits} + 1)", f"((i + 1) * {length}) div ({edits} + 1)"
+    return f"struct(cast({length} as int) as len, {edits} as edits, i, substr({text}, {at} + {shift} + 1, {end} - {at}) as piece)"
+
+
 def near_regions(queries: DataFrame, regions: DataFrame, near: bool = True) -> DataFrame:
-    """``(query, sequence, distance)``: distinct regions within the edits allowed, of length one apart at most."""
-    asked = queries.select("query").distinct().select("query", F.explode(F.array(*[F.length("query") + d for d in (-1, 0, 1)])).alias("len")).where("len > 0")
-    held = regions.select("sequence").distinct().withColumn("len", F.length("sequence"))
-    most = S.near_threshold(F.length("query")) if near else F.lit(0)
-    out = asked.join(held, "len").withColumn("distance", F.levenshtein("query", "sequence", 2))
-    return out.where((F.col("distance") >= 0) & (F.col("distance") <= most)).select("query", "sequence", F.col("distance").cast("long"))
+    """``(query, sequence, distance)``: distinct regions within the edits allowed, of length one apart at most.
+
+    Of ``t + 1`` pieces of a region, ``t`` edits leave one whole, shifted by at
+    most ``t``; only regions that share such a piece with the query are compared.
+    """
+    asked = queries.select("query").distinct().where("query <> ''")
+    held = regions.select("sequence").distinct()
+    if not near:
+        return asked.join(held, asked["query"] == held["sequence"]).select("query", "sequence", F.lit(0).cast("long").alias("distance"))
+    asked = asked.withColumn("t", S.near_threshold(F.length("query")))
+    own = f"transform(sequence(0, t), i -> {_pieces('length(sequence)', 'sequence', 't', '0')})"
+    held_keys = held.select("sequence", F.explode(F.array(F.lit(1), F.lit(2))).alias("t")).select("sequence", F.explode(F.expr(own)).alias("k"))
+    shifted = f"""flatten(transform(filter(sequence(length(query) - 1, length(query) + 1), n -> n > 0), n -> flatten(transform(sequence(0, t), i ->
+        transform(filter(sequence(-t, t), d -> (i * n) div (t + 1) + d >= 0 and ((i + 1) * n) div (t + 1) + d <= length(query)), d -> {_pieces('n', 'query', 't', 'd')})))))"""
+    asked_keys = asked.select("query", F.explode(F.array_distinct(F.expr(shifted))).alias("k"))
+    met = asked_keys.join(held_keys, "k").select("query", "sequence").distinct()
+    out = met.withColumn("distance", F.levenshtein("query", "sequence", 2))
+    return out.where((F.col("distance") >= 0) & (F.col("distance") <= S.near_threshold(F.length("query")))).select("query", "sequence", F.col("distance").cast("long"))
 
 
 def signatures(rows: DataFrame, field: str, id_col: str = "id") -> DataFrame:

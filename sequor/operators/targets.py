@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sequor.functions import relations as R
 from sequor.functions import text as T
+from sequor.operators.storage import materialize
 
 PAGE_SIZE = 100
 MOST_TARGETS = 80
@@ -90,9 +91,18 @@ def results(claims: DataFrame) -> DataFrame:
 
 
 def paged(rows: DataFrame, name: str = "name", size: int = PAGE_SIZE) -> DataFrame:
-    """Position and page within (target, family): by score, then folded name, then id."""
-    order = Window.partitionBy("target_id", "family").orderBy(F.desc("rank_score"), F.lower(name), "antibody_id")
-    out = rows.withColumn("position", F.row_number().over(order))
+    """Position and page within (target, family): by score, then folded name, then id.
+
+    Rows are numbered within slices of equal score and first letters, and slices
+    start where those before them end, so a target of very many rows is spread.
+    """
+    part = ["target_id", "family", "rank_score", "_head"]
+    out = rows.withColumn("_head", F.substring(F.lower(F.coalesce(name, F.lit(""))), 1, 2))
+    before = Window.partitionBy("target_id", "family").orderBy(F.desc("rank_score"), "_head").rowsBetween(Window.unboundedPreceding, -1)
+    slices = out.groupBy(part).agg(F.count("*").alias("_n")).withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    out = out.join(slices.select(*part, "_start"), part)
+    own = F.row_number().over(Window.partitionBy(*part).orderBy(F.lower(name), "antibody_id"))
+    out = out.withColumn("position", (F.col("_start") + own).cast("int")).select(*rows.columns, "position")
     return out.withColumn("page", F.ceil(F.col("position") / size).cast("long"))
 
 
@@ -125,25 +135,28 @@ def antibody_targets(claims: DataFrame, most: int = MOST_TARGETS) -> DataFrame:
 
 
 def descendants(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """``(root, id, depth)`` below each root of a ``(parent, id)`` tree; cycles end where a path repeats."""
-    spark = edges.sparkSession
-    edges.createOrReplaceTempView("sequor_edges")
-    roots.select(F.col(roots.columns[0]).alias("root")).createOrReplaceTempView("sequor_roots")
-    return spark.sql(
-        """WITH RECURSIVE down(root, id, depth, path) AS (
-             SELECT r.root, e.id, 1, array(e.id) FROM sequor_roots r JOIN sequor_edges e ON e.parent = r.root
-             UNION ALL
-             SELECT d.root, e.id, d.depth + 1, array_append(d.path, e.id) FROM down d JOIN sequor_edges e ON e.parent = d.id
-             WHERE NOT array_contains(d.path, e.id))
-           SELECT root, id, min(depth) AS depth FROM down GROUP BY root, id"""
-    )
+    """``(root, id, depth)`` below each root of a ``(parent, id)`` tree, by levels; a cycle ends where nothing new is met.
+
+    A root that lies on a cycle is below itself.  Each level is one join with
+    the edges, kept in the shared folder.
+    """
+    roots = roots.select(F.col(roots.columns[0]).alias("root")).distinct()
+    steps = edges.select("parent", "id").distinct()
+    level = materialize(roots.join(steps, roots.root == steps.parent).select("root", "id").distinct().withColumn("depth", F.lit(1)), "level")
+    found = level
+    while level.limit(1).count():
+        depth = level.first()["depth"] + 1
+        below = level.select("root", F.col("id").alias("parent")).join(steps, "parent").select("root", "id").distinct()
+        level = materialize(below.join(found, ["root", "id"], "left_anti").withColumn("depth", F.lit(depth)), "level")
+        found = found.union(level)
+    return found
 
 
 def review_candidates(claims: DataFrame, most_targets: int = 20, limit: int = REVIEW_LIMIT) -> DataFrame:
-    """Target pairs that share antibodies, for review: overlap 2 at least, and Jaccard .45 or containment .8."""
+    """Targets that share antibodies, two by two, for review: overlap 2 at least, and Jaccard .45 or containment .8."""
     direct = claims.where(R.family("relationship") == "direct").select("antibody_id", "target_id", "target_name").distinct()
     sizes = direct.groupBy("target_id").agg(F.count_distinct("antibody_id").alias("n"), F.min("target_name").alias("name"))
-    # broad records are left out before the self-join, so that no antibody makes more than 190 pairs
+    # broad records are left out before the self-join, so that no antibody makes more than 190 couples
     fit = direct.groupBy("antibody_id").agg(F.array_sort(F.collect_set("target_id")).alias("t")).where(F.size("t").between(2, most_targets))
     left = fit.select("t", F.posexplode("t").alias("i", "a")).select("a", F.explode(F.expr("slice(t, i + 2, size(t))")).alias("b"))
     overlap = left.groupBy("a", "b").agg(F.count("*").alias("overlap")).where("overlap >= 2")

@@ -130,8 +130,8 @@ def target_rollup(spark: SparkSession, d: str) -> DataFrame:
  SELECT target_id, array_to_string(list(relationship || ':' || n ORDER BY relationship), '|') AS relationships FROM h GROUP BY target_id""")
 def relationship_histogram(spark: SparkSession, d: str) -> DataFrame:
     h = targets.histogram(V.claims(spark, d))
-    pairs = F.transform(F.map_entries("relationships"), lambda e: F.concat_ws(":", e["key"], e["value"]))
-    return h.select("target_id", F.array_join(pairs, "|").alias("relationships"))
+    told = F.transform(F.map_entries("relationships"), lambda e: F.concat_ws(":", e["key"], e["value"]))
+    return h.select("target_id", F.array_join(told, "|").alias("relationships"))
 
 
 def _named_results(spark: SparkSession, d: str) -> DataFrame:
@@ -316,8 +316,8 @@ def similarity_candidates(spark: SparkSession, d: str) -> DataFrame:
 
 _EDGES = f"""{V.CHAINS}, {V.SIGNATURES}, scope AS (SELECT id, heavy FROM chains WHERE length(heavy) >= 40), classes AS (SELECT heavy, min(id) AS id FROM scope GROUP BY heavy),
  sig AS (SELECT s.id, hash FROM signatures s JOIN scope USING (id)), mark AS (SELECT hash, id FROM sig WHERE hash NOT IN (SELECT hash FROM sig GROUP BY hash HAVING count(*) > 250) AND id IN (SELECT id FROM classes)),
- pairs AS (SELECT l.id AS a, r.id AS b FROM mark l JOIN mark r ON l.hash = r.hash AND l.id < r.id GROUP BY ALL HAVING count(*) >= 5),
- side AS (SELECT a, b, x.heavy AS x, y.heavy AS y, greatest(length(x.heavy), length(y.heavy)) AS long, least(length(x.heavy), length(y.heavy)) AS short FROM pairs JOIN classes x ON a = x.id JOIN classes y ON b = y.id),
+ couples AS (SELECT l.id AS a, r.id AS b FROM mark l JOIN mark r ON l.hash = r.hash AND l.id < r.id GROUP BY ALL HAVING count(*) >= 5),
+ side AS (SELECT a, b, x.heavy AS x, y.heavy AS y, greatest(length(x.heavy), length(y.heavy)) AS long, least(length(x.heavy), length(y.heavy)) AS short FROM couples JOIN classes x ON a = x.id JOIN classes y ON b = y.id),
  near AS (SELECT a, b, long, levenshtein(x, y) AS e FROM side WHERE 100 * short / long + 1e-9 >= 90 AND long - short <= floor(long * 10 / 100 + 1e-9)),
  edges AS (SELECT a, b, round(100 * (long - e) / long, 4) AS identity FROM near WHERE e <= floor(long * 10 / 100 + 1e-9))"""
 
@@ -361,8 +361,8 @@ def cluster_lookup(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {V.CHAINS} SELECT id, CASE WHEN heavy <> '' OR light <> '' THEN min(id) OVER (PARTITION BY heavy, light) ELSE id END AS kept_id FROM chains""")
-def redundancy_unique_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return clusters.redundancy(V.chains(spark, d).withColumn("ord", F.col("id")), "unique_pairs")
+def redundancy_unique_chains(spark: SparkSession, d: str) -> DataFrame:
+    return clusters.redundancy(V.chains(spark, d).withColumn("ord", F.col("id")), "unique_chains")
 
 
 @query()

@@ -2,8 +2,10 @@
 
 ``spark.dataSource.register(PagedCsv)`` and then
 ``spark.read.format("paged_csv").schema(...).option("url", "file:///x/page-{page}.csv")``.
-Pages are read until one has fewer rows than ``page_size``; their headers must
-agree, and more than ``max_pages`` is an error.
+The driver finds the last page, the first of fewer rows than ``page_size``, unless
+``pages`` says how many there are.  A page that cannot be read, a changed header, a
+short page before the last and more than ``max_pages`` pages are errors, so a table
+is whole or not there.
 """
 
 from __future__ import annotations
@@ -55,32 +57,50 @@ def _url(options: dict, page: int) -> str:
     return options["url"].format(page=page, limit=size, offset=page * size)
 
 
+def _rows(text: str) -> tuple[list[str] | None, Iterator[list[str]]]:
+    rows = csv.reader(io.StringIO(text))
+    return next(rows, None), rows
+
+
+class _Page(InputPartition):
+    def __init__(self, value: int, last: bool) -> None:
+        super().__init__(value)
+        self.last = last
+
+
 class _Reader(DataSourceReader):
     def __init__(self, schema, options: dict) -> None:
         self.columns = [f.name for f in schema]
         self.options = options
+        self.size = int(options.get("page_size", PAGE_SIZE))
+        self.most = int(options.get("max_pages", MAX_PAGES))
+
+    def _page(self, page: int) -> tuple[list[str] | None, Iterator[list[str]]]:
+        return _rows(fetch(_url(self.options, page), int(self.options.get("attempts", ATTEMPTS))))
 
     def partitions(self) -> list[InputPartition]:
-        """One for each page that the endpoint says it has (``pages``), else as many as are allowed."""
-        return [InputPartition(p) for p in range(int(self.options.get("pages", MAX_PAGES)))]
+        """One for each page."""
+        if "pages" in self.options:
+            n = int(self.options["pages"])
+        else:
+            n = 1
+            while sum(1 for _ in self._page(n - 1)[1]) >= self.size:
+                n += 1
+                if n > self.most + 1:
+                    break
+        if n > self.most:
+            raise ValueError(f"more than {self.most} pages")
+        return [_Page(p, p == n - 1) for p in range(n)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        page, size = partition.value, int(self.options.get("page_size", PAGE_SIZE))
-        try:
-            text = fetch(_url(self.options, page), int(self.options.get("attempts", ATTEMPTS)))
-        except OSError:
-            if page and "pages" not in self.options:
-                return  # past the last page
-            raise
-        rows = csv.reader(io.StringIO(text))
-        header = next(rows, None)
-        if header is None:
+        header, rows = self._page(partition.value)
+        if header is None and partition.last and partition.value:
             return
         if header != self.columns:
-            raise ValueError(f"page {page}: the header changed")
+            raise ValueError(f"page {partition.value}: the header changed")
         n = 0
         for row in rows:
             n += 1
             yield tuple(row)
-        if n > size:
-            raise ValueError(f"page {page} has more than {size} rows")
+        if n > self.size or n < self.size and not partition.last:
+            raise ValueError(f"page {partition.value} has {n} rows, not {self.size}")

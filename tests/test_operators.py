@@ -57,7 +57,7 @@ def test_cluster_lookup_reports_single_entities(spark):
     assert got[3] == (3, [1, 2, 3]) and got[4] == (1, [4])
 
 
-@pytest.mark.parametrize("mode, kept", [("entities", 5), ("unique_pairs", 4), ("cluster_95", 3)])
+@pytest.mark.parametrize("mode, kept", [("entities", 5), ("unique_chains", 4), ("cluster_95", 3)])
 def test_redundancy_modes(spark, mode, kept):
     got = clusters.redundancy(chain_rows(spark), mode)
     assert got.count() == 5 and got.select("kept_id").distinct().count() == kept
