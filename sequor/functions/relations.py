@@ -55,10 +55,23 @@ def metric(response: Column | str) -> Column:
     return out.otherwise("")
 
 
+# Words that tell a binding method, as sequences of words of a method or response.
+BINDING_METHODS = ("surface plasmon", "biolayer interferometry", "spr", "bli", "elisa")
+
+
+def _spaced(c: Column) -> Column:
+    """Lower-cased words with one blank around each."""
+    return F.concat(F.lit(" "), F.regexp_replace(F.lower(c), r"[^a-z0-9_]+", " "), F.lit(" "))
+
+
 def is_binding_assay(method: Column | str, response: Column | str, metric_: Column) -> Column:
-    """Affinity metrics and recognisable binding methods only."""
-    told = F.lower(F.concat_ws(" ", fold_missing(method), fold_missing(response)))
-    return metric_.isin("KD", "KON", "KOFF") | told.rlike(r"surface\s+plasmon|\bspr\b|biolayer\s+interferometry|\bbli\b|binding|\belisa\b")
+    """Affinity metrics, and methods or responses that name a binding method or speak of binding."""
+    told = F.concat_ws(" ", fold_missing(method), fold_missing(response))
+    out = metric_.isin("KD", "KON", "KOFF") | F.lower(told).contains("binding")
+    for words in BINDING_METHODS:
+        # phrases may stand within longer words, abbreviations may not
+        out = out | (F.regexp_replace(F.lower(told), r"\s+", " ").contains(words) if " " in words else _spaced(told).contains(f" {words} "))
+    return out
 
 
 def chain_role(c: Column | str) -> Column:
@@ -69,27 +82,25 @@ def chain_role(c: Column | str) -> Column:
 def epitope_targets(virus: Column | str, epitope: Column | str) -> Column:
     """``array<struct<target, origin>>``: the virus, and what the epitope of a SARS-CoV-2 entry asserts.
 
-    Negated mentions of the RBD are taken out before a positive one is looked for.
+    The epitope is read as words.  A word after NON asserts nothing; an RBD that
+    is asserted and denied at once only asserts the spike, as ambiguous.
     """
-    v = F.replace(fold_missing(virus), F.lit("_"), F.lit(" "))
-    note = F.trim(F.regexp_replace(F.upper(fold_missing(epitope)), "[^A-Z0-9]+", " "))
-    negated = note.rlike(r"\bNON\s+RBD\b")
-    positive = F.regexp_replace(note, r"\bNON\s+RBD\b", " ").rlike(r"\bRBD\b")
-    ntd = note.rlike(r"\bNTD\b")
-    broad = note.rlike(r"\bS\b|\bS1\b|\bSPIKE\b|\bNTD\b") | positive
-    ours = F.upper(v).rlike("SARS-COV-?2")
-    one = lambda target, origin: F.struct(target.alias("target"), origin.alias("origin"))
-    narrow = F.when(positive & ~negated, "SARS-CoV-2 RBD").when(ntd, "SARS-CoV-2 NTD")
-    return F.array_distinct(
-        F.filter(
-            F.array(
-                one(v, F.lit("source")),
-                one(F.when(ours, narrow), F.lit("source_epitope")),
-                one(F.when(ours & broad, F.lit("SARS-CoV-2 Spike")), F.when(positive & negated, "ambiguous_epitope").otherwise("derived_hierarchy")),
-            ),
-            lambda x: x["target"].isNotNull(),
-        )
+    name = F.translate(fold_missing(virus), "_", " ")
+    words = F.filter(F.split(F.upper(fold_missing(epitope)), "[^A-Z0-9]+"), lambda w: w != "")
+    before = F.concat(F.array(F.lit("")), words)
+    denied = lambda w, i: (w == "RBD") & (F.element_at(before, i + 1) == "NON")
+    state = F.struct(
+        F.filter(words, lambda w, i: ~denied(w, i)).alias("said"),
+        F.exists(F.transform(words, denied), lambda x: x).alias("denies"),
     )
+    said = lambda *any_: F.arrays_overlap(state["said"], F.array(*map(F.lit, any_)))
+    covid = F.upper(name).contains("SARS-COV2") | F.upper(name).contains("SARS-COV-2")
+    entry = lambda target, origin: F.struct(F.lit(target).alias("target"), origin.alias("origin"))
+    none = F.array().cast("array<struct<target:string,origin:string>>")
+    domain = F.when(said("RBD") & ~state["denies"], F.array(entry("SARS-CoV-2 RBD", F.lit("source_epitope")))).when(said("NTD"), F.array(entry("SARS-CoV-2 NTD", F.lit("source_epitope")))).otherwise(none)
+    whole = F.when(said("S", "S1", "SPIKE", "NTD", "RBD"), F.array(entry("SARS-CoV-2 Spike", F.when(said("RBD") & state["denies"], "ambiguous_epitope").otherwise("derived_hierarchy")))).otherwise(none)
+    asserted = F.when(covid, F.concat(domain, whole)).otherwise(none)
+    return F.array_distinct(F.concat(F.array(F.struct(name.alias("target"), F.lit("source").alias("origin"))), asserted))
 
 
 def virus_entity(c: Column | str) -> Column:
@@ -104,7 +115,7 @@ def virus_entity(c: Column | str) -> Column:
     return F.when(F.size(parts) > 0, F.struct(whole.alias("target"), clean.alias("note"))).otherwise(F.struct(clean.alias("target"), F.lit("").alias("note")))
 
 
-def reported_origin(c: Column | str) -> Column:
-    """human, mouse, other or unknown, by the first rule that fits."""
-    t = F.lower(F.coalesce(_col(c), F.lit("")))
+def reported_origin(c: Column | str, genetics: Column | str | None = None) -> Column:
+    """human, mouse, other or unknown, by the first rule that fits what organism and genetics tell."""
+    t = F.lower(F.concat_ws(" ", _col(c), *([] if genetics is None else [_col(genetics)])))
     return F.when(F.trim(t) == "", "unknown").when(t.rlike("human|homo sapiens"), "human").when(t.rlike("mouse|murine|mus musculus"), "mouse").otherwise("other")

@@ -61,6 +61,56 @@ def merge_tiers(observations: DataFrame, key: str = "antibody_id") -> DataFrame:
     return sets.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("tier", "ids")))).alias("structure_tiers"))
 
 
+def merge_contexts(observations: DataFrame, field: str, key: str = "antibody_id", order: tuple[str, ...] = ("source_ord", "row_ord")) -> DataFrame:
+    """``(key, field s)``: an entity's constructs or arms, distinct by id, the first description of each, in order of arrival."""
+    each = observations.where(F.col(f"{field}_id") != "").select(key, F.col(f"{field}_id").alias("id"), F.struct(*order).alias("at"), F.coalesce(F.try_element_at("metadata", F.lit("target_assignment_status")), F.lit("")).alias("status"))
+    first = each.groupBy(key, "id").agg(F.min("at").alias("at"), F.min_by("status", "at").alias("status"))
+    listed = F.array_sort(F.collect_list(F.struct("at", "id", "status")))
+    return first.groupBy(key).agg(F.transform(listed, lambda x: F.struct(x["id"].alias("id"), x["status"].alias("target_assignment_status"))).alias(f"{field}s"))
+
+
+def nucleotide_records(observations: DataFrame, key: str = "antibody_id", order: tuple[str, ...] = ("source_ord", "row_ord"), scope: str = "nucleotide_scope") -> DataFrame:
+    """``(key, source, source_record_id, chain, sequence, scope, source_field)``: distinct source nucleotides of an entity, first ones kept."""
+    told = F.col(scope) if scope in observations.columns else F.lit("unknown")
+    each = F.array(*[F.struct(F.lit(c).alias("chain"), F.col(f).alias("sequence"), F.lit(f).alias("source_field")) for c, f in (("VH", "vh_nt_source"), ("VL", "vl_nt_source"))])
+    rows = observations.select(key, "source", F.col("record_id").alias("source_record_id"), F.coalesce(told, F.lit("unknown")).alias("scope"), *order, F.explode(each).alias("e")).select("*", "e.*").where("sequence <> ''")
+    kept = distinct_first(rows, (key, "source", "source_record_id", "chain", "sequence", "scope"), order)
+    return kept.select(key, "source", "source_record_id", "chain", "sequence", "scope", "source_field")
+
+
+def summaries(antibodies: DataFrame, id_col: str = "antibody_id", names: int = 6, structures: int = 12) -> DataFrame:
+    """The short form of an entity on result rows: the first aliases and structures, lengths and shard."""
+    tiers = F.coalesce("structure_tiers", F.create_map().cast("map<string,array<string>>"))
+    other = F.map_filter(tiers, lambda t, _: ~t.isin("100%", "exact", "exact_100"))
+    return antibodies.select(
+        id_col, "name", F.slice("aliases", 1, names).alias("aliases"), "organism", "format",
+        (F.col("heavy") != "").alias("has_heavy"), (F.col("light") != "").alias("has_light"), F.length("heavy").alias("heavy_length"), F.length("light").alias("light_length"),
+        F.slice("structures", 1, structures).alias("exact_structures"), F.transform_values(tiers, lambda _, v: F.slice(v, 1, structures)).alias("structure_tiers"),
+        F.slice(F.array_sort(F.array_distinct(F.flatten(F.map_values(other)))), 1, structures).alias("homologous_structures"),
+        "therapeutic_status", F.substring(id_col, 4, 2).alias("shard"),
+    )
+
+
+def structure_collections(tiers: Column | str, exact: Column | str, homologous: Column | str, legacy: Column | str) -> Column:
+    """``struct<exact, homologous, unknown>`` lists of structure ids.
+
+    Tiers, where there are any, are the only authority; else the lists are.  An
+    id takes its first tier that is not unknown.
+    """
+    c = lambda x: F.col(x) if isinstance(x, str) else x
+    none = F.array().cast("array<string>")
+    named = lambda values, tier: F.transform(F.coalesce(values, none), lambda v: F.struct(v.alias("id"), tier.alias("tier")))
+    number = lambda t: F.regexp_extract(t, r"^\s*([0-9]+(?:\.[0-9]+)?)", 1).try_cast("double")
+    tier_of = lambda t: F.when(number(t) == 100, "exact").when(number(t).isNotNull(), "homologous").otherwise("unknown")
+    tiered = F.flatten(F.transform(F.map_entries(F.coalesce(c(tiers), F.create_map().cast("map<string,array<string>>"))), lambda e: named(e["value"], tier_of(e["key"]))))
+    listed = F.concat(named(c(exact), F.lit("exact")), named(c(homologous), F.lit("homologous")), named(c(legacy), F.lit("unknown")))
+    every = F.filter(F.when(F.size(tiered) > 0, tiered).otherwise(listed), lambda x: x["id"] != "")
+    ids = F.array_distinct(F.transform(every, lambda x: x["id"]))
+    first = lambda i: F.coalesce(F.try_element_at(F.filter(every, lambda x: (x["id"] == i) & (x["tier"] != "unknown")), F.lit(1))["tier"], F.lit("unknown"))
+    of = lambda tier: F.filter(ids, lambda i: first(i) == tier).alias(tier)
+    return F.struct(*map(of, ("exact", "homologous", "unknown")))
+
+
 def source_records(observations: DataFrame, key: str = "antibody_id", order: tuple[str, ...] = ("source_ord", "row_ord")) -> DataFrame:
     """Distinct (source, record) of each entity, the first observation's details, and the record date that is filled first."""
     rank = F.row_number().over(Window.partitionBy(key, "source", "record_id").orderBy(*order))

@@ -186,3 +186,129 @@ def dispatch(heavy: str, light: str, mode: str) -> str:
     if mode in ("similarity", "cdr"):
         return "paired_similarity" if mode == "similarity" and heavy and light else mode
     return "paired" if heavy and light else "exact"
+
+
+def entity_terms(names: DataFrame, id_col: str = "id", optional: tuple[str, ...] = ("record_id", "therapeutic_name", "external_id")) -> DataFrame:
+    """``(id, raw)``: the name, aliases and optional fields of each entity that are filled, as stored."""
+    more = [F.col(c) for c in ("name", *optional) if c in names.columns]
+    every = F.concat(F.array(*more), F.coalesce("aliases", F.array().cast("array<string>")) if "aliases" in names.columns else F.array().cast("array<string>"))
+    return names.select(F.col(id_col).alias("id"), F.explode(every).alias("raw")).where("raw <> ''").distinct()
+
+
+def matched_name(name: Column | str, aliases: Column | str, query: Column) -> Column:
+    """The stored name or alias that a query equals; else the query; the name where nothing was asked."""
+    c = lambda x: F.col(x) if isinstance(x, str) else x
+    q = T.search_term(query, False)
+    hit = F.filter(F.concat(F.array(c(name)), c(aliases)), lambda v: T.search_term(v, False) == q)
+    return F.when(q == "", c(name)).otherwise(F.coalesce(F.try_element_at(hit, F.lit(1)), query))
+
+
+def search_rows(antibodies: DataFrame, lists: DataFrame, id_col: str = "antibody_id", most: int = 12) -> DataFrame:
+    """Rows for name search: the first aliases and targets, sources, and the buckets of all names."""
+    out = antibodies.join(lists, id_col, "left")
+    none = F.array().cast("array<string>")
+    first = lambda c: F.slice(F.coalesce(c, none), 1, most).alias(c)
+    buckets = F.array_sort(F.array_distinct(F.transform(F.filter(F.concat(F.array("name"), F.col("aliases")), lambda n: T.search_term(n, False) != ""), lambda n: T.search_bucket(T.search_term(n, False)))))
+    return out.select(id_col, "name", first("aliases"), "sources", first("direct_targets"), first("functional_targets"), ((F.col("heavy") != "") & (F.col("light") != "")).alias("paired"), F.explode(buckets).alias("bucket"))
+
+
+def exact_targets(targets: DataFrame, queries: DataFrame, unicode_: bool = True) -> DataFrame:
+    """``(query, target_id)`` of targets whose id, name, alias or outer id equals a query as a search term."""
+    every = F.concat(F.array("target_id", "name"), F.coalesce("aliases", F.array().cast("array<string>")), F.coalesce("external_ids", F.array().cast("array<string>")))
+    named = targets.select("target_id", F.explode(every).alias("raw")).select("target_id", T.search_term("raw", unicode_).alias("term")).where("term <> ''").distinct()
+    asked = queries.select("query", T.search_term("query", unicode_).alias("term")).where("term <> ''")
+    return asked.join(named, "term").select("query", "target_id").distinct()
+
+
+def resolve_target(targets: DataFrame, queries: DataFrame, unicode_: bool = True) -> DataFrame:
+    """``(query, target_id)``: the target of that id, else the one target with a name or alias of that key; several mean none."""
+    by_id = queries.select("query").join(targets.select("target_id"), F.col("query") == F.col("target_id"))
+    every = F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))
+    keyed = targets.select("target_id", F.explode(every).alias("raw")).select("target_id", T.target_key("raw", unicode_).alias("key")).where("key <> ''").distinct()
+    asked = queries.select("query", T.target_key("query", unicode_).alias("key")).join(by_id.select("query"), "query", "left_anti")
+    met = asked.join(keyed, "key").groupBy("query").agg(F.collect_set("target_id").alias("ids")).where(F.size("ids") == 1)
+    return by_id.union(met.select("query", F.element_at("ids", 1)))
+
+
+def resolution(targets: DataFrame, terms: DataFrame, queries: DataFrame, unicode_: bool = True) -> DataFrame:
+    """``(query, kind, target_ids, antibody_ids)`` of typed names: target, antibody, multiple or none; near names never count."""
+    t = exact_targets(targets, queries, unicode_).groupBy("query").agg(F.array_sort(F.collect_set("target_id")).alias("target_ids"))
+    a = exact_names(terms, queries, unicode_).select("query", F.col("ids").alias("antibody_ids"))
+    none = F.array().cast("array<string>")
+    both = queries.select("query").distinct().join(t, "query", "left").join(a, "query", "left").withColumns({"target_ids": F.coalesce("target_ids", none), "antibody_ids": F.coalesce("antibody_ids", none)})
+    n, m = F.size("target_ids"), F.size("antibody_ids")
+    return both.select("query", F.when(n + m == 0, "none").when(n + m > 1, "multiple").when(n == 1, "target").otherwise("antibody").alias("kind"), "target_ids", "antibody_ids")
+
+
+def suggest_targets(targets: DataFrame, query: str, limit: int = 12, least: int = 2) -> DataFrame:
+    """``(target_id, name, score)`` for a typed query: the best score of name and aliases, and the count up to 999."""
+    q = T.search_term(F.lit(query), False)
+    every = F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))
+    best = F.array_max(F.transform(every, lambda v: text_score(T.search_term(v, False), q)))
+    scored = targets.withColumn("best", best).where((F.col("best") > 0) & (F.length(q) >= least))
+    out = scored.select("target_id", "name", (F.col("best") + F.least("count", F.lit(999))).cast("long").alias("score"))
+    return out.orderBy(F.desc("score"), "name", "target_id").limit(limit)
+
+
+def page_family(asked: str, counts: DataFrame) -> DataFrame:
+    """``(target_id, family)``: the family of pages to read; positive ones where the asked has no count."""
+    have = F.col({"negative": "negative_pages", "functional": "functional_pages"}.get(asked, "direct_pages"))
+    return counts.select("target_id", F.when(have.isNotNull(), asked).otherwise("direct").alias("family"))
+
+
+def read_pages(pages: DataFrame, target_ids: DataFrame, family: str = "direct", page: int | None = None) -> DataFrame:
+    """Rows of a target's pages of one family: one page, or all."""
+    rows = pages.where(F.col("family") == family).join(target_ids.select(F.col(target_ids.columns[0]).alias("target_id")).distinct(), "target_id", "left_semi")
+    return rows if page is None else rows.where(F.col("page") == page)
+
+
+def target_view(pages: DataFrame, tree: DataFrame, target_id: str, family: str = "direct", include_descendants: bool = False, mode: str = "evidence", **wanted) -> DataFrame:
+    """A target's rows, with those of the targets below it if asked, merged by antibody, filtered and ranked."""
+    root = pages.sparkSession.createDataFrame([(target_id,)], "target_id string")
+    scope = root
+    if include_descendants:
+        scope = root.union(descendants(tree, root).select("id")).distinct()
+    rows = read_pages(pages, scope, family)
+    lists = {"relationships", "evidence", "sources"}
+    keep = [F.first(c).alias(c) for c in rows.columns if c not in lists | {"antibody_id", "target_id", "rank_score", "position", "page", "interactions"}]
+    union = [F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in sorted(lists)]
+    if "interactions" in rows.columns:
+        union.append(F.array_sort(F.array_distinct(F.flatten(F.collect_list("interactions")))).alias("interactions"))
+    merged = rows.groupBy("antibody_id").agg(*keep, *union, F.max("rank_score").alias("rank_score"))
+    return sort(filters(merged, **wanted), mode)
+
+
+def metrics(rows: DataFrame) -> DataFrame:
+    """One row over a view: results, those paired, with exact structures, and therapeutic."""
+    return rows.agg(F.count("*").alias("results"), F.count_if(F.col("has_heavy") & F.col("has_light")).alias("paired"), F.count_if("structure_exact").alias("structure_exact"), F.count_if(F.col("therapeutic_status") != "").alias("therapeutic"))
+
+
+def completeness(sources: DataFrame) -> DataFrame:
+    """One row over ``sources(source, ok)``: how many came, of how many, and whether that is all."""
+    out = sources.agg(F.count_if("ok").alias("ok"), F.count("*").alias("expected"))
+    return out.withColumn("complete", (F.col("expected") > 0) & (F.col("ok") == F.col("expected")))
+
+
+BROWSE = {
+    "count": lambda: (F.desc("result_count"), F.col("name"), F.col("target_id")),
+    "name": lambda: (F.col("name"), F.col("target_id")),
+    "sources": lambda: (F.desc(F.size("sources")), F.desc("result_count"), F.col("name"), F.col("target_id")),
+}
+
+
+def browse(targets: DataFrame, mode: str = "count", shown: int = 60) -> DataFrame:
+    """The first targets of a catalogue, by count, name or number of sources."""
+    return targets.orderBy(*BROWSE[mode]()).limit(shown)
+
+
+def toggled(current: str, asked: str) -> str:
+    """A quick filter after a click on it: off on the second."""
+    return "all" if current == asked else asked
+
+
+def deep_link(parameters: dict[str, str]) -> tuple[str, str, str]:
+    """``(kind, value, scope)`` that a link's parameters ask for: an antibody, else a target, else a text."""
+    for key, kind in (("ab", "antibody"), ("target", "target"), ("q", "text")):
+        if parameters.get(key):
+            return kind, parameters[key], "include_descendants" if kind == "target" and parameters.get("scope") == "descendants" else "exact"
+    return "none", "", "exact"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sequor.functions import sequences as S
@@ -74,6 +74,19 @@ def candidates(queries: DataFrame, postings: DataFrame, limit: int | None = None
     return out.withColumn("_r", rank).where(F.col("_r") <= limit).drop("_r")
 
 
+def with_exact(found: DataFrame, exact: DataFrame) -> DataFrame:
+    """Candidates and exact hits as one set; an exact hit shares the whole signature."""
+    hits = exact.select("query_id", "id", F.lit(S.SIGNATURE_SIZE).cast("long").alias("shared"))
+    return found.union(hits).groupBy("query_id", "id").agg(F.max("shared").alias("shared"))
+
+
+def ranked(hits: DataFrame, mode: str = "strict") -> DataFrame:
+    """Hits in the order of their mode: by identity and coverage, or by their product and the shared hashes."""
+    if mode == "strict":
+        return hits.orderBy("query_id", F.desc("identity"), F.desc("coverage"), "id")
+    return hits.orderBy("query_id", F.desc(F.col("identity") * F.col("coverage")), F.desc("shared"), "id")
+
+
 def similar(queries: DataFrame, rows: DataFrame, field: str, id_col: str = "id", mode: str = "strict") -> DataFrame:
     """``(query_id, id, shared, identity, coverage)`` of chains like each of ``queries(query_id, sequence)``.
 
@@ -87,8 +100,7 @@ def similar(queries: DataFrame, rows: DataFrame, field: str, id_col: str = "id",
     found = candidates(marks, postings, MOST_CANDIDATES if mode == "loose" else None)
     chains = rows.select(F.col(id_col).alias("id"), F.col(field).alias("chain")).where("chain <> ''")
     if mode == "loose":
-        exact = asked.join(chains, asked.sequence == chains.chain).select("query_id", "id", F.lit(S.SIGNATURE_SIZE).cast("long").alias("shared"))
-        found = found.union(exact).groupBy("query_id", "id").agg(F.max("shared").alias("shared"))
+        found = with_exact(found, asked.join(chains, asked.sequence == chains.chain).select("query_id", "id"))
     both = found.join(asked, "query_id").join(chains, "id")
     shorter, longer = F.least(F.length("sequence"), F.length("chain")), F.greatest(F.length("sequence"), F.length("chain"))
     # no alignment has more matches than the shorter chain or fewer columns than the longer one
@@ -101,14 +113,21 @@ def similar(queries: DataFrame, rows: DataFrame, field: str, id_col: str = "id",
     return out.where((F.col("identity") >= LEAST_IDENTITY) & (F.col("coverage") >= LEAST_COVERAGE))
 
 
+def pair_score(*sides: tuple[Column, Column]) -> Column:
+    """Mean of identity times coverage over chains, in percent."""
+    parts = [identity * coverage / 100 for identity, coverage in sides]
+    return sum(parts[1:], parts[0]) / len(parts)
+
+
 def paired_similar(queries: DataFrame, rows: DataFrame, id_col: str = "id", exclude_self: bool = False) -> DataFrame:
     """Ids like both chains of ``queries(query_id, heavy, light)`` of 40 residues at least, by mean of identity times coverage."""
     long_ = queries.where((F.length("heavy") >= LEAST_LENGTH) & (F.length("light") >= LEAST_LENGTH))
     sides = []
     for field in ("heavy", "light"):
         hit = similar(long_.select("query_id", F.col(field).alias("sequence")), rows, field, id_col, "loose")
-        sides.append(hit.select("query_id", "id", (F.col("identity") * F.col("coverage") / 100).alias(field)))
-    out = sides[0].join(sides[1], ["query_id", "id"]).select("query_id", "id", ((F.col("heavy") + F.col("light")) / 2).alias("similarity"))
+        sides.append(hit.select("query_id", "id", F.struct("identity", "coverage").alias(field)))
+    score = pair_score(*[(F.col(f"{f}.identity"), F.col(f"{f}.coverage")) for f in ("heavy", "light")])
+    out = sides[0].join(sides[1], ["query_id", "id"]).select("query_id", "id", score.alias("similarity"))
     return out.where("query_id <> id") if exclude_self else out
 
 
@@ -134,3 +153,25 @@ def recall(rows: DataFrame, field: str, levels: tuple[int, ...] = (100, 99, 95,
     for p in parts[1:]:
         out = out.union(p)
     return out.withColumn("recall", F.round(F.col("hits") / F.col("sample"), 4))
+
+
+def related(rows: DataFrame, entity, id_col: str = "id") -> DataFrame:
+    """Chains like those of one entity: of both where it has two long ones, else of the one it has; itself is left out."""
+    own = rows.where(F.col(id_col) == entity).select(F.col(id_col).alias("query_id"), "heavy", "light")
+    first = own.first()
+    if first is None:
+        raise ValueError(f"unknown entity {entity}")
+    long_ = [f for f in ("heavy", "light") if len(first[f] or "") >= LEAST_LENGTH]
+    if len(long_) == 2:
+        return paired_similar(own, rows, id_col, exclude_self=True)
+    if not long_:
+        return rows.sparkSession.createDataFrame([], f"query_id {dict(rows.dtypes)[id_col]}, id {dict(rows.dtypes)[id_col]}, similarity double")
+    hits = similar(own.select("query_id", F.col(long_[0]).alias("sequence")), rows, long_[0], id_col, "loose")
+    return hits.where("query_id <> id").select("query_id", "id", (F.col("identity") * F.col("coverage") / 100).alias("similarity"))
+
+
+def region_index(rows: DataFrame, fields: tuple[str, ...] = ("cdrh3", "cdrl3"), id_col: str = "id") -> DataFrame:
+    """``(field, len, sequence, ids)``: the dictionary of short regions by length."""
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("sequence")) for f in fields]))
+    flat = rows.select(F.col(id_col).alias("id"), each.alias("e")).where("e.sequence <> ''").select("id", "e.*")
+    return flat.groupBy("field", F.length("sequence").alias("len"), "sequence").agg(F.array_sort(F.collect_set("id")).alias("ids"))

@@ -55,6 +55,60 @@ def expand_terms(claims: DataFrame) -> DataFrame:
     return claims.withColumn("target_raw", F.explode(F.filter(parts, lambda t: t != "")))
 
 
+def dispatch(claims: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Claims with their target: slash-separated synonyms of the therapeutic source go by group, all others whole."""
+    grouped = (F.col("source") == "therasabdab") & F.col("target_raw").contains("/")
+    whole = resolve(claims.where(~grouped), aliases)
+    return whole.unionByName(resolve_group(claims.where(grouped), aliases, unicode_=True).select(whole.columns))
+
+
+def entity_table(spark: SparkSession, entities: dict[str, dict]) -> DataFrame:
+    """``(canonical, kind, organism, identifiers, parent, relation)`` of a curated entity map."""
+    rows = [(k, e.get("kind", ""), (e.get("organism") or {}).get("name", ""), {n: str(v) for n, v in (e.get("identifiers") or {}).items()}, e.get("parent") or "", e.get("relation") or "related_to") for k, e in entities.items()]
+    return spark.createDataFrame(rows, "canonical string, kind string, organism string, identifiers map<string,string>, parent string, relation string")
+
+
+def with_entities(targets: DataFrame, entities: DataFrame, aliases: DataFrame, unicode_: bool = True) -> DataFrame:
+    """Targets with their curated entity (exact canonical names only), its parent where that is a target too, and children."""
+    small = F.broadcast(entities) if entities.count() <= BROADCAST_NAMES else entities
+    parents = resolve(entities.where("parent <> ''").select("parent").distinct(), aliases, "parent", unicode_).select("parent", F.col("target_id").alias("parent_id"))
+    known = targets.select(F.col("target_id").alias("parent_id"))
+    parents = parents.join(known, "parent_id", "left_semi")
+    out = targets.join(small, targets["name"] == small["canonical"], "left").drop("canonical")
+    out = out.join(F.broadcast(parents) if entities.count() <= BROADCAST_NAMES else parents, "parent", "left")
+    children = out.where("parent_id is not null").groupBy(F.col("parent_id").alias("target_id")).agg(F.array_sort(F.collect_set("target_id")).alias("children"))
+    out = out.join(children, "target_id", "left").withColumn("children", F.coalesce("children", F.array().cast("array<string>")))
+    return out.withColumn("relation", F.when(F.col("parent_id").isNotNull(), F.col("relation"))).drop("parent")
+
+
+def names_of(claims: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """``(target_id, aliases, external_ids)``: every raw and curated name of a target, by folded order, and its outer ids."""
+    held = claims.where(R.family("relationship") != "literature")
+    raw = held.select("target_id", F.col("target_raw").alias("alias"), F.col("canonical"))
+    each = raw.select("target_id", "alias").union(raw.select("target_id", "canonical"))
+    if aliases is not None:
+        listed = aliases.select("canonical", F.explode("aliases").alias("alias")).distinct()
+        each = each.union(raw.select("target_id", "canonical").distinct().join(listed, "canonical").select("target_id", "alias"))
+    folded = F.array_sort(F.collect_set(F.struct(F.lower("alias").alias("k"), F.col("alias").alias("a"))))
+    names = each.where("alias <> ''").groupBy("target_id").agg(F.transform(folded, lambda x: x["a"]).alias("aliases"))
+    outer = held.where("target_external_id <> ''").groupBy("target_id").agg(F.array_sort(F.collect_set("target_external_id")).alias("external_ids"))
+    return names.join(outer, "target_id", "left").withColumn("external_ids", F.coalesce("external_ids", F.array().cast("array<string>")))
+
+
+def interaction_lists(claims: DataFrame) -> DataFrame:
+    """``(target_id, family, antibody_id, interactions)``: the claims behind each result row, by id."""
+    held = claims.withColumn("family", R.family("relationship")).where(F.col("family").isin("direct", "functional", "negative"))
+    fields = [c for c in ("interaction_id", "relationship", "evidence", "source", "source_record_id", "target_raw", "epitope", "assay", "note", "reference", "record_url") if c in claims.columns]
+    return held.groupBy("target_id", "family", "antibody_id").agg(F.array_sort(F.collect_set(F.struct(*fields))).alias("interactions"))
+
+
+def evidence_lists(claims: DataFrame) -> DataFrame:
+    """Per antibody: names of direct and functional targets, of negative evidence and of literature mentions."""
+    held = claims.withColumn("family", R.family("relationship"))
+    names = lambda fam: F.array_sort(F.collect_set(F.when(F.col("family") == fam, F.col("target_name"))))
+    return held.groupBy("antibody_id").agg(names("direct").alias("direct_names"), names("functional").alias("functional_names"), names("negative").alias("negative_names"), names("literature").alias("literature_names"))
+
+
 def interaction_id(*parts: Column | str) -> Column:
     return F.concat(F.lit("ix_"), T.digest(*parts))
 

@@ -13,6 +13,8 @@ from sequor.operators.similarity import capped, signatures
 from sequor.operators.targets import descendants
 
 SCHEMA = "rule string, subject string, message string"
+# What a source nucleotide may cover.
+NUCLEOTIDE_SCOPES = ("variable_domain", "full_length_bcr", "unknown")
 
 
 def found(rows: DataFrame, rule: str, subject: Column | str, message: str) -> DataFrame:
@@ -41,8 +43,9 @@ def entities(antibodies: DataFrame) -> DataFrame:
         parts.append(found(antibodies.where(F.col("shard") != shard("antibody_id")), "V2", "antibody_id", "wrong shard"))
     if "direct_targets" in antibodies.columns:
         parts.append(found(antibodies.where("direct_targets is null"), "V3", "antibody_id", "no direct target list"))
-    if "heavy_length" in antibodies.columns:
-        parts.append(found(antibodies.where(F.length("heavy") != F.col("heavy_length")), "V3", "antibody_id", "heavy length differs"))
+    if "quality" in antibodies.columns:
+        again = S.quality("heavy", "light", F.col("quality.explicit_vhh"), F.col("quality.source_format_quarantined"), F.col("quality.source_nucleotide_available"))
+        parts.append(found(antibodies.where(F.to_json(again) != F.to_json("quality")), "V3", "antibody_id", "sequence quality differs"))
     return _union(parts)
 
 
@@ -51,7 +54,12 @@ def nucleotides(records: DataFrame, sources: DataFrame) -> DataFrame:
     bad = records.where(F.col("sequence").rlike("[^ACGTRYSWKMBDHVN]") | (F.col("sequence") == ""))
     keys = ["source", "source_record_id"]
     lost = records.join(sources.select("source", F.col("record_id").alias("source_record_id")).distinct(), keys, "left_anti")
-    return _union([found(bad, "V4", "source_record_id", "nucleotide alphabet"), found(lost, "V4", "source_record_id", "no source record")])
+    parts = [found(bad, "V4", "source_record_id", "nucleotide alphabet"), found(lost, "V4", "source_record_id", "no source record")]
+    if "scope" in records.columns:
+        parts.append(found(records.where(~F.col("scope").isin(*NUCLEOTIDE_SCOPES)), "V4", "source_record_id", "scope vocabulary"))
+    if "chain" in records.columns:
+        parts.append(found(records.where(~F.col("chain").isin("VH", "VL")), "V4", "source_record_id", "chain vocabulary"))
+    return _union(parts)
 
 
 def contexts(observations: DataFrame, claims: DataFrame) -> DataFrame:
@@ -59,6 +67,12 @@ def contexts(observations: DataFrame, claims: DataFrame) -> DataFrame:
     parts = [found(observations.where("link_scope = 'record' and record_url = ''"), "V5", "record_id", "record link without url")]
     unmapped = observations.where(F.try_element_at("metadata", F.lit("target_assignment_status")) == "unavailable_no_arm_mapping").select("antibody_id").distinct()
     parts.append(found(claims.join(unmapped, "antibody_id", "left_semi"), "V5", "antibody_id", "claim on an unassigned arm"))
+    if "construct_id" in observations.columns:
+        multi = observations.where(F.coalesce(F.try_element_at("metadata", F.lit("multispecific")), F.lit("")) != "")
+        parts.append(found(multi.where((F.col("construct_id") == "") | (F.col("arm_id") == "")), "V5", "record_id", "multispecific without construct or arm"))
+    if "chain_annotations" in observations.columns:
+        odd = observations.where(F.size(F.array_except(F.map_keys("chain_annotations"), F.array(F.lit("VH"), F.lit("VL")))) > 0)
+        parts.append(found(odd, "V5", "record_id", "chain annotations"))
     return _union(parts)
 
 
@@ -79,11 +93,14 @@ def pages(paged: DataFrame, claims: DataFrame, antibodies: DataFrame, size: int
 
 
 def measurements(rows: DataFrame) -> DataFrame:
-    """V7: vocabulary, finite values, and each (interaction, metric, assay) once."""
+    """V7: vocabulary, finite values, each (interaction, metric, assay) once, and assays that the interaction names."""
     bad = rows.where(~F.col("metric").isin(*R.METRICS) | ~F.col("qualifier").isin(*R.QUALIFIERS))
     wild = rows.where(F.isnan("value") | (F.abs("value") == float("inf")))
     twice = rows.groupBy("interaction_id", "metric", "assay_id", "raw_value").agg(F.count("*").alias("n")).where("n > 1")
-    return _union([found(bad, "V7", "interaction_id", "vocabulary"), found(wild, "V7", "interaction_id", "not finite"), found(twice, "V7", "interaction_id", "duplicate measurement")])
+    parts = [found(bad, "V7", "interaction_id", "vocabulary"), found(wild, "V7", "interaction_id", "not finite"), found(twice, "V7", "interaction_id", "duplicate measurement")]
+    if "assay_ids" in rows.columns:
+        parts.append(found(rows.where(~F.array_contains("assay_ids", F.col("assay_id"))), "V7", "interaction_id", "assay not linked"))
+    return _union(parts)
 
 
 def hierarchy(edges: DataFrame, targets: DataFrame) -> DataFrame:
@@ -92,6 +109,13 @@ def hierarchy(edges: DataFrame, targets: DataFrame) -> DataFrame:
     return _union([dangling(edges, "parent", targets, "id", "V8", "unknown parent"), found(below.where("root = id"), "V8", "id", "cycle")])
 
 
+def children(targets: DataFrame) -> DataFrame:
+    """V8: a target is among its parent's children, and a child names its parent."""
+    up = targets.where("parent_id is not null").select(F.col("parent_id").alias("parent"), F.col("target_id").alias("child"))
+    down = targets.select(F.col("target_id").alias("parent"), F.explode("children").alias("child"))
+    return _union([found(up.join(down, ["parent", "child"], "left_anti"), "V8", "child", "not among its parent's children"), found(down.join(up, ["parent", "child"], "left_anti"), "V8", "child", "child of another parent")])
+
+
 def names(index: DataFrame, terms: DataFrame) -> DataFrame:
     """V9: terms normal, in the right bucket, and the index and the names agree both ways."""
     flat = index.select("bucket", "term", F.explode("ids").alias("id"))
@@ -116,15 +140,17 @@ def sequences(index: DataFrame, rows: DataFrame, field: str, id_col: str = "id")
 def regions(index: DataFrame, rows: DataFrame, field: str, id_col: str = "id") -> DataFrame:
     """V11: region buckets hold their length, and their members have the region."""
     odd = index.where(F.length("sequence") != F.col("len"))
-    real = rows.select(F.col(id_col).alias("id"), F.col(field).alias("sequence"))
-    return _union([found(odd, "V11", "sequence", "wrong length bucket"), found(index.join(real, ["id", "sequence"], "left_anti"), "V11", "id", "member without the region")])
+    real = rows.where(F.col(field) != "").select(F.col(id_col).alias("id"), F.col(field).alias("sequence"))
+    held = index.select("id", "sequence")
+    return _union([found(odd, "V11", "sequence", "wrong length bucket"), found(held.join(real, ["id", "sequence"], "left_anti"), "V11", "id", "member without the region"), found(real.join(held, ["id", "sequence"], "left_anti"), "V11", "id", "region not indexed")])
 
 
 def postings(index: DataFrame, rows: DataFrame, field: str, id_col: str = "id") -> DataFrame:
     """V12: postings recomputed, none twice."""
     real = capped(signatures(rows, field, id_col))
     twice = index.groupBy("hash", "id").agg(F.count("*").alias("n")).where("n > 1")
-    return _union([found(index.join(real, ["hash", "id"], "left_anti"), "V12", "id", "posting without hash"), found(twice, "V12", "id", "duplicate posting")])
+    held = index.select("hash", "id")
+    return _union([found(held.join(real, ["hash", "id"], "left_anti"), "V12", "id", "posting without hash"), found(real.join(held, ["hash", "id"], "left_anti"), "V12", "id", "hash without posting"), found(twice, "V12", "id", "duplicate posting")])
 
 
 def cluster_members(members: DataFrame) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,26 +9,18 @@ from sequor.functions import relations as R
 from sequor.functions import sequences as S
 from sequor.functions import text as T
 from sequor.operators import clusters, entities, exports, screening, search, similarity, targets, validate
+from sequor.plans import rules  # noqa: F401, registers its queries
 from sequor.plans import views as V
+from sequor.plans.catalog import ORACLES, QUERIES, query
 from sequor.sources import adapters, tabular
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES", "flagship"]
+
 # A small curated dictionary over part names, and typed queries.
 ALIASES = {"ring family": ["small ring", "red ring", "Big-Ring"], "widget family": ["red widget", "blue widget"], "bolt family": ["blue bolt"]}
 TYPED = ("small ring", "Red Widget", "red widgt", "nothing like it", "blue", "Customer#000000007")
 
 
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
 def _list(c: str) -> F:
     return F.array_join(c, "|").alias(c)
 

@@ -211,6 +211,26 @@ def _chain(df: DataFrame, role: str, part: Callable[[str], Column]) -> Column:
     return F.when(first, part("chain_1")).when(second, part("chain_2")).otherwise("")
 
 
+def _chain_struct(df: DataFrame, role: str) -> Column:
+    """The annotation of the chain of a role: regions and genes, chosen, calculated and curated; null without such a chain."""
+
+    def of(p: str) -> Column:
+        c = lambda name: cell(df, f"{p}__{name}")
+        choice = lambda calculated, curated: F.struct(F.when(calculated != "", calculated).otherwise(curated).alias("chosen"), calculated.alias("calculated"), curated.alias("curated"))
+        regions = [choice(c(f"cdr{n}_calculated"), c(f"cdr{n}_curated")).alias(f"CDR{n}") for n in (1, 2, 3)]
+        spans = [F.concat_ws("-", c(f"cdr{n}_start_{kind}"), c(f"cdr{n}_end_{kind}")).alias(f"CDR{n}_{kind}_span") for n in (1, 2, 3) for kind in ("calculated", "curated")]
+        genes = [choice(c(f"calculated_{g}_gene"), c(f"curated_{g}_gene")).alias(g.upper()) for g in "vdj"]
+        calculated = (c("cdr1_calculated") != "") | (c("cdr2_calculated") != "") | (c("cdr3_calculated") != "")
+        return F.struct(
+            c("type").alias("chain_type"), c("organism_iri").alias("organism_iri"), c("protein_iri").alias("protein_iri"), c("protein_sequence").alias("source_full_protein"),
+            c("v_domain_calculated").alias("calculated_v_domain"), c("nucleotide_sequence").alias("source_nucleotide"), F.when(calculated, "IMGT").otherwise("").alias("numbering_scheme"),
+            F.when(calculated, "IEDB calculated").otherwise("IEDB curated").alias("annotation_origin"), F.struct(*regions, *spans).alias("regions"), F.struct(*genes).alias("genes"),
+        )
+
+    first, second = (R.chain_role(cell(df, f"chain_{n}__type")) == role for n in (1, 2))
+    return F.when(first, of("chain_1")).when(second, of("chain_2"))
+
+
 def receptors(spark: SparkSession, path: str, source_url: str = "", links_path: str | None = None, assays_path: str | None = None) -> Pair:
     """Receptor groups joined to their assays; no assay rows, no interactions."""
     df = read_csv(spark, path, ("receptor_group_id", "receptor__type", "epitope__name", "chain_1__type", "chain_2__type"), "receptors")
@@ -218,6 +238,7 @@ def receptors(spark: SparkSession, path: str, source_url: str = "", links_path:
     either = lambda a, b: F.coalesce(F.nullif(a, F.lit("")), b)
     region = lambda n: lambda p: either(cell(df, f"{p}__cdr{n}_calculated"), cell(df, f"{p}__cdr{n}_curated"))
     gene = lambda g: lambda p: either(cell(df, f"{p}__calculated_{g}_gene"), cell(df, f"{p}__curated_{g}_gene"))
+    both = lambda role: F.to_json(_chain_struct(df, role))
     fields = {f"cdr{c}{n}": _chain(df, role, region(n)) for c, role in (("h", "VH"), ("l", "VL")) for n in (1, 2, 3)}
     fields |= {f"heavy_{g}": _chain(df, "VH", gene(g)) for g in "vdj"} | {f"light_{g}": _chain(df, "VL", gene(g)) for g in "vj"}
     meta = F.create_map(*[x for k, c in (("iedb_receptor_id", "receptor__iedb_receptor_id"), ("epitope_iri", "epitope__iedb_iri"), ("epitope_name", "epitope__name"), ("epitope_source_organism", "epitope__source_organism")) for x in (F.lit(k), cell(df, c))])
@@ -228,6 +249,9 @@ def receptors(spark: SparkSession, path: str, source_url: str = "", links_path:
         vh_nt_source=_chain(df, "VH", lambda p: cell(df, f"{p}__nucleotide_sequence")), vl_nt_source=_chain(df, "VL", lambda p: cell(df, f"{p}__nucleotide_sequence")),
         format=F.trim(F.concat(F.lit("IEDB "), cell(df, "receptor__type"))), reference=cell(df, "reference__iedb_iri"), record_url=cell(df, "receptor__group_iri"), metadata=meta, **fields,
     )
+    # both the curated and the calculated values stay, whichever was chosen
+    obs = obs.withColumn("chain_annotations", F.map_filter(F.create_map(F.lit("VH"), both("VH"), F.lit("VL"), both("VL")), lambda k, v: v.isNotNull()))
+    obs = obs.withColumn("nucleotide_scope", F.lit("full_length_bcr"))
     if not links_path or not assays_path:
         return obs, claims(obs, F.filter(F.array(_edge(F.lit(""), F.lit(""))), lambda e: e["target_raw"] != ""))
     groups = read_csv(spark, links_path, ("receptor_group_id", "iedb_assay_ids"), "receptor links")
