@@ -206,7 +206,7 @@ def descendants(edges: DataFrame, roots: DataFrame) -> DataFrame:
     return found
 
 
-def review_candidates(claims: DataFrame, most_targets: int = 20, limit: int = REVIEW_LIMIT) -> DataFrame:
+def review_candidates(claims: DataFrame, most_targets: int = 20, limit: int = REVIEW_LIMIT, least_jaccard: float = 0.45, least_containment: float = 0.8) -> DataFrame:
     """Targets that share antibodies, two by two, for review: overlap 2 at least, and Jaccard .45 or containment .8."""
     direct = claims.where(R.family("relationship") == "direct").select("antibody_id", "target_id", "target_name").distinct()
     sizes = direct.groupBy("target_id").agg(F.count_distinct("antibody_id").alias("n"), F.min("target_name").alias("name"))
@@ -216,6 +216,6 @@ def review_candidates(claims: DataFrame, most_targets: int = 20, limit: int = RE
     overlap = left.groupBy("a", "b").agg(F.count("*").alias("overlap")).where("overlap >= 2")
     both = overlap.join(sizes.selectExpr("target_id a", "n na", "name name_a"), "a").join(sizes.selectExpr("target_id b", "n nb", "name name_b"), "b")
     jaccard, containment = F.col("overlap") / (F.col("na") + F.col("nb") - F.col("overlap")), F.col("overlap") / F.least("na", "nb")
-    kept = both.where((jaccard >= 0.45) | (containment >= 0.8))
+    kept = both.where((jaccard >= least_jaccard) | (containment >= least_containment))
     out = kept.select(F.col("a").alias("target_a"), "name_a", F.col("b").alias("target_b"), "name_b", "overlap", F.round(jaccard, 4).alias("jaccard"), F.round(containment, 4).alias("containment"))
     return out.orderBy(F.desc("containment"), F.desc("jaccard"), F.desc("overlap"), "name_a", "target_a", "target_b").limit(limit)

@@ -9,7 +9,7 @@ from sequor.functions import relations as R
 from sequor.functions import sequences as S
 from sequor.functions import text as T
 from sequor.operators import clusters, entities, exports, screening, search, similarity, targets, validate
-from sequor.plans import rules  # noqa: F401, registers its queries
+from sequor.plans import rules, tables  # noqa: F401, they register their queries
 from sequor.plans import views as V
 from sequor.plans.catalog import ORACLES, QUERIES, query
 from sequor.sources import adapters, tabular
@@ -209,17 +209,16 @@ def descendant_rows_merged(spark: SparkSession, d: str) -> DataFrame:
     return search.merged_with_descendants(o, V.tree(spark, d), roots).select("root", "family", "antibody_id", _list("sources"), "n_targets")
 
 
-@query("""WITH direct AS (SELECT DISTINCT l_suppkey AS a, p_brand AS t FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag = 'R' AND l_quantity > 45),
+@query(f"""WITH {V.CLAIMS}, direct AS (SELECT DISTINCT 'd' || event_id % 197 AS a, target_id AS t FROM family WHERE family = 'direct'),
  n AS (SELECT t, count(*) AS n FROM direct GROUP BY t), fit AS (SELECT a FROM direct GROUP BY a HAVING count(*) BETWEEN 2 AND 20),
  o AS (SELECT x.t AS target_a, y.t AS target_b, count(*) AS overlap FROM direct x JOIN direct y ON x.a = y.a AND x.t < y.t WHERE x.a IN (SELECT a FROM fit) GROUP BY ALL HAVING count(*) >= 2),
  j AS (SELECT target_a, target_b, overlap, overlap / (p.n + q.n - overlap) AS jaccard, overlap / least(p.n, q.n) AS containment FROM o JOIN n p ON p.t = target_a JOIN n q ON q.t = target_b)
- SELECT target_a, target_b, overlap, round(jaccard, 4) AS jaccard, round(containment, 4) AS containment FROM j WHERE jaccard >= 0.45 OR containment >= 0.8
- ORDER BY round(containment, 4) DESC, round(jaccard, 4) DESC, overlap DESC, target_a, target_b LIMIT 500""")
+ SELECT target_a, target_b, overlap, round(jaccard, 4) AS jaccard, round(containment, 4) AS containment FROM j WHERE jaccard >= 0.1 OR containment >= 0.2
+ ORDER BY round(containment, 4) DESC, round(jaccard, 4) DESC, overlap DESC, 'Target ' || substr(target_a, 2), target_a, target_b LIMIT 500""")
 def alias_review_candidates(spark: SparkSession, d: str) -> DataFrame:
-    li, part = V.table(spark, d, "lineitem"), V.table(spark, d, "part")
-    c = li.where("l_returnflag = 'R' and l_quantity > 45").join(part, li.l_partkey == part.p_partkey)
-    c = c.select(F.col("l_suppkey").alias("antibody_id"), F.col("p_brand").alias("target_id"), F.col("p_brand").alias("target_name"), F.lit("binds").alias("relationship"))
-    return targets.review_candidates(c).select("target_a", "target_b", "overlap", "jaccard", "containment")
+    """Direct claims of all events, dealt to 197 entities, with gates that these data reach."""
+    c = V.claims(spark, d).withColumn("antibody_id", F.concat(F.lit("d"), F.col("event_id") % 197))
+    return targets.review_candidates(c, least_jaccard=0.1, least_containment=0.2).select("target_a", "target_b", "overlap", "jaccard", "containment")
 
 
 def _names(spark: SparkSession, d: str) -> DataFrame:
@@ -304,12 +303,23 @@ def similarity_candidates(spark: SparkSession, d: str) -> DataFrame:
     return similarity.candidates(asked, postings).where("shared >= 5")
 
 
-_EDGES = f"""{V.CHAINS}, {V.SIGNATURES}, scope AS (SELECT id, heavy FROM chains WHERE length(heavy) >= 40), classes AS (SELECT heavy, min(id) AS id FROM scope GROUP BY heavy),
- sig AS (SELECT s.id, hash FROM signatures s JOIN scope USING (id)), mark AS (SELECT hash, id FROM sig WHERE hash NOT IN (SELECT hash FROM sig GROUP BY hash HAVING count(*) > 250) AND id IN (SELECT id FROM classes)),
- couples AS (SELECT l.id AS a, r.id AS b FROM mark l JOIN mark r ON l.hash = r.hash AND l.id < r.id GROUP BY ALL HAVING count(*) >= 5),
- side AS (SELECT a, b, x.heavy AS x, y.heavy AS y, greatest(length(x.heavy), length(y.heavy)) AS long, least(length(x.heavy), length(y.heavy)) AS short FROM couples JOIN classes x ON a = x.id JOIN classes y ON b = y.id),
- near AS (SELECT a, b, long, levenshtein(x, y) AS e FROM side WHERE 100 * short / long + 1e-9 >= 90 AND long - short <= floor(long * 10 / 100 + 1e-9)),
- edges AS (SELECT a, b, round(100 * (long - e) / long, 4) AS identity FROM near WHERE e <= floor(long * 10 / 100 + 1e-9))"""
+def _edges_sql(where: str, paired: bool = False, p: str = "") -> str:
+    """CTEs that end in ``{p}edges(a, b, identity)`` between classes of equal chains in the scope ``where``."""
+    own = "heavy, light" if paired else "heavy"
+    near = lambda x, y: f"CASE WHEN 100 * least(length({x}), length({y})) / greatest(length({x}), length({y})) + 1e-9 >= 90 AND levenshtein({x}, {y}) <= floor(greatest(length({x}), length({y})) * 10 / 100 + 1e-9) THEN round(100 * (greatest(length({x}), length({y})) - levenshtein({x}, {y})) / greatest(length({x}), length({y})), 4) END"
+    identity = f"CASE WHEN {near('x.heavy', 'y.heavy')} IS NOT NULL THEN least({near('x.heavy', 'y.heavy')}, {near('x.light', 'y.light')}) END" if paired else near("x.heavy", "y.heavy")
+    light = f", {V.signature_sql(p + 'classes', 'light', p + 'lsig')}, {p}lboth AS (SELECT a, b FROM {p}couples JOIN {p}lsig l ON l.id = a JOIN {p}lsig r ON r.id = b AND l.hash = r.hash GROUP BY ALL HAVING count(*) >= 5)" if paired else ""
+    least = f"{p}lboth" if paired else f"{p}couples"
+    both = "AND identity IS NOT NULL" + (" AND light_ok" if paired else "")
+    light_ok = f", {near('x.light', 'y.light')} IS NOT NULL AS light_ok" if paired else ""
+    return f"""{p}scope AS (SELECT id, {own} FROM chains WHERE length(heavy) >= 40 AND {where}), {p}classes AS (SELECT {own}, min(id) AS id FROM {p}scope GROUP BY ALL),
+ {p}sig AS (SELECT s.id, hash FROM signatures s JOIN {p}scope USING (id)), {p}mark AS (SELECT hash, id FROM {p}sig WHERE hash NOT IN (SELECT hash FROM {p}sig GROUP BY hash HAVING count(*) > 250) AND id IN (SELECT id FROM {p}classes)),
+ {p}couples AS (SELECT l.id AS a, r.id AS b FROM {p}mark l JOIN {p}mark r ON l.hash = r.hash AND l.id < r.id GROUP BY ALL HAVING count(*) >= 5){light},
+ {p}edges AS (SELECT a, b, identity FROM (SELECT a, b, {identity} AS identity{light_ok} FROM {least} JOIN {p}classes x ON a = x.id JOIN {p}classes y ON b = y.id) t WHERE true {both})"""
+
+
+_EDGES = f"{V.CHAINS}, {V.SIGNATURES}, {_edges_sql('true')}"
+_PAIRED_EDGES = f"{V.CHAINS}, {V.SIGNATURES}, {_edges_sql('length(light) >= 40', True)}"
 
 
 @query(f"WITH {_EDGES} SELECT a, b, identity FROM edges")
@@ -317,15 +327,20 @@ def cluster_edges_90(spark: SparkSession, d: str) -> DataFrame:
     return clusters.edges(V.chains(spark, d))
 
 
-def _clusters_sql(level: int) -> str:
-    return f"""WITH RECURSIVE {_EDGES}, e AS (SELECT a, b FROM edges WHERE identity + 1e-9 >= {level} UNION SELECT b, a FROM edges WHERE identity + 1e-9 >= {level}),
+def _clusters_sql(level: int, edges: str = _EDGES, same: str = "s.heavy = c.heavy") -> str:
+    return f"""WITH RECURSIVE {edges}, e AS (SELECT a, b FROM edges WHERE identity + 1e-9 >= {level} UNION SELECT b, a FROM edges WHERE identity + 1e-9 >= {level}),
  reach AS (SELECT id AS n, id AS r FROM classes UNION SELECT e.b, reach.r FROM reach JOIN e ON e.a = reach.n WHERE reach.r < e.b),
- root AS (SELECT n, min(r) AS r FROM reach GROUP BY n), full_root AS (SELECT n, r FROM root),
- member AS (SELECT s.id, r AS representative_id FROM scope s JOIN classes c ON s.heavy = c.heavy JOIN full_root ON n = c.id),
+ root AS (SELECT n, min(r) AS r FROM reach GROUP BY n),
+ member AS (SELECT s.id, r AS representative_id FROM scope s JOIN classes c ON {same} JOIN root ON n = c.id),
  size AS (SELECT representative_id, count(*) AS size FROM member GROUP BY ALL HAVING count(*) > 1)
  SELECT id, representative_id, size FROM member JOIN size USING (representative_id)"""
 
 
+_BOTH = "s.heavy = c.heavy AND s.light = c.light"
+_NO_LIGHT = "light = ''"
+_LONE_EDGES = f"{V.CHAINS}, {V.SIGNATURES}, {_edges_sql(_NO_LIGHT)}"
+
+
 def _cluster_query(level: int) -> None:
     def f(spark: SparkSession, d: str) -> DataFrame:
         return clusters.clusters(V.chains(spark, d), level)
@@ -338,12 +353,13 @@ for _level in clusters.LEVELS:
     _cluster_query(_level)
 
 
-@query()
+@query(_clusters_sql(90, _PAIRED_EDGES, _BOTH))
 def clusters_paired_90(spark: SparkSession, d: str) -> DataFrame:
     return clusters.clusters(V.chains(spark, d), 90, ("heavy", "light"))
 
 
-@query()
+@query(f"""WITH m AS ({_clusters_sql(95)}), l AS (SELECT representative_id, array_to_string(list_sort(list(id))[1:100], '|') AS members FROM m GROUP BY 1), {V.CHAINS}
+ SELECT c.id, coalesce(m.representative_id, c.id) AS representative_id, coalesce(size, 1) AS size, coalesce(members, CAST(c.id AS VARCHAR)) AS members FROM chains c LEFT JOIN m USING (id) LEFT JOIN l ON l.representative_id = m.representative_id WHERE c.doc_id % 50 = 0""")
 def cluster_lookup(spark: SparkSession, d: str) -> DataFrame:
     c = V.chains(spark, d)
     found = clusters.lookup(clusters.clusters(c, 95), c.where("doc_id % 50 = 0").select("id"))
@@ -355,7 +371,8 @@ def redundancy_unique_chains(spark: SparkSession, d: str) -> DataFrame:
     return clusters.redundancy(V.chains(spark, d).withColumn("ord", F.col("id")), "unique_chains")
 
 
-@query()
+@query(f"""WITH p AS ({_clusters_sql(95, _PAIRED_EDGES, _BOTH)}), h AS ({_clusters_sql(95, _LONE_EDGES)}), m AS (SELECT id, representative_id FROM p UNION ALL SELECT id, representative_id FROM h), {V.CHAINS}
+ SELECT c.id, coalesce(min(c.id) OVER (PARTITION BY coalesce(representative_id, c.id)), c.id) AS kept_id FROM chains c LEFT JOIN m USING (id)""")
 def redundancy_cluster_95(spark: SparkSession, d: str) -> DataFrame:
     return clusters.redundancy(V.chains(spark, d).withColumn("ord", F.col("id")), "cluster_95")
 
@@ -474,7 +491,14 @@ def batch_screen(spark: SparkSession, d: str) -> DataFrame:
     return screening.screen(asked, held).select("query_id", "status", "id")
 
 
-@query()
+_VARIANTS = f"""{V.CHAINS}, base AS (SELECT id, heavy FROM chains WHERE length(heavy) >= 80), {V.signature_sql('base', 'heavy', 'basesig')}, kept AS (SELECT hash, id FROM basesig WHERE hash NOT IN (SELECT hash FROM basesig GROUP BY hash HAVING count(*) > 250)),
+ v AS (SELECT id, heavy, length(heavy) AS n, unnest([100, 99, 95, 90, 80]) AS level FROM base), w AS (SELECT *, CAST(round_even(n * (100 - level) / 100.0, 0) AS INTEGER) AS e FROM v),
+ chars AS (SELECT id, level, i, n, e, substr(heavy, i + 1, 1) AS c FROM w, unnest(range(0, n)) AS u(i)),
+ made AS (SELECT id * 1000 + level AS id, string_agg(CASE WHEN (i + 1) * e // n > i * e // n THEN CASE WHEN c = 'A' THEN 'G' ELSE 'A' END ELSE c END, '' ORDER BY i) AS s FROM chars GROUP BY id, level), {V.signature_sql('made', 's', 'madesig')}"""
+
+
+@query(f"""WITH {_VARIANTS}, hit AS (SELECT DISTINCT m.id FROM madesig m JOIN kept k ON k.hash = m.hash AND k.id = m.id // 1000)
+ SELECT CAST(made.id % 1000 AS INTEGER) AS level, count(*) AS sample, count(hit.id) AS hits, round(count(hit.id) / count(*), 4) AS recall FROM made LEFT JOIN hit USING (id) GROUP BY 1""")
 def recall_benchmark(spark: SparkSession, d: str) -> DataFrame:
     return similarity.recall(V.chains(spark, d), "heavy")
 
@@ -578,9 +602,12 @@ def validate_measurements(spark: SparkSession, d: str) -> DataFrame:
     return validate.measurements(rows)
 
 
-@query()
+@query(f"""WITH m AS ({_clusters_sql(95)}) SELECT DISTINCT 'V13' AS rule, CAST(representative_id AS VARCHAR) AS subject, 'cluster shape' AS message FROM m WHERE representative_id % 3 = 1 UNION ALL SELECT 'V13', '-5', 'duplicate id' UNION ALL SELECT 'V13', '-5', 'cluster shape'""")
 def validate_clusters(spark: SparkSession, d: str) -> DataFrame:
-    return validate.cluster_members(clusters.clusters(V.chains(spark, d), 95))
+    """Clusters with planted defects: sizes too large by one, and a member that is listed twice."""
+    found = clusters.clusters(V.chains(spark, d), 95)
+    wrong = found.withColumn("size", F.when(F.col("representative_id") % 3 == 1, F.col("size") + 1).otherwise(F.col("size")))
+    return validate.cluster_members(wrong.union(spark.createDataFrame([(-5, -5, 1), (-5, -5, 1)], "id long, representative_id long, size long")))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -205,7 +205,7 @@ def alias_unions(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH l AS (SELECT l_orderkey AS antibody_id, 'c' || (l_suppkey % 4) AS id, arg_min(l_returnflag, l_linenumber || l_returnflag) AS status, min(l_linenumber || l_returnflag) AS pos FROM lineitem WHERE l_suppkey % 4 > 0 GROUP BY 1, 2)
- SELECT antibody_id, string_agg(id || ':' || status, '|' ORDER BY pos) AS constructs FROM l GROUP BY antibody_id""")
+ SELECT antibody_id, string_agg(id || ':' || status, '|' ORDER BY pos, id) AS constructs FROM l GROUP BY antibody_id""")
 def constructs_first_wins(spark: SparkSession, d: str) -> DataFrame:
     c = F.when(F.col("l_suppkey") % 4 > 0, F.concat(F.lit("c"), F.col("l_suppkey") % 4)).otherwise("")
     rows = V.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("antibody_id"), c.alias("construct_id"), F.lit(0).alias("source_ord"), F.concat("l_linenumber", "l_returnflag").alias("row_ord"), F.create_map(F.lit("target_assignment_status"), F.col("l_returnflag")).alias("metadata"))

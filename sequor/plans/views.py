@@ -108,10 +108,18 @@ TREE = """tree AS (SELECT 'r' || n_regionkey AS parent, 'n' || n_nationkey AS id
  UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer)"""
 DOWN = """down AS (SELECT parent AS root, id, 1 AS depth FROM tree
  UNION ALL SELECT d.root, t.id, d.depth + 1 FROM down d JOIN tree t ON t.parent = d.id)"""
-SIGNATURES = """kmers AS (SELECT id, unnest(range(1, length(heavy) - 3)) AS p, heavy FROM chains WHERE length(heavy) >= 5),
-fnv AS (SELECT DISTINCT id, h FROM (SELECT id, substr(heavy, p, 5) AS k,
-  xor(xor(xor(xor(xor(2166136261::UBIGINT, ascii(substr(heavy, p, 1))::UBIGINT) * 16777619 % 4294967296, ascii(substr(heavy, p + 1, 1))::UBIGINT) * 16777619 % 4294967296,
-   ascii(substr(heavy, p + 2, 1))::UBIGINT) * 16777619 % 4294967296, ascii(substr(heavy, p + 3, 1))::UBIGINT) * 16777619 % 4294967296,
-   ascii(substr(heavy, p + 4, 1))::UBIGINT) * 16777619 % 4294967296 AS h FROM kmers) t WHERE NOT regexp_matches(k, '[^ACDEFGHIKLMNPQRSTVWY]')),
-signatures AS (SELECT id, CAST(h AS BIGINT) AS hash FROM (SELECT id, h, row_number() OVER (PARTITION BY id ORDER BY h) AS r FROM fnv) t WHERE r <= 32),
+
+
+def signature_sql(source: str, col: str, out: str) -> str:
+    """CTEs that end in ``out(id, hash)``: the 32 least hashes of 5-mers of a column of ``source(id, ...)``."""
+    step = lambda inner, i: f"xor({inner}, ascii(substr(s, p + {i}, 1))::UBIGINT) * 16777619 % 4294967296"
+    h = "2166136261::UBIGINT"
+    for i in range(5):
+        h = step(h, i)
+    return f"""{out}_kmers AS (SELECT id, unnest(range(1, length({col}) - 3)) AS p, {col} AS s FROM {source} WHERE length({col}) >= 5),
+{out}_fnv AS (SELECT DISTINCT id, h FROM (SELECT id, substr(s, p, 5) AS k, {h} AS h FROM {out}_kmers) t WHERE NOT regexp_matches(k, '[^ACDEFGHIKLMNPQRSTVWY]')),
+{out} AS (SELECT id, CAST(h AS BIGINT) AS hash FROM (SELECT id, h, row_number() OVER (PARTITION BY id ORDER BY h) AS r FROM {out}_fnv) t WHERE r <= 32)"""
+
+
+SIGNATURES = signature_sql("chains", "heavy", "signatures") + """,
 postings AS (SELECT hash, id FROM signatures WHERE hash NOT IN (SELECT hash FROM signatures GROUP BY hash HAVING count(*) > 250))"""
