@@ -131,32 +131,35 @@ def align_batch(references: list[str], queries: list[str]) -> np.ndarray:
     ref, que = (np.array([np.frombuffer(s.encode("ascii", "replace").ljust(w, b"\0"), np.uint8) for s in x], dtype=np.uint8).reshape(b, w) for x, w in ((references, m), (queries, n)))
     rl, ql = np.array([len(s) for s in references]), np.array([len(s) for s in queries])
     out = np.zeros((b, 4), dtype=np.int32)
-    before = last = np.zeros((4, b, m + 1), dtype=np.int32)
+    # scores, and beside them matches, columns and residue columns packed in 21 bits each; every cell read was written
+    scores = [np.empty((b, m + 1), dtype=np.int32) for _ in range(3)]
+    counts = [np.empty((b, m + 1), dtype=np.int64) for _ in range(3)]
     for d in range(m + n + 1):
-        now = np.zeros((4, b, m + 1), dtype=np.int32)
+        (s2, c2), (s1, c1), (s0, c0) = ((scores[k % 3], counts[k % 3]) for k in (d - 2, d - 1, d))
         if d <= n:
-            now[0, :, 0], now[2, :, 0] = -2 * d, d
+            s0[:, 0], c0[:, 0] = -2 * d, d << 21
         if d <= m:
-            now[0, :, d], now[2, :, d] = -2 * d, d
+            s0[:, d], c0[:, d] = -2 * d, d << 21
         lo, hi = max(1, d - n), min(m, d - 1)
         if lo <= hi:
             a, q = ref[:, lo - 1 : hi], que[:, d - 1 - hi : d - lo][:, ::-1]
-            diagonal = before[0, :, lo - 1 : hi] + _SCORES[a, q]
-            up, left = last[0, :, lo - 1 : hi] - 2, last[0, :, lo : hi + 1] - 2
-            best = np.maximum(np.maximum(diagonal, up), left)
-            is_d, is_u = best == diagonal, best == up
-            pick = np.where(is_d, before[:, :, lo - 1 : hi], np.where(is_u, last[:, :, lo - 1 : hi], last[:, :, lo : hi + 1]))
-            pick[0] = best
-            pick[1] += is_d & (a == q)
-            pick[2] += 1
-            pick[3] += is_d
-            now[:, :, lo : hi + 1] = pick
+            diagonal = s2[:, lo - 1 : hi] + _SCORES[a, q]
+            up, left = s1[:, lo - 1 : hi], s1[:, lo : hi + 1]
+            gap = np.maximum(up, left) - 2
+            is_d = diagonal >= gap
+            c0[:, lo : hi + 1] = (1 << 21) + np.where(is_d, c2[:, lo - 1 : hi] + ((a == q) + _RESIDUE), np.where(up >= left, c1[:, lo - 1 : hi], c1[:, lo : hi + 1]))
+            s0[:, lo : hi + 1] = np.maximum(diagonal, gap)
         done = np.flatnonzero(rl + ql == d)
-        out[done] = now[:, done, rl[done]].T
-        before, last = last, now
+        out[done, 0] = s0[done, rl[done]]
+        packed = c0[done, rl[done]]
+        for k in range(3):
+            out[done, k + 1] = (packed >> (21 * k)) & ((1 << 21) - 1)
     return out
 
 
+_RESIDUE = np.int64(1 << 42)
+
+
 def _score_table() -> np.ndarray:
     t = np.full((256, 256), -1, dtype=np.int32)
     for g in GROUPS:

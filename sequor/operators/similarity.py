@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sequor.functions import sequences as S
+from sequor.operators.storage import materialize, tasks
 
 # Gates of similarity searches.
 MOST_POSTINGS = 250
@@ -14,6 +15,8 @@ LEAST_IDENTITY = 45
 LEAST_COVERAGE = 70
 LEAST_RATIO = 0.65
 LEAST_LENGTH = 40
+#: Candidates that one task aligns.
+ALIGNED_ROWS = 500
 
 
 def _pieces(length: str, text: str, edits: str, shift: str) -> str:
@@ -101,12 +104,14 @@ def similar(queries: DataFrame, rows: DataFrame, field: str, id_col: str = "id",
     chains = rows.select(F.col(id_col).alias("id"), F.col(field).alias("chain")).where("chain <> ''")
     if mode == "loose":
         found = with_exact(found, asked.join(chains, asked.sequence == chains.chain).select("query_id", "id"))
+    found = materialize(found, "found")
     both = found.join(asked, "query_id").join(chains, "id")
     shorter, longer = F.least(F.length("sequence"), F.length("chain")), F.greatest(F.length("sequence"), F.length("chain"))
     # no alignment has more matches than the shorter chain or fewer columns than the longer one
     possible = shorter * 100 >= longer * LEAST_IDENTITY if mode == "strict" else shorter / longer >= LEAST_RATIO
     both = both.where(possible & (shorter * 100 >= F.length("sequence") * LEAST_COVERAGE))
-    both = both.withColumn("a", S.align("sequence", "chain"))
+    # alignments cost far more than their bytes tell, so they are dealt by their number
+    both = both.repartition(tasks(rows.sparkSession, found.count(), ALIGNED_ROWS), "query_id", "id").withColumn("a", S.align("sequence", "chain"))
     identity = S.loose_identity(F.col("a")) if mode == "loose" else S.strict_identity(F.col("a"))
     coverage = S.reference_coverage(F.col("a"))
     out = both.select("query_id", "id", "shared", identity.alias("identity"), (coverage if mode == "loose" else F.round(coverage, 3)).alias("coverage"), F.col("a.score").alias("score"))
