@@ -61,11 +61,11 @@ def bounds(sign: DataFrame, percent: int) -> list[tuple[int, int, int]]:
 
 
 def _limit(parts: list[tuple[int, int, int]], size: int) -> Column:
-    """The greatest hash that a document looks up, by its number of words ``size(w)``; null for none."""
+    """The greatest hash that a document looks up, by its number of ``words``; null for none."""
     none = F.lit(None).cast("long")
     short = [h for part, _, h in parts if part < 0]
-    fits = [F.when(F.size("w") - (size - 1) >= least, F.lit(h)).otherwise(none) for part, least, h in parts if part >= 0]
-    return F.when(F.size("w") < size, F.lit(short[0]) if short else none).otherwise(F.greatest(*fits, none) if len(fits) > 1 else (fits or [none])[0])
+    fits = [F.when(F.col("words") - (size - 1) >= least, F.lit(h)).otherwise(none) for part, least, h in parts if part >= 0]
+    return F.when(F.col("words") < size, F.lit(short[0]) if short else none).otherwise(F.greatest(*fits, none) if len(fits) > 1 else (fits or [none])[0])
 
 
 def containments(docs: DataFrame, items: DataFrame, percent: int = 75, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -87,8 +87,11 @@ def containments(docs: DataFrame, items: DataFrame, percent: int = 75, size: int
     items = items.select(F.struct("item_id", F.xxhash64("text").alias("key")).alias("item_id"), "text").dropDuplicates(["item_id"])
     sign = materialize(signatures(items, percent, size), "signatures")
     parts, n_sign = bounds(sign, percent), sign.count()
-    words = docs.select("doc_key", "doc_id", _words(F.col("text")).alias("w")).withColumn("limit", _limit(parts, size)).where("limit is not null")
-    low = words.select("doc_key", "doc_id", F.size("w").alias("words"), F.explode(F.filter(_shingle_hashes("w", size), lambda h: h <= F.col("limit"))).alias("h"))
+    words = docs.select("doc_key", "doc_id", _words(F.col("text")).alias("w"))
+    # the greatest bound of all is a constant; a document's own limit is cheaper to apply to rows than within arrays
+    most = max((h for _, _, h in parts), default=-(1 << 63))
+    low = F.filter(_shingle_hashes("w", size), lambda h: h <= most)
+    low = words.select("doc_key", "doc_id", F.size("w").alias("words"), F.explode(low).alias("h")).where(F.col("h") <= _limit(parts, size))
     probe = sign.select("h").distinct()
     hits = low.join(F.broadcast(probe) if n_sign <= BROADCAST_ROWS else probe, "h")
     # a document meets few signatures, so what is shuffled here is small
