@@ -42,9 +42,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     groups = materialize(jaccard_join.jaccard_components(docs).where("n_shingles > 0"), "groups")
     row = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")
-    firsts = groups.groupBy("component").agg(F.min(row).alias("first"), F.count("*").alias("n")).where("n > 1")
-    # only groups of several rows lose any, so only their rows are looked up
-    many = groups.join(firsts, "component").withColumn("kept", (F.col("text_key") == F.col("first.text_key")) & F.col("doc_id").eqNullSafe(F.col("first.doc_id")))
+    firsts = materialize(groups.groupBy("component").agg(F.min(row).alias("first"), F.count("*").alias("n")).where("n > 1"), "firsts")
+    # only groups of several rows lose any, so only their rows are looked up; a group may hold a third of all
+    many = groups.join(_bounded(firsts), "component").withColumn("kept", (F.col("text_key") == F.col("first.text_key")) & F.col("doc_id").eqNullSafe(F.col("first.doc_id")))
     rows = materialize(many.groupBy("doc_id", "text_key").agg(F.max("kept").alias("kept"), F.count("*").alias("n")), "rows")
     keyed = docs.withColumn("__key", jaccard_join.text_key())
     same = lambda t: (keyed["__key"] == t["text_key"]) & keyed["doc_id"].eqNullSafe(t["doc_id"])
