@@ -48,10 +48,49 @@ OP9 = f"""WITH d AS ({_words('documents', 'doc_id', False)}), win AS (SELECT doc
 OP10 = f"""WITH s AS ({_shingles('documents', 'doc_id')}), q AS ({_shingles('benchmark', 'item_id')}), n AS (SELECT item_id, count(*) AS n_item FROM q GROUP BY ALL)
  SELECT doc_id, item_id, count(*) AS n_common, n_item FROM q JOIN s USING (s) JOIN n USING (item_id) GROUP BY ALL HAVING count(*) * 100 >= n_item * 75"""
 
+_CRC = """crc AS (SELECT list(v ORDER BY i) AS tab FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) t(i)) t)"""
+
+OP11 = f"""WITH {_CRC},
+ docs AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_AZ}', '{_az}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+ goal AS MATERIALIZED (SELECT row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), '{_AZ}', '{_az}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+ df AS MATERIALIZED (SELECT r, f, count(*) AS n FROM (SELECT r, unnest(w) AS f FROM docs UNION ALL SELECT r, w[i] || ' ' || w[i + 1] FROM docs, unnest(range(1, len(w))) AS u(i)) t GROUP BY ALL),
+ gf AS MATERIALIZED (SELECT f, count(*) AS n FROM (SELECT unnest(w) AS f FROM goal UNION ALL SELECT w[i] || ' ' || w[i + 1] FROM goal, unnest(range(1, len(w))) AS u(i)) t GROUP BY ALL),
+ hashed AS MATERIALIZED (SELECT f, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, len(h), 2), lambda k: CAST('0x' || substr(h, k, 2) AS BIGINT))), lambda c, b: xor(c >> 8, tab[CAST(xor(c & 255, b) AS INT) + 1])), 4294967295) % 10000 AS b
+  FROM (SELECT f, hex(f) AS h FROM (SELECT f FROM df UNION SELECT f FROM gf) t) t, crc),
+ s AS (SELECT b, sum(n) AS n FROM df JOIN hashed USING (f) GROUP BY b), t AS (SELECT b, sum(n) AS n FROM gf JOIN hashed USING (f) GROUP BY b),
+ gain AS (SELECT b, CAST(floor(1000 * ln(CAST(coalesce(t.n, 0) + 1 AS DOUBLE) * CAST((SELECT coalesce(sum(n), 0) FROM s) + 10000 AS DOUBLE) / (CAST(coalesce(s.n, 0) + 1 AS DOUBLE) * CAST((SELECT coalesce(sum(n), 0) FROM t) + 10000 AS DOUBLE)))) AS BIGINT) AS g
+  FROM range(10000) k(b) LEFT JOIN s USING (b) LEFT JOIN t USING (b)),
+ w AS (SELECT r, CAST(sum(n) AS BIGINT) AS n_features, CAST(floor(CAST(sum(n * g) AS DOUBLE) / sum(n)) AS BIGINT) AS weight FROM df JOIN hashed USING (f) JOIN gain USING (b) GROUP BY r),
+ scored AS (SELECT r, doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+  coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST(CAST('0x' || substr(sha256('7:' || doc_id), 1, 8) AS BIGINT) AS DOUBLE) + 0.5) / 4294967296))) AS BIGINT) AS score FROM docs LEFT JOIN w USING (r)),
+ placed AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id) AS p FROM scored WHERE n_words >= 20)
+ SELECT doc_id, n_features, weight, score, CASE WHEN p <= (SELECT count(*) * 25 // 100 FROM placed) THEN p END AS rank FROM scored LEFT JOIN placed USING (r)"""
+
+_APART = "CAST(list_sum(list_transform(list_zip(q, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT)"
+
+
+def _lloyd(n: int) -> str:
+    """CTEs of one round: the nearest centroid of each vector, and the centroids after it."""
+    return f"""a{n} AS MATERIALIZED (SELECT r, arg_min(j, (d, j)) AS j FROM (SELECT r, j, {_APART} AS d FROM kept, c{n - 1}) t GROUP BY r),
+ m{n} AS (SELECT j, i, CAST(sum(q[i]) AS BIGINT) AS s, count(*) AS n FROM kept JOIN a{n} USING (r), unnest(range(1, 65)) AS u(i) GROUP BY ALL),
+ c{n} AS MATERIALIZED (SELECT j, coalesce(f, c) AS c FROM c{n - 1} LEFT JOIN (SELECT j, list((s - ((s % n) + n) % n) // n ORDER BY i) AS f FROM m{n} GROUP BY j) t USING (j)),
+ """
+
+
+OP13 = f"""WITH kept AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+ c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS j, q AS c FROM kept QUALIFY j < 16),
+ {_lloyd(1)}{_lloyd(2)}{_lloyd(3)}
+ told AS MATERIALIZED (SELECT r, arg_min(j, (d, j)) AS j, min(d) AS distance FROM (SELECT r, j, {_APART} AS d FROM kept, c3) t GROUP BY r),
+ inertias AS (SELECT j, CAST(sum(distance) AS BIGINT) AS cluster_inertia, CAST(sum(sum(distance)) OVER () AS BIGINT) AS inertia FROM told GROUP BY j)
+ SELECT vec_id, CAST(j AS INTEGER) AS cluster, distance, cluster_inertia, inertia, sha256(array_to_string(c, ',')) AS centroid_sha256 FROM kept JOIN told USING (r) JOIN inertias USING (j) JOIN c3 USING (j)"""
+
 ORACLES = {
     "op1_url_filters": OP1,
     "op5_line_dedup": OP5,
     "op8_jaccard_join": OP8,
     "op9_substring_dedup": OP9,
     "op10_decontamination": OP10,
+    "op11_importance_resampling": OP11,
+    "op13_centroid_clustering": OP13,
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sequor.llm import decontaminate, html_extract, jaccard_join, line_dedup, mixing, quality, secrets, sharding, substring_dedup, url_filters
+from sequor.llm import centroids, decontaminate, html_extract, jaccard_join, line_dedup, mixing, quality, resampling, secrets, sharding, substring_dedup, url_filters
 from sequor.llm.oracles import ORACLES
 
 
@@ -78,6 +78,15 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "n_common", "n_item")
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_kd_sharding": op2_kd_sharding,
@@ -89,4 +98,6 @@ QUERIES = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_decontamination": op10_decontamination,
+    "op11_importance_resampling": op11_importance_resampling,
+    "op13_centroid_clustering": op13_centroid_clustering,
 }
