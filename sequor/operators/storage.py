@@ -41,8 +41,23 @@ def materialize(df: DataFrame, label: str = "t") -> DataFrame:
     return out
 
 
+def materialize_bucketed(df: DataFrame, key: str, buckets: int, label: str = "t") -> DataFrame:
+    """As :func:`materialize`, in ``buckets`` by hash of ``key``: joins on it with rows dealt likewise leave these where they are."""
+    spark = df.sparkSession
+    name = f"sequor_{label}_{uuid.uuid4().hex}".replace("-", "_")
+    path = f"{shared_dir(spark)}/{name}"
+    df.write.format("parquet").bucketBy(buckets, key).option("path", path).saveAsTable(name)
+    fs, at = _filesystem(spark, path)
+    fs.deleteOnExit(at)
+    out = spark.table(name)
+    out._sequor_path, out._sequor_table = path, name
+    return out
+
+
 def release(df: DataFrame) -> None:
-    """Delete the files of a table made by :func:`materialize`."""
+    """Delete the files of a table made by :func:`materialize` or :func:`materialize_bucketed`."""
+    if name := getattr(df, "_sequor_table", None):
+        df.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
     path = getattr(df, "_sequor_path", None)
     if path:
         fs, at = _filesystem(df.sparkSession, path)
