@@ -2,15 +2,13 @@
 
 The dictionary of distinct features is built once for the whole corpus:
 
-1.  A task reads documents in chunks and counts, for each document, its runs of
-    one and two words.  A chunk's distinct features leave once, as strings with
-    their counts, for the part of the dictionary that owns them; its
-    per-document counts stay in the chunk's table, as numbers of its features.
+1.  The runs of one and two words of a chunk of documents leave it once each, as
+    strings with their counts, for the part of the dictionary that owns them.
 2.  A part meets each distinct string of all chunks once, hashes it once, adds
     the counts up by bucket, and tells each chunk the buckets of its features.
 3.  Buckets of the corpus and of the target give a gain each (as many numbers as
-    there are buckets, whatever the corpus).  Gains join back to the chunks'
-    per-document counts by chunk, which gives each document's weight.
+    there are buckets, whatever the corpus).  Gains join back to the chunk's
+    per-document feature counts, which gives each document's weight.
 
 Strings are compared as strings throughout; a hash only deals them to parts.
 """
@@ -22,194 +20,174 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sequor.llm.chunks import CHUNK_BYTES, Chunks, opened
 from sequor.llm.hashing import _LOWER, mix64, trim
-from sequor.operators.storage import materialize
+from sequor.llm.packing import packed, unpacked
+from sequor.operators.storage import materialize, release
 
-#: Bytes of text that a chunk holds (a longer single text is a chunk of its own), and of feature strings that a part is meant to meet.
-CHUNK_BYTES = 12 << 20
-PART_BYTES = 24 << 20
+#: Bytes of feature strings that a part of the dictionary is meant to meet.
+PART_BYTES = 16 << 20
 #: Documents of fewer words are weighed but never drawn.
 LEAST_WORDS = 20
 _WORD = np.ones(256, dtype=bool)
 _WORD[:0x80] = False
 _WORD[0x30:0x3A] = _WORD[0x61:0x7B] = True
-_CHUNK = pa.schema([("chunk", pa.int64()), ("part", pa.int32()), ("blob", pa.binary())])
-
-
-def _packed(*arrays: np.ndarray) -> bytes:
-    """Arrays one after the other, wide ones as byte planes, compressed."""
-    out = []
-    for a in arrays:
-        a = np.ascontiguousarray(a)
-        planes = a.view(np.uint8).reshape(len(a), a.itemsize).T if len(a) else a.view(np.uint8)
-        out.append(np.array([len(a), ord(a.dtype.char)], np.int64).tobytes() + np.ascontiguousarray(planes).tobytes())
-    return zstandard.ZstdCompressor(level=3).compress(b"".join(out))
-
-
-def _unpacked(blob: bytes) -> list[np.ndarray]:
-    raw, at, out = zstandard.ZstdDecompressor().decompress(blob), 0, []
-    while at < len(raw):
-        n, kind = np.frombuffer(raw, np.int64, 2, at)
-        dtype = np.dtype(chr(kind))
-        planes = np.frombuffer(raw, np.uint8, n * dtype.itemsize, at + 16).reshape(dtype.itemsize, n)
-        out.append(np.ascontiguousarray(planes.T).view(dtype).ravel())
-        at += 16 + n * dtype.itemsize
-    return out
 
 
 def _tokens(texts: list[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Distinct words, and each word's number among them and its text's place."""
     data = _LOWER[np.frombuffer(b"\0".join([*texts, b""]), np.uint8)]
     inside = _WORD[data]
-    edge = np.diff(inside.astype(np.int8), prepend=np.int8(0), append=np.int8(0))
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    offsets = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
-    every = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[inside])])
+    edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    if len(inside) and inside[0]:
+        edge = np.concatenate([[0], edge])
+    # the last byte is a separator, so every word has an end
+    starts, ends = edge[::2], edge[1::2]
+    offsets = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int32)
+    every = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[inside])])
     coded = every.dictionary_encode()
     bounds = np.cumsum([len(t) + 1 for t in texts])
-    return coded.dictionary, coded.indices.to_numpy().astype(np.int64), np.searchsorted(bounds, starts, side="right")
+    per_text = np.diff(np.searchsorted(starts, bounds), prepend=0)
+    return coded.dictionary, coded.indices.to_numpy().astype(np.int64), np.repeat(np.arange(len(texts)), per_text)
 
 
-def _features(words: pa.Array, code: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each occurrence's feature (a word's number, or of a pair ``(first + 1) * size + second``) and its text's place."""
-    size = max(1, len(words))
+def _features(texts: list[bytes]) -> tuple[pa.Array, int, np.ndarray, np.ndarray, np.ndarray]:
+    """Words, and of each occurrence its feature (a word's number, or ``(first + 1) << bits | second``) and its text's place; words a text."""
+    words, code, row = _tokens(texts)
+    bits = max(1, len(words).bit_length())
     pair = np.flatnonzero(row[1:] == row[:-1])
-    return np.concatenate([code, (code[pair] + 1) * size + code[pair + 1]]), np.concatenate([row, row[pair]])
+    feature = np.concatenate([code, ((code[pair] + 1) << bits) | code[pair + 1]])
+    return words, bits, feature, np.concatenate([row, row[pair]]), np.bincount(row, minlength=len(texts))
 
 
-def _strings(words: pa.Array, features: np.ndarray) -> pa.Array:
-    size = max(1, len(words))
-    single = features < size
-    out = pc.take(words, pa.array(np.where(single, features, features // size - 1)))
-    second = pc.take(words, pa.array(np.where(single, 0, features % size)))
-    return pc.if_else(pa.array(single), out, pc.binary_join_element_wise(out, second, pa.scalar(b" ", pa.large_binary())))
+def _dealt(words: pa.Array, bits: int, distinct: np.ndarray, parts: int) -> np.ndarray:
+    """The part that owns each feature: by the hashes of its words, so alike in every chunk."""
+    own = mix64(np.array([zlib.crc32(w) for w in words.to_pylist()], dtype=np.uint64))
+    single = np.searchsorted(distinct, 1 << bits)
+    mark = np.empty(len(distinct), dtype=np.uint64)
+    mark[:single] = own[distinct[:single]]
+    first, second = distinct[single:] >> bits, distinct[single:] & ((1 << bits) - 1)
+    mark[single:] = mix64(own[first - 1] * np.uint64(0x9E3779B97F4A7C15) + own[second])
+    return ((mark >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
-def _chunk_rows(first: int, ids: list, texts: list[bytes], parts: int) -> Iterator[pa.RecordBatch]:
-    words, code, row = _tokens(texts)
-    feature, place = _features(words, code, row)
-    distinct, number = np.unique(feature, return_inverse=True)
-    # features are dealt by the hashes of their words, and numbered part by part
-    own = np.array([zlib.crc32(w) for w in words.to_pylist()], dtype=np.uint64)
-    size = max(1, len(words))
-    single = distinct < size
-    mark = np.where(single, 0, own[distinct % size] + np.uint64(1 << 32)) if len(own) else np.zeros(len(distinct), np.uint64)
-    mark = mix64(mark * np.uint64(0x9E3779B97F4A7C15) + own[np.where(single, distinct, distinct // size - 1)]) if len(own) else mark
-    part = ((mark >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+def _strings(words: pa.Array, bits: int, features: np.ndarray) -> pa.Array:
+    """The features' strings; single words come first."""
+    single = np.searchsorted(features, 1 << bits)
+    one = pc.take(words, pa.array(features[:single]))
+    first, second = pc.take(words, pa.array((features[single:] >> bits) - 1)), pc.take(words, pa.array(features[single:] & ((1 << bits) - 1)))
+    return pa.concat_arrays([one, pc.binary_join_element_wise(first, second, pa.scalar(b" ", pa.binary()))])
+
+
+def _told_order(words: pa.Array, bits: int, distinct: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order in which a chunk sends its features, part by part, and where each part begins."""
+    part = _dealt(words, bits, distinct, parts)
     order = np.argsort(part, kind="stable")
-    at = np.empty(len(order), dtype=np.int64)
-    at[order] = np.arange(len(order))
-    totals = np.bincount(number, minlength=len(distinct))[order]
-    strings = _strings(words, distinct[order])
-    cut = np.searchsorted(part[order], np.arange(parts + 1))
-    out = []
-    for p in np.flatnonzero(np.diff(cut)).tolist():
-        some = strings.slice(cut[p], cut[p + 1] - cut[p])
-        lens = pc.binary_length(some).to_numpy().astype(np.uint32)
-        joined = np.frombuffer(b"".join(some.to_pylist()), np.uint8)
-        out.append((first, p, _packed(totals[cut[p] : cut[p + 1]].astype(np.uint32), lens, joined)))
-    # per-document counts: the features of each text in order of their numbers, as differences
-    pairs, times = np.unique(place * max(1, len(distinct)) + at[number], return_counts=True)
-    doc, number = pairs // max(1, len(distinct)), pairs % max(1, len(distinct))
-    gaps = np.diff(number, prepend=0)
-    begins = np.concatenate([[True], doc[1:] != doc[:-1]])[: len(doc)]
-    gaps[begins] = number[begins]
-    n_words = np.bincount(row, minlength=len(texts))
-    null = np.array([i is None for i in ids], dtype=np.uint8)
-    key = np.array([i or 0 for i in ids], dtype=np.int64)
-    out.append((first, -1, _packed(null, key, n_words.astype(np.int64), np.bincount(doc, minlength=len(texts)).astype(np.int64), gaps.astype(np.uint32), times.astype(np.uint32))))
-    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _CHUNK.types)], schema=_CHUNK)
-
-
-def _chunks(parts: int, chunk_bytes: int):
+    return order, np.searchsorted(part[order], np.arange(parts + 1))
+
+
+def _sent(parts: int):
+    """A chunk's distinct features by part: ``(part, chunk, counts and strings)``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, texts, held, first = [], [], 0, None
         for batch in batches:
-            for row, i, text in zip(*(c.to_pylist() for c in batch.columns)):
-                first = row if first is None else first
-                ids.append(i)
-                texts.append(text or b"")
-                held += len(texts[-1]) + 1
-                if held >= chunk_bytes:
-                    yield from _chunk_rows(first, ids, texts, parts)
-                    ids, texts, held, first = [], [], 0, None
-        if ids:
-            yield from _chunk_rows(first, ids, texts, parts)
+            for at in range(batch.num_rows):
+                words, bits, feature, _, _ = _features(opened(batch.column(1)[at].as_py()).texts)
+                feature.sort()
+                first = np.flatnonzero(np.concatenate([[True], feature[1:] != feature[:-1]])[: len(feature)])
+                times, distinct = np.diff(np.append(first, len(feature))).astype(np.uint32), feature[first]
+                del feature
+                order, cut = _told_order(words, bits, distinct, parts)
+                out = []
+                for p in np.flatnonzero(np.diff(cut)).tolist():
+                    own = order[cut[p] : cut[p + 1]]
+                    strings = _strings(words, bits, distinct[own])
+                    data = np.frombuffer(strings.buffers()[2], np.uint8)[: pc.sum(pc.binary_length(strings)).as_py()]
+                    out.append((p, packed(times[own], pc.binary_length(strings).to_numpy().astype(np.uint16 if len(data) < 1 << 16 else np.uint32), data)))
+                if out:
+                    part, blob = zip(*out)
+                    chunk = pa.array([batch.column(0)[at].as_py()] * len(out), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), chunk, pa.array(blob, pa.binary())], names=["part", "chunk", "blob"])
         trim()
 
     return run
 
 
+_NAMED = pa.schema([("chunk", pa.int64()), ("part", pa.int32()), ("told", pa.binary()), ("bucket", pa.list_(pa.int32())), ("n", pa.list_(pa.int64()))])
+
+
 def _named(buckets: int):
     """A part of the dictionary: each distinct string hashed once, its count added up, its bucket told to each chunk."""
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        totals, lens, data = zip(*(_unpacked(b) for b in group["blob"]))
+    def run(table: pa.Table) -> pa.Table:
+        part, chunks = table.column("part")[0].as_py(), table.column("chunk").to_pylist()
+        totals, lens, data = zip(*(unpacked(b.as_py()) for b in table.column("blob")))
+        del table
+        sizes = [len(x) for x in lens]
         offsets = np.concatenate([[0], np.cumsum(np.concatenate(lens), dtype=np.int64)])
         every = pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.concatenate(data))])
         coded = every.dictionary_encode()
+        del every, data, lens, offsets
         code = coded.indices.to_numpy()
-        bucket = np.array([zlib.crc32(s) % buckets for s in coded.dictionary.to_pylist()], dtype=np.uint32)
-        count = np.zeros(len(bucket), dtype=np.int64)
-        np.add.at(count, code, np.concatenate(totals))
-        held = np.zeros(buckets, dtype=np.int64)
-        np.add.at(held, bucket, count)
+        bucket = np.fromiter((zlib.crc32(s.as_py()) % buckets for s in coded.dictionary), dtype=np.uint32, count=len(coded.dictionary))
+        count = np.bincount(code, weights=np.concatenate(totals), minlength=len(bucket))
+        # whole numbers far below 2**53, so sums of doubles are exact
+        held = np.bincount(bucket, weights=count, minlength=buckets).astype(np.int64)
         full = np.flatnonzero(held)
-        at = np.concatenate([[0], np.cumsum([len(x) for x in lens])])
-        told = [_packed(bucket[code[i:j]]) for i, j in zip(at, at[1:])]
-        part = int(group["part"].iloc[0])
-        out = pd.DataFrame({"chunk": group["chunk"].tolist() + [None], "part": part, "blob": told + [None]})
-        out["bucket"] = [None] * len(told) + [full.tolist()]
-        out["n"] = [None] * len(told) + [held[full].tolist()]
-        out["chunk"] = out["chunk"].astype("Int64")
+        at = np.concatenate([[0], np.cumsum(sizes)])
+        narrow = bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket
+        told = [packed(narrow[code[i:j]]) for i, j in zip(at, at[1:])]
+        rows = [(c, part, b, None, None) for c, b in zip(chunks, told)] + [(None, part, None, full.tolist(), held[full].tolist())]
+        out = pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _NAMED.types)], schema=_NAMED)
         trim()
         return out
 
     return run
 
 
-def _weighed(gains: np.ndarray):
+def _weighed(gains: np.ndarray, parts: int):
     """Weights of a chunk's documents: gains of its features, joined to the per-document counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, blob, told in zip(*(c.to_pylist() for c in batch.columns)):
-                null, key, n_words, n, gaps, times = _unpacked(blob)
-                parts = [_unpacked(x["blob"])[0] for x in sorted(told or [], key=lambda x: x["part"])]
-                gain = gains[np.concatenate(parts)] if parts else np.zeros(0, np.int64)
-                ends = np.cumsum(n)
-                total = np.cumsum(gaps, dtype=np.int64)
-                # numbers start anew with each document
-                base = np.concatenate([[0], total])[ends - n]
-                number = total - np.repeat(base, n)
-                value = np.concatenate([[0], np.cumsum(gain[number] * times.astype(np.int64))]) if len(number) else np.zeros(1, np.int64)
-                many = np.concatenate([[0], np.cumsum(times, dtype=np.int64)])
-                value, features = value[ends] - value[ends - n], many[ends] - many[ends - n]
+            for at in range(batch.num_rows):
+                rows = opened(batch.column(1)[at].as_py())
+                words, bits, feature, place, n_words = _features(rows.texts)
+                distinct, number = np.unique(feature, return_inverse=True)
+                order, _ = _told_order(words, bits, distinct, parts)
+                told = sorted(batch.column(2)[at].as_py() or [], key=lambda x: x["part"])
+                gain = np.zeros(len(distinct), dtype=np.int64)
+                if told:
+                    gain[order] = gains[np.concatenate([unpacked(x["told"])[0] for x in told])]
+                # per-document counts, one for each feature of a text
+                shift = max(1, len(distinct).bit_length())
+                pair = (place << shift) | number
+                pair.sort()
+                first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])[: len(pair)])
+                times, pair = np.diff(np.append(first, len(pair))), pair[first]
+                text = pair >> shift
+                value = np.zeros(len(n_words), dtype=np.int64)
+                np.add.at(value, text, gain[pair & ((1 << shift) - 1)] * times)
+                features = np.zeros(len(n_words), dtype=np.int64)
+                np.add.at(features, text, times)
                 weight = np.where(features > 0, value // np.maximum(features, 1), 0)
-                ids = pa.array(key, mask=null.astype(bool))
-                row = pa.array(np.arange(len(key), dtype=np.int64) + first)
+                row = pa.array(np.arange(len(n_words), dtype=np.int64) + batch.column(0)[at].as_py())
+                ids = pa.array(rows.ids, mask=rows.null.astype(bool))
                 yield pa.RecordBatch.from_arrays([row, ids, *(pa.array(x.astype(np.int64)) for x in (n_words, features, weight))], names=["row", "doc_id", "n_words", "n_features", "weight"])
         trim()
 
     return run
 
 
-def _dictionary(docs: DataFrame, buckets: int, label: str, chunk_bytes: int, part_bytes: int) -> tuple[DataFrame, DataFrame]:
-    """The chunks of ``docs(doc_id, text)``, and their dictionary by part."""
-    room = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(4, -(-int(room) // part_bytes))
-    # a row's number tells rows apart once the chunks are written
-    numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.col("text").cast("binary").alias("text"))
-    chunks = materialize(numbered.mapInArrow(_chunks(parts, chunk_bytes), "chunk long, part int, blob binary"), f"{label}-chunks")
-    named = chunks.where("part >= 0").groupBy("part").applyInPandas(_named(buckets), "chunk long, part int, blob binary, bucket array<int>, n array<long>")
-    return chunks, materialize(named, f"{label}-features")
+def _dictionary(chunks: Chunks, buckets: int, parts: int) -> DataFrame:
+    """The dictionary by part: what each chunk is told, and how many features each bucket holds."""
+    sent = chunks.table.mapInArrow(_sent(parts), "part int, chunk long, blob binary")
+    return materialize(sent.groupBy("part").applyInArrow(_named(buckets), "chunk long, part int, told binary, bucket array<int>, n array<long>"), "features")
 
 
 def _by_bucket(named: DataFrame) -> dict[int, int]:
@@ -265,14 +243,16 @@ def resample(docs: DataFrame, target: DataFrame, percent: int = 25, buckets: int
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     goal = target.select(F.lit(None).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    chunks, named = _dictionary(docs, buckets, "corpus", chunk_bytes, part_bytes)
-    gain = gains(_by_bucket(named), _by_bucket(_dictionary(goal, buckets, "target", chunk_bytes, part_bytes)[1]), buckets)
-    # two bytes for each distinct feature of a chunk, which itself is bounded
-    told = named.where("chunk is not null").groupBy("chunk").agg(F.collect_list(F.struct("part", "blob")).alias("told"))
-    counts = chunks.where("part = -1").select("chunk", F.col("blob").alias("counts"))
-    joined = counts.join(told, "chunk", "left").select("chunk", "counts", "told")
-    weighed = joined.mapInArrow(_weighed(gain), "row long, doc_id long, n_words long, n_features long, weight long")
+    chunks, asked = Chunks(docs, "corpus", chunk_bytes), Chunks(goal, "target", chunk_bytes)
+    parts = max(4, -(-chunks.bytes // part_bytes))
+    named = _dictionary(chunks, buckets, parts)
+    gain = gains(_by_bucket(named), _by_bucket(_dictionary(asked, buckets, 1)), buckets)
+    joined = chunks.joined(named.where("chunk is not null").select("chunk", "part", "told"), "told")
+    weighed = joined.mapInArrow(_weighed(gain, parts), "row long, doc_id long, n_words long, n_features long, weight long")
     scored = materialize(weighed.withColumn("score", F.col("weight") + _noise(seed)), "scored")
+    for done in (chunks, asked):
+        done.release()
+    release(named)
     able = scored.where(F.col("n_words") >= least_words)
     draw = able.count() * percent // 100
     rank = F.when(F.col("place") <= draw, F.col("place"))

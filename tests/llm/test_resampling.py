@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 
 from sequor.llm import resampling
@@ -56,19 +57,13 @@ def test_resample_equals_the_plain_version(spark, options):
     assert got == sorted(plain(docs, target), key=str)
 
 
-def test_small_chunks_give_the_same_counts():
+def test_features_of_a_chunk():
     texts = [(t or "").encode() for _, t in corpus()[0]]
-    ids = list(range(len(texts)))
-    whole = list(resampling._chunk_rows(0, ids, texts, 5))[0].to_pylist()
-    assert {r["part"] for r in whole} == {-1, 0, 1, 2, 3, 4}
-    counts = next(r for r in whole if r["part"] == -1)
-    null, key, n_words, n, gaps, times = resampling._unpacked(counts["blob"])
-    assert key.tolist() == ids and not null.any()
+    words, bits, feature, place, n_words = resampling._features(texts)
     for i, t in enumerate(texts):
-        words, all_ = features(t.decode())
-        assert (n_words[i], n[i]) == (words, len(set(all_)))
-        at = n[:i].sum()
-        assert times[at : at + n[i]].sum() == len(all_)
+        own = np.sort(feature[place == i])
+        n, want = features(t.decode())
+        assert n_words[i] == n and sorted(resampling._strings(words, bits, own).to_pylist()) == sorted(want)
 
 
 def test_rows_that_repeat_tie_and_each_keep_a_rank(spark):
