@@ -7,7 +7,6 @@ its texts by chunk, and only the findings travel.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,26 +25,24 @@ CHUNK_BYTES = 10 << 20
 
 @dataclass
 class Texts:
-    """The rows of a chunk: ids (0 where ``null`` is set), a tag that tells texts of one id apart, and bytes."""
+    """The rows of a chunk: ids (0 where ``null`` is set) and bytes."""
 
     null: np.ndarray
     ids: np.ndarray
-    tags: np.ndarray
     texts: list[bytes]
 
 
 def opened(blob: bytes) -> Texts:
-    null, ids, tags, lens, data = unpacked(blob)
+    null, ids, lens, data = unpacked(blob)
     ends = np.cumsum(lens, dtype=np.int64)
     raw = data.tobytes()
-    return Texts(null, ids, tags, [raw[e - n : e] for e, n in zip(ends.tolist(), lens.tolist())])
+    return Texts(null, ids, [raw[e - n : e] for e, n in zip(ends.tolist(), lens.tolist())])
 
 
 def _chunk(first: int, ids: list, texts: list[bytes]) -> pa.RecordBatch:
     null = np.array([i is None for i in ids], np.uint8)
-    tags = np.array([int.from_bytes(hashlib.blake2b(t, digest_size=4).digest(), "little", signed=True) for t in texts], np.int32)
     data = np.frombuffer(b"".join([*texts, b"\0"]), np.uint8)[:-1]
-    blob = packed(null, np.array([i or 0 for i in ids], np.int64), tags, np.array([len(t) for t in texts], np.uint32), data)
+    blob = packed(null, np.array([i or 0 for i in ids], np.int64), np.array([len(t) for t in texts], np.uint32), data)
     return pa.RecordBatch.from_arrays([pa.array([first], pa.int64()), pa.array([blob], pa.binary())], names=["chunk", "texts"])
 
 
