@@ -66,6 +66,15 @@ OP11 = f"""WITH {_CRC},
  placed AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id) AS p FROM scored WHERE n_words >= 20)
  SELECT doc_id, n_features, weight, score, CASE WHEN p <= (SELECT count(*) * 25 // 100 FROM placed) THEN p END AS rank FROM scored LEFT JOIN placed USING (r)"""
 
+OP12 = """WITH d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+ win AS (SELECT doc_id, i, substr(h, 2 * i - 1, 200) AS s FROM d, unnest(range(1, length(h) // 2 - 98)) AS u(i)),
+ later AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS r FROM win) t WHERE r > 1),
+ steps AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 100 THEN 0 ELSE 1 END AS jump FROM later),
+ spans AS (SELECT doc_id, min(i) AS a, max(i) + 99 AS b FROM (SELECT doc_id, i, sum(jump) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM steps) t GROUP BY doc_id, g),
+ gaps AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM spans),
+ cut AS (SELECT doc_id, count(*) AS n_spans, CAST(sum(b - a + 1) AS BIGINT) AS n_removed, max(b) AS last, string_agg(substr(h, 2 * before + 1, 2 * (a - 1 - before)), '' ORDER BY a) AS head FROM gaps JOIN d USING (doc_id) GROUP BY doc_id)
+ SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256 FROM d LEFT JOIN cut USING (doc_id)"""
+
 _APART = "CAST(list_sum(list_transform(list_zip(q, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT)"
 
 
@@ -92,5 +101,6 @@ ORACLES = {
     "op9_substring_dedup": OP9,
     "op10_decontamination": OP10,
     "op11_importance_resampling": OP11,
+    "op12_suffix_dedup": OP12,
     "op13_centroid_clustering": OP13,
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sequor.llm import centroids, decontaminate, html_extract, jaccard_join, line_dedup, mixing, quality, resampling, secrets, sharding, substring_dedup, url_filters
+from sequor.llm import centroids, decontaminate, html_extract, jaccard_join, line_dedup, mixing, quality, resampling, secrets, sharding, substring_dedup, suffix_dedup, url_filters
 from sequor.llm.oracles import ORACLES
 
 
@@ -83,6 +83,11 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(_table(spark, sf_dir, "embeddings"))
 
@@ -99,5 +104,6 @@ QUERIES = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_decontamination": op10_decontamination,
     "op11_importance_resampling": op11_importance_resampling,
+    "op12_suffix_dedup": op12_suffix_dedup,
     "op13_centroid_clustering": op13_centroid_clustering,
 }
