@@ -25,13 +25,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sequor.llm.chunks import CHUNK_BYTES, Chunks, opened
+from sequor.llm.chunks import Chunks, opened
 from sequor.llm.hashing import _LOWER, mix64, trim
 from sequor.llm.packing import packed, unpacked
 from sequor.operators.storage import materialize, release
 
-#: Bytes of feature strings that a part of the dictionary is meant to meet.
-PART_BYTES = 16 << 20
+#: Bytes of text of a chunk, and of the corpus for each part of the dictionary.
+RUN_BYTES = 6 << 20
+PART_BYTES = 10 << 20
 #: Documents of fewer words are weighed but never drawn.
 LEAST_WORDS = 20
 _WORD = np.ones(256, dtype=bool)
@@ -227,7 +228,7 @@ def _ranked(rows: DataFrame) -> DataFrame:
     return placed.withColumn("p", part).join(start, "p").withColumn("place", nth).drop("at", "p", "start")
 
 
-def resample(docs: DataFrame, target: DataFrame, percent: int = 25, buckets: int = 10_000, seed: int = 7, least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, part_bytes: int = PART_BYTES) -> DataFrame:
+def resample(docs: DataFrame, target: DataFrame, percent: int = 25, buckets: int = 10_000, seed: int = 7, least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = RUN_BYTES, part_bytes: int = PART_BYTES) -> DataFrame:
     """``(doc_id, n_words, n_features, weight, score, rank)`` of every row of ``docs``.
 
     Words are runs of letters a-z, digits and characters beyond ASCII, A-Z
