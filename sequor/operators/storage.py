@@ -25,15 +25,15 @@ def _filesystem(spark: SparkSession, path: str):
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
-def materialize(df: DataFrame, label: str = "t") -> DataFrame:
+def materialize(df: DataFrame, label: str = "t", codec: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back, so that later steps start from files.
 
     The files outlive lost executors and go when the session's JVM ends, or
-    earlier through :func:`release`.
+    earlier through :func:`release`.  ``codec`` is Parquet's, the session's if it is not given.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sequor-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     fs, at = _filesystem(spark, path)
     fs.deleteOnExit(at)
     out = spark.read.schema(df.schema).parquet(path)
