@@ -25,54 +25,57 @@ CHUNK_BYTES = 10 << 20
 
 @dataclass
 class Texts:
-    """The rows of a chunk: ids (0 where ``null`` is set) and bytes."""
+    """The rows of a chunk: ids (0 where ``null`` is set), bytes, and what else was kept, one array a column."""
 
     null: np.ndarray
     ids: np.ndarray
     texts: list[bytes]
+    more: list[np.ndarray]
 
 
 def opened(blob: bytes) -> Texts:
-    null, ids, lens, data = unpacked(blob)
+    null, ids, lens, data, *more = unpacked(blob)
     ends = np.cumsum(lens, dtype=np.int64)
     raw = data.tobytes()
-    return Texts(null, ids, [raw[e - n : e] for e, n in zip(ends.tolist(), lens.tolist())])
+    return Texts(null, ids, [raw[e - n : e] for e, n in zip(ends.tolist(), lens.tolist())], more)
 
 
-def _chunk(first: int, ids: list, texts: list[bytes]) -> pa.RecordBatch:
+def _chunk(first: int, rows: list[tuple]) -> pa.RecordBatch:
+    ids, texts, *more = zip(*rows)
     null = np.array([i is None for i in ids], np.uint8)
+    texts = [t or b"" for t in texts]
     data = np.frombuffer(b"".join([*texts, b"\0"]), np.uint8)[:-1]
-    blob = packed(null, np.array([i or 0 for i in ids], np.int64), np.array([len(t) for t in texts], np.uint32), data)
+    blob = packed(null, np.array([i or 0 for i in ids], np.int64), np.array([len(t) for t in texts], np.uint32), data, *(np.array(x, np.int64) for x in more))
     return pa.RecordBatch.from_arrays([pa.array([first], pa.int64()), pa.array([blob], pa.binary())], names=["chunk", "texts"])
 
 
 def _packed_rows(chunk_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, texts, held, first = [], [], 0, None
+        rows, held, first = [], 0, None
         for batch in batches:
             for at in range(batch.num_rows):
-                row, i, text = (c[at].as_py() for c in batch.columns)
-                first = row if first is None else first
-                ids.append(i)
-                texts.append(text or b"")
-                held += len(texts[-1]) + 16
+                number, *row = (c[at].as_py() for c in batch.columns)
+                first = number if first is None else first
+                rows.append(tuple(row))
+                held += len(row[1] or b"") + 16
                 if held >= chunk_bytes:
-                    yield _chunk(first, ids, texts)
-                    ids, texts, held, first = [], [], 0, None
-        if ids:
-            yield _chunk(first, ids, texts)
+                    yield _chunk(first, rows)
+                    rows, held, first = [], 0, None
+        if rows:
+            yield _chunk(first, rows)
         trim()
 
     return run
 
 
 class Chunks:
-    """The bucketed table ``(chunk, texts)`` of ``docs(doc_id, text)``; a chunk's name is the number of its first row."""
+    """The bucketed table ``(chunk, texts)`` of ``docs(doc_id, text)`` with ``more`` columns of longs; a chunk's name is the number of its first row."""
 
-    def __init__(self, docs: DataFrame, label: str, chunk_bytes: int = CHUNK_BYTES) -> None:
-        self.bytes = int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    def __init__(self, docs: DataFrame, label: str, chunk_bytes: int = CHUNK_BYTES, more: tuple[str, ...] = ()) -> None:
+        self.rows, size = docs.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+        self.bytes = int(size or 0)
         self.buckets = tasks(docs.sparkSession, self.bytes, 2 * chunk_bytes)
-        rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.col("text").cast("binary").alias("text"))
+        rows = docs.select(F.monotonically_increasing_id().alias("row_number"), "doc_id", F.col("text").cast("binary").alias("text"), *more)
         self.table = materialize_bucketed(rows.mapInArrow(_packed_rows(chunk_bytes), "chunk long, texts binary"), "chunk", self.buckets, label)
 
     def joined(self, found: DataFrame, column: str) -> DataFrame:

@@ -17,8 +17,8 @@ are sorted, but only those that can repeat, and only as far as tells:
     no byte of a known prefix is compared again.  Suffixes equal to the one
     before them are repeats.
 4.  What is left are distinct suffixes.  Those whose anchor is in another one too
-    may still share some of their strings: these are sorted and merged likewise,
-    now each string as a suffix of its own.
+    may still share some of their strings: they go the same way as texts of their
+    own, with longer anchors and so shorter suffixes, at last each string alone.
 
 All comparisons are of bytes; hashes only leave out what cannot repeat.
 """
@@ -37,13 +37,12 @@ from pyspark.sql import functions as F
 from sequor.llm.chunks import CHUNK_BYTES, Chunks, opened
 from sequor.llm.hashing import mix64, trim
 from sequor.llm.packing import packed, unpacked
-from sequor.operators.storage import materialize, release, tasks
+from sequor.operators.storage import materialize, release
 
 #: Bytes of text that hashes are made for at a time.
 SEGMENT_BYTES = 192 << 10
-#: Anchors that a task counts; suffixes of a run, of a front-coded piece, and of a range of the order.
+#: Anchors that a task counts; suffixes of a front-coded piece, and of a range of the order.
 BUCKET_MARKS = 2_000_000
-RUN_ROWS = 150_000
 PIECE_ROWS = 512
 RANGE_ROWS = 200_000
 #: Runs that one loser tree merges; more are merged in groups first.
@@ -310,7 +309,7 @@ def _spans(r: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, ...
     return r[first], s[first], reach[last] - r[first] * step
 
 
-def _merged(borders: list[bytes], teams: int):
+def _merged(borders: list[bytes], teams: int, last_level: bool):
     """One range of the order: repeats as cuts, and each distinct suffix where it starts first (as a run, while teams remain)."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -340,7 +339,8 @@ def _merged(borders: list[bytes], teams: int):
         if teams > 1:
             return pa.Table.from_batches([_sent(f"{part}-{team}", kept, cuts, borders, 1)])
         rows = [(c, b, *[None] * 6) for c, b in _cut_rows(cuts)]
-        rows += [(p[4], None, s, p[0], p[1], p[2], p[3], p[5]) for s, p in kept]
+        if not last_level:
+            rows += [(p[4], None, s, p[0], p[1], p[2], p[3], p[5]) for s, p in kept]
         out = pa.Table.from_batches([_rows(_MERGED, rows)])
         trim()
         return out
@@ -348,13 +348,6 @@ def _merged(borders: list[bytes], teams: int):
     return run
 
 
-def _merge(sent: DataFrame, borders: list[bytes], teams: int, label: str) -> DataFrame:
-    """Merge of all runs by range; where there are several teams, each of them first."""
-    if teams > 1:
-        sent = sent.groupBy("part", "team").applyInArrow(_merged(borders, teams), _DEALT_SQL)
-    return materialize(sent.groupBy("part", "team").applyInArrow(_merged(borders, 1), _MERGED_SQL), label)
-
-
 def _edges(marks: np.ndarray, buckets: int) -> np.ndarray:
     """Where each bucket of sorted 48-bit marks starts and ends."""
     return np.searchsorted(marks, np.array([-(-(b << 48) // buckets) for b in range(buckets + 1)], dtype=np.uint64))
@@ -412,7 +405,7 @@ def _repeated(table: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_rows(_FLAGS, out)])
 
 
-def _first_runs(length: int, gram: int, buckets: int, borders: list[bytes], teams: int):
+def _runs(length: int, gram: int, buckets: int, borders: list[bytes], teams: int):
     """A chunk's run of suffixes whose anchors occur twice at least."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -426,37 +419,18 @@ def _first_runs(length: int, gram: int, buckets: int, borders: list[bytes], team
                     i, j = cut[x["bucket"]], cut[x["bucket"] + 1]
                     flags[i:j] = np.unpackbits(np.frombuffer(x["bits"], np.uint8), count=j - i)
                 keep = np.flatnonzero(flags[which])
-                own, nulls, docs, texts = Run(), rows.null.tolist(), rows.ids.tolist(), rows.texts
+                # a document starts at 0 and is at home in its chunk; a suffix brings its own
+                n = len(rows.texts)
+                lines, begins, homes = rows.more or (chunk + np.arange(n), np.zeros(n, np.int64), np.full(n, chunk))
+                own, nulls, docs, texts, lines, begins, homes = Run(), rows.null.tolist(), rows.ids.tolist(), rows.texts, lines.tolist(), begins.tolist(), homes.tolist()
                 for r, s, n, m in zip(row[keep].tolist(), start[keep].tolist(), count[keep].tolist(), mark[keep].tolist()):
-                    own.add(texts[r][s : s + n + length - 1], (nulls[r], docs[r], chunk + r, s, chunk, m))
+                    own.add(texts[r][s : s + n + length - 1], (nulls[r], docs[r], lines[r], begins[r] + s, homes[r], m))
                 yield _sent(str(chunk), sorted(own.earliest.items()), own.cuts, borders, teams)
         trim()
 
     return run
 
 
-def _next_runs(length: int, gram: int, borders: list[bytes], teams: int):
-    """Runs of the shorter suffixes that distinct ones are made of."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, name = Run(), ""
-        for batch in batches:
-            held = batch.column(1).to_pylist()
-            row, start, count, mark = (x.tolist() for x in _all_suffixes(held, length, gram))
-            places = list(zip(*(batch.column(k).to_pylist() for k in (2, 3, 4, 5, 0))))
-            for r, s, n, m in zip(row, start, count, mark):
-                null, doc, line, begin, chunk = places[r]
-                own.add(held[r][s : s + n + length - 1], (null, doc, line, begin + s, chunk, m))
-            name = name or f"{places[0][2]}-{places[0][3]}" if places else name
-            if len(own.earliest) >= RUN_ROWS:
-                yield _sent(name, sorted(own.earliest.items()), own.cuts, borders, teams)
-                own, name = Run(), ""
-        yield _sent(name, sorted(own.earliest.items()), own.cuts, borders, teams)
-        trim()
-
-    return run
-
-
 def _borders(heads: DataFrame, n: int, parts: int) -> list[bytes]:
     """Borders of ``parts`` ranges, from about ``SAMPLE_ROWS`` of ``n`` rows of ``heads(h)``."""
     if parts < 2:
@@ -502,41 +476,44 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     are not read; an empty table gives no rows.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    spark = docs.sparkSession
-    first, *rest = grams(length)
-    chunks = Chunks(docs, "bytes", chunk_bytes)
-    # an anchor stands for half its window's strings, about
-    n_marks = 2 * chunks.bytes // max(1, length - first + 2)
-    buckets = max(4, -(-n_marks // bucket_marks))
-    every = max(1, n_marks // (8 * SAMPLE_ROWS))
-    counted = chunks.table.mapInArrow(_counted(length, first, buckets, every), _COUNTED_SQL)
-    flags = counted.groupBy("bucket").applyInArrow(_repeated, "chunk long, bucket int, bits binary, n long, heads array<binary>")
-    flags = materialize(flags, "flags")
-    n, n_heads, n_chunks = flags.agg(F.sum("n"), F.sum(F.size("heads")), F.count_distinct("chunk")).first()
-    borders = _borders(flags.select(F.explode("heads").alias("h")), n_heads or 0, -(-(n or 0) // range_rows))
-    teams = -(-(n_chunks or 1) // fan_in)
-    sent = chunks.joined(flags.select("chunk", "bucket", "bits"), "bits").mapInArrow(_first_runs(length, first, buckets, borders, teams), _DEALT_SQL)
-    levels = [_merge(sent, borders, teams, "level")]
-    release(flags)
-    for gram in rest:
+    chunks = now = Chunks(docs, "bytes", chunk_bytes)
+    levels = []
+    for gram in grams(length):
+        levels.append(_level(now, length, gram, range_rows, fan_in, bucket_marks))
+        if now is not chunks:
+            now.release()
         distinct = levels[-1].where("s is not null")
         shared = materialize(distinct.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark"), "shared")
         few = shared.count()
         if not few:
             break
-        open_ = distinct.join(F.broadcast(shared) if few <= BROADCAST_ROWS else shared, "mark", "left_semi").select("chunk", "s", "null", "doc_id", "row", "start")
-        open_ = materialize(open_.repartition(tasks(spark, 0, 1), "row", "start"), "open")
-        rows, size = open_.agg(F.count("*"), F.sum(F.octet_length("s") - (length - 1))).first()
-        n = size if gram == length else 2 * size // (length - gram + 2) + rows
-        # a head starts anywhere in a suffix, as the shorter ones do
-        at = (F.pmod(F.xxhash64("row", "start"), F.octet_length("s") - (length - 1)) + 1).cast("int")
-        heads = open_.select(F.substring("s", at, F.lit(64)).alias("h"))
-        borders = _borders(heads, rows, -(-n // range_rows))
-        teams = -(-(n // RUN_ROWS + open_.rdd.getNumPartitions()) // fan_in)
-        levels.append(_merge(open_.mapInArrow(_next_runs(length, gram, borders, teams), _DEALT_SQL), borders, teams, "level"))
-        release(open_)
+        again = distinct.join(F.broadcast(shared) if few <= BROADCAST_ROWS else shared, "mark", "left_semi")
+        again = again.select(F.when(F.col("null") == 0, F.col("doc_id")).alias("doc_id"), F.col("s").alias("text"), "row", "start", "chunk")
+        now = Chunks(again, "suffixes", chunk_bytes, ("row", "start", "chunk"))
         release(shared)
     cuts = levels[0]
     for more in levels[1:]:
         cuts = cuts.union(more)
     return chunks.joined(cuts.where("cuts is not null").select("chunk", "cuts"), "cuts").mapInArrow(_removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+
+
+def _level(chunks: Chunks, length: int, gram: int, range_rows: int, fan_in: int, bucket_marks: int) -> DataFrame:
+    """Repeats among the suffixes of one level as cuts by chunk, and, but for the last level, its distinct suffixes."""
+    last = gram == length
+    strings = max(0, chunks.bytes - chunks.rows * (length - 1)) if chunks.rows and chunks.bytes // chunks.rows < 4 * length else chunks.bytes
+    # an anchor stands for half its window's strings, about
+    n_marks = 2 * strings // (length - gram + 2) + chunks.rows
+    buckets = max(4, -(-n_marks // bucket_marks))
+    every = max(1, n_marks // (8 * SAMPLE_ROWS))
+    counted = chunks.table.mapInArrow(_counted(length, gram, buckets, every), _COUNTED_SQL)
+    flags = counted.groupBy("bucket").applyInArrow(_repeated, "chunk long, bucket int, bits binary, n long, heads array<binary>")
+    flags = materialize(flags, "flags")
+    n, n_heads, n_chunks = flags.agg(F.sum("n"), F.sum(F.size("heads")), F.count_distinct("chunk")).first()
+    borders = _borders(flags.select(F.explode("heads").alias("h")), n_heads or 0, -(-(n or 0) // range_rows))
+    teams = -(-(n_chunks or 1) // fan_in)
+    sent = chunks.joined(flags.where("n > 0").select("chunk", "bucket", "bits"), "bits").mapInArrow(_runs(length, gram, buckets, borders, teams), _DEALT_SQL)
+    if teams > 1:
+        sent = sent.groupBy("part", "team").applyInArrow(_merged(borders, teams, last), _DEALT_SQL)
+    out = materialize(sent.groupBy("part", "team").applyInArrow(_merged(borders, 1, last), _MERGED_SQL), "level", "zstd")
+    release(flags)
+    return out
