@@ -1,8 +1,10 @@
 """Vectorised word and shingle hashes over Arrow string buffers.
 
 Words are maximal runs of bytes other than space and 0x09-0x0D.  A word's hash
-is a polynomial of its UTF-8 bytes modulo 2**64, mixed with its length, so it
-depends on the word alone and agrees between tasks, runs and machines.
+is keyed and takes in eight of its UTF-8 bytes at a time, mixing fully after
+each, so that no pattern of letters makes words collide; it depends on the word
+alone and agrees between tasks, runs and machines.  Hashes have 64 bits: where a
+result must not rest on them, words are compared besides.
 """
 
 from __future__ import annotations
@@ -14,9 +16,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-_P = np.uint64(0x9E3779B97F4A7C15)
-_P_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _MUL = np.uint64(0xD1342543DE82EF95)
+#: Keys of the word hash: of its length, of the bytes taken in, and of each step.
+_K_LENGTH, _K_BYTES, _K_STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
+#: Of a rest of n bytes of eight, the bits that count.
+_REST = np.array([(1 << (8 * n)) - 1 for n in range(9)], dtype=np.uint64)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
@@ -24,10 +28,6 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: Bytes of text hashed at a time; a longer single text is a chunk of its own.
 CHUNK_BYTES = 256 << 10
 
-_powers = np.ones(1, dtype=np.uint64)
-_inverse = np.ones(1, dtype=np.uint64)
-
-
 def trim() -> None:
     """Hand freed memory back, so that a reused worker starts its next stage small."""
     pa.default_memory_pool().release_unused()
@@ -37,20 +37,6 @@ def trim() -> None:
         pass
 
 
-def _geometric(base: np.uint64, size: int) -> np.ndarray:
-    out = np.full(size, base, dtype=np.uint64)
-    out[0] = 1
-    with np.errstate(over="ignore"):
-        return np.multiply.accumulate(out)
-
-
-def _tables(size: int) -> tuple[np.ndarray, np.ndarray]:
-    global _powers, _inverse
-    if len(_powers) < size:
-        _powers, _inverse = _geometric(_P, size), _geometric(_P_INV, size)
-    return _powers, _inverse
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser on uint64."""
     with np.errstate(over="ignore"):
@@ -111,12 +97,27 @@ def _hashed(row: int, data: np.ndarray, at: np.ndarray) -> Words:
     last = inside[:n] & ~inside[1 : n + 1]
     last[inner - 1] = inside[inner - 1]
     starts, ends = np.flatnonzero(begins), np.flatnonzero(last) + 1
-    powers, inverse = _tables(n + 1)
+    return Words(row, data, starts, ends, word_hashes(data, starts, ends), np.searchsorted(starts, at))
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Keyed hashes of byte spans, taken in eight bytes at a time with a full mix after each.
+
+    Spans of one length up to eight bytes never share a hash, as each step is a
+    bijection; longer ones do so with the odds of 64 bits.
+    """
+    held = np.concatenate([data, np.zeros(8, np.uint8)])
+    eights = np.lib.stride_tricks.as_strided(held[:8].view("<u8"), shape=(len(data) + 1,), strides=(1,))
+    size = ends - starts
     with np.errstate(over="ignore"):
-        total = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[:n], out=total[1:])
-        hashes = mix64((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * _MUL)
-    return Words(row, data, starts, ends, hashes, np.searchsorted(starts, at))
+        out = mix64(size.astype(np.uint64) * _K_LENGTH + _K_BYTES)
+        todo, at, left = np.arange(len(starts)), starts, size
+        while len(todo):
+            part = eights[at] & _REST[np.minimum(left, 8)]
+            out[todo] = mix64((out[todo] ^ part) * _K_STEP + _K_BYTES)
+            more = left > 8
+            todo, at, left = todo[more], at[more] + 8, left[more] - 8
+    return out
 
 
 def grams(hashes: np.ndarray, size: int) -> np.ndarray:

@@ -1,7 +1,9 @@
 """N-gram Jaccard join by T-occurrence search.
 
 Documents link when the Jaccard similarity of their word-shingle sets reaches a
-threshold.  The join is exact on 64-bit shingle hashes:
+threshold.  Shingles are 64-bit keyed hashes of their words; on those sets the
+join is exact, and two different shingles share a hash with the odds of 64 bits
+(some 3 in 10,000 that this happens at all among 100 million shingles):
 
 1.  A document's class is its normalised word sequence; copies collapse there.
 2.  A shingle found in one class alone cannot be shared.  Shingles travel once,

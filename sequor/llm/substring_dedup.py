@@ -4,7 +4,8 @@ A window is ``k`` consecutive words.  Its minimiser is the least hash among its
 ``m``-word grams.  Consecutive windows that share a minimiser travel together as
 one packed string to the minimiser's bucket, where sorting finds every window
 that also starts earlier.  Equal windows have equal minimisers, so buckets are
-independent and the result is exact.
+independent.  A bucket sorts windows by hash and then compares the words of those
+that share one, so the result is exact whatever the hashes do.
 
 A minimiser that one task alone meets often is hot everywhere: its windows are
 dealt by their own hash instead, so a passage in a third of all documents is
@@ -34,9 +35,10 @@ SHIP_BYTES = 24 << 20
 HOT_COUNT = 64
 
 
-def _tag(hashes: np.ndarray) -> int:
-    """Tells texts of one id apart."""
-    return struct.unpack("<i", hashlib.md5(hashes.tobytes()).digest()[:4])[0]
+def _tag(hashes: np.ndarray, null: bool) -> int:
+    """Tells texts of one id apart, and a null id from the greatest one: it comes behind."""
+    x = struct.unpack("<i", hashlib.md5(hashes.tobytes()).digest()[:4])[0]
+    return x & 0x7FFFFFFF if null else x | -(1 << 31)
 
 
 def _runs(w: Words, k: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -120,7 +122,7 @@ def _ship(k: int, m: int, buckets: int, hot: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         load = Load()
         for batch in batches:
-            ids = batch.column(0).fill_null(_NULL_ID).to_numpy()
+            ids, null = batch.column(0).fill_null(_NULL_ID).to_numpy(), batch.column(0).is_null().to_pylist()
             for w in words(batch.column(1), lower=False):
                 first, last, least, row = _runs(w, k, m)
                 if not len(first):
@@ -135,7 +137,7 @@ def _ship(k: int, m: int, buckets: int, hot: np.ndarray):
                 # minimisers are small hashes by nature, so they are mixed again before they are dealt
                 to = ((mix64(~least) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64).tolist()
                 text = w.data.tobytes()
-                tags = {r: _tag(w.of(r)) for r in np.unique(row).tolist()}
+                tags = {r: _tag(w.of(r), null[w.first_row + r]) for r in np.unique(row).tolist()}
                 begin, end = w.starts[first].tolist(), w.ends[last + k - 1].tolist()
                 at = (first - w.offsets[row]).tolist()
                 span = (last - first + k).tolist()
@@ -163,7 +165,8 @@ def _count(k: int):
         if group["bucket"].iloc[0] < 0:
             return group[["doc_id", "tag", "starts", "ends"]]
         unpack = zstandard.ZstdDecompressor()
-        hashes, ids, tags, starts = [], [], [], []
+        hashes, ids, tags, starts, codes, heads = [], [], [], [], [], []
+        known, n_codes = {}, 0
         for blob in group["blob"]:
             raw = unpack.decompress(blob)
             n = struct.unpack_from("<q", raw)[0]
@@ -182,13 +185,19 @@ def _count(k: int):
                 ids.append(doc[w.first_row + r])
                 tags.append(tag[w.first_row + r])
                 starts.append(at[w.first_row + r] + (ok - w.offsets[r]).astype(np.int32))
+                codes.append(_numbered(w, known))
+                heads.append(ok + n_codes)
+                n_codes += len(w.hashes)
         h, i, t, s = (np.concatenate(x) for x in (hashes, ids, tags, starts))
+        c, p = np.concatenate(codes), np.concatenate(heads)
+        del hashes, ids, tags, starts, codes, heads, known
         order = np.argsort(h, kind="stable")
         edge = np.concatenate([[True], h[order][1:] != h[order][:-1]])
         many = ~edge
         many[:-1] |= ~edge[1:]
         order = order[many]
-        h, i, t, s = h[order], i[order], t[order], s[order]
+        h, i, t, s, p = h[order], i[order], t[order], s[order], p[order]
+        h = _told_apart(h, c, p, k)
         order = np.lexsort((s, t, i, h))
         h, i, t, s = h[order], i[order], t[order], s[order]
         later = np.zeros(len(h), dtype=bool)
@@ -203,6 +212,35 @@ def _count(k: int):
     return run
 
 
+def _numbered(w: Words, known: dict[bytes, int]) -> np.ndarray:
+    """Numbers of a chunk's words, the same for the same word throughout a bucket."""
+    offsets = np.concatenate([[0], np.cumsum(w.ends - w.starts)])
+    mask = np.zeros(len(w.data) + 1, dtype=np.int8)
+    mask[w.starts] += 1
+    np.add.at(mask, w.ends, -1)
+    data = w.data[np.cumsum(mask[:-1]) > 0]
+    every = pa.Array.from_buffers(pa.large_binary(), len(w.starts), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)])
+    coded = every.dictionary_encode()
+    own = np.array([known.setdefault(x, len(known)) for x in coded.dictionary.to_pylist()], dtype=np.int32)
+    return own[coded.indices.to_numpy()] if len(own) else np.zeros(0, np.int32)
+
+
+def _told_apart(h: np.ndarray, codes: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """Numbers of windows (runs of ``k`` codes that start ``at``), equal just where all their words are; ``h`` is sorted."""
+    first = np.concatenate([[True], h[1:] != h[:-1]])[: len(h)]
+    out = np.cumsum(first) - 1
+    head = at[np.flatnonzero(first)][out] if len(h) else at
+    odd = np.zeros(len(h), dtype=bool)
+    for j in range(k):
+        odd |= codes[at + j] != codes[head + j]
+    if odd.any():
+        # windows of one hash and other words: numbered by their words
+        n, seen = len(h), {}
+        for x in np.flatnonzero(odd).tolist():
+            out[x] = n + seen.setdefault(codes[at[x] : at[x] + k].tobytes(), len(seen))
+    return out
+
+
 def _intervals(i: np.ndarray, t: np.ndarray, s: np.ndarray, k: int) -> pd.DataFrame:
     order = np.lexsort((s, t, i))
     i, t, s = i[order], t[order], s[order]
@@ -221,7 +259,7 @@ def _intervals(i: np.ndarray, t: np.ndarray, s: np.ndarray, k: int) -> pd.DataFr
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        text, cuts = batch.column(1), batch.column(2)
+        null, text, cuts = batch.column(0).is_null().to_pylist(), batch.column(1), batch.column(2)
         n_words, n_removed, kept = [], [], []
         for w in words(text, lower=False):
             for r in range(len(w)):
@@ -230,7 +268,7 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 gone = np.zeros(len(own) + 1, dtype=np.int64)
                 found = cuts[w.first_row + r].as_py()
                 if found:
-                    tag = _tag(h)
+                    tag = _tag(h, null[w.first_row + r])
                     for c in found:
                         if c["tag"] == tag:
                             np.add.at(gone, c["starts"], 1)
