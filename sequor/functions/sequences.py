@@ -124,10 +124,111 @@ def align_batch(references: list[str], queries: list[str]) -> np.ndarray:
 
     Match 2, conservative 1, mismatch -1, gap -2; ties prefer diagonal, then a
     gap in the query, then one in the reference.  Cells of an antidiagonal are
-    computed at once, and what the traced path counts is carried forward with
-    its pointer, so memory grows with the length and not with its square.
+    computed at once for all twos and leave a byte of direction, which is then
+    traced back for all at once; twos whose directions would take over
+    ``TRACE_BYTES`` carry counts along instead.
     """
     m, n, b = max(map(len, references), default=0), max(map(len, queries), default=0), len(references)
+    if (m + 1) * (n + 1) * b > 2 * TRACE_BYTES and b > 1:
+        half = b // 2
+        return np.concatenate([align_batch(references[:half], queries[:half]), align_batch(references[half:], queries[half:])])
+    if (m + 1) * (n + 1) > 2 * TRACE_BYTES:
+        return _align_long(references, queries)
+    ref, que = (np.array([np.frombuffer(s.encode("ascii", "replace").ljust(w, b"\0"), np.uint8) for s in x], dtype=np.uint8).reshape(b, w).T for x, w in ((references, m), (queries, n)))
+    ref, que = np.ascontiguousarray(ref), np.ascontiguousarray(que[::-1])
+    ref_groups, que_groups = _GROUP_BITS[ref], _GROUP_BITS[que]
+    rl, ql = np.array([len(s) for s in references], dtype=np.int64), np.array([len(s) for s in queries], dtype=np.int64)
+    out = np.zeros((b, 4), dtype=np.int32)
+    kind = np.int16 if 2 * (m + n) < 1 << 15 else np.int32
+    scores = [np.zeros((m + 1, b), dtype=kind) for _ in range(3)]
+    steps: list[np.ndarray | None] = []
+    ends = rl + ql
+    for d in range(m + n + 1):
+        s2, s1, s0 = (scores[k % 3] for k in (d - 2, d - 1, d))
+        if d <= n:
+            s0[0] = -2 * d
+        if d <= m:
+            s0[d] = -2 * d
+        lo, hi = max(1, d - n), min(m, d - 1)
+        step = None
+        if lo <= hi:
+            at = slice(n - d + lo, n - d + hi + 1)
+            same = ref[lo - 1 : hi] == que[at]
+            near = (ref_groups[lo - 1 : hi] & que_groups[at]) != 0
+            near |= same
+            sub = near.view(np.int8) * np.int8(2) + same.view(np.int8)
+            sub -= np.int8(1)
+            diagonal = s2[lo - 1 : hi] + sub
+            up, left = s1[lo - 1 : hi], s1[lo : hi + 1]
+            gap = np.maximum(up, left) - kind(2)
+            step = (diagonal < gap).view(np.uint8)
+            step += step & (up < left).view(np.uint8)
+            # what the trace counts: bit 2 tells a match on a diagonal
+            step |= same.view(np.uint8) << np.uint8(2)
+            np.maximum(diagonal, gap, out=s0[lo : hi + 1])
+        steps.append(step)
+        done = np.flatnonzero(ends == d)
+        out[done, 0] = s0[rl[done], done]
+    _trace(steps, rl.copy(), ends, n, out)
+    return out
+
+
+def _trace(steps: list[np.ndarray | None], i: np.ndarray, at: np.ndarray, n: int, out: np.ndarray) -> None:
+    """Counts along the traced paths, of all twos that stand on an antidiagonal at once."""
+    at = at.copy()
+    for d in range(len(steps) - 1, 0, -1):
+        here = np.flatnonzero(at == d)
+        if not len(here):
+            continue
+        row = i[here]
+        way = np.where(row == 0, 2, 1).astype(np.uint8)
+        inner = np.flatnonzero((row > 0) & (row < d))
+        if len(inner):
+            way[inner] = steps[d][row[inner] - max(1, d - n), here[inner]]
+        move = way & 3
+        diagonal = move == 0
+        out[here, 1] += diagonal & (way >= 4)
+        out[here, 2] += 1
+        out[here, 3] += diagonal
+        i[here] -= move < 2
+        at[here] -= 1 + diagonal
+
+
+def common_letters(reference: str, query: str, masks: dict[str, int] | None = None) -> int:
+    """Length of the longest common subsequence, by bits of one integer: no alignment has more matches."""
+    if masks is None:
+        masks = letter_masks(reference)
+    full = (1 << len(reference)) - 1
+    v = full
+    for ch in query:
+        u = v & masks.get(ch, 0)
+        v = ((v + u) | (v - u)) & full
+    return len(reference) - v.bit_count()
+
+
+def letter_masks(text: str) -> dict[str, int]:
+    """For each letter the places where it stands, as bits."""
+    out: dict[str, int] = {}
+    for i, ch in enumerate(text):
+        out[ch] = out.get(ch, 0) | 1 << i
+    return out
+
+
+@F.pandas_udf(IntegerType())
+def most_matches(references: pd.Series, queries: pd.Series) -> pd.Series:
+    """Matches that no alignment of the two can exceed."""
+    known: dict[str, dict[str, int]] = {}
+    out = []
+    for r, q in zip(references.fillna(""), queries.fillna("")):
+        if r not in known:
+            known[r] = letter_masks(r)
+        out.append(common_letters(r, q, known[r]))
+    return pd.Series(out, dtype="int32")
+
+
+def _align_long(references: list[str], queries: list[str]) -> np.ndarray:
+    """As :func:`align_batch`, with what the traced path counts carried forward beside its pointer: memory grows with the length, not its square."""
+    m, n, b = max(map(len, references), default=0), max(map(len, queries), default=0), len(references)
     ref, que = (np.array([np.frombuffer(s.encode("ascii", "replace").ljust(w, b"\0"), np.uint8) for s in x], dtype=np.uint8).reshape(b, w) for x, w in ((references, m), (queries, n)))
     rl, ql = np.array([len(s) for s in references]), np.array([len(s) for s in queries])
     out = np.zeros((b, 4), dtype=np.int32)
@@ -170,6 +271,18 @@ def _score_table() -> np.ndarray:
 
 
 _SCORES = _score_table()
+#: Bytes of directions that one batch of alignments keeps.
+TRACE_BYTES = 24 << 20
+
+
+def _group_bits() -> np.ndarray:
+    t = np.zeros(256, dtype=np.uint16)
+    for k, g in enumerate(GROUPS):
+        t[np.frombuffer(g.encode(), np.uint8)] |= np.uint16(1 << k)
+    return t
+
+
+_GROUP_BITS = _group_bits()
 
 
 _ALIGNED = StructType([StructField(n, IntegerType()) for n in ("score", "matches", "columns", "residues", "reference_length")])
@@ -184,8 +297,8 @@ def align(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFra
         out = np.zeros((len(refs), 4), dtype=np.int32)
         at = 0
         while at < len(order):
-            # as many at a time as keep an antidiagonal small
-            part = order[at : at + max(1, 40_000 // (len(refs[order[at]]) + 1))]
+            # as many at a time as keep an antidiagonal in the cache
+            part = order[at : at + max(1, 60_000 // (len(refs[order[at]]) + 1))]
             at += len(part)
             out[part] = align_batch([refs[i] for i in part], [ques[i] for i in part])
         yield pd.DataFrame({"score": out[:, 0], "matches": out[:, 1], "columns": out[:, 2], "residues": out[:, 3], "reference_length": [len(r) for r in refs]})

@@ -90,34 +90,57 @@ def ranked(hits: DataFrame, mode: str = "strict") -> DataFrame:
     return hits.orderBy("query_id", F.desc(F.col("identity") * F.col("coverage")), F.desc("shared"), "id")
 
 
-def similar(queries: DataFrame, rows: DataFrame, field: str, id_col: str = "id", mode: str = "strict") -> DataFrame:
-    """``(query_id, id, shared, identity, coverage)`` of chains like each of ``queries(query_id, sequence)``.
-
-    ``strict`` counts matches over all alignment columns and aligns every
-    candidate.  ``loose`` counts over columns without gaps, aligns the best
-    candidates and all exact hits, and wants chains of like length.
-    """
-    asked = queries.select("query_id", "sequence")
+def _candidates(asked: DataFrame, chains: DataFrame, postings: DataFrame, mode: str) -> DataFrame:
+    """``(query_id, id, shared)`` that may be alike: by shared hashes, and in loose mode the best of them and all exact hits."""
     marks = asked.select("query_id", F.explode(S.signature("sequence")).alias("hash"))
-    postings = capped(signatures(rows, field, id_col))
     found = candidates(marks, postings, MOST_CANDIDATES if mode == "loose" else None)
-    chains = rows.select(F.col(id_col).alias("id"), F.col(field).alias("chain")).where("chain <> ''")
     if mode == "loose":
         found = with_exact(found, asked.join(chains, asked.sequence == chains.chain).select("query_id", "id"))
-    found = materialize(found, "found")
+    return materialize(found, "found")
+
+
+def _alike(found: DataFrame, asked: DataFrame, chains: DataFrame, mode: str) -> DataFrame:
+    """The candidates whose alignment passes the gates; those that no alignment can bring through are not aligned."""
     both = found.join(asked, "query_id").join(chains, "id")
     shorter, longer = F.least(F.length("sequence"), F.length("chain")), F.greatest(F.length("sequence"), F.length("chain"))
     # no alignment has more matches than the shorter chain or fewer columns than the longer one
     possible = shorter * 100 >= longer * LEAST_IDENTITY if mode == "strict" else shorter / longer >= LEAST_RATIO
     both = both.where(possible & (shorter * 100 >= F.length("sequence") * LEAST_COVERAGE))
     # alignments cost far more than their bytes tell, so they are dealt by their number
-    both = both.repartition(tasks(rows.sparkSession, found.count(), ALIGNED_ROWS), "query_id", "id").withColumn("a", S.align("sequence", "chain"))
+    dealt = tasks(found.sparkSession, found.count(), ALIGNED_ROWS)
+    both = both.repartition(dealt, "query_id", "id")
+    if mode == "strict":
+        # nor more than the longest common subsequence has letters, which takes a hundredth of the work
+        both = both.where(S.most_matches("sequence", "chain") * 100 >= longer * LEAST_IDENTITY)
+    both = both.withColumn("a", S.align("sequence", "chain"))
     identity = S.loose_identity(F.col("a")) if mode == "loose" else S.strict_identity(F.col("a"))
     coverage = S.reference_coverage(F.col("a"))
     out = both.select("query_id", "id", "shared", identity.alias("identity"), (coverage if mode == "loose" else F.round(coverage, 3)).alias("coverage"), F.col("a.score").alias("score"))
     return out.where((F.col("identity") >= LEAST_IDENTITY) & (F.col("coverage") >= LEAST_COVERAGE))
 
 
+def _chains(rows: DataFrame, field: str, id_col: str) -> DataFrame:
+    return rows.select(F.col(id_col).alias("id"), F.col(field).alias("chain")).where("chain <> ''")
+
+
+def _postings(rows: DataFrame, field: str, id_col: str, postings: DataFrame | None) -> DataFrame:
+    """The index's postings as given, or those of ``rows``, whose signatures are made once."""
+    return postings if postings is not None else capped(materialize(signatures(rows, field, id_col), "signatures"))
+
+
+def similar(queries: DataFrame, rows: DataFrame, field: str, id_col: str = "id", mode: str = "strict", postings: DataFrame | None = None) -> DataFrame:
+    """``(query_id, id, shared, identity, coverage, score)`` of chains like each of ``queries(query_id, sequence)``.
+
+    ``strict`` counts matches over all alignment columns and takes every
+    candidate.  ``loose`` counts over columns without gaps, takes the best
+    candidates and all exact hits, and wants chains of like length.
+    ``postings(hash, id)`` are those of a written index, if there is one.
+    """
+    asked, chains = queries.select("query_id", "sequence"), _chains(rows, field, id_col)
+    found = _candidates(asked, chains, _postings(rows, field, id_col, postings), mode)
+    return _alike(found, asked, chains, mode)
+
+
 def pair_score(*sides: tuple[Column, Column]) -> Column:
     """Mean of identity times coverage over chains, in percent."""
     parts = [identity * coverage / 100 for identity, coverage in sides]
@@ -125,12 +148,20 @@ def pair_score(*sides: tuple[Column, Column]) -> Column:
 
 
 def paired_similar(queries: DataFrame, rows: DataFrame, id_col: str = "id", exclude_self: bool = False) -> DataFrame:
-    """Ids like both chains of ``queries(query_id, heavy, light)`` of 40 residues at least, by mean of identity times coverage."""
+    """Ids like both chains of ``queries(query_id, heavy, light)`` of 40 residues at least, by mean of identity times coverage.
+
+    Only ids that are candidates by both chains are aligned, by the light chain
+    only those that the heavy one has let through.
+    """
     long_ = queries.where((F.length("heavy") >= LEAST_LENGTH) & (F.length("light") >= LEAST_LENGTH))
-    sides = []
-    for field in ("heavy", "light"):
-        hit = similar(long_.select("query_id", F.col(field).alias("sequence")), rows, field, id_col, "loose")
-        sides.append(hit.select("query_id", "id", F.struct("identity", "coverage").alias(field)))
+    asked = {f: long_.select("query_id", F.col(f).alias("sequence")) for f in ("heavy", "light")}
+    chains = {f: _chains(rows, f, id_col) for f in asked}
+    found = {f: _candidates(asked[f], chains[f], _postings(rows, f, id_col, None), "loose") for f in asked}
+    left, sides = found["heavy"].join(found["light"].select("query_id", "id"), ["query_id", "id"], "left_semi"), []
+    for f in ("heavy", "light"):
+        hit = materialize(_alike(left, asked[f], chains[f], "loose"), f)
+        sides.append(hit.select("query_id", "id", F.struct("identity", "coverage").alias(f)))
+        left = found["light"].join(hit.select("query_id", "id"), ["query_id", "id"], "left_semi")
     score = pair_score(*[(F.col(f"{f}.identity"), F.col(f"{f}.coverage")) for f in ("heavy", "light")])
     out = sides[0].join(sides[1], ["query_id", "id"]).select("query_id", "id", score.alias("similarity"))
     return out.where("query_id <> id") if exclude_self else out

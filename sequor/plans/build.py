@@ -205,9 +205,11 @@ class Snapshot:
         hits = []
         for field, chain in (("heavy", heavy), ("light", light)):
             if chain:
-                hits.append(similarity.similar(self.spark.createDataFrame([("q", chain)], "query_id string, sequence string"), rows, field))
-        out = hits[0] if len(hits) == 1 else hits[0].join(hits[1].select("id"), "id", "left_semi")
-        return similarity.ranked(out)
+                written = self.table("postings").where(F.col("field") == field).select("hash", "id")
+                hits.append(similarity.similar(self.spark.createDataFrame([("q", chain)], "query_id string, sequence string"), rows, field, postings=written))
+        score = similarity.pair_score(*[(F.col(c), F.col(v)) for c, v in (("identity", "coverage"), ("light_identity", "light_coverage"))][: len(hits)])
+        out = hits[0] if len(hits) == 1 else hits[0].join(hits[1].select("id", F.col("identity").alias("light_identity"), F.col("coverage").alias("light_coverage")), "id")
+        return similarity.ranked(out.withColumn("similarity", score))
 
     def payload(self, query: dict, rows: DataFrame) -> dict:
         """What a command answers: version, totals, the query and the number of rows."""

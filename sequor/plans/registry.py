@@ -401,7 +401,9 @@ def paired_similarity(spark: SparkSession, d: str) -> DataFrame:
     return similarity.paired_similar(c.where("doc_id % 50 = 0").select(F.col("id").alias("query_id"), "heavy", "light"), c, exclude_self=True)
 
 
-@query()
+@query(f"""WITH RECURSIVE items AS (SELECT item_id AS id, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS s FROM benchmark ORDER BY item_id LIMIT 10),
+ first AS (SELECT id AS reference_id, s AS a FROM items ORDER BY id LIMIT 1), pairs AS (SELECT reference_id, id AS k, a, s AS b FROM items, first WHERE id <> reference_id), {V.alignment_sql()}
+ SELECT reference_id, k AS id, 100.0::DOUBLE * m / r AS identity, 100.0::DOUBLE * r / length(a) AS coverage, score FROM aligned JOIN pairs USING (k)""")
 def compare_entities(spark: SparkSession, d: str) -> DataFrame:
     lines = V.table(spark, d, "benchmark").orderBy("item_id").limit(10).select(F.col("item_id").alias("id"), F.col("item_id").alias("ord"), F.upper(F.regexp_replace("text", "[^A-Za-z]", "")).alias("heavy"))
     return similarity.compare(lines, "heavy")

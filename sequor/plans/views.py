@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sequor.functions.sequences import GROUPS
+
 #: Letters that are not amino acids, and what stands for them.
 _FROM, _TO = "BJOUXZ", "ACDEFG"
 # How types of events are read.
@@ -123,3 +125,21 @@ def signature_sql(source: str, col: str, out: str) -> str:
 
 SIGNATURES = signature_sql("chains", "heavy", "signatures") + """,
 postings AS (SELECT hash, id FROM signatures WHERE hash NOT IN (SELECT hash FROM signatures GROUP BY hash HAVING count(*) > 250))"""
+
+
+def alignment_sql() -> str:
+    """CTEs that end in ``aligned(k, score, m, c, r)`` of ``pairs(k, a, b)``: the recurrence of the alignment, antidiagonal by antidiagonal.
+
+    A cell of age 0 offers itself to its neighbours below (2) and to the right (1), one of age 1
+    diagonally (3); the best offer wins, and among equal ones the greater kind.
+    """
+    letter = lambda text, at: f"substr({text}, {at}, 1)"
+    x, y = letter("p.a", "z.i + 1"), letter("p.b", "z.d - z.i + 1")
+    groups = "[" + ", ".join(f"'{g}'" for g in GROUPS) + "]"
+    sub = f"CASE WHEN {x} = {y} THEN 2 WHEN len(list_filter({groups}, lambda g: contains(g, {x}) AND contains(g, {y}))) > 0 THEN 1 ELSE -1 END"
+    return f"""cells AS (SELECT k, 0 AS d, 0 AS i, 0 AS age, 0 AS score, 0 AS m, 0 AS c, 0 AS r FROM pairs UNION ALL
+ SELECT k, d, i, age, v.score, v.m, v.c, v.r FROM (SELECT k, nd AS d, ni AS i, na AS age, arg_max(struct_pack(score := s, m := nm, c := nc, r := nr), (s, kind)) AS v FROM (
+  SELECT z.k, kind, CASE kind WHEN 0 THEN z.d WHEN 3 THEN z.d + 2 ELSE z.d + 1 END AS nd, z.i + CAST(kind >= 2 AS INTEGER) AS ni, CAST(kind = 0 AS INTEGER) AS na, length(p.a) AS la, length(p.b) AS lb,
+   z.score + CASE kind WHEN 0 THEN 0 WHEN 3 THEN {sub} ELSE -2 END AS s, z.m + CASE WHEN kind = 3 AND {x} = {y} THEN 1 ELSE 0 END AS nm, z.c + CAST(kind > 0 AS INTEGER) AS nc, z.r + CAST(kind = 3 AS INTEGER) AS nr
+  FROM cells z JOIN pairs p USING (k), (VALUES (0), (1), (2), (3)) t(kind) WHERE (z.age = 1) = (kind = 3)) o WHERE ni <= la AND nd - ni <= lb GROUP BY k, nd, ni, na) w),
+aligned AS (SELECT k, score, m, c, r FROM cells JOIN pairs USING (k) WHERE age = 0 AND i = length(a) AND d = length(a) + length(b))"""
