@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sequor.functions.text import fold_missing
+from sequor.sources.delimited import read_table
 
 # Spellings of batch columns, and the longest batch.
 SYNONYMS = {
@@ -17,14 +18,13 @@ SYNONYMS = {
 
 
 def read_csv(spark: SparkSession, path: str, required: tuple[str, ...], label: str) -> DataFrame:
-    """A CSV with header, multi-line cells and RFC quoting; gzip by its extension; all columns text.
+    """A CSV with header, multi-line cells and RFC quoting, split over tasks; gzip by its first bytes; all columns text.
 
     ``row_ord`` follows the order of the file.  Missing required columns are an error.
     """
-    df = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE").csv(path)
-    df = df.toDF(*[c.lstrip("﻿") for c in df.columns])
+    df = read_table(spark, path)
     require(df, required, label)
-    return df.withColumn("row_ord", F.monotonically_increasing_id())
+    return df
 
 
 def require(df: DataFrame, required: tuple[str, ...], label: str) -> None:
