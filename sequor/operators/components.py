@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sequor.operators.skew import hot_limit, join_hot
 from sequor.operators.storage import materialize, release
 
 _MAX_ROUNDS = 60
@@ -15,15 +16,15 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(row)
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, limit: int) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return join_hot(both, least, "u", limit).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, limit: int) -> DataFrame:
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = join_hot(edges, least, "u", limit).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -32,7 +33,9 @@ def connected_components(edges: DataFrame, src: str, dst: str) -> DataFrame:
 
     Edges are undirected; loops, repeats and nulls are ignored.  Each round is
     two joins on node with map-side minima and ends in the shared folder, so
-    lineage stays short and a lost executor costs one round.  An empty table
+    lineage stays short and a lost executor costs one round.  The edges of a node
+    that has very many stay where they are and learn its minimum by a bounded
+    broadcast, so a giant component is nobody's single key.  An empty table
     gives an empty result.  Nodes may be of any orderable type.
     """
     a, b = F.col(src), F.col(dst)
@@ -41,7 +44,10 @@ def connected_components(edges: DataFrame, src: str, dst: str) -> DataFrame:
     for _ in range(_MAX_ROUNDS):
         if not mark[0]:
             break
-        then = materialize(_small_star(_large_star(now)), "edges")
+        limit = hot_limit(2 * mark[0])
+        stars = materialize(_large_star(now, limit), "stars")
+        then = materialize(_small_star(stars, limit), "edges")
+        release(stars)
         last, mark = mark, _mark(then)
         release(now)
         now = then
