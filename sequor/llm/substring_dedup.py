@@ -165,8 +165,7 @@ def _count(k: int):
         if group["bucket"].iloc[0] < 0:
             return group[["doc_id", "tag", "starts", "ends"]]
         unpack = zstandard.ZstdDecompressor()
-        hashes, ids, tags, starts, codes, heads = [], [], [], [], [], []
-        known, n_codes = {}, 0
+        hashes, ids, tags, starts, datas, begins, ends, size = [], [], [], [], [], [], [], 0
         for blob in group["blob"]:
             raw = unpack.decompress(blob)
             n = struct.unpack_from("<q", raw)[0]
@@ -185,19 +184,21 @@ def _count(k: int):
                 ids.append(doc[w.first_row + r])
                 tags.append(tag[w.first_row + r])
                 starts.append(at[w.first_row + r] + (ok - w.offsets[r]).astype(np.int32))
-                codes.append(_numbered(w, known))
-                heads.append(ok + n_codes)
-                n_codes += len(w.hashes)
+                datas.append(w.data.tobytes())
+                begins.append(w.starts[ok] + size)
+                ends.append(w.ends[ok + k - 1] + size)
+                size += len(w.data)
         h, i, t, s = (np.concatenate(x) for x in (hashes, ids, tags, starts))
-        c, p = np.concatenate(codes), np.concatenate(heads)
-        del hashes, ids, tags, starts, codes, heads, known
+        begin, end, data = np.concatenate(begins), np.concatenate(ends), b"".join(datas)
+        del hashes, ids, tags, starts, begins, ends, datas
         order = np.argsort(h, kind="stable")
         edge = np.concatenate([[True], h[order][1:] != h[order][:-1]])
         many = ~edge
         many[:-1] |= ~edge[1:]
         order = order[many]
-        h, i, t, s, p = h[order], i[order], t[order], s[order], p[order]
-        h = _told_apart(h, c, p, k)
+        h, i, t, s, begin, end = h[order], i[order], t[order], s[order], begin[order], end[order]
+        h = _told_apart(h, data, begin, end)
+        del data, begin, end
         order = np.lexsort((s, t, i, h))
         h, i, t, s = h[order], i[order], t[order], s[order]
         later = np.zeros(len(h), dtype=bool)
@@ -212,32 +213,22 @@ def _count(k: int):
     return run
 
 
-def _numbered(w: Words, known: dict[bytes, int]) -> np.ndarray:
-    """Numbers of a chunk's words, the same for the same word throughout a bucket."""
-    offsets = np.concatenate([[0], np.cumsum(w.ends - w.starts)])
-    mask = np.zeros(len(w.data) + 1, dtype=np.int8)
-    mask[w.starts] += 1
-    np.add.at(mask, w.ends, -1)
-    data = w.data[np.cumsum(mask[:-1]) > 0]
-    every = pa.Array.from_buffers(pa.large_binary(), len(w.starts), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)])
-    coded = every.dictionary_encode()
-    own = np.array([known.setdefault(x, len(known)) for x in coded.dictionary.to_pylist()], dtype=np.int32)
-    return own[coded.indices.to_numpy()] if len(own) else np.zeros(0, np.int32)
-
-
-def _told_apart(h: np.ndarray, codes: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
-    """Numbers of windows (runs of ``k`` codes that start ``at``), equal just where all their words are; ``h`` is sorted."""
+def _told_apart(h: np.ndarray, data: bytes, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Numbers of windows (spans of ``data``), among those of one hash equal just where all their words are; ``h`` is sorted."""
     first = np.concatenate([[True], h[1:] != h[:-1]])[: len(h)]
     out = np.cumsum(first) - 1
-    head = at[np.flatnonzero(first)][out] if len(h) else at
-    odd = np.zeros(len(h), dtype=bool)
-    for j in range(k):
-        odd |= codes[at + j] != codes[head + j]
-    if odd.any():
-        # windows of one hash and other words: numbered by their words
-        n, seen = len(h), {}
-        for x in np.flatnonzero(odd).tolist():
-            out[x] = n + seen.setdefault(codes[at[x] : at[x] + k].tobytes(), len(seen))
+    head = np.flatnonzero(first)[out] if len(h) else out
+    begins, ends, later = begin.tolist(), end.tolist(), np.flatnonzero(~first).tolist()
+    odd = []
+    for x, y in zip(later, head[~first].tolist()):
+        a, b = data[begins[x] : ends[x]], data[begins[y] : ends[y]]
+        # white space between words may differ
+        if a != b and a.split() != b.split():
+            odd.append(x)
+    seen: dict[tuple, int] = {}
+    for x in odd:
+        words_ = (int(out[x]), *data[begins[x] : ends[x]].split())
+        out[x] = len(h) + seen.setdefault(words_, len(seen))
     return out
 
 

@@ -45,22 +45,19 @@ def test_confusable_words_neither_go_nor_link(spark):
 
 def test_windows_of_one_hash_are_told_apart_by_their_words():
     rng = np.random.default_rng(4)
-    codes = rng.integers(0, 3, 400).astype(np.int32)
-    at = np.arange(390)
-    windows = [codes[p : p + 5].tobytes() for p in at]
+    words = [rng.choice([b"a", b"bb", b"ab"]) for _ in range(400)]
+    data, at = b"", []
+    for w in words:
+        at.append((len(data), len(data) + len(w)))
+        data += w + bytes(rng.choice([b" ", b"\n", b"  "]))
+    begin, end = np.array([at[p][0] for p in range(390)]), np.array([at[p + 4][1] for p in range(390)])
+    windows = [tuple(words[p : p + 5]) for p in range(390)]
     for h in (np.zeros(390, np.uint64), np.sort(rng.integers(0, 4, 390).astype(np.uint64))):
-        got = substring_dedup._told_apart(h, codes, at, 5)
+        got = substring_dedup._told_apart(h, data, begin, end)
         for x in range(390):
             for y in range(x):
-                if h[x] == h[y] or windows[x] != windows[y]:
-                    assert (got[x] == got[y]) == (windows[x] == windows[y])
-    assert len(substring_dedup._told_apart(np.zeros(0, np.uint64), codes, np.zeros(0, int), 5)) == 0
-
-
-def test_numbers_of_words():
-    known = {}
-    chunks = [w for texts in (["x yy x", "zz"], ["yy zz q"]) for w in hashing.words(pa.array(texts), lower=False)]
-    assert [substring_dedup._numbered(w, known).tolist() for w in chunks] == [[0, 1, 0, 2], [1, 2, 3]]
+                assert (got[x] == got[y]) == (h[x] == h[y] and windows[x] == windows[y])
+    assert len(substring_dedup._told_apart(np.zeros(0, np.uint64), b"", np.zeros(0, int), np.zeros(0, int))) == 0
 
 
 def test_the_greatest_id_is_no_null(spark):
