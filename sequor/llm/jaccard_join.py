@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from sequor.llm.hashing import shingle_set, trim, words
 from sequor.operators.components import connected_components
+from sequor.operators.skew import hot_limit, join_hot
 from sequor.operators.storage import materialize, release, tasks
 
 #: Shingles that one bucket task holds; shingles and classes that one block of a neighbourhood holds.
@@ -328,9 +329,11 @@ def link_classes(docs: DataFrame, meta: DataFrame, percent: int, size: int, bloc
     shared = shared.groupBy("part").applyInPandas(_sum_shared, "cls long, shared long")
     allowed = F.expr(f"n - cast(ceil(n * {percent} / 100) as long)")
     left = materialize(classes.join(shared, "cls", "left").where(F.col("half") - F.coalesce("shared", F.lit(0)) <= allowed).select("cls", "text_key", "n"), "left")
-    want = left.select("cls", "text_key")
-    want = F.broadcast(want) if left.count() <= BROADCAST_CLASSES else want
-    sets = docs.join(want, "text_key").select("text", "cls").mapInArrow(_sets(size), "cls long, shingles array<long>")
+    n_left = left.count()
+    wanted = left.select("cls", "text_key")
+    # texts that copies of a class share are hot keys and stay where they are
+    texts = docs.join(F.broadcast(wanted), "text_key") if n_left <= BROADCAST_CLASSES else join_hot(docs, wanted.dropDuplicates(["text_key"]), "text_key", hot_limit(n_left))
+    sets = texts.select("text", "cls").mapInArrow(_sets(size), "cls long, shingles array<long>")
     sets = materialize(sets.dropDuplicates(["cls"]), "sets")
 
     postings = materialize(_postings(sets, percent), "postings")
@@ -411,9 +414,13 @@ def jaccard_components(docs: DataFrame, percent: int = 75, size: int = 5, id_col
     comp = connected_components(links, "a", "b")
     labelled = meta.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"))
     labelled = labelled.join(comp, F.col("cls") == F.col("node"), "left").select("cls", F.coalesce("component", "cls").alias("component"), "least")
+    labelled = materialize(labelled, "labelled")
     least = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
-    final = labelled.join(least, "component").select("cls", "component_id", "component")
-    own = meta.where("n > 0").join(final, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "text_key", "component")
+    # a component may hold a third of all classes, and a class a third of all rows
+    limit = hot_limit(meta.count())
+    final = materialize(join_hot(labelled.select("cls", "component"), least, "component", limit), "final")
+    own = join_hot(meta.where("n > 0").select("doc_id", "n", "text_key", "cls"), final, "cls", limit)
+    own = own.select("doc_id", F.col("n").alias("n_shingles"), "component_id", "text_key", "component")
     return own.union(meta.where("n = 0").select("doc_id", "n", "doc_id", "text_key", F.lit(None).cast("long")))
 
 
