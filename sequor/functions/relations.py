@@ -38,12 +38,18 @@ def evidence_rank(c: Column | str) -> Column:
 
 
 def measurement(raw: Column | str, qualifier: Column | str | None = None) -> Column:
-    """Struct of value (null if not one number), qualifier (given, else read) and the raw text."""
+    """Struct of value (null if not one number), qualifier (given, else read) and the raw text.
+
+    An empty text, an unknown qualifier and a number that is not finite are
+    rejected: there the struct is null.
+    """
     t = fold_missing(raw)
     given = fold_missing(qualifier) if qualifier is not None else F.lit("")
     read = F.regexp_extract(t, _MEASURE, 1)
     value = F.regexp_extract(t, _MEASURE, 2).try_cast("double")
-    return F.struct(value.alias("value"), F.when(given != "", given).otherwise(read).alias("qualifier"), t.alias("raw_value"))
+    told = F.when(given != "", given).otherwise(read)
+    fine = (t != "") & told.isin(*QUALIFIERS) & F.coalesce(F.abs(value) < F.lit(float("inf")), F.lit(True))
+    return F.when(fine, F.struct(value.alias("value"), told.alias("qualifier"), t.alias("raw_value")))
 
 
 def metric(response: Column | str) -> Column:

@@ -44,6 +44,11 @@ def residues(c: Column | str) -> Column:
     return F.when(~s.rlike("[^A-Z*]"), s)
 
 
+def strict_residues(c: Column | str) -> Column:
+    """A normalised amino-acid sequence; one with another character fails the query and names its characters."""
+    return F.coalesce(residues(c), F.raise_error(F.concat(F.lit("not an amino-acid sequence, it has "), F.array_join(bad_characters(c), " "))).cast("string"))
+
+
 def nucleotides(c: Column | str) -> Column:
     """A normalised nucleotide sequence (U read as T), or null outside the IUPAC alphabet."""
     s = F.translate(squeeze(c), "U", "T")

@@ -37,7 +37,7 @@ def text_score(value: Column, query: Column) -> Column:
     return F.when((value == "") | (query == ""), 0).when(value == query, 10000).when(value.startswith(query), 8000).when(value.contains(query), 5000).when(near, 3200 - edits * 450).otherwise(0)
 
 
-def autocomplete(terms: DataFrame, query: str, limit: int, boost: Column | None = None, least: int = 2) -> DataFrame:
+def autocomplete(terms: DataFrame, query: str, limit: int, boost: Column | None = None, least: int = 3) -> DataFrame:
     """Best ids for a typed query: each id's best term, the shorter one on a tie; ``query`` under ``least`` gives none."""
     q = T.search_term(F.lit(query), False)
     scored = terms.withColumn("score", text_score(F.col("term"), q)).where(F.col("score") > 0).where(F.length(q) >= least)
@@ -77,16 +77,28 @@ def filters(
     paired: bool = False,
     therapeutic: bool = False,
     structure: bool = False,
+    evidence_mode: str | None = None,
 ) -> DataFrame:
-    """Result rows that pass every filter given; list columns match on any listed value."""
+    """Result rows that pass every filter given; list columns match on any listed value.
+
+    ``origin`` is told by the organism and, where there is such a column, the
+    genetics.  ``sequence_class`` is a pairing, ``cdr_only`` for none, or ``vhh``
+    for explicit single domains.  ``evidence_mode`` (positive, functional or
+    negative) wants a relationship of its kind.
+    """
     out = rows
+    if evidence_mode:
+        kind = {"positive": lambda r: R.family(r) == "direct", "functional": lambda r: R.family(r) == "functional", "negative": R.is_negative}[evidence_mode]
+        out = out.where(F.exists("relationships", kind))
     for col, wanted in (("sources", sources), ("evidence", evidence)):
         if wanted:
             out = out.where(F.arrays_overlap(col, F.array(*map(F.lit, wanted))))
     if origin:
-        out = out.where(R.reported_origin("organism") == origin)
-    if sequence_class:
-        out = out.where(F.col("pairing") == sequence_class)
+        out = out.where(R.reported_origin("organism", *(["genetics"] if "genetics" in rows.columns else [])) == origin)
+    if sequence_class == "vhh":
+        out = out.where("single_domain")
+    elif sequence_class:
+        out = out.where(F.col("pairing") == {"cdr_only": "no_full_chain"}.get(sequence_class, sequence_class))
     if paired:
         out = out.where(F.col("has_heavy") & F.col("has_light"))
     if therapeutic:
@@ -169,6 +181,43 @@ def window(rows: DataFrame, mode: str = "evidence", start: int = 0, size: int =
     return sort(rows, mode).offset(start).limit(size)
 
 
+def filled(pages: DataFrame, passing: DataFrame, least: int = 30) -> DataFrame:
+    """Rows of ``passing`` from each (target, family)'s first pages that hold ``least`` of them, and all where there are fewer.
+
+    Pages are whole: the last one that is read may bring more than is asked.
+    """
+    per = passing.groupBy("target_id", "family", "page").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("target_id", "family").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
+    every = pages.select("target_id", "family", "page").distinct().join(per, ["target_id", "family", "page"], "left")
+    read = every.withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0))).where(F.col("before") < least)
+    return passing.join(read.select("target_id", "family", "page"), ["target_id", "family", "page"], "left_semi")
+
+
+def facets(rows: DataFrame, text: str = "", name: str = "name", **wanted: bool) -> DataFrame:
+    """Catalogue rows whose name holds ``text``, whatever its case, and whose facets asked for are all set.
+
+    A facet is a boolean column, or a text column that must be filled.
+    """
+    kinds = dict(rows.dtypes)
+    out = rows.where(F.lower(name).contains(text.lower())) if text else rows
+    for facet in (f for f, on in wanted.items() if on):
+        out = out.where(F.col(facet) if kinds[facet] == "boolean" else F.coalesce(F.col(facet), F.lit("")) != "")
+    return out
+
+
+def merge_interactions(rows: DataFrame, key: str, order: Column) -> DataFrame:
+    """``(key, interactions)``: those of all rows of a key, one for each id: the last in ``order``, where the first stood.
+
+    Interactions without an id are told apart by their fields.
+    """
+    each = rows.select(key, order.alias("_o"), F.posexplode("interactions").alias("_p", "_i"))
+    named = F.col("_i.interaction_id") if "interaction_id" in rows.schema["interactions"].dataType.elementType.names else F.lit(None).cast("string")
+    each = each.withColumn("_id", F.coalesce(named, F.to_json("_i"))).withColumn("_at", F.struct("_o", "_p"))
+    last = each.groupBy(key, "_id").agg(F.max_by("_i", "_at").alias("_i"), F.min("_at").alias("_at"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("_at", "_i"))), lambda x: x["_i"])
+    return last.groupBy(key).agg(listed.alias("interactions"))
+
+
 def is_sequence(query: Column, least: int = 25) -> Column:
     """Whether typed text is a sequence: long enough, letters and ``*`` only, once blanks and hyphens are dropped."""
     return F.regexp_replace(query, r"[\s-]+", "").rlike(rf"^[A-Za-z*]{{{least},}}$")
@@ -272,9 +321,11 @@ def target_view(pages: DataFrame, tree: DataFrame, target_id: str, family: str =
     lists = {"relationships", "evidence", "sources"}
     keep = [F.first(c).alias(c) for c in rows.columns if c not in lists | {"antibody_id", "target_id", "rank_score", "position", "page", "interactions"}]
     union = [F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in sorted(lists)]
-    if "interactions" in rows.columns:
-        union.append(F.array_sort(F.array_distinct(F.flatten(F.collect_list("interactions")))).alias("interactions"))
     merged = rows.groupBy("antibody_id").agg(*keep, *union, F.max("rank_score").alias("rank_score"))
+    if "interactions" in rows.columns:
+        # the target's own pages come before those of targets below it
+        order = F.struct(F.col("target_id") != target_id, "target_id", "position")
+        merged = merged.join(merge_interactions(rows, "antibody_id", order), "antibody_id", "left")
     return sort(filters(merged, **wanted), mode)
 
 

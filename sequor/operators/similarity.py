@@ -46,6 +46,11 @@ def near_regions(queries: DataFrame, regions: DataFrame, near: bool = True) -> D
     return out.where((F.col("distance") >= 0) & (F.col("distance") <= S.near_threshold(F.length("query")))).select("query", "sequence", F.col("distance").cast("long"))
 
 
+def ranked_regions(hits: DataFrame) -> DataFrame:
+    """Near regions of each query in order: by distance, then by sequence."""
+    return hits.orderBy("query", "distance", "sequence")
+
+
 def signatures(rows: DataFrame, field: str, id_col: str = "id") -> DataFrame:
     """``(hash, id)`` of each sequence's signature."""
     return rows.where(F.length(field) >= S.KMER).select(F.col(id_col).alias("id"), F.explode(S.signature(field)).alias("hash"))

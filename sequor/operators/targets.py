@@ -68,13 +68,15 @@ def entity_table(spark: SparkSession, entities: dict[str, dict]) -> DataFrame:
     return spark.createDataFrame(rows, "canonical string, kind string, organism string, identifiers map<string,string>, parent string, relation string")
 
 
-def with_entities(targets: DataFrame, entities: DataFrame, aliases: DataFrame, unicode_: bool = True) -> DataFrame:
-    """Targets with their curated entity (exact canonical names only), its parent where that is a target too, and children."""
+def with_entities(targets: DataFrame, entities: DataFrame, aliases: DataFrame, unicode_: bool = True, stamp: str = "curated target entity map") -> DataFrame:
+    """Targets with their curated entity (exact canonical names only), where it is from, its parent where that is a target too, and children."""
     small = F.broadcast(entities) if entities.count() <= BROADCAST_NAMES else entities
     parents = resolve(entities.where("parent <> ''").select("parent").distinct(), aliases, "parent", unicode_).select("parent", F.col("target_id").alias("parent_id"))
     known = targets.select(F.col("target_id").alias("parent_id"))
     parents = parents.join(known, "parent_id", "left_semi")
-    out = targets.join(small, targets["name"] == small["canonical"], "left").drop("canonical")
+    out = targets.join(small, targets["name"] == small["canonical"], "left")
+    told = F.struct(F.lit(stamp).alias("source"), F.lit("exact canonical target only").alias("scope"))
+    out = out.withColumn("mapping_provenance", F.when(F.col("canonical").isNotNull(), told)).drop("canonical")
     out = out.join(F.broadcast(parents) if entities.count() <= BROADCAST_NAMES else parents, "parent", "left")
     children = out.where("parent_id is not null").groupBy(F.col("parent_id").alias("target_id")).agg(F.array_sort(F.collect_set("target_id")).alias("children"))
     out = out.join(children, "target_id", "left").withColumn("children", F.coalesce("children", F.array().cast("array<string>")))

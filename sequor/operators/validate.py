@@ -165,6 +165,12 @@ def not_empty(tables: dict[str, DataFrame]) -> DataFrame:
     return _union([t.agg(F.count("*").alias("n")).where("n = 0").select(F.lit("V14").alias("rule"), F.lit(k).alias("subject"), F.lit("empty").alias("message")) for k, t in tables.items()])
 
 
+def linked_assays(claims: DataFrame, source: str) -> DataFrame:
+    """V14: a source whose claims are linked to assays must have some that are."""
+    linked = claims.where(F.col("source") == source).agg(F.count("*").alias("n"), F.count_if(F.size(F.coalesce("assay_ids", F.array().cast("array<string>"))) > 0).alias("linked"))
+    return linked.where("n > 0 and linked = 0").select(F.lit("V14").alias("rule"), F.lit(source).alias("subject"), F.lit("no claim is linked to an assay").alias("message"))
+
+
 def normal_chains(rows: DataFrame, field: str, id_col: str = "id") -> DataFrame:
     """Chains that normalising would change or reject."""
     again = S.residues(field)

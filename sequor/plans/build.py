@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from dataclasses import dataclass
+from datetime import datetime, timezone
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -18,7 +21,7 @@ from sequor.sources.adapters import ADAPTERS
 from sequor.sources.tabular import limit_groups
 
 TABLES = (
-    "observations antibodies interactions literature targets pages names searchrows sequences regions postings clusters nucleotides records conflicts review manifest totals indexstats"
+    "observations antibodies interactions literature targets pages names searchrows sequences regions postings clusters nucleotides records conflicts review manifest totals indexstats pageindex indexparts"
 ).split()
 _CORE = (
     "antibody_id source source_ord record_id row_ord name heavy light vh_nt_source vl_nt_source cdrh1 cdrh2 cdrh3 cdrl1 cdrl2 cdrl3 organism format heavy_v heavy_d heavy_j "
@@ -96,6 +99,7 @@ def assemble(observations: DataFrame, claims: DataFrame, aliases: DataFrame, ent
         "manifest": exports.manifest(observations, resolved),
         "totals": exports.totals(observations, merged, known, edges, resolved.where(is_context)),
         "indexstats": exports.index_stats(search.name_terms(chains), chains),
+        "pageindex": exports.part_sizes(paged, ("target_id", "family", "page")),
     }
 
 
@@ -132,12 +136,27 @@ def rebuild_similar(snapshot: Snapshot) -> None:
     write(similar_tables(snapshot.table("antibodies").withColumnRenamed("antibody_id", "id")), snapshot.path)
 
 
-def write(tables: dict[str, DataFrame], out: str) -> None:
-    """One Parquet table each; entities by shard, sequences by hash prefix, names by bucket, pages by family."""
+#: Indexes whose parts the snapshot tells rows and bytes of, and the buckets of the cluster look-up.
+INDEXES = {"names": ("bucket",), "searchrows": ("bucket",), "sequences": ("shard",), "regions": ("field", "len"), "postings": ("field", "digit"), "clusters": ("scope", "level")}
+LOOKUP_BUCKETS = 64
+
+
+def write(tables: dict[str, DataFrame], out: str, stamp: str | None = None) -> None:
+    """One Parquet table each; entities by shard, sequences by hash prefix, names by bucket, pages by family.
+
+    What indexes hold by part is counted from the tables given.  ``stamp`` names
+    the snapshot: by default the time in UTC and a digest of its source records.
+    """
+    if "observations" in tables:
+        digest = tables["observations"].agg(exports.multiset_digest("source", "record_id", "heavy", "light").alias("d")).first().d
+        stamp = stamp or f"{datetime.now(timezone.utc):%Y-%m-%dT%H:%M:%SZ} {digest}"
+    held = {k: (tables[k], v) for k, v in INDEXES.items() if k in tables}
+    if len(held) == len(INDEXES):
+        tables = tables | {"indexparts": exports.index_manifest(held)}
     parts = {"sequences": ["shard"], "names": ["bucket"], "searchrows": ["bucket"], "postings": ["field", "digit"], "clusters": ["scope"], "regions": ["field", "len"]}
     for name, df in tables.items():
         if name == "totals":
-            df.select(F.lit(exports.SCHEMA_VERSION).alias("schema_version")).write.mode("overwrite").parquet(f"{out}/version")
+            df.select(F.lit(exports.SCHEMA_VERSION).alias("schema_version"), F.lit(stamp).cast("string").alias("snapshot")).write.mode("overwrite").parquet(f"{out}/version")
         # partition values have no type of their own and an empty table has no files, so the schema is kept beside
         schema = df.withColumn("shard", F.lit("")).schema if name == "antibodies" else df.schema
         df.sparkSession.createDataFrame([(schema.json(),)], "schema string").coalesce(1).write.mode("overwrite").text(f"{out}/_schemas/{name}")
@@ -149,6 +168,16 @@ def write(tables: dict[str, DataFrame], out: str) -> None:
             df.repartition(*parts[name]).write.mode("overwrite").partitionBy(*parts[name]).parquet(f"{out}/{name}")
         else:
             df.write.mode("overwrite").parquet(f"{out}/{name}")
+        if name == "clusters":
+            write_lookup(df, f"{out}/clusterlookup")
+
+
+def write_lookup(clusters_: DataFrame, path: str) -> None:
+    """Cluster members in buckets by id, sorted, so that look-ups join them where they are."""
+    name = f"sequor_lookup_{uuid.uuid4().hex}"
+    clusters_.select("id", "scope", "level", "representative_id", "size", "cluster_id").write.mode("overwrite").bucketBy(LOOKUP_BUCKETS, "id").sortBy("id").option("path", path).saveAsTable(name)
+    # the table's files stay where they are
+    clusters_.sparkSession.sql(f"DROP TABLE {name}")
 
 
 @dataclass
@@ -164,6 +193,39 @@ class Snapshot:
         schema = StructType.fromJson(json.loads(self.spark.read.text(f"{self.path}/_schemas/{name}").first()["value"]))
         return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
 
+    def stamp(self) -> str:
+        """The name of the snapshot, which a rebuild changes."""
+        return self.table("version").first()["snapshot"] or ""
+
+    def _view(self, name: str) -> str:
+        return "sequor_" + hashlib.sha256(f"{self.path}|{name}|{self.stamp()}".encode()).hexdigest()[:24]
+
+    def shared(self, name: str) -> DataFrame:
+        """A table that later queries of this snapshot read from Spark's cache (memory, then disk); see :meth:`release`."""
+        view = self._view(name)
+        if not self.spark.catalog.tableExists(view):
+            self.table(name).createOrReplaceTempView(view)
+            self.spark.catalog.cacheTable(view, StorageLevel.MEMORY_AND_DISK)
+        return self.spark.table(view)
+
+    def release(self, *names: str) -> None:
+        """Drops shared tables, of this snapshot's stamp, from the cache."""
+        for name in names:
+            view = self._view(name)
+            if self.spark.catalog.tableExists(view):
+                self.spark.catalog.uncacheTable(view)
+                self.spark.catalog.dropTempView(view)
+
+    def cluster_lookup(self, scope: str, level: int, ids: DataFrame) -> DataFrame:
+        """``(id, representative_id, size, cluster_id)`` of asked ids; an id in no cluster is alone."""
+        view = self._view("clusterlookup")
+        if not self.spark.catalog.tableExists(view):
+            self.spark.sql(f"CREATE TABLE {view} (id STRING, scope STRING, level INT, representative_id STRING, size LONG, cluster_id STRING) USING parquet CLUSTERED BY (id) SORTED BY (id) INTO {LOOKUP_BUCKETS} BUCKETS LOCATION '{self.path}/clusterlookup'")
+        held = self.spark.table(view).where((F.col("scope") == scope) & (F.col("level") == level))
+        asked = ids.select(F.col(ids.columns[0]).cast("string").alias("id")).repartition(LOOKUP_BUCKETS, "id")
+        found = asked.hint("merge").join(held, "id", "left")
+        return found.select("id", F.coalesce("representative_id", "id").alias("representative_id"), F.coalesce("size", F.lit(1)).alias("size"), "cluster_id")
+
     def resolve(self, query: str) -> str | None:
         """The one target that an id, name or alias means; an ambiguous name means none."""
         asked = self.spark.createDataFrame([(query,)], "query string")
@@ -183,9 +245,14 @@ class Snapshot:
         if found is None:
             return rows.limit(0)
         root = self.spark.createDataFrame([(found,)], "target_id string")
-        scope = root.union(targets.descendants(self.tree(), root).select("id")).distinct() if include_descendants else root
-        rows = reduce(lambda a, b: a.unionByName(b), [search.read_pages(rows, scope, f) for f in families])
-        return search.sort(merged_rows(rows.where("has_heavy and has_light") if paired else rows))
+        scope = root.withColumn("depth", F.lit(0))
+        if include_descendants:
+            scope = scope.union(targets.descendants(self.tree(), root).where(F.col("id") != found).select("id", "depth"))
+        parts = [search.read_pages(rows, scope, f).withColumn("turn", F.lit(n)) for n, f in enumerate(families)]
+        rows = reduce(lambda a, b: a.unionByName(b), parts).join(F.broadcast(scope), "target_id")
+        # the target before those below it, families as asked, pages in order
+        merged = merged_rows(rows, F.struct("depth", "target_id", "turn", "position"))
+        return search.sort(merged.where("has_heavy and has_light") if paired else merged)
 
     def antibody(self, antibody_id: str) -> DataFrame:
         ids = self.spark.createDataFrame([(antibody_id,)], "id string")
@@ -246,15 +313,27 @@ class Snapshot:
             *[validate.postings(postings.where(F.col("field") == f), rows, f) for f in ("heavy", "light")],
             *[validate.cluster_members(members.where((F.col("scope") == "_".join(s)) & (F.col("level") == v))) for s in SCOPES for v in clusters.LEVELS],
             validate.not_empty({"antibodies": antibodies, "interactions": claims}),
+            validate.linked_assays(claims, "iedb"),
         ]
         if "children" in known.columns:
             parts.append(validate.children(known))
         return reduce(lambda a, b: a.union(b), parts)
 
 
-def merged_rows(rows: DataFrame) -> DataFrame:
-    """One row for each antibody of several pages: sets united, interactions distinct by id, the best score kept."""
-    union = [F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("relationships", "evidence", "sources", "interactions")]
-    own = [c for c in rows.columns if c not in ("relationships", "evidence", "sources", "interactions", "antibody_id", "rank_score", "n_interactions", "position", "page", "target_id", "family")]
-    out = rows.groupBy("antibody_id").agg(*[F.any_value(c).alias(c) for c in own], *union, F.max("rank_score").alias("rank_score"))
+_SETS = ("relationships", "evidence", "sources")
+_PLACES = ("antibody_id", "rank_score", "n_interactions", "position", "page", "target_id", "family", "depth", "turn")
+
+
+def merged_rows(rows: DataFrame, order: Column | None = None) -> DataFrame:
+    """One row for each antibody of several pages: sets united, the first row's facts, the best score.
+
+    Of interactions that share an id the last in ``order`` is kept, by default
+    the order of targets, families and positions.
+    """
+    order = F.struct("target_id", "family", "position") if order is None else order
+    union = [F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in _SETS]
+    own = [c for c in rows.columns if c not in (*_SETS, *_PLACES, "interactions")]
+    out = rows.withColumn("_o", order).groupBy("antibody_id").agg(*[F.min_by(c, "_o").alias(c) for c in own], *union, F.max("rank_score").alias("rank_score"))
+    held = search.merge_interactions(rows, "antibody_id", order)
+    out = out.join(held, "antibody_id", "left").withColumn("interactions", F.coalesce("interactions", F.array().cast(rows.schema["interactions"].dataType)))
     return out.withColumn("n_interactions", F.size("interactions"))

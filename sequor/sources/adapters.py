@@ -274,9 +274,10 @@ def assay_claims(assays: DataFrame) -> DataFrame:
     negative, positive = quality.startswith("negative"), quality.startswith("positive")
     metric, raw = R.metric(response), c("assay__quantitative_measurement")
     functional = F.lower(F.concat_ws(" ", response, method)).contains("neutral")
-    measured = (metric != "") & (raw != "")
-    relationship = F.when(functional, F.when(negative, "does_not_neutralize").otherwise("neutralizes")).when(R.is_binding_assay(method, response, metric), F.when(negative, "does_not_bind").otherwise("binds"))
+    # a quantity that is no measurement is not measured evidence
     m = R.measurement(raw, c("assay__measurement_inequality"))
+    measured = (metric != "") & m.isNotNull()
+    relationship = F.when(functional, F.when(negative, "does_not_neutralize").otherwise("neutralizes")).when(R.is_binding_assay(method, response, metric), F.when(negative, "does_not_bind").otherwise("binds"))
     one = F.struct(metric.alias("metric"), m["value"].alias("value"), c("assay__units").alias("unit"), m["qualifier"].alias("qualifier"), m["raw_value"].alias("raw_value"), c("assay_id").alias("assay_id"))
     unmapped = F.when((raw != "") & (metric == ""), F.concat(F.lit("Unmapped quantitative response: "), response, F.lit(" "), raw, F.lit(" "), c("assay__units"))).otherwise("")
     edge = _edge(

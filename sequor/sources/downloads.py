@@ -12,6 +12,7 @@ from urllib.request import Request, urlopen
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sequor.sources.delimited import read_records
 from sequor.sources.paged import ATTEMPTS, TIMEOUT
 
 
@@ -50,6 +51,9 @@ def download(url: str, dest: str, accept: str = "*/*", attempts: int = ATTEMPTS)
 
 
 def inspect(spark: SparkSession, path: str) -> DataFrame:
-    """``(path, bytes, sha256)`` of cached files."""
+    """``(path, bytes, sha256, rows)`` of cached delimited files; a header is no row."""
     files = spark.read.format("binaryFile").load(path)
-    return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    counts = read_records(spark, path).where(~F.col("text").isin("", "\r")).groupBy("file").agg(F.count("*").alias("n"))
+    told = files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    name = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    return told.join(counts, name("path") == name("file"), "left").select("path", "bytes", "sha256", F.greatest(F.coalesce("n", F.lit(0)) - 1, F.lit(0)).alias("rows"))
