@@ -9,7 +9,7 @@ from sequor.functions import relations as R
 from sequor.functions import sequences as S
 from sequor.functions import text as T
 from sequor.operators import clusters, entities, exports, screening, search, similarity, targets, validate
-from sequor.plans import rules, tables  # noqa: F401, they register their queries
+from sequor.plans import rules, snapshots, tables  # noqa: F401, they register their queries
 from sequor.plans import views as V
 from sequor.plans.catalog import ORACLES, QUERIES, query
 from sequor.sources import adapters, tabular
@@ -275,13 +275,13 @@ _WORDS = "SELECT DISTINCT unnest(regexp_extract_all(upper(regexp_replace(text, '
 
 @query(f"""WITH q AS ({_WORDS.format('benchmark')}), s AS ({_WORDS.format('documents')})
  SELECT q.w AS query, s.w AS sequence, levenshtein(q.w, s.w) AS distance FROM q JOIN s ON abs(length(q.w) - length(s.w)) <= 1
- WHERE length(q.w) >= 6 AND levenshtein(q.w, s.w) <= CASE WHEN length(q.w) <= 8 THEN 1 ELSE 2 END""")
+ WHERE levenshtein(q.w, s.w) <= CASE WHEN length(q.w) <= 8 THEN 1 ELSE 2 END""")
 def cdr_near_match(spark: SparkSession, d: str) -> DataFrame:
     def regions(name: str, col: str) -> DataFrame:
         plain = F.upper(F.regexp_replace("text", "[^A-Za-z \n]", ""))
         return V.table(spark, d, name).select(F.explode(F.regexp_extract_all(plain, F.lit("[A-Z]+"), F.lit(0))).alias(col)).distinct()
 
-    return similarity.near_regions(regions("benchmark", "query").where("length(query) >= 6"), regions("documents", "sequence"))
+    return similarity.near_regions(regions("benchmark", "query"), regions("documents", "sequence"))
 
 
 @query(f"WITH {V.CHAINS}, {V.SIGNATURES} SELECT id, count(*) AS n, min(hash) AS least, max(hash) AS most FROM signatures GROUP BY id")

@@ -213,14 +213,14 @@ def constructs_first_wins(spark: SparkSession, d: str) -> DataFrame:
     return entities.merge_contexts(rows, "construct").select("antibody_id", F.array_join(told, "|").alias("constructs"))
 
 
-_NT = "translate(substr(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), 1, 6), 'BDEFHIJKLMNOPQRSUVWXYZ', 'ACGTACGTACGTACGTACGTAC')"
+_NT = "translate(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), 'BDEFHIJKLMNOPQRSUVWXYZ', 'ACGTACGTACGTACGTACGTAC')"
 
 
 @query(f"""WITH o AS (SELECT doc_id % 40 AS antibody_id, source, CAST(doc_id % 80 AS VARCHAR) AS source_record_id, {_NT} AS nt FROM documents)
  SELECT DISTINCT antibody_id, source, source_record_id, chain, sequence, 'unknown' AS scope, field AS source_field FROM (SELECT antibody_id, source, source_record_id, unnest(['VH', 'VL']) AS chain, unnest(['vh_nt_source', 'vl_nt_source']) AS field, unnest([nt, CASE WHEN antibody_id % 2 = 0 THEN nt ELSE '' END]) AS sequence FROM o) t WHERE sequence <> ''""")
 def nucleotide_records(spark: SparkSession, d: str) -> DataFrame:
     letters = F.upper(F.regexp_replace("text", "[^A-Za-z]", ""))
-    nt = F.translate(F.substring(letters, 1, 6), "BDEFHIJKLMNOPQRSUVWXYZ", "ACGTACGTACGTACGTACGTAC")
+    nt = F.translate(letters, "BDEFHIJKLMNOPQRSUVWXYZ", "ACGTACGTACGTACGTACGTAC")
     a = F.col("doc_id") % 40
     rows = V.table(spark, d, "documents").select(a.alias("antibody_id"), "source", (F.col("doc_id") % 80).cast("string").alias("record_id"), F.lit(0).alias("source_ord"), F.col("doc_id").alias("row_ord"), nt.alias("vh_nt_source"), F.when(a % 2 == 0, nt).otherwise("").alias("vl_nt_source"))
     return entities.nucleotide_records(rows)
@@ -267,10 +267,10 @@ def literature_fan_out(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'record' ELSE 'source_homepage' END AS link_scope, CASE WHEN event_id % 5 = 0 THEN 0 ELSE 3 END AS heavy_length,
- CASE WHEN event_id % 5 = 0 THEN 'heavy' ELSE '' END AS quarantined, CASE WHEN event_id % 7 = 0 OR event_id % 5 = 0 THEN 0 ELSE 1 END AS n_claims FROM events WHERE event_id % 5 IN (0, 1)""")
+ CASE WHEN event_id % 5 = 0 THEN 'heavy' ELSE '' END AS quarantined, CASE WHEN event_id % 7 = 0 OR event_id % 5 = 0 THEN 0 ELSE 1 END AS n_claims FROM events""")
 def quarantine_and_claims(spark: SparkSession, d: str) -> DataFrame:
     """Observations with a bad heavy chain in a fifth of the rows; those make no claims."""
-    e = V.table(spark, d, "events").where("event_id % 5 in (0, 1)")
+    e = V.table(spark, d, "events")
     heavy = F.when(F.col("event_id") % 5 == 0, "AC-D").otherwise("a c d")
     url = F.when(F.col("event_id") % 2 == 0, "https://x/1").otherwise("")
     obs = adapters.observe(e, "src", F.col("event_id").cast("string"), F.concat(F.lit("n"), "event_id"), heavy=heavy, record_url=url)

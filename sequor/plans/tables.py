@@ -319,16 +319,15 @@ def name_search_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH t AS (SELECT DISTINCT p_partkey AS id, trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g')) AS term FROM (SELECT p_partkey, unnest([p_name, p_brand]) AS x FROM part) u), n AS (SELECT term, count(*) AS n FROM t GROUP BY 1)
- SELECT count(*) AS terms, CAST(sum(n) AS BIGINT) AS postings, count(*) FILTER (n > 1) AS multi_entity_terms, (SELECT count(*) FROM part) AS aliases FROM n""")
+ SELECT count(*) AS terms, CAST(sum(n) AS BIGINT) AS postings, count(*) FILTER (n > 1) AS multi_entity_terms, (SELECT count(*) FROM part) AS aliases, (SELECT CAST(sum(length('{"term":"' || term || '","id":' || id || '}') + 1) AS BIGINT) FROM t) AS bytes FROM n""")
 def name_index_stats(spark: SparkSession, d: str) -> DataFrame:
     names = V.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.array("p_brand").alias("aliases"))
     return exports.index_stats(search.name_terms(names, unicode_=False), names)
 
 
-@query(f"""WITH {V.CHAINS}, e AS (SELECT id, unnest(['heavy', 'light']) AS field, unnest([substr(heavy, 1, 6), substr(light, 1, 4)]) AS s FROM chains) SELECT field, CAST(length(s) AS INTEGER) AS len, s AS sequence, count(DISTINCT id) AS n, min(id) AS first_id FROM e WHERE s <> '' GROUP BY ALL""")
+@query(f"""WITH {V.CHAINS}, e AS (SELECT id, unnest(['heavy', 'light']) AS field, unnest([heavy, light]) AS s FROM chains) SELECT field, CAST(length(s) AS INTEGER) AS len, s AS sequence, count(DISTINCT id) AS n, min(id) AS first_id FROM e WHERE s <> '' GROUP BY ALL""")
 def region_dictionary(spark: SparkSession, d: str) -> DataFrame:
-    rows = V.chains(spark, d).select("id", F.substring("heavy", 1, 6).alias("heavy"), F.substring("light", 1, 4).alias("light"))
-    return similarity.region_index(rows, ("heavy", "light")).select("field", "len", "sequence", F.size("ids").cast("long").alias("n"), F.element_at("ids", 1).alias("first_id"))
+    return similarity.region_index(V.chains(spark, d), ("heavy", "light")).select("field", "len", "sequence", F.size("ids").cast("long").alias("n"), F.element_at("ids", 1).alias("first_id"))
 
 
 @query("""SELECT count(DISTINCT (l_returnflag, l_orderkey)) AS records, count(DISTINCT (l_returnflag, l_orderkey)) FILTER (l_linenumber = 1) AS quarantined, count(DISTINCT (l_returnflag, l_orderkey)) FILTER (l_linenumber = 2) AS multispecific, count(*) FILTER (l_linenumber = 3) AS unassigned_arms,
@@ -388,9 +387,9 @@ def screening_report(spark: SparkSession, d: str) -> DataFrame:
     return exports.quoted_lines(exports.screening_rows(hits, "S1"))
 
 
-@query("""SELECT 'S1' AS snapshot, 4 AS schema_version, 'filtered' AS scope, 'unique_chains' AS redundancy_mode, count(*) AS record_count, count(DISTINCT o_custkey) AS unique_entity_count, count(*) FILTER (o_orderkey % 3 = 0) AS nucleotide_records FROM orders""")
+@query(f"""SELECT 'S1' AS snapshot, 4 AS schema_version, 'filtered' AS scope, 'unique_chains' AS redundancy_mode, count(*) AS record_count, count(DISTINCT o_custkey) AS unique_entity_count, count(*) FILTER (o_orderkey % 3 = 0) AS nucleotide_records, {V.digest_sql('CAST(o_custkey AS VARCHAR)')} AS ids_digest, {V.digest_sql('o_orderstatus || chr(31) || o_orderkey')} AS sources_digest FROM orders""")
 def export_manifest(spark: SparkSession, d: str) -> DataFrame:
-    rows = V.table(spark, d, "orders").select(F.col("o_custkey").alias("antibody_id"), F.when(F.col("o_orderkey") % 3 == 0, "ACG").otherwise("").alias("vh_nt_source"), F.lit("").alias("vl_nt_source"))
+    rows = V.table(spark, d, "orders").select(F.col("o_custkey").alias("antibody_id"), F.when(F.col("o_orderkey") % 3 == 0, "ACG").otherwise("").alias("vh_nt_source"), F.lit("").alias("vl_nt_source"), F.col("o_orderstatus").alias("source"), F.col("o_orderkey").alias("record_id"))
     return exports.export_manifest(rows, "filtered", "unique_chains", "S1")
 
 
@@ -467,25 +466,25 @@ def exact_union(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH h AS (SELECT event_id % 50 AS query_id, event_id AS id, CAST(event_id * 37 % 101 AS DOUBLE) AS identity, CAST(event_id * 53 % 97 AS DOUBLE) AS coverage, event_id % 32 AS shared FROM events)
- SELECT 'strict' AS mode, id, row_number() OVER (PARTITION BY query_id ORDER BY identity DESC, coverage DESC, id) AS position FROM h WHERE query_id < 5 UNION ALL SELECT 'loose', id, row_number() OVER (PARTITION BY query_id ORDER BY identity * coverage DESC, shared DESC, id) FROM h WHERE query_id < 5""")
+ SELECT 'strict' AS mode, id, row_number() OVER (PARTITION BY query_id ORDER BY identity DESC, coverage DESC, id) AS position FROM h UNION ALL SELECT 'loose', id, row_number() OVER (PARTITION BY query_id ORDER BY identity * coverage DESC, shared DESC, id) FROM h""")
 def similarity_orders(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("event_id")
-    hits = V.table(spark, d, "events").select((k % 50).alias("query_id"), k.alias("id"), (k * 37 % 101).cast("double").alias("identity"), (k * 53 % 97).cast("double").alias("coverage"), (k % 32).alias("shared")).where("query_id < 5")
+    hits = V.table(spark, d, "events").select((k % 50).alias("query_id"), k.alias("id"), (k * 37 % 101).cast("double").alias("identity"), (k * 53 % 97).cast("double").alias("coverage"), (k % 32).alias("shared"))
     number = lambda df: df.withColumn("place", F.monotonically_increasing_id()).withColumn("position", F.row_number().over(Window.partitionBy("query_id").orderBy("place")).cast("long"))
     parts = [number(similarity.ranked(hits, m)).select(F.lit(m).alias("mode"), "id", "position") for m in ("strict", "loose")]
     return parts[0].union(parts[1])
 
 
 _SCREEN = """q AS (SELECT item_id, i, regexp_replace(l[i], '[^A-Za-z]', '', 'g') AS raw FROM (SELECT item_id, regexp_split_to_array(text, '[ ' || chr(10) || ']+') AS l FROM benchmark) t, unnest(range(1, len(l) + 1)) AS u(i)),
- s AS (SELECT item_id * 1000 + i AS query_id, upper(replace(raw, 'ß', 'SS')) AS s FROM q WHERE i % 7 = 1), w AS (SELECT DISTINCT upper(unnest(regexp_extract_all(text, '[A-Za-z]{4,12}'))) AS region FROM documents)"""
+ s AS (SELECT item_id * 1000 + i AS query_id, upper(replace(raw, 'ß', 'SS')) AS s FROM q), w AS (SELECT DISTINCT upper(unnest(regexp_extract_all(text, '[A-Za-z]+'))) AS region FROM documents)"""
 
 
-@query(f"""WITH {_SCREEN}, v AS (SELECT query_id, s, s = '' OR lower(s) IN ('na', 'nan', 'none', 'nd', 'unknown') AS bad FROM s), h AS (SELECT query_id, region, levenshtein(s, region) AS distance FROM v JOIN w ON NOT bad AND abs(length(s) - length(region)) <= 1 AND levenshtein(s, region) <= CASE WHEN length(s) <= 8 THEN 1 ELSE 2 END)
- SELECT query_id, CASE WHEN bad THEN 'INVALID' WHEN region IS NULL THEN 'NO MATCH' WHEN distance = 0 THEN 'EXACT' ELSE 'NEAR' END AS status, region AS id, distance FROM v LEFT JOIN h USING (query_id)""")
+@query(f"""WITH {_SCREEN}, v AS (SELECT query_id, s, s = '' OR lower(s) IN ('na', 'nan', 'none', 'nd', 'unknown') AS bad FROM s), u AS (SELECT DISTINCT s FROM v WHERE NOT bad), h AS (SELECT s, region, levenshtein(s, region) AS distance FROM u JOIN w ON abs(length(s) - length(region)) <= 1 AND levenshtein(s, region) <= CASE WHEN length(s) <= 8 THEN 1 ELSE 2 END)
+ SELECT query_id, CASE WHEN bad THEN 'INVALID' WHEN region IS NULL THEN 'NO MATCH' WHEN distance = 0 THEN 'EXACT' ELSE 'NEAR' END AS status, region AS id, distance FROM v LEFT JOIN h USING (s)""")
 def batch_screen_near(spark: SparkSession, d: str) -> DataFrame:
-    """Words of the benchmark, every seventh, screened against the words of documents as regions."""
-    words = V.table(spark, d, "benchmark").select("item_id", F.posexplode(F.split("text", "[ \n]+")).alias("i", "raw")).where("(i + 1) % 7 = 1")
+    """Words of the benchmark screened against the words of documents as regions."""
+    words = V.table(spark, d, "benchmark").select("item_id", F.posexplode(F.split("text", "[ \n]+")).alias("i", "raw"))
     asked = words.select((F.col("item_id") * 1000 + F.col("i") + 1).alias("query_id"), F.regexp_replace("raw", "[^A-Za-z]", "").alias("raw"))
-    regions = V.table(spark, d, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{4,12}"), F.lit(0))).alias("w")).select(F.upper("w").alias("sequence")).distinct().withColumn("id", F.col("sequence"))
+    regions = V.table(spark, d, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("w")).select(F.upper("w").alias("sequence")).distinct().withColumn("id", F.col("sequence"))
     none = asked.select(F.lit("-").alias("id"), F.lit("").alias("heavy")).limit(1)
     return screening.screen(asked, none, regions=regions).select("query_id", "status", "id", "distance")

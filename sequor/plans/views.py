@@ -143,3 +143,9 @@ def alignment_sql() -> str:
    z.score + CASE kind WHEN 0 THEN 0 WHEN 3 THEN {sub} ELSE -2 END AS s, z.m + CASE WHEN kind = 3 AND {x} = {y} THEN 1 ELSE 0 END AS nm, z.c + CAST(kind > 0 AS INTEGER) AS nc, z.r + CAST(kind = 3 AS INTEGER) AS nr
   FROM cells z JOIN pairs p USING (k), (VALUES (0), (1), (2), (3)) t(kind) WHERE (z.age = 1) = (kind = 3)) o WHERE ni <= la AND nd - ni <= lb GROUP BY k, nd, ni, na) w),
 aligned AS (SELECT k, score, m, c, r FROM cells JOIN pairs USING (k) WHERE age = 0 AND i = length(a) AND d = length(a) + length(b))"""
+
+
+def digest_sql(key: str) -> str:
+    """The multiset digest of a text expression over a group."""
+    lane = lambda at: f"CAST(coalesce(sum(CAST(CAST('0x' || substr(sha256({key}), {at}, 15) AS BIGINT) AS HUGEINT)), 0) % 1152921504606846976 AS VARCHAR)"
+    return f"count(*) || '-' || {lane(1)} || '-' || {lane(16)}"

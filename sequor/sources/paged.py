@@ -2,8 +2,9 @@
 
 ``spark.dataSource.register(PagedCsv)`` and then
 ``spark.read.format("paged_csv").schema(...).option("url", "file:///x/page-{page}.csv")``.
-The driver finds the last page, the first of fewer rows than ``page_size``, unless
-``pages`` says how many there are.  A page that cannot be read, a changed header, a
+The driver finds the last page, the first of fewer rows than ``page_size``, by
+doubling and bisection, so it reads twice the logarithm of their number; ``pages``
+may say how many there are instead.  A page that cannot be read, a changed header, a
 short page before the last and more than ``max_pages`` pages are errors, so a table
 is whole or not there.
 """
@@ -78,16 +79,36 @@ class _Reader(DataSourceReader):
     def _page(self, page: int) -> tuple[list[str] | None, Iterator[list[str]]]:
         return _rows(fetch(_url(self.options, page), int(self.options.get("attempts", ATTEMPTS))))
 
+    def _end(self) -> int:
+        """The first page that is not full.
+
+        Pages before it are full and pages behind it are empty or not there; that
+        it can be read is made sure, so an outage is an error and not the end.
+        """
+        failed: dict[int, OSError] = {}
+
+        def full(page: int) -> bool:
+            try:
+                return sum(1 for _ in self._page(page)[1]) >= self.size
+            except OSError as e:
+                failed[page] = e
+                return False
+
+        low, high = -1, 0
+        while full(high):
+            if high >= self.most:
+                return high + 1
+            low, high = high, min(2 * high + 1, self.most)
+        while high - low > 1:
+            middle = (low + high) // 2
+            low, high = (middle, high) if full(middle) else (low, middle)
+        if high in failed:
+            raise failed[high]
+        return high
+
     def partitions(self) -> list[InputPartition]:
         """One for each page."""
-        if "pages" in self.options:
-            n = int(self.options["pages"])
-        else:
-            n = 1
-            while sum(1 for _ in self._page(n - 1)[1]) >= self.size:
-                n += 1
-                if n > self.most + 1:
-                    break
+        n = int(self.options["pages"]) if "pages" in self.options else self._end() + 1
         if n > self.most:
             raise ValueError(f"more than {self.most} pages")
         return [_Page(p, p == n - 1) for p in range(n)]
