@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sequor.functions import relations as R
 from sequor.functions import sequences as S
-from sequor.operators import exports, gold, previews, search, similarity, targets, validate
+from sequor.operators import exports, gold, previews, screening, search, similarity, targets, validate
 from sequor.plans import views as V
 from sequor.plans.catalog import query
 
@@ -148,3 +148,38 @@ def strict_sequences(spark: SparkSession, d: str) -> DataFrame:
     """Lines that are sequences; one that is not would fail the query."""
     fine = V.chains(spark, d).where((S.residues("line") != "") & S.residues("line").isNotNull())
     return fine.select("id", S.strict_residues("line").alias("strict"))
+
+
+_ITEMS = "items AS (SELECT item_id AS id, translate(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), 'BJOUXZ', 'ACDEFG') AS s FROM benchmark)"
+
+
+def _items(spark: SparkSession, d: str) -> DataFrame:
+    letters = F.translate(F.upper(F.regexp_replace("text", "[^A-Za-z]", "")), "BJOUXZ", "ACDEFG")
+    return V.table(spark, d, "benchmark").select(F.col("item_id").alias("id"), letters.alias("heavy"))
+
+
+@query(f"""WITH RECURSIVE {_ITEMS}, {V.signature_sql('items', 's', 'sg')}, post AS (SELECT hash, id FROM sg WHERE hash NOT IN (SELECT hash FROM sg GROUP BY hash HAVING count(*) > 250)),
+ found AS (SELECT q.id AS query_id, p.id, count(*) AS shared FROM sg q JOIN post p USING (hash) GROUP BY ALL),
+ pairs AS (SELECT query_id * 1000000 + found.id AS k, query_id, found.id, shared, x.s AS a, y.s AS b FROM found JOIN items x ON x.id = query_id JOIN items y ON y.id = found.id WHERE least(length(x.s), length(y.s)) * 100 >= greatest(length(x.s), length(y.s)) * 45 AND least(length(x.s), length(y.s)) * 100 >= length(x.s) * 70),
+ {V.alignment_sql()} SELECT query_id, id, shared, round(100.0::DOUBLE * m / c, 3) AS identity, round(100.0::DOUBLE * r / length(a), 3) AS coverage, score FROM aligned JOIN pairs USING (k) WHERE round(100.0::DOUBLE * m / c, 3) >= 45 AND round(100.0::DOUBLE * r / length(a), 3) >= 70""")
+def similar_items(spark: SparkSession, d: str) -> DataFrame:
+    """All items of the benchmark among all of them, in the strict mode."""
+    rows = _items(spark, d)
+    return similarity.similar(rows.withColumnsRenamed({"id": "query_id", "heavy": "sequence"}), rows, "heavy")
+
+
+@query(f"""WITH RECURSIVE {_ITEMS}, asked AS (SELECT id AS query_id, CASE WHEN id % 2 = 0 THEN s WHEN id % 7 = 0 THEN '' WHEN id % 3 = 0 THEN repeat('W', 60) ELSE substr(s, 1, length(s) * 4 // 5) END AS q FROM items),
+ hit AS (SELECT query_id, id FROM asked JOIN items ON q = s AND q <> ''), rest AS (SELECT query_id AS id, q FROM asked WHERE q <> '' AND query_id NOT IN (SELECT query_id FROM hit)),
+ {V.signature_sql('rest', 'q', 'qs')}, {V.signature_sql('items', 's', 'sg')}, post AS (SELECT hash, id FROM sg WHERE hash NOT IN (SELECT hash FROM sg GROUP BY hash HAVING count(*) > 250)),
+ found AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY shared DESC, id) AS n FROM (SELECT x.id AS query_id, p.id, count(*) AS shared FROM qs x JOIN post p USING (hash) GROUP BY ALL) t),
+ pairs AS (SELECT found.query_id * 1000000 + found.id AS k, found.query_id, found.id, q AS a, s AS b FROM found JOIN rest ON rest.id = found.query_id JOIN items ON items.id = found.id
+  WHERE n <= 140 AND least(length(q), length(s))::DOUBLE / greatest(length(q), length(s)) >= 0.65 AND least(length(q), length(s)) * 100 >= length(q) * 70),
+ {V.alignment_sql()}, alike AS (SELECT query_id, id FROM aligned JOIN pairs USING (k) WHERE r > 0 AND 100.0::DOUBLE * m / r >= 45 AND 100.0::DOUBLE * r / length(a) >= 70),
+ out AS (SELECT query_id, id, 'EXACT' AS status FROM hit UNION ALL SELECT query_id, id, 'SIMILAR' FROM alike)
+ SELECT query_id, CASE WHEN q = '' THEN 'INVALID' ELSE coalesce(status, 'NO MATCH') END AS status, id, CASE WHEN status = 'EXACT' THEN CAST(0 AS BIGINT) END AS distance FROM asked LEFT JOIN out USING (query_id)""")
+def screen_similar(spark: SparkSession, d: str) -> DataFrame:
+    """Items of the benchmark, whole or shortened, empty or meaningless, screened against all of them."""
+    rows = _items(spark, d)
+    k = F.col("id")
+    raw = F.when(k % 2 == 0, F.col("heavy")).when(k % 7 == 0, "").when(k % 3 == 0, "W" * 60).otherwise(F.expr("substr(heavy, 1, cast(length(heavy) * 4 div 5 as int))"))
+    return screening.screen(rows.select(k.alias("query_id"), raw.alias("raw")), rows, with_similar=True).select("query_id", "status", "id", "distance")
