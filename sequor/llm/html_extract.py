@@ -50,6 +50,12 @@ NAMES = frozenset(
     "footer gdpr login masthead menu modal nav navbar navigation newsletter notice pager pagination popup promo promoted related reply respond "
     "search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split()
 )
+#: Words that name a shape or a number of things beside such a name, and names of furniture that an article itself may hold.
+SHAPES = frozenset(
+    "area bar block body bottom bottombar box btn buttons center column container content feed form group header inner item items large left link links list "
+    "lower main message module panel post posts primary right secondary section slot small sticky stories strip thread title top topbar unit upper wrap wrapper zone".split()
+)
+INSIDE = frozenset("ad ads advert adverts advertisement advertising comment comments commentlist disqus reply respond share sharing newsletter signup sponsor sponsored".split())
 #: Parts of class names that say something about an element, not what it is, and names of content.
 FLAGS = frozenset("has no non not with without is hide hides show shows can allow friendly enabled disabled free ready on off open closed".split())
 CONTENT = frozenset("article articlebody body content entry main page post story text wrapper".split())
@@ -60,14 +66,19 @@ _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]
 _NAME_PARTS = re.compile(r"[A-Za-z0-9]+")
 
 
-def _named(value: str) -> bool:
-    """Whether a class or id attribute names furniture: a name's first or last part does, it is no flag, and no name is of content."""
-    found = False
+def _named(value: str, in_main: bool) -> bool:
+    """Whether a class or id attribute names furniture: all of a name's words do, or tell its shape, and no name is of content.
+
+    In an article or main part only comments, adverts and what asks readers for
+    something count, as whole names.
+    """
+    found, names = False, INSIDE if in_main else NAMES
     for name in value.split():
         parts = _NAME_PARTS.findall(name)
         if len(parts) == 1 and parts[0] in CONTENT:
             return False
-        if parts and FLAGS.isdisjoint(parts) and (parts[0] in NAMES or parts[-1] in NAMES):
+        words = [p for p in parts if not p.isdigit()]
+        if words and FLAGS.isdisjoint(words) and all(w in names or w in SHAPES for w in words) and any(w in names for w in words):
             found = True
     return found
 
@@ -86,7 +97,7 @@ def _furniture(name: str, attributes: str, in_main: bool) -> int:
             return 2
         if key == "role" and value in ROLES:
             return 2
-        weak = weak or key in ("class", "id") and _named(value)
+        weak = weak or key in ("class", "id") and _named(value, in_main)
     return int(weak)
 
 

@@ -91,3 +91,16 @@ def test_templates_decide_rows_of_the_tables(spark):
     share = sum(r.n_templates > 0 for r in rows) / len(rows)
     print(f"pages with templates: {share:.3f}")
     assert share > 0
+
+
+def test_names_do_not_take_what_articles_say():
+    from sequor.llm.html_extract import parse
+
+    texts = lambda page: [b for b in parse(page)[0]]
+    told = lambda page: [b[0] if isinstance(b, tuple) else b for b in texts(page)]
+    assert told('<article><p>One.</p><div class="related-work"><p>Earlier papers.</p></div><p class="search">How to search.</p></article>') == ["One.", "Earlier papers.", "How to search."]
+    assert told('<div role="main"><p>One.</p><div class="widget"><p>A widget is a part.</p></div></div>') == ["One.", "A widget is a part."]
+    assert told('<section id="comments-policy"><h1>Policy</h1><p>All comments are read.</p></section>') == ["Policy", "All comments are read."]
+    # comments, adverts and calls in articles are named as wholes, and go
+    assert told('<article><p>One.</p><div class="comments"><p>First!</p></div><div class="ad">Buy.</div><div class="comment-list">x</div><div id="ad-slot-3">y</div></article>') == ["One."]
+    assert told('<div class="sidebar-left">x</div><div class="cookie-bar">y</div><div class="related-posts"><a href="/">z</a></div><p>Text.</p>') == ["Text."]
