@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sequor.operators.components import connected_components
+from sequor.operators.skew import hot_limit, join_hot
 from sequor.operators.storage import materialize
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -119,7 +120,12 @@ def judge(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None = None
     marked = comp.join(label, "component").select(F.col("node").alias("key"), F.col("component").alias("alias_of"), "allow", "block")
     # a key without edges still ties the urls that spell it
     alone = known.join(comp, known.key == comp.node, "left_anti").select("key", F.lit(None).cast("string").alias("alias_of"), "allow", "block")
-    out = urls.join(fitting, ["host", "path"], "left").join(marked.union(alone), "key", "left")
+    # one path may have very many queries, and one page very many copies: their rows stay where they are
+    limit = hot_limit(urls.count())
+    at = F.struct("host", "path")
+    told = materialize(join_hot(urls.withColumn("at", at), fitting.select(at.alias("at"), "rule", "verdict"), "at", limit, "left").drop("at"), "told")
+    known = materialize(marked.union(alone), "known")
+    out = join_hot(told, known, "key", limit, "left")
     spread = F.coalesce("block", F.lit(False)) & ~F.coalesce("allow", F.lit(False))
     verdict = F.coalesce("verdict", F.when(spread, F.lit("block")).otherwise(F.lit("allow")))
     return out.select("page_id", "url", "host", "path", "rule", verdict.alias("verdict"), "alias_of")
