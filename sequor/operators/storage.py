@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,6 +26,15 @@ def _filesystem(spark: SparkSession, path: str):
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
+def temporary(spark: SparkSession, label: str, write: Callable[[str], None]) -> str:
+    """A new path in the shared folder that ``write`` fills, deleted when the session's JVM ends."""
+    path = f"{shared_dir(spark)}/sequor-{label}-{uuid.uuid4().hex}"
+    write(path)
+    fs, at = _filesystem(spark, path)
+    fs.deleteOnExit(at)
+    return path
+
+
 def materialize(df: DataFrame, label: str = "t", codec: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back, so that later steps start from files.
 
@@ -32,10 +42,7 @@ def materialize(df: DataFrame, label: str = "t", codec: str | None = None) -> Da
     earlier through :func:`release`.  ``codec`` is Parquet's, the session's if it is not given.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/sequor-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path, compression=codec)
-    fs, at = _filesystem(spark, path)
-    fs.deleteOnExit(at)
+    path = temporary(spark, label, lambda p: df.write.parquet(p, compression=codec))
     out = spark.read.schema(df.schema).parquet(path)
     out._sequor_path = path
     return out

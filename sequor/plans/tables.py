@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import json
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sequor.operators import exports, screening, search, similarity, targets
-from sequor.operators.storage import shared_dir
+from sequor.operators.storage import temporary
 from sequor.plans import views as V
 from sequor.plans.catalog import query
 from sequor.sources import adapters
@@ -21,9 +20,7 @@ def _list(c: str) -> F:
 
 def _csv(rows: DataFrame, label: str) -> str:
     """The rows as CSV files in the shared folder, as sources deliver them."""
-    path = f"{shared_dir(rows.sparkSession)}/sequor-{label}-{uuid.uuid4().hex}"
-    rows.write.option("header", True).option("escape", '"').csv(path)
-    return path
+    return temporary(rows.sparkSession, label, lambda p: rows.write.option("header", True).option("escape", '"').csv(p))
 
 
 _PART = "SELECT p_partkey, p_name, p_brand, p_size, p_partkey % 7 AS m FROM part"
@@ -343,16 +340,14 @@ def snapshot_totals(spark: SparkSession, d: str) -> DataFrame:
 def entity_shards(spark: SparkSession, d: str) -> DataFrame:
     """Entities as written: one partition for each two digits of the id."""
     rows = V.table(spark, d, "customer").select(F.concat(F.lit("ab_"), F.substring(F.md5(F.col("c_custkey").cast("string")), 1, 20)).alias("antibody_id"), F.col("c_name").alias("name"))
-    path = f"{shared_dir(spark)}/sequor-entities-{uuid.uuid4().hex}"
-    exports.write_entities(rows, path)
+    path = temporary(spark, "entities", lambda p: exports.write_entities(rows, p))
     return spark.read.schema("antibody_id string, name string, shard string").parquet(path).groupBy("shard").agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH {_PAGES} SELECT family, count(*) AS n, count(DISTINCT target_id) AS n_targets FROM res GROUP BY 1""")
 def page_folders(spark: SparkSession, d: str) -> DataFrame:
     """Result pages as written: one partition for each family."""
-    path = f"{shared_dir(spark)}/sequor-pages-{uuid.uuid4().hex}"
-    exports.write_pages(_pages(spark, d), path)
+    path = temporary(spark, "pages", lambda p: exports.write_pages(_pages(spark, d), p))
     return spark.read.parquet(path).groupBy("family").agg(F.count("*").alias("n"), F.count_distinct("target_id").alias("n_targets"))
 
 
