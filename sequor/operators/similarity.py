@@ -62,7 +62,11 @@ def frequent(postings: DataFrame, most: int = MOST_POSTINGS) -> DataFrame:
 
 
 def capped(postings: DataFrame, most: int = MOST_POSTINGS) -> DataFrame:
-    """Postings of the index: hashes above the cap are left out whole."""
+    """Postings of the index: hashes above the cap are left out whole.
+
+    They are written once, as counting and filtering both read them.
+    """
+    postings = materialize(postings, "postings")
     return postings.join(frequent(postings, most), "hash", "left_anti")
 
 
@@ -129,8 +133,8 @@ def _chains(rows: DataFrame, field: str, id_col: str) -> DataFrame:
 
 
 def _postings(rows: DataFrame, field: str, id_col: str, postings: DataFrame | None) -> DataFrame:
-    """The index's postings as given, or those of ``rows``, whose signatures are made once."""
-    return postings if postings is not None else capped(materialize(signatures(rows, field, id_col), "signatures"))
+    """The index's postings as given, or those of ``rows``."""
+    return postings if postings is not None else capped(signatures(rows, field, id_col))
 
 
 def similar(queries: DataFrame, rows: DataFrame, field: str, id_col: str = "id", mode: str = "strict", postings: DataFrame | None = None) -> DataFrame:
