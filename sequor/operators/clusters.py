@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sequor.functions import sequences as S
@@ -69,6 +69,22 @@ def lookup(members: DataFrame, ids: DataFrame, most: int = 100) -> DataFrame:
     return found.join(lists, "representative_id", "left").select("id", "representative_id", F.coalesce("size", F.lit(1)).alias("size"), F.coalesce("members", F.array("id")).alias("members"))
 
 
+def scope_of(heavy: Column, light: Column) -> Column:
+    """The scope that an entity is looked up in: both chains where it has them, else the one it has."""
+    return F.when((heavy != "") & (light != ""), "heavy_light").when(heavy != "", "heavy").otherwise("light")
+
+
+def scoped_lookup(rows: DataFrame, members: dict[str, DataFrame], ids: DataFrame, id_col: str = "id", most: int = 100) -> DataFrame:
+    """As :func:`lookup`, each id in the scope of its chains; ``members`` has the clusters by scope, and unknown ids are left out."""
+    asked = rows.join(ids.select(F.col(ids.columns[0]).alias(id_col)).distinct(), id_col, "left_semi")
+    asked = asked.select(F.col(id_col).alias("id"), scope_of(F.col("heavy"), F.col("light")).alias("scope"))
+    out = None
+    for scope, held in members.items():
+        one = lookup(held, asked.where(F.col("scope") == scope).select("id"), most).select("id", F.lit(scope).alias("scope"), "representative_id", "size", "members")
+        out = one if out is None else out.union(one)
+    return out
+
+
 def redundancy(rows: DataFrame, mode: str, id_col: str = "id", order: str = "ord", records: DataFrame | None = None) -> DataFrame:
     """``(id, kept_id)`` of a selection under a mode; a discarded row names the row that stands for it.
 

@@ -358,6 +358,36 @@ def clusters_paired_90(spark: SparkSession, d: str) -> DataFrame:
     return clusters.clusters(V.chains(spark, d), 90, ("heavy", "light"))
 
 
+_LIGHT = V.CHAINS.replace("chains AS (", "base AS (", 1) + ", chains AS (SELECT id, light AS heavy FROM base)"
+_LIGHT_EDGES = f"{_LIGHT}, {V.SIGNATURES}, {_edges_sql('true')}"
+
+
+@query(_clusters_sql(90, _LIGHT_EDGES))
+def clusters_light_90(spark: SparkSession, d: str) -> DataFrame:
+    return clusters.clusters(V.chains(spark, d), 90, ("light",))
+
+
+@query(f"""WITH p AS ({_clusters_sql(90, _PAIRED_EDGES, _BOTH)}), h AS ({_clusters_sql(90)}), l AS ({_clusters_sql(90, _LIGHT_EDGES)}), {V.CHAINS},
+ m AS (SELECT 'heavy_light' AS scope, * FROM p UNION ALL SELECT 'heavy', * FROM h UNION ALL SELECT 'light', * FROM l),
+ a AS (SELECT id, CASE WHEN heavy <> '' AND light <> '' THEN 'heavy_light' WHEN heavy <> '' THEN 'heavy' ELSE 'light' END AS scope FROM chains WHERE doc_id % 50 = 0),
+ f AS (SELECT scope, representative_id, array_to_string(list_sort(list(id))[1:100], '|') AS members FROM m GROUP BY ALL)
+ SELECT a.id, a.scope, coalesce(m.representative_id, a.id) AS representative_id, coalesce(size, 1) AS size, coalesce(members, CAST(a.id AS VARCHAR)) AS members
+ FROM a LEFT JOIN m ON m.id = a.id AND m.scope = a.scope LEFT JOIN f ON f.scope = a.scope AND f.representative_id = m.representative_id""")
+def cluster_scopes(spark: SparkSession, d: str) -> DataFrame:
+    """Clusters of the lines of every fiftieth document, each in the scope of its chains."""
+    c = V.chains(spark, d)
+    members = {s: clusters.clusters(c, 90, f) for s, f in (("heavy_light", ("heavy", "light")), ("heavy", ("heavy",)), ("light", ("light",)))}
+    found = clusters.scoped_lookup(c, members, c.where("doc_id % 50 = 0").select("id"))
+    return found.select("id", "scope", "representative_id", "size", F.array_join(F.transform("members", lambda m: m.cast("string")), "|").alias("members"))
+
+
+@query(f"""WITH {V.CHAINS} SELECT DISTINCT id || ':' || source || ':' || doc_id AS id, id || ':' || source || ':' || doc_id AS kept_id FROM chains""")
+def redundancy_source_records(spark: SparkSession, d: str) -> DataFrame:
+    c = V.chains(spark, d)
+    records = c.select("id", "source", F.col("doc_id").alias("record_id"))
+    return clusters.redundancy(c.withColumn("ord", F.col("id")), "source_records", records=records)
+
+
 @query(f"""WITH m AS ({_clusters_sql(95)}), l AS (SELECT representative_id, array_to_string(list_sort(list(id))[1:100], '|') AS members FROM m GROUP BY 1), {V.CHAINS}
  SELECT c.id, coalesce(m.representative_id, c.id) AS representative_id, coalesce(size, 1) AS size, coalesce(members, CAST(c.id AS VARCHAR)) AS members FROM chains c LEFT JOIN m USING (id) LEFT JOIN l ON l.representative_id = m.representative_id WHERE c.doc_id % 50 = 0""")
 def cluster_lookup(spark: SparkSession, d: str) -> DataFrame:
