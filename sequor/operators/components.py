@@ -16,15 +16,23 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(row)
 
 
-def _large_star(edges: DataFrame, limit: int) -> DataFrame:
-    both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+def _both_ways(edges: DataFrame) -> DataFrame:
+    return edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+
+
+def _met(rows: DataFrame, least: DataFrame, limit: int | None) -> DataFrame:
+    return rows.join(least, "u") if limit is None else join_hot(rows, least, "u", limit)
+
+
+def _large_star(edges: DataFrame, limit: int | None) -> DataFrame:
+    both = _both_ways(edges)
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return join_hot(both, least, "u", limit).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return _met(both, least, limit).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(edges: DataFrame, limit: int) -> DataFrame:
+def _small_star(edges: DataFrame, limit: int | None) -> DataFrame:
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = join_hot(edges, least, "u", limit).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = _met(edges, least, limit).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -45,9 +53,14 @@ def connected_components(edges: DataFrame, src: str, dst: str) -> DataFrame:
         if not mark[0]:
             break
         limit = hot_limit(2 * mark[0])
-        stars = materialize(_large_star(now, limit), "stars")
-        then = materialize(_small_star(stars, limit), "edges")
-        release(stars)
+        # a node has no more smaller neighbours after a large star than it had neighbours before
+        degree = _both_ways(now).groupBy("u").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+        if degree <= limit:
+            then = materialize(_small_star(_large_star(now, None), None), "edges")
+        else:
+            stars = materialize(_large_star(now, limit), "stars")
+            then = materialize(_small_star(stars, limit), "edges")
+            release(stars)
         last, mark = mark, _mark(then)
         release(now)
         now = then
