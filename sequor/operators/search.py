@@ -357,6 +357,26 @@ def toggled(current: str, asked: str) -> str:
     return "all" if current == asked else asked
 
 
+def linked(ab: Column, target: Column, text: Column, scope: Column) -> Column:
+    """As :func:`deep_link`, of columns: a struct of kind, value and scope."""
+    have = lambda c: F.coalesce(c, F.lit("")) != ""
+    kind = F.when(have(ab), "antibody").when(have(target), "target").when(have(text), "text").otherwise("none")
+    value = F.when(have(ab), ab).when(have(target), target).otherwise(F.coalesce(text, F.lit("")))
+    wide = (kind == "target") & (F.coalesce(scope, F.lit("")) == "descendants")
+    return F.struct(kind.alias("kind"), value.alias("value"), F.when(wide, "include_descendants").otherwise("exact").alias("scope"))
+
+
+def asked_search(heavy: Column, light: Column, mode: Column) -> Column:
+    """As :func:`dispatch`, of columns."""
+    both = (heavy != "") & (light != "")
+    return F.when(mode.isin("similarity", "cdr"), F.when((mode == "similarity") & both, "paired_similarity").otherwise(mode)).otherwise(F.when(both, "paired").otherwise("exact"))
+
+
+def after_click(current: Column, asked: Column) -> Column:
+    """As :func:`toggled`, of columns."""
+    return F.when(current == asked, "all").otherwise(asked)
+
+
 def deep_link(parameters: dict[str, str]) -> tuple[str, str, str]:
     """``(kind, value, scope)`` that a link's parameters ask for: an antibody, else a target, else a text."""
     for key, kind in (("ab", "antibody"), ("target", "target"), ("q", "text")):

@@ -298,16 +298,31 @@ def fasta_records(spark: SparkSession, d: str) -> DataFrame:
     return tabular.fasta_records(lines).select("batch", "record", "name", F.length("sequence").cast("long").alias("n"))
 
 
-@query("""SELECT * FROM (VALUES (1, 'a', 'ACD', 'EFG', ''), (2, 'sequence_2', 'QVQ', '', ''), (3, 'c;d', '', 'LLL', '')) t(record, name, heavy, light, sequence)""")
+_BRAND = "SELECT p_brand AS batch, p_partkey, p_name, upper(regexp_replace(p_name, '[^A-Za-z]', '', 'g')) AS s, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS INTEGER) AS record FROM part"
+
+
+def _pasted(spark: SparkSession, d: str, line: F.Column, head: F.Column) -> DataFrame:
+    """A pasted text for each brand: a head, and a line for each of its parts."""
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", line.alias("line")))), lambda x: x["line"]), "\n")
+    return V.table(spark, d, "part").groupBy(F.col("p_brand").alias("batch")).agg(F.concat(head, lines, F.lit("\n")).alias("raw"))
+
+
+@query(f"""SELECT batch, record, CASE WHEN p_partkey % 3 = 0 THEN 'sequence_' || record ELSE p_name || ', x' END AS name, s AS heavy, CASE WHEN p_partkey % 2 = 0 THEN 'EFG' ELSE '' END AS light, '' AS sequence FROM ({_BRAND}) t""")
 def batch_table(spark: SparkSession, d: str) -> DataFrame:
-    return tabular.parse_batch(spark, '﻿Label,VH,vl\na,acd,efg\n,qvq,\n\n"c;d",,lll\n')
+    """Parts as tables that were pasted, one for each brand."""
+    k = F.col("p_partkey")
+    name = F.when(k % 3 == 0, "").otherwise(F.concat(F.lit('"'), "p_name", F.lit(', x"')))
+    line = F.concat_ws(",", name, F.lower(F.regexp_replace("p_name", "[^A-Za-z]", "")), F.when(k % 2 == 0, "efg").otherwise(""))
+    return tabular.parse_batches(_pasted(spark, d, line, F.lit("\ufeffLabel,VH,vl\n"))).drop("error")
 
 
-@query("""SELECT * FROM (VALUES ('csv', 1, 'sequence_1', 'ACD'), ('fasta', 1, 'x', 'ACDEF'), ('fasta', 2, 'sequence_2', 'GG'), ('lines', 1, 'sequence_1', 'ACD'), ('lines', 2, 'sequence_2', 'EFG')) t(kind, record, name, sequence)""")
+@query(f"""SELECT batch, record, CASE WHEN ascii(right(batch, 1)) % 2 = 0 THEN CASE WHEN p_partkey % 3 = 0 THEN 'sequence_' || record ELSE p_name END ELSE 'sequence_' || record END AS name, s AS sequence FROM ({_BRAND}) t""")
 def batch_kinds(spark: SparkSession, d: str) -> DataFrame:
-    given = {"csv": "seq\tname\nacd\t", "fasta": ">x\nacd\nef\n>\ngg", "lines": "a c d\n\nefg\n"}
-    parts = [tabular.parse_batch(spark, raw).select(F.lit(k).alias("kind"), "record", "name", "sequence") for k, raw in given.items()]
-    return parts[0].union(parts[1]).union(parts[2])
+    """Parts as FASTA or as lines that were pasted, by the last letter of their brand."""
+    fasta = F.ascii(F.right("p_brand", F.lit(1))) % 2 == 0
+    head = F.when(F.col("p_partkey") % 3 == 0, ">\n").otherwise(F.concat(F.lit(">"), "p_name", F.lit("\n")))
+    line = F.when(fasta, F.concat(head, F.lower("p_name"))).otherwise(F.lower("p_name"))
+    return tabular.parse_batches(_pasted(spark, d, line, F.lit(""))).select("batch", "record", "name", F.regexp_replace("sequence", "[^A-Z]", "").alias("sequence"))
 
 
 @query(f"""WITH {V.CHAINS} SELECT id, array_to_string(list_sort(list_distinct(regexp_extract_all(upper(replace(regexp_replace(line, '[[:space:]]+', '', 'g'), 'ß', 'SS')), '[^A-Z*]'))), '') AS bad FROM chains

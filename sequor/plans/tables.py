@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -423,13 +421,16 @@ def selection_state(spark: SparkSession, d: str) -> DataFrame:
     return search.selection(ids("c_custkey % 3 = 0"), ids("c_custkey % 5 = 0"), ids("c_custkey % 2 = 1"))
 
 
-@query("""SELECT * FROM (VALUES ('link', 'antibody ab_1 exact'), ('link', 'target t1 include_descendants'), ('link', 'text x y exact'), ('link', 'none  exact'), ('toggle', 'paired'), ('toggle', 'all'), ('search', 'paired'), ('search', 'exact'), ('search', 'cdr'), ('search', 'paired_similarity'), ('settings', 'direct')) t(kind, value)""")
+@query("""SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'antibody' WHEN event_id % 3 = 0 THEN 'target' WHEN event_id % 5 > 0 THEN 'text' ELSE 'none' END AS kind, CASE WHEN event_id % 4 = 0 THEN 'ab_' || user_id WHEN event_id % 3 = 0 THEN 't' || user_id WHEN event_id % 5 > 0 THEN event_type ELSE '' END AS value,
+ CASE WHEN event_id % 4 > 0 AND event_id % 3 = 0 AND event_id % 2 = 0 THEN 'include_descendants' ELSE 'exact' END AS scope, CASE event_id % 3 WHEN 0 THEN CASE WHEN event_id % 2 = 0 THEN 'paired' ELSE 'exact' END WHEN 1 THEN CASE WHEN event_id % 2 = 0 THEN 'paired_similarity' ELSE 'similarity' END ELSE 'cdr' END AS search,
+ CASE WHEN event_type = 'view' THEN 'all' ELSE 'view' END AS clicked FROM events""")
 def dispatches(spark: SparkSession, d: str) -> DataFrame:
-    links = [{"ab": "ab_1", "q": "x"}, {"target": "t1", "scope": "descendants"}, {"q": "x y"}, {}]
-    rows = [("link", " ".join(search.deep_link(p))) for p in links] + [("toggle", search.toggled(a, "paired")) for a in ("all", "paired")]
-    rows += [("search", search.dispatch(*a)) for a in (("A", "B", "exact"), ("A", "", "exact"), ("A", "", "cdr"), ("A", "B", "similarity"))]
-    saved = json.dumps({"selected_ids": [], "filters": {"mode": "direct"}})
-    return spark.createDataFrame([*rows, ("settings", exports.read_workspace(saved)["filters"]["evidence_mode"])], "kind string, value string")
+    """What links, sequence forms and clicks on filters ask for, by event."""
+    k, text = F.col("event_id"), lambda c, x: F.when(c, x).otherwise("")
+    link = search.linked(text(k % 4 == 0, F.concat(F.lit("ab_"), "user_id")), text(k % 3 == 0, F.concat(F.lit("t"), "user_id")), text(k % 5 > 0, F.col("event_type")), text(k % 2 == 0, "descendants"))
+    mode = F.when(k % 3 == 0, "exact").when(k % 3 == 1, "similarity").otherwise("cdr")
+    told = V.table(spark, d, "events").select(k, link.alias("l"), search.asked_search(F.lit("A"), text(k % 2 == 0, "B"), mode).alias("search"), search.after_click(F.col("event_type"), F.lit("view")).alias("clicked"))
+    return told.select("event_id", "l.*", "search", "clicked")
 
 
 @query("""SELECT query, CASE n WHEN 0 THEN 'none' ELSE 'multiple' END AS status FROM (SELECT 'red widget' AS query, (SELECT count(*) FROM part WHERE p_name = 'red widget') AS n UNION ALL SELECT 'no such part', 0) t WHERE n <> 1""")

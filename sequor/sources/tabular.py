@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import csv
+import io
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -54,33 +59,61 @@ def fasta_records(lines: DataFrame, batch: str = "batch", order: str = "line_no"
     return out.withColumn("name", F.when(F.coalesce("name", F.lit("")) == "", F.concat(F.lit("sequence_"), F.col("record"))).otherwise(F.col("name")))
 
 
-def parse_batch(spark: SparkSession, raw: str) -> DataFrame:
-    """``(record, name, heavy, light, sequence)`` of a pasted batch: a table, FASTA, or one sequence a line.
-
-    The kind is told by the first line; a table's delimiter is the tab, comma or
-    semicolon that its header has most of.  An open quote at the end is an error.
-    """
-    import csv
-    import io
-
-    text = raw.lstrip("﻿").strip("\n\r")
+def _parsed(raw: str) -> list[tuple[int, str, str, str, str]]:
+    """``(record, name, heavy, light, sequence)`` of one pasted text."""
+    text = raw.lstrip("\ufeff").strip("\n\r")
     first = text.split("\n", 1)[0]
-    rows: list[tuple]
     if text.startswith(">"):
-        frame = spark.createDataFrame([("b", i, x) for i, x in enumerate(text.splitlines())], "batch string, line_no int, line string")
-        return fasta_records(frame).select(F.col("record").cast("int"), "name", F.lit("").alias("heavy"), F.lit("").alias("light"), F.upper("sequence").alias("sequence"))
+        out: list[list] = []
+        for line in text.splitlines():
+            if line.startswith(">"):
+                out.append([line[1:].strip() or f"sequence_{len(out) + 1}", ""])
+            else:
+                out[-1][1] += "".join(line.split()).upper()
+        return [(i, name, "", "", s) for i, (name, s) in enumerate(out, 1)]
     delimiter = max("\t,;", key=first.count)
     names = [c.strip().strip('"').lower() for c in first.split(delimiter)]
     known = {k: next((names.index(s) for s in v if s in names), None) for k, v in SYNONYMS.items()}
     if first.count(delimiter) and any(known[k] is not None for k in ("heavy", "light", "sequence")):
         if text.count('"') % 2:
             raise ValueError("unclosed quote in table")
-        table = list(csv.reader(io.StringIO(text), delimiter=delimiter))[1:]
+        table = [r for r in list(csv.reader(io.StringIO(text), delimiter=delimiter))[1:] if any(c.strip() for c in r)]
         get = lambda r, k: r[known[k]].strip() if known[k] is not None and known[k] < len(r) else ""
-        rows = [(i, get(r, "name") or f"sequence_{i}", get(r, "heavy").upper(), get(r, "light").upper(), get(r, "sequence").upper()) for i, r in enumerate((r for r in table if any(c.strip() for c in r)), 1)]
-    else:
-        rows = [(i, f"sequence_{i}", "", "", "".join(x.split()).upper()) for i, x in enumerate((x for x in text.splitlines() if x.strip()), 1)]
-    return spark.createDataFrame(rows, "record int, name string, heavy string, light string, sequence string")
+        return [(i, get(r, "name") or f"sequence_{i}", get(r, "heavy").upper(), get(r, "light").upper(), get(r, "sequence").upper()) for i, r in enumerate(table, 1)]
+    return [(i, f"sequence_{i}", "", "", "".join(x.split()).upper()) for i, x in enumerate((x for x in text.splitlines() if x.strip()), 1)]
+
+
+_RECORD = "record int, name string, heavy string, light string, sequence string"
+
+
+def parse_batch(spark: SparkSession, raw: str) -> DataFrame:
+    """``(record, name, heavy, light, sequence)`` of a pasted batch: a table, FASTA, or one sequence a line.
+
+    The kind is told by the first line; a table's delimiter is the tab, comma or
+    semicolon that its header has most of.  An open quote at the end is an error.
+    """
+    return spark.createDataFrame(_parsed(raw), _RECORD)
+
+
+def parse_batches(batches_: DataFrame, key: str = "batch", raw: str = "raw") -> DataFrame:
+    """``(batch, record, name, heavy, light, sequence, error)`` of many batches, each read as :func:`parse_batch` does.
+
+    A batch that is in error gives one row that says so; null and empty ones give none.
+    """
+    kind = dict(batches_.dtypes)[key]
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            rows: list[tuple] = []
+            for own, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                try:
+                    rows += [(own, *r, None) for r in _parsed(text or "")]
+                except ValueError as e:
+                    rows.append((own, *[None] * 5, str(e)))
+            types = (part.schema.field(0).type, pa.int32(), *[pa.string()] * 5)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 7, types)], names=["batch", "record", "name", "heavy", "light", "sequence", "error"])
+
+    return batches_.select(F.col(key).alias("batch"), F.col(raw).alias("raw")).mapInArrow(run, f"batch {kind}, {_RECORD}, error string")
 
 
 def links(pages: DataFrame, pattern: str) -> DataFrame:

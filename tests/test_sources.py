@@ -140,3 +140,11 @@ def test_batches_are_told_apart(spark):
     assert [r.sequence for r in tabular.parse_batch(spark, "acd\n\nefg").orderBy("record").collect()] == ["ACD", "EFG"]
     with pytest.raises(ValueError, match="quote"):
         tabular.parse_batch(spark, 'id,vh\n"q,acd')
+
+
+def test_many_batches_are_read_alike(spark):
+    raw = {"fasta": ">a\nAC\nDE\n>\nFG", "table": "id,vh,vl\nq,acd,efg\n\n", "lines": "acd\n\nefg", "bad": 'id,vh\n"q,acd', "none": None}
+    got = tabular.parse_batches(spark.createDataFrame(list(raw.items()), "batch string, raw string")).orderBy("batch", "record").collect()
+    want = [(k, *r, None) for k in ("fasta", "lines", "table") for r in tabular._parsed(raw[k])]
+    assert [tuple(r) for r in got if r.batch != "bad"] == want
+    assert [(r.record, r.error) for r in got if r.batch == "bad"] == [(None, "unclosed quote in table")]
