@@ -168,18 +168,54 @@ def similar_items(spark: SparkSession, d: str) -> DataFrame:
     return similarity.similar(rows.withColumnsRenamed({"id": "query_id", "heavy": "sequence"}), rows, "heavy")
 
 
-@query(f"""WITH RECURSIVE {_ITEMS}, asked AS (SELECT id AS query_id, CASE WHEN id % 2 = 0 THEN s WHEN id % 7 = 0 THEN '' WHEN id % 3 = 0 THEN repeat('W', 60) ELSE substr(s, 1, length(s) * 4 // 5) END AS q FROM items),
+_SCREENED = f"""{_ITEMS}, asked AS (SELECT id AS query_id, CASE WHEN id % 2 = 0 THEN s WHEN id % 7 = 0 THEN '' WHEN id % 3 = 0 THEN repeat('W', 60) ELSE substr(s, 1, length(s) * 4 // 5) END AS q FROM items),
  hit AS (SELECT query_id, id FROM asked JOIN items ON q = s AND q <> ''), rest AS (SELECT query_id AS id, q FROM asked WHERE q <> '' AND query_id NOT IN (SELECT query_id FROM hit)),
  {V.signature_sql('rest', 'q', 'qs')}, {V.signature_sql('items', 's', 'sg')}, post AS (SELECT hash, id FROM sg WHERE hash NOT IN (SELECT hash FROM sg GROUP BY hash HAVING count(*) > 250)),
  found AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY shared DESC, id) AS n FROM (SELECT x.id AS query_id, p.id, count(*) AS shared FROM qs x JOIN post p USING (hash) GROUP BY ALL) t),
  pairs AS (SELECT found.query_id * 1000000 + found.id AS k, found.query_id, found.id, q AS a, s AS b FROM found JOIN rest ON rest.id = found.query_id JOIN items ON items.id = found.id
   WHERE n <= 140 AND least(length(q), length(s))::DOUBLE / greatest(length(q), length(s)) >= 0.65 AND least(length(q), length(s)) * 100 >= length(q) * 70),
- {V.alignment_sql()}, alike AS (SELECT query_id, id FROM aligned JOIN pairs USING (k) WHERE r > 0 AND 100.0::DOUBLE * m / r >= 45 AND 100.0::DOUBLE * r / length(a) >= 70),
- out AS (SELECT query_id, id, 'EXACT' AS status FROM hit UNION ALL SELECT query_id, id, 'SIMILAR' FROM alike)
- SELECT query_id, CASE WHEN q = '' THEN 'INVALID' ELSE coalesce(status, 'NO MATCH') END AS status, id, CASE WHEN status = 'EXACT' THEN CAST(0 AS BIGINT) END AS distance FROM asked LEFT JOIN out USING (query_id)""")
+ {V.alignment_sql()}, alike AS (SELECT query_id, id, 100.0::DOUBLE * m / r AS identity, 100.0::DOUBLE * r / length(a) AS coverage FROM aligned JOIN pairs USING (k) WHERE r > 0 AND 100.0::DOUBLE * m / r >= 45 AND 100.0::DOUBLE * r / length(a) >= 70),
+ out AS (SELECT query_id, id, 'EXACT' AS status, CAST(NULL AS DOUBLE) AS identity, CAST(NULL AS DOUBLE) AS coverage FROM hit UNION ALL SELECT query_id, id, 'SIMILAR', identity, coverage FROM alike),
+ screened AS (SELECT query_id, q, CASE WHEN q = '' THEN 'INVALID' ELSE coalesce(status, 'NO MATCH') END AS status, id, CASE WHEN status = 'EXACT' THEN CAST(0 AS BIGINT) END AS distance, identity, coverage FROM asked LEFT JOIN out USING (query_id))"""
+
+
+def _screened(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    rows, k = _items(spark, d), F.col("id")
+    raw = F.when(k % 2 == 0, F.col("heavy")).when(k % 7 == 0, "").when(k % 3 == 0, "W" * 60).otherwise(F.expr("substr(heavy, 1, cast(length(heavy) * 4 div 5 as int))"))
+    return rows.select(k.alias("query_id"), raw.alias("raw")), rows
+
+
+@query(f"WITH RECURSIVE {_SCREENED} SELECT query_id, status, id, distance FROM screened")
 def screen_similar(spark: SparkSession, d: str) -> DataFrame:
     """Items of the benchmark, whole or shortened, empty or meaningless, screened against all of them."""
+    return screening.screen(*_screened(spark, d), with_similar=True).select("query_id", "status", "id", "distance")
+
+
+def _cells(*cells: str) -> str:
+    return " || ',' || ".join(f"'\"' || coalesce(CAST({c} AS VARCHAR), '') || '\"'" for c in cells)
+
+
+_REPORT = ("query_id", "q", "''", "''", "'single_chain'", "length(q)", "'heavy'", "status", "s", "distance", "round(identity, 3)", "round(coverage, 3)", "''", "''", "screened.id", "'item ' || screened.id", "''", "''", "'bench'", "'?ab=' || screened.id", "'S1'", "4")
+
+
+@query(f"WITH RECURSIVE {_SCREENED} SELECT {_cells(*(c.replace(chr(39) + 'bench' + chr(39), 'CASE WHEN screened.id IS NOT NULL THEN ' + chr(39) + 'bench' + chr(39) + ' END') for c in _REPORT))} AS line FROM screened LEFT JOIN items ON items.id = screened.id")
+def screening_items(spark: SparkSession, d: str) -> DataFrame:
+    """The report of that screening, as quoted lines of 22 columns."""
+    asked, rows = _screened(spark, d)
+    rows = rows.withColumns({"name": F.concat(F.lit("item "), "id"), "sources": F.array(F.lit("bench"))})
+    return exports.quoted_lines(screening.report(asked, rows, snapshot="S1", with_similar=True))
+
+
+_RELATED = f"""{_ITEMS}, held AS (SELECT id, s FROM items UNION ALL SELECT id + 100000, substr(s, 1, length(s) * 4 // 5) FROM items), one AS (SELECT id, s AS q FROM items WHERE id = (SELECT min(id) FROM items)),
+ {V.signature_sql('one', 'q', 'qs')}, {V.signature_sql('held', 's', 'sg')}, post AS (SELECT hash, id FROM sg WHERE hash NOT IN (SELECT hash FROM sg GROUP BY hash HAVING count(*) > 250)),
+ found AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY shared DESC, id) AS n FROM (SELECT x.id AS query_id, p.id, count(*) AS shared FROM qs x JOIN post p USING (hash) GROUP BY ALL) t),
+ pairs AS (SELECT found.id AS k, query_id, found.id, q AS a, s AS b FROM found JOIN one ON one.id = query_id JOIN held ON held.id = found.id WHERE n <= 140 AND found.id <> query_id AND least(length(q), length(s))::DOUBLE / greatest(length(q), length(s)) >= 0.65 AND least(length(q), length(s)) * 100 >= length(q) * 70)"""
+
+
+@query(f"WITH RECURSIVE {_RELATED}, {V.alignment_sql()} SELECT query_id, id, 100.0::DOUBLE * m / r * (100.0::DOUBLE * r / length(a)) / 100 AS similarity FROM aligned JOIN pairs USING (k) WHERE r > 0 AND 100.0::DOUBLE * m / r >= 45 AND 100.0::DOUBLE * r / length(a) >= 70")
+def related_items(spark: SparkSession, d: str) -> DataFrame:
+    """Items and shortened items like the first one."""
     rows = _items(spark, d)
-    k = F.col("id")
-    raw = F.when(k % 2 == 0, F.col("heavy")).when(k % 7 == 0, "").when(k % 3 == 0, "W" * 60).otherwise(F.expr("substr(heavy, 1, cast(length(heavy) * 4 div 5 as int))"))
-    return screening.screen(rows.select(k.alias("query_id"), raw.alias("raw")), rows, with_similar=True).select("query_id", "status", "id", "distance")
+    short = rows.select((F.col("id") + 100000).alias("id"), F.expr("substr(heavy, 1, cast(length(heavy) * 4 div 5 as int))").alias("heavy"))
+    first = rows.agg(F.min("id")).first()[0]
+    return similarity.related(rows.union(short).withColumn("light", F.lit("")), first)
