@@ -219,3 +219,17 @@ def related_items(spark: SparkSession, d: str) -> DataFrame:
     short = rows.select((F.col("id") + 100000).alias("id"), F.expr("substr(heavy, 1, cast(length(heavy) * 4 div 5 as int))").alias("heavy"))
     first = rows.agg(F.min("id")).first()[0]
     return similarity.related(rows.union(short).withColumn("light", F.lit("")), first)
+
+
+@query(f"""WITH RECURSIVE {_ITEMS}, first AS (SELECT s AS a FROM items ORDER BY id LIMIT 1), pairs AS (SELECT id AS k, a, s AS b FROM items, first WHERE id > 0 ORDER BY id LIMIT 12), {V.alignment_sql()}
+ SELECT k AS id, CAST(m AS BIGINT) AS n_equal, CAST(2 * c - length(a) - length(b) AS BIGINT) AS n_gaps, CAST(c AS BIGINT) AS n_columns FROM aligned JOIN pairs USING (k)""")
+def alignment_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Alignments of a dozen items to the first as texts: their equal columns, gaps and all columns, counted in the lines shown."""
+    rows = _items(spark, d)
+    first = rows.orderBy("id").limit(1).select(F.col("heavy").alias("reference"))
+    both = rows.where("id > 0").orderBy("id").limit(12).join(F.broadcast(first))
+    shown = both.select("id", F.split(S.alignment_text("reference", "heavy"), "\n").alias("l"))
+    # blocks are three lines and an empty one
+    lines = lambda k: F.array_join(F.filter("l", lambda x, i: i % 4 == k), "")
+    counted = lambda c, ch: (F.length(c) - F.length(F.replace(c, F.lit(ch), F.lit("")))).cast("long")
+    return shown.select("id", counted(lines(1), "|").alias("n_equal"), (counted(lines(0), "-") + counted(lines(2), "-")).alias("n_gaps"), F.length(lines(1)).cast("long").alias("n_columns"))

@@ -4,6 +4,7 @@ import random
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 from test_functions import plain_alignment
 
 from sequor.functions import sequences as S
@@ -114,7 +115,22 @@ def test_screening_reports_similar_chains(spark):
     assert {(r.query_id, r.status) for r in got} >= {("exact", "EXACT"), ("none", "NO MATCH"), ("bad", "INVALID"), ("empty", "INVALID")}
 
 
-@pytest.mark.parametrize("name", ["compare_entities"])
+def test_related_takes_the_chains_that_are_there(spark):
+    heavy, light = chains(24, 2), chains(24, 3)
+    rows = [(i, h, l_) for i, (h, l_) in enumerate(zip(heavy, light))] + [(90, heavy[1], ""), (91, "", light[2]), (92, "ACD", "")]
+    df = spark.createDataFrame(rows, "id int, heavy string, light string")
+    one = next(i for i, (h, l_) in enumerate(zip(heavy, light)) if len(h) >= 40 and len(l_) >= 40)
+    both = {r.id for r in similarity.related(df, one).collect()}
+    assert one not in both and both == {r.id for r in similarity.paired_similar(df.where(F.col("id") == one).withColumnRenamed("id", "query_id"), df, exclude_self=True).collect()}
+    alone = {r.id for r in similarity.related(df, 90).collect()}
+    want = {i for _, i in plain({90: heavy[1]}, {r[0]: r[1] for r in rows}, "loose")} - {90}
+    assert alone == want and 1 in alone
+    assert 2 in {r.id for r in similarity.related(df, 91).collect()} and similarity.related(df, 92).count() == 0
+    with pytest.raises(ValueError, match="unknown entity 7777"):
+        similarity.related(df, 7777)
+
+
+@pytest.mark.parametrize("name", ["compare_entities", "alignment_lines"])
 def test_recurrence_in_sql(spark, sf_dir, name):
     con = duckdb.connect()
     con.sql(f"create view benchmark as select * from '{sf_dir}/benchmark.parquet'")
