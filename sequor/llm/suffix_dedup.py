@@ -39,8 +39,8 @@ from sequor.llm.hashing import mix64, trim
 from sequor.llm.packing import packed, unpacked
 from sequor.operators.storage import materialize, release
 
-#: Bytes of text that hashes are made for at a time.
-SEGMENT_BYTES = 192 << 10
+#: Bytes of text that hashes are made for at a time, few enough for a core's cache.
+SEGMENT_BYTES = 48 << 10
 #: Anchors that a task counts; suffixes of a front-coded piece, and of a range of the order.
 BUCKET_MARKS = 2_000_000
 PIECE_ROWS = 512
@@ -50,7 +50,7 @@ FAN_IN = 512
 #: Suffixes sampled to place the borders of ranges (64 bytes each); the sample decides on balance alone.
 SAMPLE_ROWS = 20_000
 #: Anchors (8 bytes each) that several distinct suffixes have, up to which they may be broadcast.
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 1_000_000
 _POSITION = 20
 _BYTES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _A, _B = np.uint64(0xD1342543DE82EF95), np.uint64(0x2545F4914F6CDD1D)
@@ -198,16 +198,28 @@ class LoserTree:
 
     def __iter__(self) -> Iterator[tuple[tuple, int]]:
         """Each suffix in order, with the length of the prefix that it shares with the one before."""
-        while self.shared[self.winner] >= 0:
-            run = self.winner
-            yield self.heads[run], self.shared[run]
-            head = self.heads[run] = next(self.runs[run], None)
-            self.shared[run] = -1 if head is None else head[1]
-            node = (run + self.size) >> 1
+        heads, shared, losers, runs, winner = self.heads, self.shared, self.losers, self.runs, self.winner
+        while shared[winner] >= 0:
+            yield heads[winner], shared[winner]
+            head = heads[winner] = next(runs[winner], None)
+            mine = shared[winner] = -1 if head is None else head[1]
+            # as _meet, from the leaf up
+            run, node = winner, (winner + self.size) >> 1
             while node:
-                run = self._meet(node, run)
+                other = losers[node]
+                its = shared[other]
+                if mine < its:
+                    losers[node], run, mine = run, other, its
+                elif mine == its and mine >= 0:
+                    a, b = heads[run][0], heads[other][0]
+                    both = lcp(a, b, mine)
+                    if both == len(a) or (both < len(b) and a[both] < b[both]):
+                        shared[other] = both
+                    else:
+                        shared[run] = both
+                        losers[node], run = run, other
                 node >>= 1
-            self.winner = run
+            winner = run
 
 
 class Run:
