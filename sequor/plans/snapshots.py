@@ -146,7 +146,7 @@ def preview_counts(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {V.CHAINS} SELECT id, upper(regexp_replace(trim(line), '[[:space:]]+', '', 'g')) AS strict FROM chains WHERE regexp_matches(upper(regexp_replace(trim(line), '[[:space:]]+', '', 'g')), '^[A-Z*]+$') AND lower(trim(line)) NOT IN ('na', 'n/a', 'nan', 'none', 'nd', 'not determined', 'unknown', '-')""")
 def strict_sequences(spark: SparkSession, d: str) -> DataFrame:
     """Lines that are sequences; one that is not would fail the query."""
-    fine = V.chains(spark, d).where((S.residues("line") != "") & S.residues("line").isNotNull())
+    fine = V.chains(spark, d).where(S.has_only_residues("line")).where(S.residues("line") != "")
     return fine.select("id", S.strict_residues("line").alias("strict"))
 
 
