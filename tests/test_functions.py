@@ -168,3 +168,31 @@ def test_alignment_texts(spark):
         assert ref.replace("-", "") == a and que.replace("-", "") == b
         assert marks.count("|") == plain_alignment(a, b)[1] and len(ref) == plain_alignment(a, b)[2]
     assert one(spark, "AC", S.alignment_text("v", F.lit("AC"))) == "AC\n||\nAC"
+
+
+def test_variant_of_a_very_long_sequence_takes_one_pass(spark):
+    seq = "ACDEFGHIKL" * 30_000
+    began = time.time()
+    got = one(spark, seq, S.variant("v", 95))
+    assert time.time() - began < 60
+    assert len(got) == len(seq) and sum(a != b for a, b in zip(got, seq)) == 15_000
+
+
+@pytest.mark.parametrize("level", [100, 99, 95, 90, 80, 50, 0])
+def test_variants_change_where_the_floor_steps_up(level):
+    for n in (1, 2, 7, 40, 99, 1000):
+        seq = ("ADAK" * n)[:n]
+        e = round(n * (100 - level) / 100)
+        want = "".join(("G" if c == "A" else "A") if (i + 1) * e // n > i * e // n else c for i, c in enumerate(seq))
+        assert S.variant_of(seq, level) == want
+
+
+def test_sharp_s_and_ligatures_are_no_residues(spark):
+    from sequor.operators import search
+
+    df = spark.createDataFrame([("Tessteß",), ("teﬁt",), ("teſt",), ("ab\u2028",), ("te st*",)], "v string")
+    got = df.select(search.pasted_sequence(F.col("v")).alias("p"), S.has_only_residues("v").alias("h"), search.is_sequence(F.col("v"), 2).alias("q")).collect()
+    assert [tuple(r) for r in got] == [(None, False, False), (None, False, False), ("TEST", True, False), (None, False, False), ("TEST*", True, True)]
+    assert df.where(S.has_only_residues("v")).select(S.strict_residues("v").alias("s")).collect() == [("TEST",), ("TEST*",)]
+    with pytest.raises(Exception, match="ß"):
+        df.limit(1).select(S.strict_residues("v")).collect()
