@@ -1,6 +1,7 @@
 """Likeness searches against a plain recurrence over all pairs."""
 
 import random
+import time
 
 import duckdb
 import pytest
@@ -138,3 +139,17 @@ def test_recurrence_in_sql(spark, sf_dir, name):
     rows = lambda x: sorted(tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in x)
     cols = sorted(df.columns)
     assert rows(df.select(*cols).collect()) == rows(con.sql(registry.ORACLES[name]).select(*cols).fetchall()) != []
+
+
+def test_copies_are_not_aligned_one_by_one(spark):
+    rng = random.Random(5)
+    text = "".join(rng.choice("ACDEFGHIKLMNPQRSTVWY") for _ in range(30_000))
+    short = text[:60]
+    rows = spark.createDataFrame([(i, text) for i in range(6)] + [(10 + i, short) for i in range(3)] + [(20, short[:-1] + "A"), (21, short[:-1] + "A")], "id long, heavy string")
+    asked = rows.select(F.col("id").alias("query_id"), F.col("heavy").alias("sequence"))
+    began = time.time()
+    got = {(r.query_id, r.id): r for r in similarity.similar(asked, rows, "heavy", mode="loose").collect()}
+    assert time.time() - began < 60
+    assert len(got) == 36 + 25 and all(r.identity == 100 and r.coverage == 100 for (q, i), r in got.items() if q < 6)
+    assert got[0, 5].score == 60_000 and got[0, 5].shared == 32
+    assert got[10, 20].score == got[12, 21].score and got[10, 20].identity == got[12, 21].identity == 100 * 59 / 60
