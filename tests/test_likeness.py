@@ -153,3 +153,16 @@ def test_copies_are_not_aligned_one_by_one(spark):
     assert len(got) == 36 + 25 and all(r.identity == 100 and r.coverage == 100 for (q, i), r in got.items() if q < 6)
     assert got[0, 5].score == 60_000 and got[0, 5].shared == 32
     assert got[10, 20].score == got[12, 21].score and got[10, 20].identity == got[12, 21].identity == 100 * 59 / 60
+
+
+def test_exact_hits_of_a_frequent_text_come_in_slices(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "EXACT_ROWS", 50)
+    rows = similarity.keyed(spark.createDataFrame([(i, "hot" if i < 90 else f"t{i % 7}") for i in range(120)], "id long, heavy string"), "id", "heavy", "key", "length")
+    asked = rows.where("id % 5 = 0").withColumnRenamed("id", "query_id")
+    got = similarity.exact_hits(asked, rows).collect()
+    kind = lambda i: "hot" if i < 90 else i % 7
+    want = {(q, i) for q in range(0, 120, 5) for i in range(120) if kind(q) == kind(i)}
+    assert len(got) == len(want) and {(r.query_id, r.id) for r in got} == want
+    found = spark.createDataFrame([(0, 1, 3), (0, 91, 4)], "query_id long, id long, shared long")
+    both = {(r.query_id, r.id): r.shared for r in similarity.with_exact(found, asked, rows).collect()}
+    assert both == {p: 32 for p in want} | {(0, 91): 4}
