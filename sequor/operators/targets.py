@@ -56,10 +56,18 @@ def expand_terms(claims: DataFrame) -> DataFrame:
 
 
 def dispatch(claims: DataFrame, aliases: DataFrame) -> DataFrame:
-    """Claims with their target: slash-separated synonyms of the therapeutic source go by group, all others whole."""
-    grouped = (F.col("source") == "therasabdab") & F.col("target_raw").contains("/")
-    whole = resolve(claims.where(~grouped), aliases)
-    return whole.unionByName(resolve_group(claims.where(grouped), aliases, unicode_=True).select(whole.columns))
+    """Claims with their target: slash-separated synonyms of the therapeutic source go by group, all others whole.
+
+    Each distinct name is resolved once, and claims meet the names.
+    """
+    grouped = F.coalesce((F.col("source") == "therasabdab") & F.col("target_raw").contains("/"), F.lit(False))
+    names = claims.select("target_raw", grouped.alias("_g")).distinct()
+    whole = resolve(names.where("not _g"), aliases)
+    named = materialize(whole.unionByName(resolve_group(names.where("_g"), aliases, unicode_=True).select(whole.columns)), "names")
+    named = named.withColumnsRenamed({"target_raw": "_raw", "_g": "_by"})
+    small = F.broadcast(named) if named.count() <= BROADCAST_NAMES else named
+    out = claims.withColumn("_g", grouped)
+    return out.join(small, F.col("target_raw").eqNullSafe(F.col("_raw")) & (F.col("_g") == F.col("_by"))).drop("_raw", "_g", "_by")
 
 
 def entity_table(spark: SparkSession, entities: dict[str, dict]) -> DataFrame:
@@ -70,6 +78,8 @@ def entity_table(spark: SparkSession, entities: dict[str, dict]) -> DataFrame:
 
 def with_entities(targets: DataFrame, entities: DataFrame, aliases: DataFrame, unicode_: bool = True, stamp: str = "curated target entity map") -> DataFrame:
     """Targets with their curated entity (exact canonical names only), where it is from, its parent where that is a target too, and children."""
+    # one row a target, met three times below
+    targets = materialize(targets, "targets")
     small = F.broadcast(entities) if entities.count() <= BROADCAST_NAMES else entities
     parents = resolve(entities.where("parent <> ''").select("parent").distinct(), aliases, "parent", unicode_).select("parent", F.col("target_id").alias("parent_id"))
     known = targets.select(F.col("target_id").alias("parent_id"))
@@ -86,7 +96,7 @@ def with_entities(targets: DataFrame, entities: DataFrame, aliases: DataFrame, u
 def names_of(claims: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """``(target_id, aliases, external_ids)``: every raw and curated name of a target, by folded order, and its outer ids."""
     held = claims.where(R.family("relationship") != "literature")
-    raw = held.select("target_id", F.col("target_raw").alias("alias"), F.col("canonical"))
+    raw = materialize(held.select("target_id", F.col("target_raw").alias("alias"), F.col("canonical")).distinct(), "names")
     each = raw.select("target_id", "alias").union(raw.select("target_id", "canonical"))
     if aliases is not None:
         listed = aliases.select("canonical", F.explode("aliases").alias("alias")).distinct()
@@ -116,19 +126,25 @@ def interaction_id(*parts: Column | str) -> Column:
 
 
 def rollup(claims: DataFrame) -> DataFrame:
-    """One row for each target: claims, and distinct antibodies by family; literature makes no target."""
+    """One row for each target: claims, and distinct antibodies by family; literature makes no target.
+
+    Claims of an antibody on a target are counted first, so that no row is multiplied to count distinct ones.
+    """
     held = claims.withColumn("family", R.family("relationship")).where("family <> 'literature'")
-    who = lambda fam: F.count_distinct(F.when(F.col("family") == fam, F.col("antibody_id")))
-    return held.groupBy("target_id").agg(
-        F.min_by("target_name", F.struct(F.length("target_name"), "target_name")).alias("name"),
+    families = ("direct", "functional", "negative")
+    each = held.groupBy("target_id", "antibody_id").agg(
+        F.min(F.when(F.col("target_name").isNotNull(), F.struct(F.length("target_name").alias("n"), F.col("target_name").alias("name")))).alias("name"),
         F.count("*").alias("count"),
-        F.count_if(F.col("family") == "direct").alias("direct_count"),
-        F.count_if(F.col("family") == "functional").alias("functional_count"),
-        F.count_if(F.col("family") == "negative").alias("negative_count"),
-        who("direct").alias("direct_antibodies"),
-        who("functional").alias("functional_antibodies"),
-        who("negative").alias("negative_antibodies"),
-        F.array_sort(F.collect_set("source")).alias("sources"),
+        *[F.count_if(F.col("family") == f).alias(f) for f in families],
+        F.array_sort(F.collect_set("source")).alias("s"),
+    )
+    who = lambda f: F.count_if((F.col(f) > 0) & F.col("antibody_id").isNotNull()).alias(f"{f}_antibodies")
+    return each.groupBy("target_id").agg(
+        F.min("name")["name"].alias("name"),
+        F.sum("count").alias("count"),
+        *[F.sum(f).alias(f"{f}_count") for f in families],
+        *map(who, families),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("s")))).alias("sources"),
     )
 
 

@@ -143,3 +143,22 @@ def test_typed_sequences(spark, raw, is_it, clean):
     got = spark.createDataFrame([(raw,)], "q string").select(search.is_sequence(F.col("q")).alias("a"), search.pasted_sequence(F.col("q")).alias("b")).first()
     assert got.a is is_it and got.b == clean
     assert search.dispatch("A", "B", "similarity") == "paired_similarity" and search.dispatch("A", "", "exact") == "exact"
+
+
+def test_names_are_resolved_once_and_no_claim_is_lost(spark):
+    rows = [("covabdab", "red ring", i) for i in range(50)] + [("therasabdab", "zz/red ring", 50), (None, "a/b", 51), ("covabdab", None, 52)]
+    claims = spark.createDataFrame(rows, "source string, target_raw string, n long")
+    out = targets.dispatch(claims, targets.alias_table(spark, {"ring family": ["red ring"]}))
+    assert "ArrowEvalPython" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {r.n: r for r in out.collect()}
+    assert len(got) == 53 and all(got[i].canonical == "ring family" and got[i].curated for i in range(51))
+    assert got[51].canonical == "a/b" and not got[51].curated
+
+
+def test_rollup_multiplies_no_rows(spark):
+    rows = [("t", "Long name", a, f, s) for a in ("a", "b", None) for f, s in (("binds", "s1"), ("binds", "s2"), ("does_not_bind", "s1"))] + [("t", "Name", "c", "neutralizes", "s3")]
+    out = targets.rollup(spark.createDataFrame(rows, "target_id string, target_name string, antibody_id string, relationship string, source string"))
+    assert "Expand" not in out._jdf.queryExecution().executedPlan().toString()
+    r = out.first()
+    assert (r["name"], r["count"], r.direct_count, r.negative_count, r.functional_count) == ("Name", 10, 6, 3, 1)
+    assert (r.direct_antibodies, r.negative_antibodies, r.functional_antibodies, r.sources) == (2, 2, 1, ["s1", "s2", "s3"])
