@@ -197,3 +197,8 @@ def test_sharp_s_and_ligatures_are_no_residues(spark):
     assert df.where(S.has_only_residues("v")).select(S.strict_residues("v").alias("s")).collect() == [("TEST",), ("TEST*",)]
     with pytest.raises(Exception, match="ß"):
         df.limit(1).select(S.strict_residues("v")).collect()
+
+
+def test_lengths_that_no_identity_allows(spark):
+    df = spark.createDataFrame([(90, 100), (89, 100), (100, 90), (0, 0), (9, 10)], "a int, b int")
+    assert [r.x for r in df.select(S.like_lengths(F.col("a"), F.col("b")).alias("x")).collect()] == [True, False, True, False, True]
