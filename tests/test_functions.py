@@ -202,3 +202,11 @@ def test_sharp_s_and_ligatures_are_no_residues(spark):
 def test_lengths_that_no_identity_allows(spark):
     df = spark.createDataFrame([(90, 100), (89, 100), (100, 90), (0, 0), (9, 10)], "a int, b int")
     assert [r.x for r in df.select(S.like_lengths(F.col("a"), F.col("b")).alias("x")).collect()] == [True, False, True, False, True]
+
+
+def test_signatures_side_by_side_equal_single_ones():
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(S.CANONICAL + "X*\u00e9") if rng.random() < 0.1 else rng.choice("ACD") for _ in range(n)) for n in [0, 1, 4, 5, 6, 40, 400, 0, 900] * 9]
+    hashes, at = S.signatures_of(texts)
+    assert [hashes[a:b].tolist() for a, b in zip(at, at[1:])] == [S.signature_of(t).tolist() for t in texts]
+    assert [len(x) for x in S.signatures_of([])] == [0, 1]

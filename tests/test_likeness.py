@@ -166,3 +166,12 @@ def test_exact_hits_of_a_frequent_text_come_in_slices(spark, monkeypatch):
     found = spark.createDataFrame([(0, 1, 3), (0, 91, 4)], "query_id long, id long, shared long")
     both = {(r.query_id, r.id): r.shared for r in similarity.with_exact(found, asked, rows).collect()}
     assert both == {p: 32 for p in want} | {(0, 91): 4}
+
+
+def test_pairs_of_a_frequent_text_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "EXACT_ROWS", 50)
+    monkeypatch.setattr(similarity, "EXACT_BLOCKS", 1)
+    rows = similarity.keyed(spark.createDataFrame([(i, "hot" if i < 300 else f"t{i}") for i in range(310)], "id long, heavy string"), "id", "heavy", "key", "length")
+    out = similarity.exact_hits(rows.where("id % 5 = 0").withColumnRenamed("id", "query_id"), rows)
+    each = [n for n in out.rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect() if n]
+    assert sum(each) == 60 * 300 + 2 and max(each) < 1000
