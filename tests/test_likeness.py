@@ -175,3 +175,15 @@ def test_pairs_of_a_frequent_text_are_dealt_out(spark, monkeypatch):
     out = similarity.exact_hits(rows.where("id % 5 = 0").withColumnRenamed("id", "query_id"), rows)
     each = [n for n in out.rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect() if n]
     assert sum(each) == 60 * 300 + 2 and max(each) < 1000
+
+
+def test_copies_of_one_chain_are_not_listed(spark):
+    rng = random.Random(9)
+    text = lambda n: "".join(rng.choice(S.CANONICAL) for _ in range(n))
+    heavy = text(60)
+    rows = spark.createDataFrame([(i, heavy, text(50)) for i in range(300)] + [(300, heavy, ""), (301, heavy, None)], "id long, heavy string, light string")
+    asked = rows.withColumnRenamed("id", "query_id")
+    found = similarity._paired_candidates(asked.where("length(light) >= 40"), rows)
+    assert found.count() < 300 * 30
+    got = {(r.query_id, r.id): r.similarity for r in similarity.paired_similar(asked, rows).collect()}
+    assert {p for p in got if p[0] == p[1]} == {(i, i) for i in range(300)} and all(got[i, i] == 100 for i in range(300))
