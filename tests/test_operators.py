@@ -162,3 +162,14 @@ def test_rollup_multiplies_no_rows(spark):
     r = out.first()
     assert (r["name"], r["count"], r.direct_count, r.negative_count, r.functional_count) == ("Name", 10, 6, 3, 1)
     assert (r.direct_antibodies, r.negative_antibodies, r.functional_antibodies, r.sources) == (2, 2, 1, ["s1", "s2", "s3"])
+
+
+def test_postings_are_checked_in_one_grouping(spark):
+    rows = chain_rows(spark)
+    index = similarity.capped(similarity.signatures(rows, "heavy"))
+    lost = index.orderBy("hash", "id").first()
+    odd = spark.createDataFrame([(7, 4), (7, 4), (8, None), (None, 5)], "hash long, id long")
+    out = validate.postings(index.where(~((F.col("hash") == lost["hash"]) & (F.col("id") == lost["id"]))).union(odd), rows, "heavy")
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r.subject or "", r.message) for r in out.collect())
+    assert got == sorted([("4", "posting without hash")] * 2 + [("4", "duplicate posting"), ("", "posting without hash"), ("5", "posting without hash"), (str(lost["id"]), "hash without posting")])
