@@ -103,7 +103,7 @@ def names_of(claims: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
         each = each.union(raw.select("target_id", "canonical").distinct().join(listed, "canonical").select("target_id", "alias"))
     folded = F.array_sort(F.collect_set(F.struct(F.lower("alias").alias("k"), F.col("alias").alias("a"))))
     names = each.where("alias <> ''").groupBy("target_id").agg(F.transform(folded, lambda x: x["a"]).alias("aliases"))
-    outer = held.where("target_external_id <> ''").groupBy("target_id").agg(F.array_sort(F.collect_set("target_external_id")).alias("external_ids"))
+    outer = held.where("target_external_id <> ''").select("target_id", "target_external_id").distinct().groupBy("target_id").agg(F.array_sort(F.collect_set("target_external_id")).alias("external_ids"))
     return names.join(outer, "target_id", "left").withColumn("external_ids", F.coalesce("external_ids", F.array().cast("array<string>")))
 
 
@@ -128,24 +128,23 @@ def interaction_id(*parts: Column | str) -> Column:
 def rollup(claims: DataFrame) -> DataFrame:
     """One row for each target: claims, and distinct antibodies by family; literature makes no target.
 
-    Claims of an antibody on a target are counted first, so that no row is multiplied to count distinct ones.
+    Claims of an antibody on a target are counted first, so that no row is
+    multiplied to count distinct ones, and by plain counts: sets are made of the
+    few distinct names and sources, as sets of many groups are made by sorting.
     """
     held = claims.withColumn("family", R.family("relationship")).where("family <> 'literature'")
     families = ("direct", "functional", "negative")
-    each = held.groupBy("target_id", "antibody_id").agg(
-        F.min(F.when(F.col("target_name").isNotNull(), F.struct(F.length("target_name").alias("n"), F.col("target_name").alias("name")))).alias("name"),
-        F.count("*").alias("count"),
-        *[F.count_if(F.col("family") == f).alias(f) for f in families],
-        F.array_sort(F.collect_set("source")).alias("s"),
-    )
+    each = held.groupBy("target_id", "antibody_id", "source", "target_name").agg(F.count("*").alias("count"), *[F.count_if(F.col("family") == f).alias(f) for f in families])
+    each = materialize(each, "counts")
+    told = each.select(F.col("target_id").alias("_t"), "source", "target_name").distinct().groupBy("_t").agg(
+        F.min(F.when(F.col("target_name").isNotNull(), F.struct(F.length("target_name").alias("n"), F.col("target_name").alias("name"))))["name"].alias("name"),
+        F.array_sort(F.collect_set("source")).alias("sources"),
+    )
+    sums = lambda at: [F.sum(c).alias(c + (at if c != "count" else "")) for c in ("count", *families)]
     who = lambda f: F.count_if((F.col(f) > 0) & F.col("antibody_id").isNotNull()).alias(f"{f}_antibodies")
-    return each.groupBy("target_id").agg(
-        F.min("name")["name"].alias("name"),
-        F.sum("count").alias("count"),
-        *[F.sum(f).alias(f"{f}_count") for f in families],
-        *map(who, families),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("s")))).alias("sources"),
-    )
+    out = each.groupBy("target_id", "antibody_id").agg(*sums("")).groupBy("target_id").agg(*sums("_count"), *map(who, families))
+    out = out.join(told, F.col("target_id").eqNullSafe(F.col("_t")))
+    return out.select("target_id", "name", "count", *[f"{f}_count" for f in families], *[f"{f}_antibodies" for f in families], "sources")
 
 
 def histogram(claims: DataFrame) -> DataFrame:

@@ -173,3 +173,13 @@ def test_postings_are_checked_in_one_grouping(spark):
     assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
     got = sorted((r.subject or "", r.message) for r in out.collect())
     assert got == sorted([("4", "posting without hash")] * 2 + [("4", "duplicate posting"), ("", "posting without hash"), ("5", "posting without hash"), (str(lost["id"]), "hash without posting")])
+
+
+def test_rollup_makes_sets_of_few_rows_only(spark):
+    rows = [("t", "n", "a", "binds", "s"), (None, None, "a", "binds", None), (None, "m", None, "neutralizes", "s")]
+    out = targets.rollup(spark.createDataFrame(rows, "target_id string, target_name string, antibody_id string, relationship string, source string"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert all("antibody_id" not in x for x in plan.splitlines() if "ObjectHashAggregate" in x)
+    got = {r.target_id: r for r in out.collect()}
+    assert (got[None]["name"], got[None]["count"], got[None].direct_antibodies, got[None].functional_antibodies, got[None].sources) == ("m", 2, 1, 0, ["s"])
+    assert got["t"]["count"] == 1 and len(got) == 2
