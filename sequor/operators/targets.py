@@ -161,6 +161,12 @@ def results(claims: DataFrame) -> DataFrame:
     return out.withColumn("rank_score", (F.col("best") * 100 + F.size("sources") * 10).cast("long")).drop("best")
 
 
+def of_targets(claims: DataFrame, ids: DataFrame) -> DataFrame:
+    """Claims on the targets asked: rows are ranked and paged within their target, so its pages need no other's claims."""
+    asked = ids.select(F.col(ids.columns[0]).alias("target_id")).distinct()
+    return claims.join(F.broadcast(asked) if ids.count() <= BROADCAST_NAMES else asked, "target_id", "left_semi")
+
+
 def paged(rows: DataFrame, name: str = "name", size: int = PAGE_SIZE) -> DataFrame:
     """Position and page within (target, family): by score, then folded name, then id.
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from sequor.operators import clusters, exports, screening, search, similarity, targets, validate
 from sequor.operators.components import connected_components
+from sequor.plans import tables
 
 BASE = "EVQLVESGGGLVQPGGSLRLSCAASGFTFSSYAMSWVRQAPGKGLEWVSAISGSGGSTYYADSVKGRF"
 
@@ -183,3 +184,10 @@ def test_rollup_makes_sets_of_few_rows_only(spark):
     got = {r.target_id: r for r in out.collect()}
     assert (got[None]["name"], got[None]["count"], got[None].direct_antibodies, got[None].functional_antibodies, got[None].sources) == ("m", 2, 1, 0, ["s"])
     assert got["t"]["count"] == 1 and len(got) == 2
+
+
+def test_pages_of_asked_targets_are_those_of_all(spark, sf_dir):
+    ids = spark.createDataFrame([("target:ring-family",)], "id string")
+    columns = ("target_id", "family", "antibody_id", "position", "page")
+    own, every = tables._pages(spark, sf_dir, ids).select(*columns), tables._pages(spark, sf_dir).where("target_id = 'target:ring-family'").select(*columns)
+    assert sorted(map(tuple, own.collect())) == sorted(map(tuple, every.collect())) != []
