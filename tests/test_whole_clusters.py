@@ -19,7 +19,7 @@ def frequent_dir(spark, tmp_path_factory):
     return path
 
 
-@pytest.mark.parametrize("name, line", [("clusters_heavy_90", 2)])
+@pytest.mark.parametrize("name, line", [("clusters_heavy_90", 2), ("clusters_light_90", 1)])
 def test_clusters_are_linked_by_frequent_hashes(spark, frequent_dir, name, line):
     got = {(r.id, r.representative_id, r["size"]) for r in registry.QUERIES[name](spark, frequent_dir).collect()}
     assert got == {(i * 1_000_000 + line, line, 300) for i in range(300)}
