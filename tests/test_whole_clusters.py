@@ -25,7 +25,7 @@ def test_clusters_are_linked_by_frequent_hashes(spark, frequent_dir, name, line)
     assert got == {(i * 1_000_000 + line, line, 300) for i in range(300)}
 
 
-@pytest.mark.parametrize("name, lines", [("cluster_lookup", (2,))])
+@pytest.mark.parametrize("name, lines", [("cluster_lookup", (2,)), ("cluster_scopes", (1, 2))])
 def test_look_ups_give_all_members(spark, frequent_dir, name, lines):
     got = {r.id: (r.representative_id, r["size"], r.members) for r in registry.QUERIES[name](spark, frequent_dir).collect()}
     want = {i: (i, 1, str(i)) for i in got}
