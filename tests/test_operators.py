@@ -191,3 +191,20 @@ def test_pages_of_asked_targets_are_those_of_all(spark, sf_dir):
     columns = ("target_id", "family", "antibody_id", "position", "page")
     own, every = tables._pages(spark, sf_dir, ids).select(*columns), tables._pages(spark, sf_dir).where("target_id = 'target:ring-family'").select(*columns)
     assert sorted(map(tuple, own.collect())) == sorted(map(tuple, every.collect())) != []
+
+
+def test_exact_hits_of_loose_searches_are_not_shuffled_as_pairs(spark):
+    rows = spark.createDataFrame([(i, BASE, "") for i in range(30)] + [(30, "Q" + BASE[1:], "")], "id long, heavy string, light string")
+    asked = spark.createDataFrame([(100, BASE), (101, BASE), (102, "ACD")], "query_id long, sequence string")
+    out = similarity.similar(asked, rows, "heavy", mode="loose")
+    got = sorted((r.query_id, r.id, r.shared, r.score) for r in out.collect() if r.identity == 100)
+    assert got == [(q, i, 32, 2 * len(BASE)) for q in (100, 101) for i in range(30)] and out.count() == 62
+    lines = out._jdf.queryExecution().executedPlan().toString().splitlines()
+    depth = lambda x: len(x) - len(x.lstrip(" :+-*()0123456789"))
+    at = next(i for i, x in enumerate(lines) if "Generate explode(query_id" in x)
+    path, least = [], depth(lines[at])
+    for line in lines[:at][::-1]:
+        if 0 < depth(line) < least:
+            path.append(line)
+            least = depth(line)
+    assert not any("Exchange" in x or "Join" in x for x in path), path
